@@ -45,3 +45,19 @@ register("class_price_pivot")(lambda t: inv.class_price_pivot(t, 0))
 register("flights_with_landing")(lambda t: inv.flights_with_landing(t))
 register("flight_status")(lambda t: inv.flight_status(t, AS_OF))
 register("flight_search")(lambda t: inv.flight_search(t, AS_OF))
+
+# ---- reports (R1–R7) -------------------------------------------------------------
+from skyledger.operators import reports as rep  # noqa: E402
+
+register("report_average_occupancy")(lambda t: rep.report_average_occupancy(t, AS_OF))
+register("report_occupancy_split")(lambda t: rep.report_occupancy_split(t, AS_OF))
+register("report_revenue_breakdown")(lambda t: rep.report_revenue_breakdown(t, AS_OF))
+register("report_business_share")(lambda t: rep.report_business_share(t, AS_OF))
+register("report_employee_hours")(lambda t: rep.report_employee_hours(t, AS_OF))
+register("report_top_employees")(lambda t: rep.report_top_employees(t, AS_OF, 20))
+register("report_cancellation_rate")(lambda t: rep.report_cancellation_rate(t))
+register("report_rate_bands")(lambda t: rep.report_rate_bands(t))
+register("report_plane_activity")(lambda t: rep.report_plane_activity(t))
+register("report_utilization_bands")(lambda t: rep.report_utilization_bands(t))
+register("dominant_route")(lambda t: rep.dominant_route(t))
+register("report_summary")(lambda t: rep.report_summary(t))
