@@ -61,3 +61,18 @@ register("report_plane_activity")(lambda t: rep.report_plane_activity(t))
 register("report_utilization_bands")(lambda t: rep.report_utilization_bands(t))
 register("dominant_route")(lambda t: rep.dominant_route(t))
 register("report_summary")(lambda t: rep.report_summary(t))
+
+# ---- assignability (D12–D17) --------------------------------------------------------
+from skyledger.operators import assign as asg  # noqa: E402
+
+register("assignable_planes")(lambda t: asg.assignable_resources(t, "planes"))
+register("assignable_pilots")(lambda t: asg.assignable_resources(t, "pilots"))
+register("assignable_attendants")(lambda t: asg.assignable_resources(t, "attendants"))
+register("available_planes")(lambda t: asg.available_planes(t))
+register("available_pilots")(lambda t: asg.available_pilots(t))
+register("available_attendants")(lambda t: asg.available_attendants(t))
+register("staffing_feasibility")(lambda t: asg.staffing_feasibility(t))
+register("crew_requirement")(lambda t: asg.crew_requirement(t))
+register("plane_size")(lambda t: asg.plane_size(t))
+register("chain_continuity")(lambda t: asg.chain_continuity(t))
+register("missing_return_routes")(lambda t: asg.missing_return_routes(t))

@@ -188,3 +188,103 @@ SELECT (SELECT COUNT(*) FROM flights WHERE NOT IsDeleted) AS total_flights,
                                        AND o.PlainID = FP.PlainID
         WHERE o.OrderStatus NOT LIKE '%System%') AS total_revenue,
        (SELECT COUNT(*) FROM planes) AS fleet_size""")
+
+# ---- assignability (D12–D17) ----------------------------------------------------
+def _legs_cte(kind: str) -> str:
+    if kind == "planes":
+        return ("SELECT FT.PlainID AS ResourceID, (P.Size = 'Large') AS Q, FT.FlightID, FT.SourceField, "
+                "FT.DestinationField, FT.TakeOffTime, FT.LandingTime "
+                "FROM flights_landing FT JOIN planes P ON FT.PlainID = P.PlainID")
+    rid, dim, shifts = {"pilots": ("PilotID", "pilots", "working_pilots"),
+                        "attendants": ("AttendantID", "attendants", "working_attendants")}[kind]
+    return (f"SELECT W.{rid} AS ResourceID, D.Qualified4LongFlights AS Q, FT.FlightID, FT.SourceField, "
+            f"FT.DestinationField, FT.TakeOffTime, FT.LandingTime "
+            f"FROM {dim} D JOIN {shifts} W ON D.{rid} = W.{rid} JOIN flights_landing FT ON W.FlightID = FT.FlightID")
+
+
+def _assign_ctes(kind: str) -> str:
+    rid, dim, shifts = {"planes": ("PlainID", "planes", "flights"),
+                        "pilots": ("PilotID", "pilots", "working_pilots"),
+                        "attendants": ("AttendantID", "attendants", "working_attendants")}[kind]
+    q = "(D.Size = 'Large')" if kind == "planes" else "D.Qualified4LongFlights"
+    return f"""
+legs_{kind} AS ({_legs_cte(kind)}),
+ab_{kind} AS (
+  SELECT c.CandidateID, b.ResourceID FROM candidates c JOIN legs_{kind} b
+    ON (b.Q OR NOT c.IsLong) AND b.TakeOffTime > c.LandingTime AND b.SourceField = c.DestinationField
+   AND b.TakeOffTime = (SELECT MIN(m.TakeOffTime) FROM legs_{kind} m WHERE m.ResourceID = b.ResourceID)
+  UNION
+  SELECT c.CandidateID, a.ResourceID FROM candidates c JOIN legs_{kind} a
+    ON (a.Q OR NOT c.IsLong) AND a.LandingTime < c.TakeOffTime AND a.DestinationField = c.SourceField
+   AND a.LandingTime = (SELECT MAX(m.LandingTime) FROM legs_{kind} m WHERE m.ResourceID = a.ResourceID)),
+nofl_{kind} AS (
+  SELECT c.CandidateID, D.{rid} AS ResourceID FROM candidates c JOIN {dim} D ON ({q} OR NOT c.IsLong)
+  WHERE NOT EXISTS (SELECT 1 FROM {shifts} s WHERE s.{rid} = D.{rid})),
+assign_{kind} AS (
+  SELECT CandidateID, ResourceID AS {rid} FROM ab_{kind}
+  UNION
+  SELECT CandidateID, ResourceID AS {rid} FROM nofl_{kind})"""
+
+
+ASSIGN_CTES = ",".join(_assign_ctes(k).strip().rstrip(",") for k in ("planes", "pilots", "attendants"))
+
+
+def asg(body: str) -> str:
+    return inv(body, ASSIGN_CTES)
+
+
+SQL["assignable_planes"] = asg("SELECT * FROM assign_planes")
+SQL["assignable_pilots"] = asg("SELECT * FROM assign_pilots")
+SQL["assignable_attendants"] = asg("SELECT * FROM assign_attendants")
+SQL["available_planes"] = asg(
+    "SELECT a.CandidateID, a.PlainID, p.Size FROM assign_planes a JOIN planes p ON a.PlainID = p.PlainID")
+SQL["available_pilots"] = asg("SELECT a.CandidateID, p.* FROM assign_pilots a JOIN pilots p ON a.PilotID = p.PilotID")
+SQL["available_attendants"] = asg(
+    "SELECT a.CandidateID, p.* FROM assign_attendants a JOIN attendants p ON a.AttendantID = p.AttendantID")
+SQL["staffing_feasibility"] = asg("""
+SELECT c.CandidateID, c.IsLong, x.AvailablePlanes, x.AllPlanesLarge, x.AvailablePilots, x.AvailableAttendants,
+       x.RequiredPilots, x.RequiredAttendants,
+       (x.AvailablePlanes >= 1 AND x.AvailablePilots >= x.RequiredPilots
+        AND x.AvailableAttendants >= x.RequiredAttendants) AS Feasible
+FROM candidates c JOIN (
+  SELECT c.CandidateID,
+    (SELECT COUNT(*) FROM assign_planes a WHERE a.CandidateID = c.CandidateID) AS AvailablePlanes,
+    (SELECT COUNT(*) FROM assign_pilots a WHERE a.CandidateID = c.CandidateID) AS AvailablePilots,
+    (SELECT COUNT(*) FROM assign_attendants a WHERE a.CandidateID = c.CandidateID) AS AvailableAttendants,
+    COALESCE((SELECT bool_and(p.Size = 'Large') FROM assign_planes a JOIN planes p ON a.PlainID = p.PlainID
+              WHERE a.CandidateID = c.CandidateID), TRUE) AS AllPlanesLarge,
+    CASE WHEN c.IsLong OR COALESCE((SELECT bool_and(p.Size = 'Large') FROM assign_planes a
+              JOIN planes p ON a.PlainID = p.PlainID WHERE a.CandidateID = c.CandidateID), TRUE) THEN 3 ELSE 2 END
+      AS RequiredPilots,
+    CASE WHEN c.IsLong OR COALESCE((SELECT bool_and(p.Size = 'Large') FROM assign_planes a
+              JOIN planes p ON a.PlainID = p.PlainID WHERE a.CandidateID = c.CandidateID), TRUE) THEN 6 ELSE 3 END
+      AS RequiredAttendants
+  FROM candidates c) x ON x.CandidateID = c.CandidateID""")
+
+SQL["crew_requirement"] = with_views("""
+SELECT f.FlightID, f.PlainID, p.Size,
+       CASE WHEN p.Size = 'Large' THEN 3 ELSE 2 END AS RequiredPilots,
+       CASE WHEN p.Size = 'Large' THEN 6 ELSE 3 END AS RequiredAttendants,
+       (SELECT COUNT(*) FROM working_pilots w WHERE w.FlightID = f.FlightID) AS AssignedPilots,
+       (SELECT COUNT(*) FROM working_attendants w WHERE w.FlightID = f.FlightID) AS AssignedAttendants,
+       ((SELECT COUNT(*) FROM working_pilots w WHERE w.FlightID = f.FlightID) >= CASE WHEN p.Size = 'Large' THEN 3 ELSE 2 END
+        AND (SELECT COUNT(*) FROM working_attendants w WHERE w.FlightID = f.FlightID) >= CASE WHEN p.Size = 'Large' THEN 6 ELSE 3 END)
+        AS CrewComplete
+FROM flights f JOIN planes p ON f.PlainID = p.PlainID""")
+
+SQL["plane_size"] = with_views("""
+SELECT PlainID, COUNT(DISTINCT CASE WHEN NumberRows > 0 AND NumberCols > 0 THEN ClassType END) AS NumClasses,
+       CASE WHEN COUNT(DISTINCT CASE WHEN NumberRows > 0 AND NumberCols > 0 THEN ClassType END) = 2
+            THEN 'Large' ELSE 'Small' END AS DerivedSize
+FROM cabins GROUP BY PlainID""")
+
+SQL["chain_continuity"] = with_views("""
+SELECT FlightID, PlainID, TakeOffTime, SourceField, PrevDestination FROM (
+  SELECT FlightID, PlainID, TakeOffTime, SourceField,
+         LAG(DestinationField) OVER (PARTITION BY PlainID ORDER BY TakeOffTime, FlightID) AS PrevDestination
+  FROM flights WHERE NOT IsDeleted) x
+WHERE PrevDestination IS NOT NULL AND PrevDestination <> SourceField""")
+
+SQL["missing_return_routes"] = with_views("""
+SELECT r.* FROM routes r WHERE NOT EXISTS (
+  SELECT 1 FROM routes b WHERE b.SourceField = r.DestinationField AND b.DestinationField = r.SourceField)""")
