@@ -76,3 +76,45 @@ register("crew_requirement")(lambda t: asg.crew_requirement(t))
 register("plane_size")(lambda t: asg.plane_size(t))
 register("chain_continuity")(lambda t: asg.chain_continuity(t))
 register("missing_return_routes")(lambda t: asg.missing_return_routes(t))
+
+# ---- orders, pricing, lifecycle (D20–D29, J8) ---------------------------------------
+import datetime as _dt  # noqa: E402
+
+from pyspark.sql import functions as _F  # noqa: E402
+
+from skyledger import schemas as _S  # noqa: E402
+from skyledger.functions.scalar import more_than_hours_ahead as _ahead  # noqa: E402
+from skyledger.operators import orders as ords  # noqa: E402
+
+
+def _seat_requests(t):
+    return (t.orders.join(ords.seats_per_order(t), ords.ORDER_KEY)
+            .select("CustomerKind", "OrderID", "FlightID", "ClassType", "NumSeats"))
+
+
+def _cancel_order_requests(t):
+    """Cancellation requests: every Active guest order whose flight leaves more than 36 h after as_of."""
+    fl = t.flights.filter(_ahead("TakeOffTime", AS_OF, _S.ORDER_CANCEL_WINDOW_HOURS)).select("FlightID")
+    return (t.orders.filter((_F.col("CustomerKind") == _S.KIND_GUEST) & (_F.col("OrderStatus") == _S.ORDER_ACTIVE))
+            .join(fl, "FlightID", "left_semi").select(*ords.ORDER_KEY))
+
+
+def _cancel_flight_ids(t):
+    """Flights the manager table marks cancellable (more than 72 h ahead, not Deleted)."""
+    return ords.flight_cancellable(t, AS_OF).filter(_F.col("CanCancel")).select("FlightID")
+
+
+register("quote_price")(lambda t: ords.quote_price(t, _seat_requests(t)))
+register("order_history")(lambda t: ords.order_history(t))
+register("order_lookup")(lambda t: ords.order_lookup(t, t.orders))
+register("order_cancellable")(lambda t: ords.order_cancellable(t, AS_OF))
+register("flight_cancellable")(lambda t: ords.flight_cancellable(t, AS_OF))
+register("cancel_quote")(lambda t: ords.cancel_quote(t))
+register("complete_orders")(lambda t: ords.complete_orders(t, AS_OF))
+register("cancel_orders")(lambda t: ords.cancel_orders(t, _cancel_order_requests(t)))
+register("cancel_flights_flights")(lambda t: ords.cancel_flights(t, _cancel_flight_ids(t))[0])
+register("cancel_flights_orders")(lambda t: ords.cancel_flights(t, _cancel_flight_ids(t))[1])
+register("customer_profile")(lambda t: ords.customer_profile(t))
+register("membership_flags")(lambda t: ords.membership_flags(t, t.orders))
+register("known_phones")(lambda t: ords.known_phones(
+    t, t.guest_phones.select(_F.regexp_replace("Email", "^g", "c").alias("Email"), "Phone")))

@@ -288,3 +288,94 @@ WHERE PrevDestination IS NOT NULL AND PrevDestination <> SourceField""")
 SQL["missing_return_routes"] = with_views("""
 SELECT r.* FROM routes r WHERE NOT EXISTS (
   SELECT 1 FROM routes b WHERE b.SourceField = r.DestinationField AND b.DestinationField = r.SourceField)""")
+
+# ---- orders, pricing, lifecycle (D20–D29, J8) -------------------------------------
+HIST_CTE = """
+hist AS (
+  SELECT O.CustomerKind, O.Email, O.OrderID, O.FlightID, O.ClassType, O.NumSeats, O.OrderStatus, O.OrderDate,
+         ROUND(CASE WHEN O.OrderStatus = 'Customer_Cancelled' THEN O.NumSeats * O.Price * 0.05
+                    WHEN O.OrderStatus = 'System_Cancelled' THEN 0
+                    ELSE O.NumSeats * O.Price END, 2) AS OrderPrice,
+         F.SourceField, F.DestinationField, F.TakeOffTime, O.Price
+  FROM (SELECT S.CustomerKind, S.Email, S.OrderID, S.FlightID, S.ClassType, S.OrderStatus, S.OrderDate,
+               COUNT(S.OrderID) AS NumSeats, FP.Price
+        FROM (SELECT s.Line, s.SeatLetter, o.* FROM orders_v o
+              JOIN seats s ON o.CustomerKind = s.CustomerKind AND o.OrderID = s.OrderID) S
+        JOIN prices FP ON S.FlightID = FP.FlightID AND S.ClassType = FP.ClassType
+        GROUP BY S.CustomerKind, S.Email, S.OrderID, S.FlightID, S.ClassType, S.OrderStatus, S.OrderDate, FP.Price) O
+  JOIN flights F ON O.FlightID = F.FlightID)"""
+
+HIST_COLS = ("CustomerKind, Email, OrderID, FlightID, ClassType, NumSeats, OrderStatus, OrderDate, OrderPrice, "
+             "SourceField, DestinationField, TakeOffTime")
+ORDER_COLS = "OrderID, CustomerKind, OrderStatus, OrderDate, Email, PlainID, ClassType, FlightID"
+
+
+def hist(body: str) -> str:
+    return inv(body, HIST_CTE)
+
+
+SQL["quote_price"] = with_views("""
+SELECT o.CustomerKind, o.OrderID, o.FlightID, o.ClassType, sp.NumSeats, p.Price, p.Price * sp.NumSeats AS TotalPrice
+FROM orders_v o
+JOIN (SELECT CustomerKind, OrderID, COUNT(*) AS NumSeats FROM seats GROUP BY CustomerKind, OrderID) sp
+  ON o.CustomerKind = sp.CustomerKind AND o.OrderID = sp.OrderID
+JOIN prices p ON p.FlightID = o.FlightID AND p.ClassType = o.ClassType""")
+SQL["order_history"] = hist(f"SELECT {HIST_COLS} FROM hist ORDER BY OrderID DESC")
+SQL["order_lookup"] = hist(f"""
+SELECT r.OrderID, r.Email, h.CustomerKind, h.FlightID, h.ClassType, h.NumSeats, h.OrderStatus, h.OrderDate,
+       h.OrderPrice, h.SourceField, h.DestinationField, h.TakeOffTime
+FROM orders_v r LEFT JOIN hist h ON r.OrderID = h.OrderID AND r.Email = h.Email""")
+SQL["order_cancellable"] = hist(f"""
+SELECT CustomerKind, OrderID, Email, OrderStatus, TakeOffTime,
+       TakeOffTime > {A} + INTERVAL 36 HOUR AS CanCancel,
+       TakeOffTime > {A} + INTERVAL 36 HOUR AND OrderStatus NOT IN ('System_Cancelled', 'Customer_Cancelled')
+         AS DetailCancellable,
+       TakeOffTime > {A} + INTERVAL 36 HOUR AND OrderStatus = 'Active' AS ListCancellable
+FROM hist""")
+SQL["flight_cancellable"] = inv(f"""
+SELECT FlightID, TakeOffTime, FlightStatus,
+       (TakeOffTime > {A} + INTERVAL 72 HOUR AND FlightStatus <> 'Deleted') AS CanCancel FROM search""")
+SQL["cancel_quote"] = hist("""
+SELECT CustomerKind, OrderID, ROUND(NumSeats * Price, 2) AS BasePrice,
+       ROUND(NumSeats * Price * 0.05, 2) AS CancellationFee, ROUND(NumSeats * Price * 0.95, 2) AS Refund
+FROM hist""")
+SQL["complete_orders"] = with_views(f"""
+SELECT o.OrderID, o.CustomerKind,
+       CASE WHEN f.TakeOffTime <= date_trunc('day', {A})
+             AND o.OrderStatus <> 'Customer_Cancelled' AND o.OrderStatus <> 'System_Cancelled'
+            THEN 'Complete' ELSE o.OrderStatus END AS OrderStatus,
+       o.OrderDate, o.Email, o.PlainID, o.ClassType, o.FlightID
+FROM orders_v o LEFT JOIN flights f ON o.FlightID = f.FlightID""")
+SQL["cancel_orders"] = with_views(f"""
+SELECT o.OrderID, o.CustomerKind,
+       CASE WHEN EXISTS (SELECT 1 FROM orders_v r JOIN flights f ON r.FlightID = f.FlightID
+                         WHERE r.CustomerKind = 'guest' AND r.OrderStatus = 'Active'
+                           AND f.TakeOffTime > {A} + INTERVAL 36 HOUR
+                           AND r.CustomerKind = o.CustomerKind AND r.OrderID = o.OrderID)
+            THEN 'Customer_Cancelled' ELSE o.OrderStatus END AS OrderStatus,
+       o.OrderDate, o.Email, o.PlainID, o.ClassType, o.FlightID
+FROM orders_v o""")
+_CANCEL_IDS = f"SELECT FlightID FROM search WHERE TakeOffTime > {A} + INTERVAL 72 HOUR AND FlightStatus <> 'Deleted'"
+SQL["cancel_flights_flights"] = inv(f"""
+SELECT f.FlightID, f.PlainID, f.TakeOffTime, f.SourceField, f.DestinationField,
+       CASE WHEN f.FlightID IN ({_CANCEL_IDS}) THEN TRUE ELSE f.IsDeleted END AS IsDeleted
+FROM flights f""")
+SQL["cancel_flights_orders"] = inv(f"""
+SELECT o.OrderID, o.CustomerKind,
+       CASE WHEN o.FlightID IN ({_CANCEL_IDS}) THEN 'System_Cancelled' ELSE o.OrderStatus END AS OrderStatus,
+       o.OrderDate, o.Email, o.PlainID, o.ClassType, o.FlightID
+FROM orders_v o""")
+SQL["customer_profile"] = with_views("""
+SELECT c.*, COALESCE((SELECT string_agg(p.Phone, ',' ORDER BY p.Phone) FROM customer_phones p
+                      WHERE p.Email = c.Email), '') AS Phones
+FROM customers c""")
+SQL["membership_flags"] = with_views("""
+SELECT e.Email,
+       EXISTS (SELECT 1 FROM customers c WHERE c.Email = e.Email) AS IsCustomer,
+       EXISTS (SELECT 1 FROM guests g WHERE g.Email = e.Email) AS IsGuest,
+       EXISTS (SELECT 1 FROM managers m WHERE m.Email = e.Email) AS IsManager
+FROM (SELECT DISTINCT Email FROM orders_v) e""")
+SQL["known_phones"] = with_views("""
+SELECT p.Email, p.Phone,
+       EXISTS (SELECT 1 FROM customer_phones c WHERE c.Email = p.Email AND c.Phone = p.Phone) AS Known
+FROM (SELECT DISTINCT regexp_replace(Email, '^g', 'c') AS Email, trim(Phone) AS Phone FROM guest_phones) p""")
