@@ -118,3 +118,36 @@ register("customer_profile")(lambda t: ords.customer_profile(t))
 register("membership_flags")(lambda t: ords.membership_flags(t, t.orders))
 register("known_phones")(lambda t: ords.known_phones(
     t, t.guest_phones.select(_F.regexp_replace("Email", "^g", "c").alias("Email"), "Phone")))
+
+# ---- seat maps, field lists, category, scans (D6, D10, D11, S1, S2, S7) ------------------
+from skyledger.sources import io as sio  # noqa: E402
+
+register("seat_map_long")(lambda t: inv.seat_map_long(t))
+register("seat_map")(lambda t: inv.seat_map(t))
+register("fields_list")(lambda t: inv.fields_list(t))
+register("fields_to")(lambda t: inv.fields_list(t, "NATION_7"))
+register("destinations_list")(lambda t: inv.destinations_list(t))
+register("flight_category")(lambda t: inv.flight_category(t))
+register("scan_table")(lambda t: sio.scan_table(t, "flights", ["FlightID", "TakeOffTime"]))
+register("scan_derived")(lambda t: sio.scan_derived(
+    inv.flights_with_landing(t), "landing",
+    "SELECT FlightID, LandingTime FROM {landing} WHERE LandingTime > timestamp_ntz'2000-01-01 00:00:00'"))
+register("report_to_json")(lambda t: sio.to_json_records(rep.report_revenue_breakdown(t, AS_OF)))
+
+# ---- search with filters (P7, P10, P14, P15, Q7) -------------------------------------------
+from skyledger.functions.scalar import month_bounds as _month_bounds  # noqa: E402
+
+
+def _search_month(t):
+    lo, hi = _month_bounds("1998-03")
+    # status spelled as the manager table's filter sends it; normalised to the stored value
+    return inv.flight_search(t, AS_OF, source_field="nation_1", before_time=hi, after_time=lo, status="completed")
+
+
+def _search_from_day(t):
+    day = _dt.datetime(2001, 7, 1)
+    return inv.flight_search(t, AS_OF, destination_field="Nation_2", after_time=day - _dt.timedelta(minutes=1))
+
+
+register("flight_search_filtered")(_search_month)
+register("flight_search_from_day")(_search_from_day)

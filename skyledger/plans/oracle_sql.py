@@ -379,3 +379,43 @@ SQL["known_phones"] = with_views("""
 SELECT p.Email, p.Phone,
        EXISTS (SELECT 1 FROM customer_phones c WHERE c.Email = p.Email AND c.Phone = p.Phone) AS Known
 FROM (SELECT DISTINCT regexp_replace(Email, '^g', 'c') AS Email, trim(Phone) AS Phone FROM guest_phones) p""")
+
+# ---- seat maps, field lists, category (D6, D10, D11) ---------------------------------
+_SHAPE = """(SELECT p.FlightID, p.ClassType, c.NumberRows, c.NumberCols
+   FROM prices p JOIN cabins c ON p.PlainID = c.PlainID AND p.ClassType = c.ClassType)"""
+SQL["seat_map_long"] = inv(f"""
+SELECT sh.FlightID, sh.ClassType, CAST(r.i AS INTEGER) AS Line, CAST(s.j AS INTEGER) AS SeatLetter,
+       NOT EXISTS (SELECT 1 FROM occ_seats o WHERE o.FlightID = sh.FlightID AND o.ClassType = sh.ClassType
+                   AND o.Line = r.i AND o.SeatLetter = s.j) AS IsFree
+FROM {_SHAPE} sh,
+     LATERAL (SELECT unnest(range(1, sh.NumberRows + 1)) AS i) r,
+     LATERAL (SELECT unnest(range(1, sh.NumberCols + 1)) AS j) s""")
+SQL["seat_map"] = inv(f"""
+SELECT sh.FlightID, sh.ClassType, sh.NumberRows, sh.NumberCols,
+       [[NOT list_contains(COALESCE(tk.taken, []), r * sh.NumberCols + c) for c in range(sh.NumberCols)]
+        for r in range(sh.NumberRows)] AS Seats
+FROM {_SHAPE} sh
+LEFT JOIN (SELECT o.FlightID, o.ClassType, list(DISTINCT CAST((o.Line - 1) * c.NumberCols + o.SeatLetter - 1 AS BIGINT)) AS taken
+           FROM occ_seats o JOIN cabins c ON o.PlainID = c.PlainID AND o.ClassType = c.ClassType
+           GROUP BY o.FlightID, o.ClassType) tk
+  ON tk.FlightID = sh.FlightID AND tk.ClassType = sh.ClassType""")
+SQL["fields_list"] = with_views("SELECT SourceField FROM routes GROUP BY SourceField")
+SQL["fields_to"] = with_views("SELECT SourceField FROM routes WHERE DestinationField = 'NATION_7'")
+SQL["destinations_list"] = with_views("SELECT DestinationField FROM routes GROUP BY DestinationField")
+SQL["flight_category"] = with_views("""
+SELECT f.*, CASE WHEN r.DurationSec > 21600 THEN 'Long' WHEN r.DurationSec IS NOT NULL THEN 'Short' END
+         AS FlightCategory
+FROM flights f LEFT JOIN routes r ON f.SourceField = r.SourceField AND f.DestinationField = r.DestinationField""")
+SQL["scan_table"] = with_views("SELECT FlightID, TakeOffTime FROM flights")
+SQL["scan_derived"] = inv(f"""
+SELECT FlightID, LandingTime FROM flights_landing WHERE LandingTime > {A}""")
+
+# ---- search with filters (P7, P10, P14, P15, Q7) ----------------------------------------
+SQL["flight_search_filtered"] = inv(f"""
+SELECT * FROM search
+WHERE lower(SourceField) LIKE '%nation_1%'
+  AND TakeOffTime > TIMESTAMP '1998-02-28 23:59:59' AND TakeOffTime < TIMESTAMP '1998-04-01 00:00:00'
+  AND FlightStatus = 'Complete'""")
+SQL["flight_search_from_day"] = inv(f"""
+SELECT * FROM search
+WHERE lower(DestinationField) LIKE '%nation_2%' AND TakeOffTime > TIMESTAMP '2001-06-30 23:59:00'""")
