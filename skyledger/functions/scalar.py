@@ -85,12 +85,12 @@ def split_list(c: ColumnOrName, sep: str = ",") -> Column:
 
 def seat_token_line(token: ColumnOrName) -> Column:
     """F10 — seat token ``'r-c'`` -> row number."""
-    return F.split(F.trim(_c(token)), "-").getItem(0).cast("int")
+    return F.try_element_at(F.split(F.trim(_c(token)), "-"), F.lit(1)).try_cast("int")
 
 
 def seat_token_col(token: ColumnOrName) -> Column:
     """F10 — seat token ``'r-c'`` -> column number."""
-    return F.split(F.trim(_c(token)), "-").getItem(1).cast("int")
+    return F.try_element_at(F.split(F.trim(_c(token)), "-"), F.lit(2)).try_cast("int")
 
 
 # Accepted input formats of the source application

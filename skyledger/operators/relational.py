@@ -175,3 +175,29 @@ def allocate_ids(batch: DataFrame, order_cols: Sequence[str], start_after: Colum
     return (with_pos.join(F.broadcast(offsets), "_pid")
             .withColumn(id_col, start_after + F.col("_off") + F.col("_pos") + 1)
             .drop("_pid", "_mono", "_pos", "_off"))
+
+
+# ---- per-group ranking without hot groups ------------------------------------------
+
+def first_per_key(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """Rows holding the smallest ``seq`` of their key (``seq`` unique): MIN per key,
+    computed map-side, then an equi semi join on (keys, seq)."""
+    first = df.groupBy(*keys).agg(F.min(seq).alias(seq))
+    return df.join(first, [*keys, seq], "left_semi")
+
+
+def first_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
+                      buckets: int = 64, rank_col: str = "_rank") -> DataFrame:
+    """Rows ranked ``<= k`` inside each key group by ``order`` (a total order), with ``rank_col``.
+
+    Two levels, so a hot group is never sorted by one task: rows are salted
+    into ``buckets`` sub-groups by a hash of the order key, the first ``k`` of
+    each sub-group survive (the global first ``k`` always do), and the final
+    ranking sees at most ``k * buckets`` rows per group.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    w1 = W.partitionBy(*keys, "_salt").orderBy(*order)
+    pre = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
+    w2 = W.partitionBy(*keys).orderBy(*order)
+    return (pre.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+            .drop("_salt", "_r1"))

@@ -151,3 +151,31 @@ def _search_from_day(t):
 
 register("flight_search_filtered")(_search_month)
 register("flight_search_from_day")(_search_from_day)
+
+# ---- batch ingestion (I1–I11) -------------------------------------------------------------
+from skyledger.operators import ingest as ing  # noqa: E402
+from skyledger.plans import batches as bt  # noqa: E402
+
+
+def register_batch(name: str, build):
+    """Register an ingestion query whose batch is derived from the driver tables."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(airline_views(spark, sf_dir), spark, sf_dir)
+    run.__name__ = name
+    QUERIES[name] = run
+    if name in SQL:
+        ORACLE[name] = SQL[name]
+
+
+register_batch("ingest_customers", lambda t, s, d: ing.ingest_customers(t, bt.signup_batch(s, d)))
+register_batch("ingest_phones", lambda t, s, d: ing.ingest_phones(t, bt.phone_batch(s, d)))
+register_batch("ingest_orders", lambda t, s, d: ing.ingest_orders(t, bt.order_batch(s, d), AS_OF))
+register_batch("ingest_order_seats", lambda t, s, d: ing.ingest_order_seats(t, bt.seat_batch(s, d)))
+register_batch("ingest_planes", lambda t, s, d: ing.ingest_planes(t, bt.plane_batch(s, d))[0])
+register_batch("ingest_cabins", lambda t, s, d: ing.ingest_planes(t, bt.plane_batch(s, d))[1])
+register_batch("ingest_flights", lambda t, s, d: ing.ingest_flights(t, bt.flight_batch(s, d), AS_OF))
+register_batch("ingest_flight_prices", lambda t, s, d: ing.ingest_flight_prices(t, bt.price_batch(s, d)))
+register_batch("ingest_crew", lambda t, s, d: ing.ingest_crew(t, bt.crew_batch(s, d)))
+register_batch("ingest_crew_assignments",
+               lambda t, s, d: ing.ingest_crew_assignments(t, bt.crew_assignment_batch(s, d)))
+register("check_keys")(lambda t: ing.check_keys(t))

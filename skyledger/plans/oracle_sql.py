@@ -419,3 +419,210 @@ WHERE lower(SourceField) LIKE '%nation_1%'
 SQL["flight_search_from_day"] = inv(f"""
 SELECT * FROM search
 WHERE lower(DestinationField) LIKE '%nation_2%' AND TakeOffTime > TIMESTAMP '2001-06-30 23:59:00'""")
+
+# ---- batch ingestion (I1–I11) ------------------------------------------------------------
+BATCH_CTES = """
+b_signup AS (
+  SELECT o_orderkey AS Seq,
+         (CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'c' ELSE 'n' END) || CAST(o_custkey AS VARCHAR)
+           || '@example.com' AS Email,
+         'New' AS EngFirstName, 'Cust' || CAST(o_custkey AS VARCHAR) AS EngLastName,
+         CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE 10000000 + o_custkey END AS PassportNumber,
+         CAST(CAST(o_orderdate AS DATE) - 9000 AS DATE) AS Birthdate, CAST(o_orderdate AS DATE) AS SignUpDate,
+         (o_orderstatus <> 'P') AS IsSignedUp
+  FROM orders),
+b_phone AS (
+  SELECT o_orderkey AS Seq,
+         (CASE WHEN o_orderstatus = 'O' THEN 'g' ELSE 'c' END) || CAST(o_custkey AS VARCHAR) || '@example.com' AS Email,
+         CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN '  '
+              ELSE ' 05' || lpad(CAST(o_custkey * 10 + o_orderkey % 13 AS VARCHAR), 8, '0') || ' ' END AS Phone,
+         (o_orderstatus <> 'O') AS IsSignedUp
+  FROM orders),
+b_order AS (
+  SELECT o_orderkey AS Seq,
+         (CASE WHEN o_orderkey % 3 = 0 THEN 'g' ELSE 'c' END) || CAST(o_custkey AS VARCHAR) || '@example.com' AS Email,
+         (o_orderkey * 7 + 3) % (SELECT count(*) FROM orders) AS FlightID,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'Business' ELSE 'Regular' END AS ClassType
+  FROM orders),
+b_seat AS (
+  SELECT o_orderkey AS Seq,
+         CASE WHEN (1 + o_orderkey % 7) % 2 = 1 THEN 'customer' ELSE 'guest' END AS CustomerKind,
+         o_orderkey * 10 + (1 + o_orderkey % 7) AS OrderID,
+         CAST(1 + o_custkey % 3 AS VARCHAR) || '-' || CAST(1 + o_orderkey % 4 AS VARCHAR) AS SeatToken
+  FROM orders),
+b_plane AS (
+  SELECT p_partkey AS Seq, p_partkey % ((SELECT count(*) FROM supplier) * 2) AS PlainID, p_brand AS Manufacturer,
+         CAST(DATE '2000-01-01' + p_size AS DATE) AS PurchaseDate,
+         p_size % 5 AS RegularRows, 3 AS RegularCols, p_size % 2 AS BusinessRows, 2 AS BusinessCols
+  FROM part),
+b_flight AS (
+  SELECT o.o_orderkey AS Seq, o.o_custkey % ((SELECT count(*) FROM supplier) + 5) AS PlainID,
+         o.o_orderdate + to_hours(CAST(o.o_orderkey % 24 AS BIGINT)) AS TakeOffTime,
+         s.n_name AS SourceField, d.n_name AS DestinationField
+  FROM orders o JOIN nation s ON s.n_nationkey = o.o_custkey % 25
+  JOIN nation d ON d.n_nationkey = (o.o_custkey + o.o_orderkey) % 25),
+b_price AS (
+  SELECT p_partkey AS Seq, (p_partkey * 7) % ((SELECT count(*) FROM orders) + 10) AS FlightID,
+         CASE WHEN p_size % 2 = 0 THEN 'Business' ELSE 'Regular' END AS ClassType,
+         CASE WHEN p_size % 10 = 0 THEN -1.0 ELSE p_retailprice END AS Price
+  FROM part),
+b_crew AS (
+  SELECT c_custkey AS Seq, c_custkey AS EmployeeID,
+         CASE WHEN c_custkey % 2 = 0 THEN 'Pilot' ELSE 'Flight Attendant' END AS Role,
+         'New' AS FirstName, c_name AS LastName, (c_acctbal > 0) AS Qualified4LongFlights
+  FROM customer)"""
+
+
+def bat(body: str) -> str:
+    """Batch query; leading ``name AS (...)`` definitions before the final SELECT become CTEs."""
+    body = body.strip()
+    if body.upper().startswith("SELECT"):
+        return inv(body, BATCH_CTES)
+    idx = body.rfind("\nSELECT ")
+    return inv(body[idx:], BATCH_CTES + ",\n" + body[:idx].strip().rstrip(","))
+
+
+def _dup(keys: str, label: str = "duplicate in batch") -> str:
+    return (f"CASE WHEN R IS NOT NULL THEN R WHEN Seq <> MIN(CASE WHEN R IS NULL THEN Seq END) "
+            f"OVER (PARTITION BY {keys}) THEN '{label}' END")
+
+
+SQL["ingest_customers"] = bat(f"""
+SELECT Seq, Email, EngFirstName, EngLastName, PassportNumber, Birthdate, SignUpDate, IsSignedUp,
+       {_dup('Email, IsSignedUp')} AS RejectReason
+FROM (SELECT b.*, CASE
+        WHEN Email IS NULL OR EngFirstName IS NULL OR EngLastName IS NULL
+             OR (IsSignedUp AND (PassportNumber IS NULL OR Birthdate IS NULL OR SignUpDate IS NULL)) THEN 'missing field'
+        WHEN EXISTS (SELECT 1 FROM managers m WHERE m.Email = b.Email) THEN 'manager email'
+        WHEN IsSignedUp AND EXISTS (SELECT 1 FROM customers c WHERE c.Email = b.Email) THEN 'exists'
+        WHEN NOT IsSignedUp AND EXISTS (SELECT 1 FROM guests g WHERE g.Email = b.Email) THEN 'exists'
+      END AS R FROM b_signup b) r""")
+
+SQL["ingest_phones"] = bat(f"""
+, stored AS (SELECT Email, Phone, TRUE AS IsSignedUp FROM customer_phones
+             UNION ALL SELECT Email, Phone, FALSE AS IsSignedUp FROM guest_phones),
+r1 AS (SELECT b.Seq, b.Email, b.IsSignedUp, trim(b.Phone) AS Phone,
+         CASE WHEN trim(b.Phone) IS NULL OR trim(b.Phone) = '' THEN 'empty phone'
+              WHEN EXISTS (SELECT 1 FROM stored s WHERE s.Email = b.Email AND s.IsSignedUp = b.IsSignedUp
+                           AND s.Phone = trim(b.Phone)) THEN 'exists' END AS R
+       FROM b_phone b),
+r2 AS (SELECT Seq, Email, IsSignedUp, Phone, {_dup('Email, IsSignedUp, Phone')} AS R2 FROM r1),
+r3 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY Email, IsSignedUp, (R2 IS NULL) ORDER BY Seq) AS rk FROM r2)
+SELECT Seq, Email, IsSignedUp, Phone,
+       CASE WHEN R2 IS NOT NULL THEN R2
+            WHEN rk + COALESCE((SELECT COUNT(*) FROM stored s WHERE s.Email = r3.Email
+                                AND s.IsSignedUp = r3.IsSignedUp), 0) > 10 THEN 'too many phones' END AS RejectReason
+FROM r3""".replace("\n, stored", "\nstored"))
+
+SQL["ingest_orders"] = bat(f"""
+, r AS (SELECT b.*, f.PlainID AS FPlain, CASE
+          WHEN EXISTS (SELECT 1 FROM managers m WHERE m.Email = b.Email) THEN 'manager email'
+          WHEN f.FlightID IS NULL THEN 'unknown flight'
+          WHEN f.IsDeleted THEN 'flight deleted'
+          WHEN f.TakeOffTime <= {A} THEN 'flight departed'
+          WHEN NOT EXISTS (SELECT 1 FROM prices p WHERE p.FlightID = b.FlightID AND p.ClassType = b.ClassType)
+            THEN 'class not offered' END AS R
+        FROM b_order b LEFT JOIN flights f ON f.FlightID = b.FlightID)
+SELECT Seq, Email, FlightID, ClassType, R AS RejectReason,
+       CASE WHEN R IS NULL THEN (SELECT COALESCE(MAX(OrderID), 0) FROM orders_v)
+            + ROW_NUMBER() OVER (PARTITION BY (R IS NULL) ORDER BY Seq) END AS OrderID,
+       CASE WHEN R IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM customers c WHERE c.Email = r.Email)
+                                     THEN 'customer' ELSE 'guest' END END AS CustomerKind,
+       CASE WHEN R IS NULL THEN 'Active' END AS OrderStatus,
+       CASE WHEN R IS NULL THEN CAST({A} AS DATE) END AS OrderDate,
+       CASE WHEN R IS NULL THEN FPlain END AS PlainID
+FROM r""".replace("\n, r AS", "\nr AS"))
+
+SQL["ingest_order_seats"] = bat(f"""
+, r AS (SELECT b.Seq, b.CustomerKind, b.OrderID, b.SeatToken,
+          TRY_CAST(split_part(trim(b.SeatToken), '-', 1) AS INTEGER) AS Line,
+          TRY_CAST(split_part(trim(b.SeatToken), '-', 2) AS INTEGER) AS SeatLetter,
+          o.FlightID, o.ClassType, o.OrderID AS OID, c.NumberRows, c.NumberCols
+        FROM b_seat b LEFT JOIN orders_v o ON o.CustomerKind = b.CustomerKind AND o.OrderID = b.OrderID
+        LEFT JOIN cabins c ON c.PlainID = o.PlainID AND c.ClassType = o.ClassType),
+r2 AS (SELECT *, CASE WHEN OID IS NULL THEN 'unknown order'
+          WHEN Line IS NULL OR SeatLetter IS NULL OR NumberRows IS NULL OR Line < 1 OR SeatLetter < 1
+               OR Line > NumberRows OR SeatLetter > NumberCols THEN 'no such seat'
+          WHEN EXISTS (SELECT 1 FROM occ_seats s WHERE s.FlightID = r.FlightID AND s.ClassType = r.ClassType
+                       AND s.Line = r.Line AND s.SeatLetter = r.SeatLetter) THEN 'seat taken' END AS R
+       FROM r)
+SELECT Seq, CustomerKind, OrderID, SeatToken, Line, SeatLetter, FlightID, ClassType,
+       {_dup('FlightID, ClassType, Line, SeatLetter', 'seat requested twice')} AS RejectReason
+FROM r2""".replace("\n, r AS", "\nr AS"))
+
+_PLANES_R = """
+, r AS (SELECT b.*, CASE WHEN PlainID IS NULL OR Manufacturer IS NULL THEN 'missing field'
+          WHEN EXISTS (SELECT 1 FROM planes p WHERE p.PlainID = b.PlainID) THEN 'exists'
+          WHEN NOT (RegularRows > 0 AND RegularCols > 0) AND NOT (BusinessRows > 0 AND BusinessCols > 0)
+            THEN 'no cabin' END AS R
+        FROM b_plane b),
+pr AS (SELECT Seq, PlainID, Manufacturer, PurchaseDate, RegularRows, RegularCols, BusinessRows, BusinessCols,
+              {dup} AS RejectReason,
+              CASE WHEN RegularRows > 0 AND RegularCols > 0 AND BusinessRows > 0 AND BusinessCols > 0
+                   THEN 'Large' ELSE 'Small' END AS Size
+       FROM r)""".replace("{dup}", _dup("PlainID")).replace("\n, r AS", "\nr AS")
+SQL["ingest_planes"] = inv("SELECT * FROM pr", BATCH_CTES + "," + _PLANES_R)
+SQL["ingest_cabins"] = inv("""
+SELECT 'Regular' AS ClassType, PlainID, CAST(RegularRows AS INTEGER) AS NumberRows,
+       CAST(RegularCols AS INTEGER) AS NumberCols
+FROM pr WHERE RejectReason IS NULL AND RegularRows > 0 AND RegularCols > 0
+UNION ALL
+SELECT 'Business', PlainID, CAST(BusinessRows AS INTEGER), CAST(BusinessCols AS INTEGER)
+FROM pr WHERE RejectReason IS NULL AND BusinessRows > 0 AND BusinessCols > 0""", BATCH_CTES + "," + _PLANES_R)
+
+SQL["ingest_flights"] = bat(f"""
+, r AS (SELECT b.*, CASE WHEN b.SourceField = b.DestinationField THEN 'same field'
+          WHEN NOT EXISTS (SELECT 1 FROM routes x WHERE x.SourceField = b.SourceField
+                           AND x.DestinationField = b.DestinationField) THEN 'no route'
+          WHEN NOT EXISTS (SELECT 1 FROM planes p WHERE p.PlainID = b.PlainID) THEN 'unknown plane'
+          WHEN date_trunc('day', b.TakeOffTime) <= {A} THEN 'not in the future' END AS R
+        FROM b_flight b)
+SELECT Seq, CASE WHEN R IS NULL THEN (SELECT COALESCE(MAX(FlightID), 0) FROM flights)
+                 + ROW_NUMBER() OVER (PARTITION BY (R IS NULL) ORDER BY Seq) END AS FlightID,
+       PlainID, TakeOffTime, SourceField, DestinationField,
+       CASE WHEN R IS NULL THEN FALSE END AS IsDeleted, R AS RejectReason
+FROM r""".replace("\n, r AS", "\nr AS"))
+
+SQL["ingest_flight_prices"] = bat(f"""
+, r AS (SELECT b.Seq, b.ClassType, b.FlightID, f.PlainID, CAST(b.Price AS DOUBLE) AS Price, CASE
+          WHEN f.PlainID IS NULL THEN 'unknown flight'
+          WHEN NOT EXISTS (SELECT 1 FROM cabins c WHERE c.PlainID = f.PlainID AND c.ClassType = b.ClassType)
+            THEN 'class not on plane'
+          WHEN b.Price IS NULL OR b.Price < 0 THEN 'bad price'
+          WHEN EXISTS (SELECT 1 FROM prices p WHERE p.FlightID = b.FlightID AND p.ClassType = b.ClassType)
+            THEN 'exists' END AS R
+        FROM b_price b LEFT JOIN flights f ON f.FlightID = b.FlightID)
+SELECT Seq, ClassType, FlightID, PlainID, Price, {_dup('FlightID, ClassType')} AS RejectReason FROM r
+""".replace("\n, r AS", "\nr AS"))
+
+SQL["ingest_crew"] = bat(f"""
+, r AS (SELECT b.*, CASE WHEN Role NOT IN ('Pilot', 'Flight Attendant') THEN 'unknown role'
+          WHEN EXISTS (SELECT 1 FROM pilots p WHERE p.PilotID = b.EmployeeID)
+            OR EXISTS (SELECT 1 FROM attendants a WHERE a.AttendantID = b.EmployeeID) THEN 'id holds a role' END AS R
+        FROM b_crew b)
+SELECT Seq, EmployeeID, Role, FirstName, LastName, Qualified4LongFlights, {_dup('EmployeeID')} AS RejectReason
+FROM r""".replace("\n, r AS", "\nr AS"))
+
+
+def _check_keys_sql() -> str:
+    from skyledger import schemas as S
+    tbl = {"orders": "orders_v"}
+    parts = []
+    for table, keys in S.PRIMARY_KEYS.items():
+        src = tbl.get(table, table)
+        k = ", ".join(keys)
+        parts.append(f"SELECT '{table}' AS TableName, 'primary key' AS CheckName, '{','.join(keys)}' AS Columns, "
+                     f"CAST(COALESCE((SELECT SUM(n - 1) FROM (SELECT COUNT(*) AS n FROM {src} GROUP BY {k}) x "
+                     f"WHERE n > 1), 0) AS BIGINT) AS Violations")
+        nulls = " OR ".join(f"{c} IS NULL" for c in keys)
+        parts.append(f"SELECT '{table}', 'not null', '{','.join(keys)}', "
+                     f"CAST((SELECT COUNT(*) FROM {src} WHERE {nulls}) AS BIGINT)")
+    for child, ccols, parent, pcols in S.FOREIGN_KEYS:
+        cond = " AND ".join(f"p.{pc} = c.{cc}" for cc, pc in zip(ccols, pcols))
+        parts.append(f"SELECT '{child}', 'foreign key -> {parent}', '{','.join(ccols)}', "
+                     f"CAST((SELECT COUNT(*) FROM {tbl.get(child, child)} c WHERE NOT EXISTS "
+                     f"(SELECT 1 FROM {tbl.get(parent, parent)} p WHERE {cond})) AS BIGINT)")
+    return with_views("\nUNION ALL\n".join(parts))
+
+
+SQL["check_keys"] = _check_keys_sql()
