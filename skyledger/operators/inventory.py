@@ -85,20 +85,70 @@ def flights_with_landing(t) -> DataFrame:
             .select(*t.flights.columns, add_seconds("TakeOffTime", "DurationSec").alias("LandingTime")))
 
 
+def cabin_state(t) -> DataFrame:
+    """Per cabin key (FlightID, ClassType, PlainID): Price, Capacity, OccupiedSeats, InAvail.
+
+    One row for every key that is priced, booked or part of the flight's
+    plane (two full outer joins on the same key, so the three inputs are
+    co-partitioned once). ``OccupiedSeats`` is NULL for keys outside D2,
+    ``InAvail`` marks the keys of D4 (priced-or-booked and with a cabin).
+    Assumes orders and prices carry their flight's plane, as the schema's
+    foreign keys require.
+    """
+    seats_per_order = t.seats.groupBy("CustomerKind", "OrderID").agg(F.count(F.lit(1)).alias("n"))
+    booked = (t.orders.filter(P.not_cancelled("OrderStatus"))
+              .select("CustomerKind", "OrderID", *CABIN_KEY)
+              .join(seats_per_order, ["CustomerKind", "OrderID"])
+              .groupBy(*CABIN_KEY).agg(F.sum("n").alias("_booked")))
+    priced = t.prices.select(*CABIN_KEY, "Price", F.lit(True).alias("_priced"))
+    c = (priced.join(booked, CABIN_KEY, "full")
+         .join(flight_capacity(t), CABIN_KEY, "full"))
+    in_occ = F.col("_priced").isNotNull() | F.col("_booked").isNotNull()
+    return c.select(*CABIN_KEY, "Price", "Capacity",
+                    F.when(in_occ, F.coalesce(F.col("_booked"), F.lit(0)).cast("long")).alias("OccupiedSeats"),
+                    (in_occ & F.col("Capacity").isNotNull()).alias("InAvail"))
+
+
+def flight_totals(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES) -> DataFrame:
+    """Everything the board needs per flight, in one aggregation over :func:`cabin_state`.
+
+    TotalAvailableSeats (D8 input), ``<class>_price`` (D5b), TotalSeats (ΣD3),
+    BookedSeats (ΣD2) and presence flags telling which of those inputs the
+    flight appears in (the source joins them with inner joins).
+    """
+    atleast = max(int(atleast or 0), 0)
+    c = cabin_state(t)
+    avail = F.col("Capacity") - F.col("OccupiedSeats")
+    offer = F.col("InAvail") & (avail >= atleast) & F.col("Price").isNotNull()
+    return c.groupBy("FlightID").agg(
+        F.sum(F.when(F.col("InAvail"), avail)).alias("TotalAvailableSeats"),
+        F.bool_or(F.col("InAvail")).alias("_in_status"),
+        *[F.max(F.when(offer & (F.col("ClassType") == cls), F.col("Price"))).alias(f"{cls}_price")
+          for cls in classes],
+        F.bool_or(offer).alias("_in_prices"),
+        F.sum("Capacity").alias("TotalSeats"),
+        F.bool_or(F.col("Capacity").isNotNull()).alias("_in_capacity"),
+        F.sum("OccupiedSeats").alias("BookedSeats"),
+        F.bool_or(F.col("OccupiedSeats").isNotNull()).alias("_in_booked"))
+
+
+def _status_expr(as_of: dt.datetime):
+    left = F.col("TotalAvailableSeats")
+    return (F.when(F.col("IsDeleted"), S.FLIGHT_DELETED)
+            .when(~F.col("IsDeleted") & (left == 0), S.FLIGHT_FULL)
+            .when(~F.col("IsDeleted") & (left > 0) & (F.col("TakeOffTime") <= as_of_lit(as_of)),
+                  S.FLIGHT_COMPLETE)
+            .otherwise(S.FLIGHT_ACTIVE))
+
+
 def flight_status(t, as_of: dt.datetime) -> DataFrame:
     """D8 — first match of Deleted / Full Capacity / Complete (departed, seats left) / Active.
 
-    Only priced flights appear (the seat totals drive a right join).
+    Only flights with seat totals appear (the totals drive a right join).
     """
-    totals = available_seats(t).groupBy("FlightID").agg(F.sum("AvailableSeats").alias("TotalAvailableSeats"))
-    fs = t.flights.select("FlightID", "TakeOffTime", "IsDeleted").join(totals, "FlightID", "right")
-    left = F.col("TotalAvailableSeats")
-    status = (F.when(F.col("IsDeleted"), S.FLIGHT_DELETED)
-              .when(~F.col("IsDeleted") & (left == 0), S.FLIGHT_FULL)
-              .when(~F.col("IsDeleted") & (left > 0) & (F.col("TakeOffTime") <= as_of_lit(as_of)),
-                    S.FLIGHT_COMPLETE)
-              .otherwise(S.FLIGHT_ACTIVE))
-    return fs.select("FlightID", status.alias("FlightStatus"))
+    totals = flight_totals(t).filter("_in_status").select("FlightID", "TotalAvailableSeats")
+    fs = totals.join(t.flights.select("FlightID", "TakeOffTime", "IsDeleted"), "FlightID", "left")
+    return fs.select("FlightID", _status_expr(as_of).alias("FlightStatus"))
 
 
 def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_field: str | None = None,
@@ -108,11 +158,12 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
                   classes: Sequence[str] = S.CLASSES, sort: bool = True) -> DataFrame:
     """D9 — flights with status, per-class prices, TotalSeats and BookedSeats.
 
-    Optional filters (P7) are typed predicates; falsy values mean "not
-    supplied", as in the source application. Predicates on flight columns
-    are applied to the flights side first; Catalyst propagates the FlightID
-    equality into the other join inputs and runtime bloom filters prune the
-    fact scans for selective searches.
+    Optional filters (P7) are typed predicates; ``None``/empty means "not
+    supplied". Flight-column predicates are applied to the flights side
+    (pushed into the scan where they are literals); the seat inventory is
+    aggregated once per flight (:func:`flight_totals`) and joined to the
+    filtered flights, so one shuffle by FlightID serves status, prices and
+    seat totals.
     """
     f = t.flights
     preds = P.conj([
@@ -124,17 +175,15 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
         (F.col("TakeOffTime") > as_of_lit(after_time.replace(microsecond=0))) if after_time else None,
     ])
     f = P.apply_filter(f, preds)
-    st = flight_status(t, as_of)
+    totals = (flight_totals(t, num_seats or 0, classes)
+              .filter(F.col("_in_status") & F.col("_in_prices") & F.col("_in_capacity") & F.col("_in_booked")))
+    out = (f.select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "PlainID", "IsDeleted")
+           .join(totals, "FlightID")
+           .withColumn("FlightStatus", _status_expr(as_of)))
     if status:
-        st = st.filter(F.col("FlightStatus") == S.normalize_status(status))
-    prices = class_price_pivot(t, num_seats or 0, classes)
-    # TotalSeats: capacity over all cabins of the plane; BookedSeats: bookings over priced cabins
-    capacity = flight_capacity(t).groupBy("FlightID").agg(F.sum("Capacity").alias("TotalSeats"))
-    booked = occupied_count(t).groupBy("FlightID").agg(F.sum("OccupiedSeats").alias("BookedSeats"))
-    out = (f.select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "PlainID")
-           .join(st, "FlightID").join(prices, "FlightID").join(capacity, "FlightID").join(booked, "FlightID")
-           .select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "PlainID", "FlightStatus",
-                   *[f"{c}_price" for c in classes], "TotalSeats", "BookedSeats"))
+        out = out.filter(F.col("FlightStatus") == S.normalize_status(status))
+    out = out.select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "PlainID", "FlightStatus",
+                     *[f"{c}_price" for c in classes], "TotalSeats", "BookedSeats")
     return out.orderBy("TakeOffTime", "FlightID") if sort else out
 
 
