@@ -179,3 +179,8 @@ register_batch("ingest_crew", lambda t, s, d: ing.ingest_crew(t, bt.crew_batch(s
 register_batch("ingest_crew_assignments",
                lambda t, s, d: ing.ingest_crew_assignments(t, bt.crew_assignment_batch(s, d)))
 register("check_keys")(lambda t: ing.check_keys(t))
+
+# ---- relational primitives (§2.2–2.8), one query each ---------------------------------------
+from skyledger.plans import primitives as _prim  # noqa: E402
+
+_prim.build(register, register_batch)
