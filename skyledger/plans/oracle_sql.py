@@ -626,3 +626,31 @@ def _check_keys_sql() -> str:
 
 
 SQL["check_keys"] = _check_keys_sql()
+
+SQL["report_to_json"] = with_views(
+    "SELECT to_json({'Manufacturer': Manufacturer, 'Size': Size, 'Regular_Safe_Revenue': Regular_Safe_Revenue, "
+    "'Business_Safe_Revenue': Business_Safe_Revenue, 'Total_Safe_Revenue': Total_Safe_Revenue}) AS json "
+    "FROM (" + _R2 + ") r2")
+
+SQL["ingest_crew_assignments"] = bat("""
+b_ca AS (
+  SELECT o_orderkey AS FlightID,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN [o_custkey % 50, (o_custkey + 1) % 50, (o_custkey + 2) % 50]
+              ELSE [o_custkey % 50, (o_custkey + 1) % 50] END AS PilotIDs,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN [o_custkey % 70, (o_custkey + 1) % 70, (o_custkey + 2) % 70,
+                                                      (o_custkey + 3) % 70, (o_custkey + 4) % 70, (o_custkey + 5) % 70]
+              ELSE [o_custkey % 70, (o_custkey + 1) % 70, (o_custkey + 2) % 70] END AS AttendantIDs
+  FROM orders),
+req AS (
+  SELECT b.FlightID, p.Size,
+         (len(list_distinct(b.PilotIDs)) >= CASE WHEN p.Size = 'Large' THEN 3 ELSE 2 END
+          AND len(list_distinct(b.AttendantIDs)) >= CASE WHEN p.Size = 'Large' THEN 6 ELSE 3 END) AS CrewComplete
+  FROM b_ca b LEFT JOIN flights f ON f.FlightID = b.FlightID LEFT JOIN planes p ON p.PlainID = f.PlainID),
+crew_rows AS (
+  SELECT FlightID, unnest(list_distinct(PilotIDs)) AS EmployeeID, 'Pilot' AS Role FROM b_ca
+  UNION ALL
+  SELECT FlightID, unnest(list_distinct(AttendantIDs)) AS EmployeeID, 'Flight Attendant' AS Role FROM b_ca)
+SELECT r.FlightID, r.EmployeeID, r.Role, q.Size, q.CrewComplete,
+       CASE WHEN q.Size IS NULL THEN 'unknown flight' WHEN NOT q.CrewComplete THEN 'crew short of requirement' END
+         AS RejectReason
+FROM crew_rows r LEFT JOIN req q ON r.FlightID = q.FlightID""")
