@@ -1,0 +1,26 @@
+import datetime as dt
+import tempfile
+
+from conftest import SMALL_SF
+from skyledger.operators import ingest
+from skyledger.sources.views import airline_views
+from skyledger.streaming import ingest_stream
+
+
+def test_ingest_stream_matches_batch(spark):
+    t = airline_views(spark, SMALL_SF)
+    src = tempfile.mkdtemp(prefix="req-")
+    out = tempfile.mkdtemp(prefix="out-")
+    ck = tempfile.mkdtemp(prefix="ck-")
+    batch = spark.createDataFrame(
+        [(1, "c1@example.com", 5, "Regular"), (2, "c0@example.com", 5, "Regular"), (3, "g7@example.com", 999999, "Regular")],
+        "Seq long, Email string, FlightID long, ClassType string")
+    batch.write.mode("overwrite").parquet(src + "/part1")
+    as_of = dt.datetime(1990, 1, 1)
+    q = ingest_stream(spark, src + "/part1", batch.schema, lambda tt, b: ingest.ingest_orders(tt, b, as_of),
+                      lambda: t, out, checkpoint_location=ck)
+    q.awaitTermination(120)
+    got = {r.Seq: r.RejectReason for r in spark.read.parquet(out).collect()}
+    want = {r.Seq: r.RejectReason for r in ingest.ingest_orders(t, batch, as_of).collect()}
+    assert got == want
+    assert got[2] == "manager email" and got[3] == "unknown flight"
