@@ -2,8 +2,11 @@
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_MEM (driver memory, default 8g), BENCH_REPEAT (default 2; best run kept),
-BENCH_QUERIES (comma list to restrict). Each query runs to completion through
-the ``noop`` sink (full execution, nothing collected to the driver).
+BENCH_QUERIES (comma list to restrict), BENCH_MODE (``stored``: derive the
+airline tables once, store them as Parquet — timed as ``materialize_tables``
+and counted in the total — and run the queries on them; ``views``: derive
+the tables inside every query). Each query runs to completion through the
+``noop`` sink (full execution, nothing collected to the driver).
 """
 
 from __future__ import annotations
@@ -39,22 +42,37 @@ def main() -> None:
         extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "8g"),
                "spark.local.dir": scratch,
                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"})
-    from skyledger.plans.catalog import QUERIES
+    from skyledger.plans.catalog import OPS, QUERIES
+    from skyledger.session import checkpoint_dir
+    from skyledger.sources.io import materialize
+    from skyledger.sources.views import airline_views
 
     # warm-up: JVM class loading and code generation paths, not counted
     QUERIES["report_cancellation_rate"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
     times: dict[str, float] = {}
+    mode = os.environ.get("BENCH_MODE", "stored")
+    if mode == "stored":
+        # The airline tables are derived from the driver tables once and stored as
+        # Parquet (timed and counted below); the queries then read stored tables.
+        t0 = time.perf_counter()
+        tables = materialize(airline_views(spark, sf_dir), f"{checkpoint_dir(spark)}/bench-tables")
+        times["materialize_tables"] = round(time.perf_counter() - t0, 3)
+        run = lambda n: OPS[n](tables, spark, sf_dir)
+    else:
+        run = lambda n: QUERIES[n](spark, sf_dir)
+
     for n in names:
         best = float("inf")
         for _ in range(repeat):
             t0 = time.perf_counter()
-            QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            run(n).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - t0)
         times[n] = round(best, 3)
 
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": f"sum of best-of-{repeat} query seconds ({len(times)} headline queries)",
+    print(json.dumps({"metric": f"sum of best-of-{repeat} query seconds ({len(names)} headline queries, "
+                                f"tables {mode})",
                       "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
                       "cpus": cpus}))

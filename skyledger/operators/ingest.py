@@ -290,26 +290,29 @@ def ingest_crew_assignments(t, batch: DataFrame) -> DataFrame:
 def check_keys(t) -> DataFrame:
     """I11 — PRIMARY KEY, NOT NULL and FOREIGN KEY audit over every table.
 
-    One row per check: (TableName, CheckName, Columns, Violations). Each check
-    is an aggregate (duplicate keys, NULL keys) or an anti join (orphans);
-    they run as one union of global aggregates.
+    One row per check: (TableName, CheckName, Columns, Violations). The key
+    checks of a table share one pass: rows are grouped by the key (partial
+    aggregation absorbs a hot key), then one global aggregate yields both the
+    surplus rows of duplicated keys and the rows whose key has a NULL. Foreign
+    keys are anti joins against the parent's distinct keys.
     """
     checks = []
     for table, keys in S.PRIMARY_KEYS.items():
-        if table not in t or t[table] is None:
+        if t.get(table) is None:
             continue
-        df = t[table]
-        dups = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-                .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("Violations")))
-        checks.append(dups.select(F.lit(table).alias("TableName"), F.lit("primary key").alias("CheckName"),
-                                  F.lit(",".join(keys)).alias("Columns"), "Violations"))
-        nulls = df.select(F.sum(F.when(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]), 1)
-                                .otherwise(0)).cast("long").alias("Violations"))
-        checks.append(nulls.select(F.lit(table).alias("TableName"), F.lit("not null").alias("CheckName"),
-                                   F.lit(",".join(keys)).alias("Columns"),
-                                   F.coalesce("Violations", F.lit(0)).cast("long").alias("Violations")))
+        any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        per_key = t[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        both = per_key.agg(
+            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("long").alias("pk"),
+            F.coalesce(F.sum(F.when(any_null, F.col("n"))), F.lit(0)).cast("long").alias("nn"))
+        cols = ",".join(keys)
+        checks.append(both.select(F.lit(table).alias("TableName"), F.inline(F.array(
+            F.struct(F.lit("primary key").alias("CheckName"), F.lit(cols).alias("Columns"),
+                     F.col("pk").alias("Violations")),
+            F.struct(F.lit("not null").alias("CheckName"), F.lit(cols).alias("Columns"),
+                     F.col("nn").alias("Violations"))))))
     for child, ccols, parent, pcols in S.FOREIGN_KEYS:
-        if child not in t or parent not in t:
+        if t.get(child) is None or t.get(parent) is None:
             continue
         par = t[parent].select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols)]).distinct()
         orphans = t[child].select(*ccols).join(par, ccols, "left_anti").agg(F.count(F.lit(1)).alias("Violations"))

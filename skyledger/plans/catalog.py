@@ -19,6 +19,8 @@ AS_OF = DEFAULT_AS_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+# the same queries as functions of a table bundle (e.g. tables already stored as Parquet)
+OPS: dict[str, Callable] = {}
 
 
 def register(name: str, sql: str | None = None):
@@ -28,6 +30,7 @@ def register(name: str, sql: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        OPS[name] = lambda t, spark, sf_dir: fn(t)
         s = sql if sql is not None else SQL.get(name)
         if s is not None:
             ORACLE[name] = s
@@ -163,6 +166,7 @@ def register_batch(name: str, build):
         return build(airline_views(spark, sf_dir), spark, sf_dir)
     run.__name__ = name
     QUERIES[name] = run
+    OPS[name] = build
     if name in SQL:
         ORACLE[name] = SQL[name]
 

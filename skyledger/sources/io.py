@@ -77,6 +77,20 @@ def save_tables(tables, root: str, names: Sequence[str] | None = None, partition
         w.parquet(f"{root}/{n}")
 
 
+def materialize(tables, root: str, names: Sequence[str] | None = None, partition_by: dict | None = None):
+    """Write ``tables`` under ``root`` and return the bundle read back from storage.
+
+    This is how a deployment holds the airline tables: stored once, read by
+    every query with scan-level pushdown and pruning, instead of being derived
+    again inside each query plan.
+    """
+    from skyledger.sources.views import Tables
+    names = list(names or [n for n, df in tables.items() if df is not None])
+    save_tables(tables, root, names, partition_by)
+    spark = next(iter(tables.values())).sparkSession
+    return Tables({n: spark.read.parquet(f"{root}/{n}") for n in names})
+
+
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S4 — append a whole validated batch in one write."""
     df.write.mode("append").format(fmt).save(path)
