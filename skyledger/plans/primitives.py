@@ -179,8 +179,8 @@ FROM flights f LEFT JOIN orders_v o ON f.FlightID = o.FlightID GROUP BY f.PlainI
     _p("sum", with_views("SELECT FlightID, SUM(Price) AS TotalPrice FROM prices GROUP BY FlightID"),
        lambda t: t.prices.groupBy("FlightID").agg(F.sum("Price").alias("TotalPrice")), q)
     _p("sum_case", with_views("""
-SELECT ClassType, SUM(CASE WHEN OrderStatus = 'Active' THEN 1 ELSE 0 END) AS active,
-       SUM(CASE WHEN OrderStatus <> 'Active' THEN 1 ELSE 0 END) AS other FROM orders_v GROUP BY ClassType"""),
+SELECT ClassType, CAST(SUM(CASE WHEN OrderStatus = 'Active' THEN 1 ELSE 0 END) AS BIGINT) AS active,
+       CAST(SUM(CASE WHEN OrderStatus <> 'Active' THEN 1 ELSE 0 END) AS BIGINT) AS other FROM orders_v GROUP BY ClassType"""),
        lambda t: t.orders.groupBy("ClassType").agg(R.sum_when(F.col("OrderStatus") == S.ORDER_ACTIVE, 1).alias("active"),
                                                    R.sum_when(F.col("OrderStatus") != S.ORDER_ACTIVE, 1).alias("other")), q)
     _p("avg_ratio", inv_sql("""
@@ -205,7 +205,7 @@ FROM routes GROUP BY SourceField"""),
        lambda t: t.routes.groupBy("SourceField").agg(R.string_agg("DestinationField").alias("Destinations")), q)
     _p("global_agg", with_views("""
 SELECT COUNT(*) AS n_orders, COUNT(DISTINCT Email) AS n_emails,
-       COALESCE(SUM(CASE WHEN OrderStatus = 'Active' THEN 1 ELSE 0 END), 0) AS n_active FROM orders_v"""),
+       CAST(COALESCE(SUM(CASE WHEN OrderStatus = 'Active' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_active FROM orders_v"""),
        lambda t: t.orders.agg(F.count(F.lit(1)).alias("n_orders"), F.count_distinct("Email").alias("n_emails"),
                               F.coalesce(R.sum_when(F.col("OrderStatus") == S.ORDER_ACTIVE, 1), F.lit(0))
                               .alias("n_active")), q)
@@ -269,7 +269,7 @@ SELECT f.FlightID,
   TRY_CAST(split_part(CAST(f.FlightID % 7 + 1 AS VARCHAR) || '-' || CAST(f.FlightID % 3 + 1 AS VARCHAR), '-', 2) AS INTEGER) AS SeatCol,
   strptime(strftime(f.TakeOffTime, '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') AS Reparsed,
   strftime(f.TakeOffTime, '%d/%m/%Y %H:%M') AS Formatted,
-  dayofmonth(last_day(f.TakeOffTime)) AS DaysInMonth,
+  CAST(dayofmonth(last_day(f.TakeOffTime)) AS INTEGER) AS DaysInMonth,
   printf('%.2f', r.DurationSec / 3600.0) AS HoursText,
   upper(substr(f.SourceField, 1, 1)) || lower(substr(f.SourceField, 2)) AS Capitalized,
   CASE WHEN (r.DurationSec // 60) % 100 > 70 THEN 'success' WHEN (r.DurationSec // 60) % 100 > 40 THEN 'warning'

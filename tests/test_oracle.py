@@ -15,6 +15,7 @@ def test_query_matches_oracle(spark, duck_small, name):
     df = E.queries()[name](spark, SMALL_SF)
     r = compare(df, duck_small, E.oracle_sql()[name])
     assert r["columns_match"], r
+    assert r["types_match"], r
     assert r["rows_match"], r
     assert r["values_match"], r
 
