@@ -65,10 +65,6 @@ def _unassigned(t, kind: str) -> DataFrame:
     return _resources(t, kind).join(used, "ResourceID", "left_anti")
 
 
-def _qualifies(qualified: str = "Qualified") -> F.Column:
-    return F.col(qualified) | ~F.col("IsLong")
-
-
 def _branches_ab(t, kind: str, candidates: DataFrame) -> DataFrame:
     """(CandidateID, ResourceID) from branches (a) and (b), duplicates removed."""
     legs = resource_legs(t, kind)
@@ -121,18 +117,16 @@ def available_attendants(t, candidates: DataFrame | None = None) -> DataFrame:
     return assignable_resources(t, "attendants", candidates).join(t.attendants, "AttendantID")
 
 
-def _counts(t, kind: str, candidates: DataFrame, prefix: str) -> DataFrame:
-    """Per candidate: number of assignable resources, without listing branch (c) pairs."""
-    ab = (_branches_ab(t, kind, candidates).groupBy("CandidateID")
-          .agg(F.count(F.lit(1)).alias("n_ab")))
+def _free_counts(t, kind: str):
+    """(all, qualified) never-used resources of a kind, as scalar subqueries."""
     free = _unassigned(t, kind)
-    n_all = free.agg(F.count(F.lit(1))).scalar()
-    n_qual = free.agg(F.count(F.when(F.col("Qualified"), 1))).scalar()
-    out = (candidates.select("CandidateID", "IsLong").join(ab, "CandidateID", "left")
-           .select("CandidateID", "IsLong",
-                   (F.coalesce("n_ab", F.lit(0)) + F.when(F.col("IsLong"), n_qual).otherwise(n_all))
-                   .alias(f"Available{prefix}")))
-    return out
+    return (free.agg(F.count(F.lit(1))).scalar(),
+            free.agg(F.count(F.when(F.col("Qualified"), 1))).scalar())
+
+
+def _available(n_all, n_qual, name: str) -> F.Column:
+    """Count from branches (a)/(b) plus the never-used resources the candidate may take."""
+    return (F.coalesce(F.col(name), F.lit(0)) + F.when(F.col("IsLong"), n_qual).otherwise(n_all)).alias(name)
 
 
 def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
@@ -140,21 +134,33 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
 
     Needs at least one plane; a long candidate, or one whose available planes
     are all Large (vacuously true when there are none), needs 6 attendants and
-    3 pilots, otherwise 3 and 2.
+    3 pilots, otherwise 3 and 2. Branch (c) resources are counted by one global
+    aggregate per kind (never listed per candidate); branches (a)/(b) are
+    grouped per candidate, planes together with their sizes in the same pass.
     """
     candidates = t.candidates if candidates is None else candidates
-    planes = _counts(t, "planes", candidates, "Planes")
-    pilots = _counts(t, "pilots", candidates, "Pilots").drop("IsLong")
-    atts = _counts(t, "attendants", candidates, "Attendants").drop("IsLong")
-    # all available planes Large: over (a)/(b) planes by size, and over never-used planes
-    ab_size = (_branches_ab(t, "planes", candidates)
-               .join(t.planes.select(F.col("PlainID").alias("ResourceID"), "Size"), "ResourceID")
-               .groupBy("CandidateID").agg(F.bool_and(F.col("Size") == S.SIZE_LARGE).alias("ab_large")))
-    free_small = _unassigned(t, "planes").agg(F.count(F.when(~F.col("Qualified"), 1))).scalar()
+    planes_ab = (_branches_ab(t, "planes", candidates)
+                 .join(t.planes.select(F.col("PlainID").alias("ResourceID"), "Size"), "ResourceID")
+                 .groupBy("CandidateID")
+                 .agg(F.count(F.lit(1)).alias("AvailablePlanes"),
+                      F.bool_and(F.col("Size") == S.SIZE_LARGE).alias("ab_large")))
+    pilots_ab = (_branches_ab(t, "pilots", candidates).groupBy("CandidateID")
+                 .agg(F.count(F.lit(1)).alias("AvailablePilots")))
+    atts_ab = (_branches_ab(t, "attendants", candidates).groupBy("CandidateID")
+               .agg(F.count(F.lit(1)).alias("AvailableAttendants")))
+    pl_all, pl_qual = _free_counts(t, "planes")      # qualified plane = Large
+    pi_all, pi_qual = _free_counts(t, "pilots")
+    at_all, at_qual = _free_counts(t, "attendants")
+    free_small = pl_all - pl_qual
     big_need = 3, 6
     small_need = 2, 3
-    out = (planes.join(pilots, "CandidateID").join(atts, "CandidateID")
-           .join(ab_size, "CandidateID", "left")
+    out = (candidates.select("CandidateID", "IsLong")
+           .join(planes_ab, "CandidateID", "left").join(pilots_ab, "CandidateID", "left")
+           .join(atts_ab, "CandidateID", "left")
+           .select("CandidateID", "IsLong", "ab_large",
+                   _available(pl_all, pl_qual, "AvailablePlanes"),
+                   _available(pi_all, pi_qual, "AvailablePilots"),
+                   _available(at_all, at_qual, "AvailableAttendants"))
            .withColumn("AllPlanesLarge",
                        F.coalesce("ab_large", F.lit(True)) & (F.col("IsLong") | (free_small == 0)))
            .withColumn("big", F.col("IsLong") | F.col("AllPlanesLarge"))

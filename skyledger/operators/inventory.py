@@ -85,7 +85,7 @@ def flights_with_landing(t) -> DataFrame:
             .select(*t.flights.columns, add_seconds("TakeOffTime", "DurationSec").alias("LandingTime")))
 
 
-def cabin_state(t) -> DataFrame:
+def cabin_state(t, only_flights: DataFrame | None = None) -> DataFrame:
     """Per cabin key (FlightID, ClassType, PlainID): Price, Capacity, OccupiedSeats, InAvail.
 
     One row for every key that is priced, booked or part of the flight's
@@ -93,23 +93,31 @@ def cabin_state(t) -> DataFrame:
     co-partitioned once). ``OccupiedSeats`` is NULL for keys outside D2,
     ``InAvail`` marks the keys of D4 (priced-or-booked and with a cabin).
     Assumes orders and prices carry their flight's plane, as the schema's
-    foreign keys require.
+    foreign keys require. ``only_flights`` (a FlightID column) restricts every
+    input with a semi join before any aggregation — the plan for a selective
+    search touches only the selected flights' orders and prices.
     """
+    def keep(df: DataFrame) -> DataFrame:
+        return df if only_flights is None else df.join(only_flights, "FlightID", "left_semi")
+
+    orders = keep(t.orders.filter(P.not_cancelled("OrderStatus")).select("CustomerKind", "OrderID", *CABIN_KEY))
     seats_per_order = t.seats.groupBy("CustomerKind", "OrderID").agg(F.count(F.lit(1)).alias("n"))
-    booked = (t.orders.filter(P.not_cancelled("OrderStatus"))
-              .select("CustomerKind", "OrderID", *CABIN_KEY)
-              .join(seats_per_order, ["CustomerKind", "OrderID"])
+    booked = (orders.join(seats_per_order, ["CustomerKind", "OrderID"])
               .groupBy(*CABIN_KEY).agg(F.sum("n").alias("_booked")))
-    priced = t.prices.select(*CABIN_KEY, "Price", F.lit(True).alias("_priced"))
+    priced = keep(t.prices.select(*CABIN_KEY, "Price", F.lit(True).alias("_priced")))
+    capacity = (keep(t.flights.select("FlightID", "PlainID")).join(t.cabins, "PlainID")
+                .select("FlightID", "PlainID", "ClassType",
+                        (F.col("NumberRows") * F.col("NumberCols")).alias("Capacity")))
     c = (priced.join(booked, CABIN_KEY, "full")
-         .join(flight_capacity(t), CABIN_KEY, "full"))
+         .join(capacity, CABIN_KEY, "full"))
     in_occ = F.col("_priced").isNotNull() | F.col("_booked").isNotNull()
     return c.select(*CABIN_KEY, "Price", "Capacity",
                     F.when(in_occ, F.coalesce(F.col("_booked"), F.lit(0)).cast("long")).alias("OccupiedSeats"),
                     (in_occ & F.col("Capacity").isNotNull()).alias("InAvail"))
 
 
-def flight_totals(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES) -> DataFrame:
+def flight_totals(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES,
+                  only_flights: DataFrame | None = None) -> DataFrame:
     """Everything the board needs per flight, in one aggregation over :func:`cabin_state`.
 
     TotalAvailableSeats (D8 input), ``<class>_price`` (D5b), TotalSeats (ΣD3),
@@ -117,7 +125,7 @@ def flight_totals(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES) -> Da
     flight appears in (the source joins them with inner joins).
     """
     atleast = max(int(atleast or 0), 0)
-    c = cabin_state(t)
+    c = cabin_state(t, only_flights)
     avail = F.col("Capacity") - F.col("OccupiedSeats")
     offer = F.col("InAvail") & (avail >= atleast) & F.col("Price").isNotNull()
     return c.groupBy("FlightID").agg(
@@ -175,7 +183,8 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
         (F.col("TakeOffTime") > as_of_lit(after_time.replace(microsecond=0))) if after_time else None,
     ])
     f = P.apply_filter(f, preds)
-    totals = (flight_totals(t, num_seats or 0, classes)
+    subset = None if preds is None else f.select("FlightID")
+    totals = (flight_totals(t, num_seats or 0, classes, subset)
               .filter(F.col("_in_status") & F.col("_in_prices") & F.col("_in_capacity") & F.col("_in_booked")))
     out = (f.select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "PlainID", "IsDeleted")
            .join(totals, "FlightID")
