@@ -15,9 +15,9 @@ count as legs.
 
 Plan shape: per-resource extremes are a partial aggregate plus an equi join
 on (resource, time) — no window over a resource's whole history. Candidates
-are a batch of planning requests, bounded by the route network and the
-planning horizon, and are broadcast; the resource legs stay partitioned and
-are matched on the field name. Branch (c) pairs are only materialised by the
+are a batch of planning requests; after a row-count check they are broadcast
+(the resource legs stay partitioned and are matched on the field name), and
+beyond the limit the joins shuffle, salted where the key has few values. Branch (c) pairs are only materialised by the
 listing operators; the feasibility check counts them with one aggregate.
 """
 
@@ -28,7 +28,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from skyledger import schemas as S
 from skyledger.functions.scalar import day_of
 from skyledger.operators.inventory import flights_with_landing
-from skyledger.operators.relational import bounded, rows_at_extreme
+from skyledger.operators.relational import bounded, broadcast_if_small, rows_at_extreme, salted_key_join
+
+# A planning batch is broadcast up to this many candidates; larger batches are
+# joined with shuffles (salted where the join key has few values).
+MAX_BROADCAST_CANDIDATES = 200_000
 
 KINDS = {
     # kind: (id column, dimension table, shifts table)
@@ -68,8 +72,9 @@ def _unassigned(t, kind: str) -> DataFrame:
 def _branches_ab(t, kind: str, candidates: DataFrame) -> DataFrame:
     """(CandidateID, ResourceID) from branches (a) and (b), duplicates removed."""
     legs = resource_legs(t, kind)
-    cands = bounded(candidates.select("CandidateID", "SourceField", "DestinationField", "TakeOffTime",
-                                      "LandingTime", "IsLong"))
+    cands, _ = broadcast_if_small(candidates.select("CandidateID", "SourceField", "DestinationField",
+                                                    "TakeOffTime", "LandingTime", "IsLong"),
+                                  MAX_BROADCAST_CANDIDATES)
     first = rows_at_extreme(legs, ["ResourceID"], "TakeOffTime", "min")
     last = rows_at_extreme(legs, ["ResourceID"], "LandingTime", "max")
     c = cands.alias("c")
@@ -92,11 +97,13 @@ def assignable_resources(t, kind: str, candidates: DataFrame | None = None) -> D
     candidates = t.candidates if candidates is None else candidates
     ab = _branches_ab(t, kind, candidates)
     # (c): a resource with no legs serves every candidate it is qualified for. The
-    # category key turns this into an equi join against the broadcast candidates.
+    # category key turns this into an equi join: against the broadcast batch when
+    # it is small, salted over many tasks otherwise (the key has two values).
     serve = F.when(F.col("Qualified"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    free = (_unassigned(t, kind).select("ResourceID", F.explode(serve).alias("IsLong"))
-            .join(bounded(candidates.select("CandidateID", "IsLong")), "IsLong")
-            .select("CandidateID", "ResourceID"))
+    unused = _unassigned(t, kind).select("ResourceID", F.explode(serve).alias("IsLong"))
+    cands, small = broadcast_if_small(candidates.select("CandidateID", "IsLong"), MAX_BROADCAST_CANDIDATES)
+    free = (unused.join(cands, "IsLong") if small else salted_key_join(unused, cands, "IsLong"))
+    free = free.select("CandidateID", "ResourceID")
     return ab.unionByName(free).withColumnRenamed("ResourceID", rid)
 
 

@@ -51,6 +51,32 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Size check before a broadcast of a table whose bound is not structural.
+
+    Counts at most ``max_rows + 1`` rows (a bounded job: ``limit`` stops the
+    scan early), so the check itself never scans a large input to the end.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows, else ``(df, False)``."""
+    return (F.broadcast(df), True) if is_small(df, max_rows) else (df, False)
+
+
+def salted_key_join(big: DataFrame, small: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """Equi join on a low-cardinality ``key`` without sending each key to one task.
+
+    ``big`` rows get a salt in ``[0, buckets)`` from a hash of all their columns;
+    ``small`` rows are replicated once per salt. The join on (key, salt) yields
+    exactly the pairs of the plain join, spread over ``buckets`` times more tasks.
+    """
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(buckets)))
+    fanned = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted.join(fanned, [key, "_salt"]).drop("_salt")
+
+
 def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """J8/J12 — rows of ``left`` with a match (``EXISTS``)."""
     return left.join(right.select(*on), list(on), "left_semi")

@@ -279,3 +279,18 @@ def test_check_keys_flags_duplicates(t, spark):
     res = {(r.TableName, r.CheckName): r.Violations for r in ingest.check_keys(bad).collect()}
     assert res[("flights", "primary key")] == 1
     assert res[("orders", "primary key")] == 0
+
+
+def test_large_candidate_batch_uses_salted_path(t, monkeypatch):
+    small = {(r.CandidateID, r.PilotID) for r in assign.assignable_resources(t, "pilots").collect()}
+    monkeypatch.setattr(assign, "MAX_BROADCAST_CANDIDATES", 1)
+    big = {(r.CandidateID, r.PilotID) for r in assign.assignable_resources(t, "pilots").collect()}
+    assert big == small
+
+
+def test_salted_key_join_equals_plain_join(spark):
+    big = spark.range(0, 500).select((F.col("id") % 2 == 0).alias("k"), F.col("id"))
+    small = spark.createDataFrame([(True, "a"), (True, "b"), (False, "c")], "k boolean, v string")
+    plain = sorted(big.join(small, "k").collect())
+    salted = sorted(R.salted_key_join(big, small, "k", buckets=8).select("k", "id", "v").collect())
+    assert plain == salted
