@@ -23,7 +23,9 @@ def as_of_lit(as_of: dt.datetime | str) -> Column:
     """F5 — the query clock as a zone-less timestamp literal (replaces NOW())."""
     if isinstance(as_of, str):
         as_of = dt.datetime.fromisoformat(as_of)
-    return F.lit(as_of).cast("timestamp_ntz")
+    # built from text: the string -> TIMESTAMP_NTZ cast involves no time zone
+    # (a Python datetime literal would pass through the local zone first)
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def add_seconds(ts: ColumnOrName, seconds: ColumnOrName | int) -> Column:

@@ -53,7 +53,7 @@ def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _ts(v: dt.datetime):
-    return F.lit(v).cast("timestamp_ntz")
+    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def airline_views(spark: SparkSession, sf_dir: str) -> Tables:
