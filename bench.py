@@ -16,6 +16,7 @@ import os
 import sys
 import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -56,7 +57,8 @@ def main() -> None:
         # The airline tables are derived from the driver tables once and stored as
         # Parquet (timed and counted below); the queries then read stored tables.
         t0 = time.perf_counter()
-        tables = materialize(airline_views(spark, sf_dir), f"{checkpoint_dir(spark)}/bench-tables")
+        root = f"{checkpoint_dir(spark)}/bench-tables-{uuid.uuid4().hex}"
+        tables = materialize(airline_views(spark, sf_dir), root)
         times["materialize_tables"] = round(time.perf_counter() - t0, 3)
         run = lambda n: OPS[n](tables, spark, sf_dir)
     else:

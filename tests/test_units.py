@@ -294,3 +294,95 @@ def test_salted_key_join_equals_plain_join(spark):
     plain = sorted(big.join(small, "k").collect())
     salted = sorted(R.salted_key_join(big, small, "k", buckets=8).select("k", "id", "v").collect())
     assert plain == salted
+
+
+def test_ingest_customers_rules(t, spark):
+    batch = spark.createDataFrame([
+        (1, "a@x", "A", "A", 5, dt.date(1990, 1, 1), dt.date(2026, 1, 1), True),    # already registered
+        (2, "m@x", "M", "M", 6, dt.date(1990, 1, 1), dt.date(2026, 1, 1), True),    # manager email
+        (3, "n@x", "N", "N", None, dt.date(1990, 1, 1), dt.date(2026, 1, 1), True),  # missing passport
+        (4, "n@x", "N", "N", 7, dt.date(1990, 1, 1), dt.date(2026, 1, 1), True),    # first valid row wins
+        (5, "n@x", "N", "N", 8, dt.date(1990, 1, 1), dt.date(2026, 1, 1), True),    # duplicate
+        (6, "a@x", "A", "A", None, None, None, False),                                # guest with a customer's email: ok
+        (7, "b@x", "B", "B", None, None, None, False),                                # existing guest
+    ], "Seq long, Email string, EngFirstName string, EngLastName string, PassportNumber long, Birthdate date, "
+       "SignUpDate date, IsSignedUp boolean")
+    out = {r.Seq: r.RejectReason for r in ingest.ingest_customers(t, batch).collect()}
+    assert out == {1: "exists", 2: "manager email", 3: "missing field", 4: None, 5: "duplicate in batch",
+                   6: None, 7: "exists"}
+
+
+def test_ingest_order_seats_rules(t, spark):
+    batch = spark.createDataFrame([
+        (1, "customer", 8, "1-1"),    # free seat on flight 15
+        (2, "customer", 8, "2-2"),    # taken by order 8 itself (live)
+        (3, "customer", 8, "3-1"),    # row outside the cabin
+        (4, "guest", 8, "1-1"),       # no such order (kind differs)
+        (5, "customer", 8, " 1-2 "),  # free, trimmed
+        (6, "customer", 8, "1-2"),    # same seat twice in the batch
+        (7, "customer", 8, "x"),      # unparsable
+    ], "Seq long, CustomerKind string, OrderID long, SeatToken string")
+    out = {r.Seq: r.RejectReason for r in ingest.ingest_order_seats(t, batch).collect()}
+    assert out == {1: None, 2: "seat taken", 3: "no such seat", 4: "unknown order", 5: None,
+                   6: "seat requested twice", 7: "no such seat"}
+
+
+def test_ingest_planes_sizes_and_cabins(t, spark):
+    batch = spark.createDataFrame([
+        (1, 9, "Airbus", dt.date(2026, 1, 1), 10, 4, 2, 2),   # both classes -> Large
+        (2, 10, "Airbus", dt.date(2026, 1, 1), 10, 4, 0, 2),  # Business dropped -> Small
+        (3, 11, "Airbus", dt.date(2026, 1, 1), 0, 4, 0, 2),   # no cabin
+        (4, 1, "Boeing", dt.date(2026, 1, 1), 1, 1, 0, 0),    # existing plane
+    ], "Seq long, PlainID long, Manufacturer string, PurchaseDate date, RegularRows int, RegularCols int, "
+       "BusinessRows int, BusinessCols int")
+    planes, cabins = ingest.ingest_planes(t, batch)
+    p = {r.Seq: (r.RejectReason, r.Size) for r in planes.collect()}
+    assert p[1] == (None, "Large") and p[2] == (None, "Small")
+    assert p[3][0] == "no cabin" and p[4][0] == "exists"
+    assert sorted(tuple(r) for r in cabins.collect()) == [("Business", 9, 2, 2), ("Regular", 9, 10, 4),
+                                                          ("Regular", 10, 10, 4)]
+
+
+def test_ingest_flights_rules_and_ids(t, spark):
+    batch = spark.createDataFrame([
+        (1, 1, dt.datetime(2026, 12, 2, 9), "AAA", "BBB"),   # next day: accepted
+        (2, 1, dt.datetime(2026, 12, 1, 23), "AAA", "BBB"),  # same day as as_of: not in the future
+        (3, 1, dt.datetime(2027, 1, 1), "AAA", "AAA"),       # same field
+        (4, 1, dt.datetime(2027, 1, 1), "AAA", "DDD"),       # no route
+        (5, 77, dt.datetime(2027, 1, 1), "AAA", "BBB"),      # unknown plane
+        (6, 2, dt.datetime(2027, 1, 1), "BBB", "CCC"),       # accepted
+    ], "Seq long, PlainID long, TakeOffTime timestamp_ntz, SourceField string, DestinationField string")
+    out = {r.Seq: (r.RejectReason, r.FlightID) for r in ingest.ingest_flights(t, batch, AS_OF).collect()}
+    assert out == {1: (None, 19), 2: ("not in the future", None), 3: ("same field", None),
+                   4: ("no route", None), 5: ("unknown plane", None), 6: (None, 20)}
+
+
+def test_ingest_prices_and_crew(t, spark):
+    prices = spark.createDataFrame([(1, 18, "Regular", 99.0), (2, 18, "Business", 250.0), (3, 10, "Business", 1.0),
+                                    (4, 10, "Regular", 5.0), (5, 18, "Regular", 98.0), (6, 18, "Business", -1.0),
+                                    (7, 404, "Regular", 1.0)],
+                                   "Seq long, FlightID long, ClassType string, Price double")
+    out = {r.Seq: r.RejectReason for r in ingest.ingest_flight_prices(t, prices).collect()}
+    assert out == {1: None, 2: None, 3: "class not on plane", 4: "exists", 5: "duplicate in batch",
+                   6: "bad price", 7: "unknown flight"}
+    crew = spark.createDataFrame([(1, 100, "Pilot", "X", "Y", True), (2, 300, "Flight Attendant", "X", "Y", False),
+                                  (3, 300, "Pilot", "X", "Y", False), (4, 301, "Navigator", "X", "Y", True),
+                                  (5, 200, "Pilot", "X", "Y", True)],
+                                 "Seq long, EmployeeID long, Role string, FirstName string, LastName string, "
+                                 "Qualified4LongFlights boolean")
+    out = {r.Seq: r.RejectReason for r in ingest.ingest_crew(t, crew).collect()}
+    assert out == {1: "id holds a role", 2: None, 3: "duplicate in batch", 4: "unknown role", 5: "id holds a role"}
+
+
+def test_io_roundtrip_and_commit(t, spark):
+    import tempfile
+    from skyledger.sources import io
+    root = tempfile.mkdtemp(prefix="tables-")
+    stored = io.materialize(t, root, ["flights", "orders"])
+    assert sorted(stored.flights.collect()) == sorted(t.flights.collect())
+    io.append_rows(t.orders.limit(2), f"{root}/orders")
+    assert spark.read.parquet(f"{root}/orders").count() == t.orders.count() + 2
+    path = io.commit_table(ords.complete_orders(t, AS_OF), "orders")
+    assert spark.read.parquet(path).count() == t.orders.count()
+    from skyledger.session import checkpoint_dir
+    assert path.startswith(checkpoint_dir(spark))
