@@ -85,12 +85,31 @@ def materialize(tables, root: str, names: Sequence[str] | None = None, partition
     again inside each query plan.
     """
     from skyledger.sources.views import Tables
-    names = list(names or [n for n, df in tables.items() if df is not None])
+    names = list(names or [n for n, df in tables.items() if df is not None and not n.startswith("_")])
     save_tables(tables, root, names, partition_by)
     spark = next(iter(tables.values())).sparkSession
     return Tables({n: spark.read.parquet(f"{root}/{n}") for n in names})
 
 
+def materialize_views(spark: SparkSession, sf_dir: str, root: str):
+    """Derive the airline tables from the driver tables at ``sf_dir`` and store them under ``root``.
+
+    The two shared intermediates (flights with their customer's nation, and
+    order lines joined to flights) are written first and read back, so every
+    table built on them reads the stored copy: the lineage is cut at a written
+    table in shared storage, and the orders ⋈ customer join runs once.
+    """
+    from skyledger.sources.views import airline_views
+    base = airline_views(spark, sf_dir)
+    base["_flights_ext"].write.mode("errorifexists").parquet(f"{root}/_flights_ext")
+    fe = spark.read.parquet(f"{root}/_flights_ext")
+    airline_views(spark, sf_dir, flights_ext=fe)["_orders_ext"].write.mode("errorifexists").parquet(
+        f"{root}/_orders_ext")
+    oe = spark.read.parquet(f"{root}/_orders_ext")
+    t = airline_views(spark, sf_dir, flights_ext=fe, orders_ext=oe)
+    return materialize(t, root, [n for n in t if not n.startswith("_")])
+
+
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S4 — append a whole validated batch in one write."""
     df.write.mode("append").format(fmt).save(path)

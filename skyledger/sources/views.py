@@ -56,7 +56,14 @@ def _ts(v: dt.datetime):
     return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def airline_views(spark: SparkSession, sf_dir: str) -> Tables:
+def airline_views(spark: SparkSession, sf_dir: str, flights_ext: DataFrame | None = None,
+                  orders_ext: DataFrame | None = None) -> Tables:
+    """All airline tables, lazily derived from the driver tables at ``sf_dir``.
+
+    ``flights_ext`` / ``orders_ext`` may be passed in already stored (see
+    :func:`skyledger.sources.io.materialize_views`), so that the tables built on
+    them read the stored copy instead of deriving it again.
+    """
     rd = lambda n: read_driver(spark, sf_dir, n)
     supplier, nation, customer = rd("supplier"), rd("nation"), rd("customer")
     orders, lineitem, region = rd("orders"), rd("lineitem"), rd("region")
@@ -100,7 +107,7 @@ def airline_views(spark: SparkSession, sf_dir: str) -> Tables:
                                           F.col("n_name").alias("SourceField")))
     dst_names = F.broadcast(nation.select(F.col("n_nationkey").alias("dst_key"),
                                           F.col("n_name").alias("DestinationField")))
-    flights_ext = (orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    derived_flights = (orders.select("o_orderkey", "o_custkey", "o_orderdate")
                    .join(customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
                    .select(ok.alias("FlightID"),
                            (ok % n_sup).alias("PlainID"),
@@ -112,13 +119,14 @@ def airline_views(spark: SparkSession, sf_dir: str) -> Tables:
                            F.to_date("o_orderdate").alias("BaseDate"))
                    .join(src_names, "src_key")
                    .join(dst_names, "dst_key"))
+    flights_ext = derived_flights if flights_ext is None else flights_ext
     flights = flights_ext.select("FlightID", "PlainID", "TakeOffTime", "SourceField",
                                  "DestinationField", "IsDeleted")
 
     li = lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("rf"))
     ln = F.col("l_linenumber")
     kind = F.when(ln % 2 == 1, F.lit(S.KIND_CUSTOMER)).otherwise(F.lit(S.KIND_GUEST))
-    orders_ext = (li.join(flights_ext.select("FlightID", "PlainID", "IsDeleted", "CustKey", "BaseDate"),
+    derived_orders = (li.join(flights_ext.select("FlightID", "PlainID", "IsDeleted", "CustKey", "BaseDate"),
                           li.l_orderkey == F.col("FlightID"))
                   .select((F.col("l_orderkey") * 10 + ln).alias("OrderID"),
                           kind.alias("CustomerKind"),
@@ -134,6 +142,7 @@ def airline_views(spark: SparkSession, sf_dir: str) -> Tables:
                            .otherwise(S.CLASS_REGULAR).alias("ClassType"),
                           "FlightID",
                           ln.alias("LineNo")))
+    orders_ext = derived_orders if orders_ext is None else orders_ext
     orders_v = orders_ext.drop("LineNo")
 
     seat_idx = (orders_ext.select("CustomerKind", "OrderID", "PlainID", "ClassType", "LineNo")
@@ -199,6 +208,7 @@ def airline_views(spark: SparkSession, sf_dir: str) -> Tables:
                                       F.lit(EMAIL_DOMAIN)).alias("Email"))
 
     return Tables(
+        _flights_ext=flights_ext, _orders_ext=orders_ext,
         planes=planes, cabins=cabins, routes=routes, flights=flights, prices=_prices(flights, cabins),
         orders=orders_v, seats=seats, pilots=pilots, attendants=attendants,
         working_pilots=working_pilots, working_attendants=working_attendants,
