@@ -45,3 +45,10 @@ def test_invariants(t):
     j = a.join(free, ["FlightID", "ClassType"], "left").filter(
         F.coalesce(F.col("count"), F.lit(0)) != F.col("AvailableSeats"))
     assert j.count() == 0
+
+
+def test_assignable_pilot_counts(t):
+    from skyledger.operators import assign
+    per = assign.assignable_resources(t, "pilots").groupBy("CandidateID").count()
+    stats = per.agg({"count": "min"}).collect()[0][0], per.agg({"count": "max"}).collect()[0][0]
+    assert per.count() == 172 and stats == (13, 30)
