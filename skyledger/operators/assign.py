@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from skyledger import schemas as S
 from skyledger.functions.scalar import day_of
 from skyledger.operators.inventory import flights_with_landing
-from skyledger.operators.relational import bounded, broadcast_if_small, rows_at_extreme, salted_key_join
+from skyledger.operators.relational import broadcast_if_small, rows_at_extreme, salted_key_join
 
 # A planning batch is broadcast up to this many candidates; larger batches are
 # joined with shuffles (salted where the join key has few values).

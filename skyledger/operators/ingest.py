@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger import schemas as S
-from skyledger.functions.scalar import as_of_lit, day_of, seat_token_col, seat_token_line, trunc_day
+from skyledger.functions.scalar import as_of_lit, seat_token_col, seat_token_line, trunc_day
 from skyledger.operators.inventory import occupied_seats
 from skyledger.operators.relational import allocate_ids, first_k_per_group, first_per_key
 

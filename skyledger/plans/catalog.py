@@ -2,17 +2,24 @@
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` runs one operator over the
 airline views derived from the driver tables at ``sf_dir``; ``ORACLE[name]``
-is the equivalent DuckDB SQL over the same driver tables.
+is the equivalent DuckDB SQL over the same driver tables; ``OPS[name](t,
+spark, sf_dir)`` runs the same operator on a given table bundle (e.g. tables
+already stored as Parquet).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.operators import inventory as inv
+from skyledger import schemas as S
+from skyledger.functions.scalar import month_bounds, more_than_hours_ahead
+from skyledger.operators import assign as asg, ingest as ing, inventory as inv, orders as ords, reports as rep
+from skyledger.plans import batches as bt
 from skyledger.plans.oracle_sql import SQL
+from skyledger.sources import io as sio
 from skyledger.sources.views import DEFAULT_AS_OF, airline_views
 
 AS_OF = DEFAULT_AS_OF
@@ -50,7 +57,6 @@ register("flight_status")(lambda t: inv.flight_status(t, AS_OF))
 register("flight_search")(lambda t: inv.flight_search(t, AS_OF))
 
 # ---- reports (R1–R7) -------------------------------------------------------------
-from skyledger.operators import reports as rep  # noqa: E402
 
 register("report_average_occupancy")(lambda t: rep.report_average_occupancy(t, AS_OF))
 register("report_occupancy_split")(lambda t: rep.report_occupancy_split(t, AS_OF))
@@ -66,7 +72,6 @@ register("dominant_route")(lambda t: rep.dominant_route(t))
 register("report_summary")(lambda t: rep.report_summary(t))
 
 # ---- assignability (D12–D17) --------------------------------------------------------
-from skyledger.operators import assign as asg  # noqa: E402
 
 register("assignable_planes")(lambda t: asg.assignable_resources(t, "planes"))
 register("assignable_pilots")(lambda t: asg.assignable_resources(t, "pilots"))
@@ -81,13 +86,7 @@ register("chain_continuity")(lambda t: asg.chain_continuity(t))
 register("missing_return_routes")(lambda t: asg.missing_return_routes(t))
 
 # ---- orders, pricing, lifecycle (D20–D29, J8) ---------------------------------------
-import datetime as _dt  # noqa: E402
 
-from pyspark.sql import functions as _F  # noqa: E402
-
-from skyledger import schemas as _S  # noqa: E402
-from skyledger.functions.scalar import more_than_hours_ahead as _ahead  # noqa: E402
-from skyledger.operators import orders as ords  # noqa: E402
 
 
 def _seat_requests(t):
@@ -97,14 +96,14 @@ def _seat_requests(t):
 
 def _cancel_order_requests(t):
     """Cancellation requests: every Active guest order whose flight leaves more than 36 h after as_of."""
-    fl = t.flights.filter(_ahead("TakeOffTime", AS_OF, _S.ORDER_CANCEL_WINDOW_HOURS)).select("FlightID")
-    return (t.orders.filter((_F.col("CustomerKind") == _S.KIND_GUEST) & (_F.col("OrderStatus") == _S.ORDER_ACTIVE))
+    fl = t.flights.filter(more_than_hours_ahead("TakeOffTime", AS_OF, S.ORDER_CANCEL_WINDOW_HOURS)).select("FlightID")
+    return (t.orders.filter((F.col("CustomerKind") == S.KIND_GUEST) & (F.col("OrderStatus") == S.ORDER_ACTIVE))
             .join(fl, "FlightID", "left_semi").select(*ords.ORDER_KEY))
 
 
 def _cancel_flight_ids(t):
     """Flights the manager table marks cancellable (more than 72 h ahead, not Deleted)."""
-    return ords.flight_cancellable(t, AS_OF).filter(_F.col("CanCancel")).select("FlightID")
+    return ords.flight_cancellable(t, AS_OF).filter(F.col("CanCancel")).select("FlightID")
 
 
 register("quote_price")(lambda t: ords.quote_price(t, _seat_requests(t)))
@@ -120,10 +119,9 @@ register("cancel_flights_orders")(lambda t: ords.cancel_flights(t, _cancel_fligh
 register("customer_profile")(lambda t: ords.customer_profile(t))
 register("membership_flags")(lambda t: ords.membership_flags(t, t.orders))
 register("known_phones")(lambda t: ords.known_phones(
-    t, t.guest_phones.select(_F.regexp_replace("Email", "^g", "c").alias("Email"), "Phone")))
+    t, t.guest_phones.select(F.regexp_replace("Email", "^g", "c").alias("Email"), "Phone")))
 
 # ---- seat maps, field lists, category, scans (D6, D10, D11, S1, S2, S7) ------------------
-from skyledger.sources import io as sio  # noqa: E402
 
 register("seat_map_long")(lambda t: inv.seat_map_long(t))
 register("seat_map")(lambda t: inv.seat_map(t))
@@ -138,26 +136,23 @@ register("scan_derived")(lambda t: sio.scan_derived(
 register("report_to_json")(lambda t: sio.to_json_records(rep.report_revenue_breakdown(t, AS_OF)))
 
 # ---- search with filters (P7, P10, P14, P15, Q7) -------------------------------------------
-from skyledger.functions.scalar import month_bounds as _month_bounds  # noqa: E402
 
 
 def _search_month(t):
-    lo, hi = _month_bounds("1998-03")
+    lo, hi = month_bounds("1998-03")
     # status spelled as the manager table's filter sends it; normalised to the stored value
     return inv.flight_search(t, AS_OF, source_field="nation_1", before_time=hi, after_time=lo, status="completed")
 
 
 def _search_from_day(t):
-    day = _dt.datetime(2001, 7, 1)
-    return inv.flight_search(t, AS_OF, destination_field="Nation_2", after_time=day - _dt.timedelta(minutes=1))
+    day = dt.datetime(2001, 7, 1)
+    return inv.flight_search(t, AS_OF, destination_field="Nation_2", after_time=day - dt.timedelta(minutes=1))
 
 
 register("flight_search_filtered")(_search_month)
 register("flight_search_from_day")(_search_from_day)
 
 # ---- batch ingestion (I1–I11) -------------------------------------------------------------
-from skyledger.operators import ingest as ing  # noqa: E402
-from skyledger.plans import batches as bt  # noqa: E402
 
 
 def register_batch(name: str, build):
@@ -185,6 +180,6 @@ register_batch("ingest_crew_assignments",
 register("check_keys")(lambda t: ing.check_keys(t))
 
 # ---- relational primitives (§2.2–2.8), one query each ---------------------------------------
-from skyledger.plans import primitives as _prim  # noqa: E402
+from skyledger.plans import primitives as _prim  # noqa: E402  (registers into this module)
 
 _prim.build(register, register_batch)
