@@ -23,6 +23,8 @@ from skyledger import schemas as S
 from skyledger.functions.scalar import as_of_lit, seat_token_col, seat_token_line, trunc_day
 from skyledger.operators.inventory import occupied_seats
 from skyledger.operators.relational import allocate_ids, first_k_per_group, first_per_key
+from skyledger.session import checkpoint_dir
+from skyledger.sources.views import Tables
 
 REASON = "RejectReason"
 
@@ -320,3 +322,44 @@ def check_keys(t) -> DataFrame:
                                      F.lit(f"foreign key -> {parent}").alias("CheckName"),
                                      F.lit(",".join(ccols)).alias("Columns"), "Violations"))
     return reduce(lambda a, b: a.unionByName(b), checks)
+
+
+# ---- booking write path (I3 + I4 as one batch) ------------------------------------------------
+
+def ingest_bookings(t, batch: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """Booking requests — Email, FlightID, ClassType, SeatTokens (array of 'row-col'), Seq.
+
+    The order is validated as in :func:`ingest_orders` (new id, Active, today),
+    then its seats as in :func:`ingest_order_seats` against the existing
+    bookings plus this batch. A booking is accepted only when the order and
+    every one of its seats are (all or nothing, as one purchase); otherwise the
+    first reason is reported. Returns ``(bookings, seats)``: one row per
+    request, and the seat rows of the accepted bookings, ready to append.
+    """
+    # Validated orders with their new ids are written once to the shared checkpoint
+    # folder: every later step reads the same ids, and the lineage stops here.
+    checkpoint_dir(batch.sparkSession)
+    orders = ingest_orders(t, batch.select("Seq", "Email", "FlightID", "ClassType"), as_of).checkpoint()
+    new_orders = accepted(orders).select(*t.orders.columns)
+    # seat request order: booking order first, then position in the booking's list
+    width = batch.agg(F.greatest(F.max(F.size("SeatTokens")), F.lit(1)).cast("long")).scalar()
+    seat_req = (accepted(orders).select("Seq", "CustomerKind", "OrderID")
+                .join(batch.select("Seq", "SeatTokens"), "Seq")
+                .select(F.col("Seq").alias("BookingSeq"), "CustomerKind", "OrderID",
+                        F.posexplode("SeatTokens").alias("pos", "SeatToken"))
+                .withColumn("Seq", F.col("BookingSeq") * width + F.col("pos")))
+    t2 = Tables(t)
+    t2["orders"] = t.orders.unionByName(new_orders)
+    seats = ingest_order_seats(t2, seat_req.drop("BookingSeq", "pos")).join(
+        seat_req.select("Seq", "BookingSeq"), "Seq")
+    seat_verdict = (seats.groupBy("BookingSeq")
+                    .agg(F.min_by(REASON, F.when(F.col(REASON).isNotNull(), F.col("Seq"))).alias("_seat_reason"),
+                         F.count(F.lit(1)).alias("_n_seats")))
+    out = (orders.join(seat_verdict.withColumnRenamed("BookingSeq", "Seq"), "Seq", "left")
+           .withColumn(REASON, F.coalesce(F.col(REASON), F.col("_seat_reason"),
+                                          F.when(F.coalesce(F.col("_n_seats"), F.lit(0)) == 0, F.lit("no seats"))))
+           .drop("_seat_reason", "_n_seats"))
+    ok_bookings = out.filter(F.col(REASON).isNull()).select(F.col("Seq").alias("BookingSeq"))
+    seat_rows = (seats.join(ok_bookings, "BookingSeq", "left_semi")
+                 .select("CustomerKind", "OrderID", "Line", "SeatLetter"))
+    return out, seat_rows

@@ -118,3 +118,14 @@ def crew_assignment_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pilots = F.when(urgent, F.array(ck % 50, (ck + 1) % 50, (ck + 2) % 50)).otherwise(F.array(ck % 50, (ck + 1) % 50))
     atts = F.when(urgent, F.array(*[(ck + i) % 70 for i in range(6)])).otherwise(F.array(*[(ck + i) % 70 for i in range(3)]))
     return o.select(F.col("o_orderkey").alias("FlightID"), pilots.alias("PilotIDs"), atts.alias("AttendantIDs"))
+
+
+def booking_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One purchase per driver order: the order request of :func:`order_batch` plus
+    one seat token, two for urgent orders."""
+    o = read_driver(spark, sf_dir, "orders")
+    tok = lambda r, c: F.concat((F.lit(1) + r).cast("string"), F.lit("-"), (F.lit(1) + c).cast("string"))
+    first = tok(F.col("o_custkey") % 3, F.col("o_orderkey") % 3)
+    second = tok(F.col("o_orderkey") % 2, F.col("o_custkey") % 2)
+    seats = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(first, second)).otherwise(F.array(first))
+    return order_batch(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("Seq"), seats.alias("SeatTokens")), "Seq")

@@ -177,6 +177,8 @@ register_batch("ingest_flight_prices", lambda t, s, d: ing.ingest_flight_prices(
 register_batch("ingest_crew", lambda t, s, d: ing.ingest_crew(t, bt.crew_batch(s, d)))
 register_batch("ingest_crew_assignments",
                lambda t, s, d: ing.ingest_crew_assignments(t, bt.crew_assignment_batch(s, d)))
+register_batch("ingest_bookings", lambda t, s, d: ing.ingest_bookings(t, bt.booking_batch(s, d), AS_OF)[0])
+register_batch("ingest_booking_seats", lambda t, s, d: ing.ingest_bookings(t, bt.booking_batch(s, d), AS_OF)[1])
 register("check_keys")(lambda t: ing.check_keys(t))
 
 # ---- relational primitives (§2.2–2.8), one query each ---------------------------------------

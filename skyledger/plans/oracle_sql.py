@@ -514,7 +514,8 @@ SELECT Seq, Email, IsSignedUp, Phone,
                                 AND s.IsSignedUp = r3.IsSignedUp), 0) > 10 THEN 'too many phones' END AS RejectReason
 FROM r3""".replace("\n, stored", "\nstored"))
 
-SQL["ingest_orders"] = bat(f"""
+def _orders_body(batch_cte: str) -> str:
+    return f"""
 , r AS (SELECT b.*, f.PlainID AS FPlain, CASE
           WHEN EXISTS (SELECT 1 FROM managers m WHERE m.Email = b.Email) THEN 'manager email'
           WHEN f.FlightID IS NULL THEN 'unknown flight'
@@ -522,7 +523,7 @@ SQL["ingest_orders"] = bat(f"""
           WHEN f.TakeOffTime <= {A} THEN 'flight departed'
           WHEN NOT EXISTS (SELECT 1 FROM prices p WHERE p.FlightID = b.FlightID AND p.ClassType = b.ClassType)
             THEN 'class not offered' END AS R
-        FROM b_order b LEFT JOIN flights f ON f.FlightID = b.FlightID)
+        FROM {batch_cte} b LEFT JOIN flights f ON f.FlightID = b.FlightID)
 SELECT Seq, Email, FlightID, ClassType, R AS RejectReason,
        CASE WHEN R IS NULL THEN (SELECT COALESCE(MAX(OrderID), 0) FROM orders_v)
             + ROW_NUMBER() OVER (PARTITION BY (R IS NULL) ORDER BY Seq) END AS OrderID,
@@ -531,7 +532,10 @@ SELECT Seq, Email, FlightID, ClassType, R AS RejectReason,
        CASE WHEN R IS NULL THEN 'Active' END AS OrderStatus,
        CASE WHEN R IS NULL THEN CAST({A} AS DATE) END AS OrderDate,
        CASE WHEN R IS NULL THEN FPlain END AS PlainID
-FROM r""".replace("\n, r AS", "\nr AS"))
+FROM r""".replace("\n, r AS", "\nr AS")
+
+
+SQL["ingest_orders"] = bat(_orders_body("b_order"))
 
 SQL["ingest_order_seats"] = bat(f"""
 , r AS (SELECT b.Seq, b.CustomerKind, b.OrderID, b.SeatToken,
@@ -654,3 +658,53 @@ SELECT r.FlightID, r.EmployeeID, r.Role, q.Size, q.CrewComplete,
        CASE WHEN q.Size IS NULL THEN 'unknown flight' WHEN NOT q.CrewComplete THEN 'crew short of requirement' END
          AS RejectReason
 FROM crew_rows r LEFT JOIN req q ON r.FlightID = q.FlightID""")
+
+
+_BOOKING = f"""
+b_booking AS (
+  SELECT b.*, CASE WHEN o.o_orderpriority = '1-URGENT'
+                   THEN [CAST(1 + o.o_custkey % 3 AS VARCHAR) || '-' || CAST(1 + o.o_orderkey % 3 AS VARCHAR),
+                         CAST(1 + o.o_orderkey % 2 AS VARCHAR) || '-' || CAST(1 + o.o_custkey % 2 AS VARCHAR)]
+                   ELSE [CAST(1 + o.o_custkey % 3 AS VARCHAR) || '-' || CAST(1 + o.o_orderkey % 3 AS VARCHAR)] END
+           AS SeatTokens
+  FROM b_order b JOIN orders o ON o.o_orderkey = b.Seq),
+ord AS (WITH {_orders_body("b_booking").strip()}),
+width AS (SELECT GREATEST(MAX(len(SeatTokens)), 1) AS w FROM b_booking),
+seat_req AS (
+  SELECT o.Seq AS BookingSeq, o.CustomerKind, o.OrderID, o.FlightID, o.ClassType, o.PlainID,
+         u.pos, u.SeatToken, o.Seq * (SELECT w FROM width) + u.pos AS Seq
+  FROM ord o
+  JOIN (SELECT Seq, generate_subscripts(SeatTokens, 1) - 1 AS pos, unnest(SeatTokens) AS SeatToken
+        FROM b_booking) u ON u.Seq = o.Seq
+  WHERE o.RejectReason IS NULL),
+seat_chk AS (
+  SELECT s.*, TRY_CAST(split_part(trim(s.SeatToken), '-', 1) AS INTEGER) AS Line,
+         TRY_CAST(split_part(trim(s.SeatToken), '-', 2) AS INTEGER) AS SeatLetter,
+         c.NumberRows, c.NumberCols
+  FROM seat_req s LEFT JOIN cabins c ON c.PlainID = s.PlainID AND c.ClassType = s.ClassType),
+seat_r AS (
+  SELECT *, CASE
+      WHEN Line IS NULL OR SeatLetter IS NULL OR NumberRows IS NULL OR Line < 1 OR SeatLetter < 1
+           OR Line > NumberRows OR SeatLetter > NumberCols THEN 'no such seat'
+      WHEN EXISTS (SELECT 1 FROM occ_seats x WHERE x.FlightID = seat_chk.FlightID AND x.ClassType = seat_chk.ClassType
+                   AND x.Line = seat_chk.Line AND x.SeatLetter = seat_chk.SeatLetter) THEN 'seat taken' END AS R
+  FROM seat_chk),
+seat_final AS (
+  SELECT *, {_dup('FlightID, ClassType, Line, SeatLetter', 'seat requested twice')} AS SR FROM seat_r),
+verdict AS (
+  SELECT BookingSeq, arg_min(SR, CASE WHEN SR IS NOT NULL THEN Seq END) AS seat_reason, COUNT(*) AS n_seats
+  FROM seat_final GROUP BY BookingSeq)"""
+
+SQL["ingest_bookings"] = inv("""
+SELECT o.Seq, o.Email, o.FlightID, o.ClassType,
+       COALESCE(o.RejectReason, v.seat_reason, CASE WHEN COALESCE(v.n_seats, 0) = 0 THEN 'no seats' END)
+         AS RejectReason,
+       o.OrderID, o.CustomerKind, o.OrderStatus, o.OrderDate, o.PlainID
+FROM ord o LEFT JOIN verdict v ON v.BookingSeq = o.Seq""", BATCH_CTES + "," + _BOOKING)
+
+SQL["ingest_booking_seats"] = inv("""
+SELECT s.CustomerKind, s.OrderID, s.Line, s.SeatLetter FROM seat_final s
+WHERE s.BookingSeq IN (SELECT o.Seq FROM ord o LEFT JOIN verdict v ON v.BookingSeq = o.Seq
+                       WHERE COALESCE(o.RejectReason, v.seat_reason,
+                                      CASE WHEN COALESCE(v.n_seats, 0) = 0 THEN 'no seats' END) IS NULL)""",
+                                  BATCH_CTES + "," + _BOOKING)

@@ -386,3 +386,19 @@ def test_io_roundtrip_and_commit(t, spark):
     assert spark.read.parquet(path).count() == t.orders.count()
     from skyledger.session import checkpoint_dir
     assert path.startswith(checkpoint_dir(spark))
+
+
+def test_ingest_bookings_all_or_nothing(t, spark):
+    batch = spark.createDataFrame([
+        (1, "z@x", 16, "Regular", ["1-1", "1-2"]),   # both seats free on flight 16 (plane 1, 2x2)
+        (2, "z@x", 16, "Regular", ["2-1", "9-9"]),   # one bad seat -> whole booking refused
+        (3, "z@x", 16, "Regular", ["1-1"]),          # seat requested by booking 1 already
+        (4, "z@x", 10, "Regular", ["1-1"]),          # flight departed
+        (5, "z@x", 17, "Regular", []),               # no seats
+    ], "Seq long, Email string, FlightID long, ClassType string, SeatTokens array<string>")
+    out, seats = ingest.ingest_bookings(t, batch, AS_OF)
+    r = {x.Seq: (x.RejectReason, x.OrderID) for x in out.collect()}
+    assert r[1][0] is None and r[2][0] == "no such seat" and r[3][0] == "seat requested twice"
+    assert r[4] == ("flight departed", None) and r[5][0] == "no seats"
+    got = sorted((x.OrderID, x.Line, x.SeatLetter) for x in seats.collect())
+    assert got == [(r[1][1], 1, 1), (r[1][1], 1, 2)]
