@@ -24,6 +24,22 @@ BASE_CONF = {
 }
 
 
+# Starting point for a large cluster (hundreds of executors, tens of TB per job).
+# Partition counts are upper bounds: AQE coalesces small shuffle partitions
+# towards the advisory size and splits skewed join partitions.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",   # runtime-measured sides only
+    "spark.sql.autoBroadcastJoinThreshold": "32m",             # planner estimate
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "skyledger", extra: dict | None = None) -> SparkSession:
     """Return the active session, or build one with :data:`BASE_CONF`.
