@@ -124,16 +124,14 @@ def available_attendants(t, candidates: DataFrame | None = None) -> DataFrame:
     return assignable_resources(t, "attendants", candidates).join(t.attendants, "AttendantID")
 
 
-def _free_counts(t, kind: str):
-    """(all, qualified) never-used resources of a kind, as scalar subqueries."""
-    free = _unassigned(t, kind)
-    return (free.agg(F.count(F.lit(1))).scalar(),
-            free.agg(F.count(F.when(F.col("Qualified"), 1))).scalar())
-
-
-def _available(n_all, n_qual, name: str) -> F.Column:
-    """Count from branches (a)/(b) plus the never-used resources the candidate may take."""
-    return (F.coalesce(F.col(name), F.lit(0)) + F.when(F.col("IsLong"), n_qual).otherwise(n_all)).alias(name)
+def _free_by_category(t, kind: str, prefix: str) -> DataFrame:
+    """Never-used resources a candidate of each category may take: one anti join and
+    one aggregate per kind, giving two rows (IsLong = true / false)."""
+    serve = F.when(F.col("Qualified"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    return (_unassigned(t, kind).select(F.explode(serve).alias("IsLong"), "Qualified")
+            .groupBy("IsLong")
+            .agg(F.count(F.lit(1)).alias(f"{prefix}_free"),
+                 F.count(F.when(~F.col("Qualified"), 1)).alias(f"{prefix}_free_unqualified")))
 
 
 def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
@@ -141,35 +139,36 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
 
     Needs at least one plane; a long candidate, or one whose available planes
     are all Large (vacuously true when there are none), needs 6 attendants and
-    3 pilots, otherwise 3 and 2. Branch (c) resources are counted by one global
-    aggregate per kind (never listed per candidate); branches (a)/(b) are
-    grouped per candidate, planes together with their sizes in the same pass.
+    3 pilots, otherwise 3 and 2. Branch (c) resources are counted once per
+    qualification category (a two-row table, never candidate × resource
+    pairs); branches (a)/(b) are grouped per candidate, planes together with
+    their sizes in the same pass.
     """
     candidates = t.candidates if candidates is None else candidates
     planes_ab = (_branches_ab(t, "planes", candidates)
                  .join(t.planes.select(F.col("PlainID").alias("ResourceID"), "Size"), "ResourceID")
                  .groupBy("CandidateID")
-                 .agg(F.count(F.lit(1)).alias("AvailablePlanes"),
+                 .agg(F.count(F.lit(1)).alias("pl_ab"),
                       F.bool_and(F.col("Size") == S.SIZE_LARGE).alias("ab_large")))
     pilots_ab = (_branches_ab(t, "pilots", candidates).groupBy("CandidateID")
-                 .agg(F.count(F.lit(1)).alias("AvailablePilots")))
+                 .agg(F.count(F.lit(1)).alias("pi_ab")))
     atts_ab = (_branches_ab(t, "attendants", candidates).groupBy("CandidateID")
-               .agg(F.count(F.lit(1)).alias("AvailableAttendants")))
-    pl_all, pl_qual = _free_counts(t, "planes")      # qualified plane = Large
-    pi_all, pi_qual = _free_counts(t, "pilots")
-    at_all, at_qual = _free_counts(t, "attendants")
-    free_small = pl_all - pl_qual
+               .agg(F.count(F.lit(1)).alias("at_ab")))
+    free = (_free_by_category(t, "planes", "pl")
+            .join(_free_by_category(t, "pilots", "pi"), "IsLong", "full")
+            .join(_free_by_category(t, "attendants", "at"), "IsLong", "full"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
     big_need = 3, 6
     small_need = 2, 3
     out = (candidates.select("CandidateID", "IsLong")
            .join(planes_ab, "CandidateID", "left").join(pilots_ab, "CandidateID", "left")
            .join(atts_ab, "CandidateID", "left")
-           .select("CandidateID", "IsLong", "ab_large",
-                   _available(pl_all, pl_qual, "AvailablePlanes"),
-                   _available(pi_all, pi_qual, "AvailablePilots"),
-                   _available(at_all, at_qual, "AvailableAttendants"))
-           .withColumn("AllPlanesLarge",
-                       F.coalesce("ab_large", F.lit(True)) & (F.col("IsLong") | (free_small == 0)))
+           .join(F.broadcast(free), "IsLong", "left")          # two rows, one per category
+           .select("CandidateID", "IsLong",
+                   (n("pl_ab") + n("pl_free")).alias("AvailablePlanes"),
+                   (n("pi_ab") + n("pi_free")).alias("AvailablePilots"),
+                   (n("at_ab") + n("at_free")).alias("AvailableAttendants"),
+                   (F.coalesce("ab_large", F.lit(True)) & (n("pl_free_unqualified") == 0)).alias("AllPlanesLarge"))
            .withColumn("big", F.col("IsLong") | F.col("AllPlanesLarge"))
            .withColumn("RequiredPilots", F.when(F.col("big"), big_need[0]).otherwise(small_need[0]))
            .withColumn("RequiredAttendants", F.when(F.col("big"), big_need[1]).otherwise(small_need[1])))

@@ -245,8 +245,12 @@ def seat_map(t) -> DataFrame:
     """
     shape = (t.prices.select("FlightID", "PlainID", "ClassType")
              .join(t.cabins, ["PlainID", "ClassType"]))
+    # only cells inside the cabin can change the matrix, so the collected set is
+    # bounded by rows x cols whatever the seat rows contain
     taken = (occupied_seats(t)
-             .join(t.cabins.select("PlainID", "ClassType", "NumberCols"), ["PlainID", "ClassType"])
+             .join(t.cabins.select("PlainID", "ClassType", "NumberRows", "NumberCols"), ["PlainID", "ClassType"])
+             .filter((F.col("Line") >= 1) & (F.col("Line") <= F.col("NumberRows"))
+                     & (F.col("SeatLetter") >= 1) & (F.col("SeatLetter") <= F.col("NumberCols")))
              .groupBy("FlightID", "ClassType")
              .agg(F.collect_set((F.col("Line") - 1) * F.col("NumberCols") + F.col("SeatLetter") - 1)
                   .alias("taken")))
