@@ -402,3 +402,14 @@ def test_ingest_bookings_all_or_nothing(t, spark):
     assert r[4] == ("flight departed", None) and r[5][0] == "no seats"
     got = sorted((x.OrderID, x.Line, x.SeatLetter) for x in seats.collect())
     assert got == [(r[1][1], 1, 1), (r[1][1], 1, 2)]
+
+
+def test_search_num_seats_and_status_spelling(t):
+    ids = lambda df: sorted(r.FlightID for r in df.collect())
+    assert ids(inv.flight_search(t, AS_OF, status="full_capacity")) == [10]
+    assert ids(inv.flight_search(t, AS_OF, status="cancelled")) == [12]
+    five = {r.FlightID: (r.Business_price, r.Regular_price) for r in inv.flight_search(t, AS_OF, num_seats=4).collect()}
+    assert 11 in five and five[11] == (None, 110.0)       # Regular still has 4 free seats, Business has none
+    assert 10 not in five and 13 not in five               # nothing left with 4 free seats
+    one = {r.FlightID: (r.TotalSeats, r.BookedSeats) for r in inv.flight_search(t, AS_OF, flight_id=11).collect()}
+    assert one == {11: (6, 2)}                              # cancelled order 3 does not hold its seat
