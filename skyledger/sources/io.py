@@ -77,7 +77,25 @@ def save_tables(tables, root: str, names: Sequence[str] | None = None, partition
         w.parquet(f"{root}/{n}")
 
 
-def materialize(tables, root: str, names: Sequence[str] | None = None, partition_by: dict | None = None):
+# Tables keyed by flight: stored bucketed on FlightID, joins and aggregations on
+# FlightID between them read co-partitioned buckets instead of shuffling.
+FLIGHT_KEYED = ("flights", "prices", "orders", "working_pilots", "working_attendants")
+
+
+def save_bucketed(df: DataFrame, path: str, key: str, buckets: int, table: str) -> DataFrame:
+    """Write ``df`` hash-bucketed and sorted on ``key`` at ``path`` and return the table.
+
+    Registered as an external table of the session catalog (bucketing metadata
+    lives there); the files stay at ``path`` in shared storage.
+    """
+    spark = df.sparkSession
+    (df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return spark.table(table)
+
+
+def materialize(tables, root: str, names: Sequence[str] | None = None, partition_by: dict | None = None,
+                buckets: int | None = None):
     """Write ``tables`` under ``root`` and return the bundle read back from storage.
 
     This is how a deployment holds the airline tables: stored once, read by
@@ -86,12 +104,20 @@ def materialize(tables, root: str, names: Sequence[str] | None = None, partition
     """
     from skyledger.sources.views import Tables
     names = list(names or [n for n, df in tables.items() if df is not None and not n.startswith("_")])
-    save_tables(tables, root, names, partition_by)
     spark = next(iter(tables.values())).sparkSession
-    return Tables({n: spark.read.parquet(f"{root}/{n}") for n in names})
+    out = Tables()
+    tag = uuid.uuid4().hex[:8]
+    plain = [n for n in names if not (buckets and n in FLIGHT_KEYED)]
+    save_tables(tables, root, plain, partition_by)
+    for n in plain:
+        out[n] = spark.read.parquet(f"{root}/{n}")
+    for n in names:
+        if n not in plain:
+            out[n] = save_bucketed(tables[n], f"{root}/{n}", "FlightID", buckets, f"sl_{tag}_{n}")
+    return out
 
 
-def materialize_views(spark: SparkSession, sf_dir: str, root: str):
+def materialize_views(spark: SparkSession, sf_dir: str, root: str, buckets: int | None = None):
     """Derive the airline tables from the driver tables at ``sf_dir`` and store them under ``root``.
 
     The two shared intermediates (flights with their customer's nation, and
@@ -107,7 +133,7 @@ def materialize_views(spark: SparkSession, sf_dir: str, root: str):
         f"{root}/_orders_ext")
     oe = spark.read.parquet(f"{root}/_orders_ext")
     t = airline_views(spark, sf_dir, flights_ext=fe, orders_ext=oe)
-    return materialize(t, root, [n for n in t if not n.startswith("_")])
+    return materialize(t, root, [n for n in t if not n.startswith("_")], buckets=buckets)
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -28,3 +28,25 @@ def test_month_filter_reaches_scan(spark, tmp_path):
     df = flight_search(t, dt.datetime(2000, 1, 1), before_time=hi, after_time=lo)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(TakeOffTime" in plan and "GreaterThan(TakeOffTime" in plan
+
+
+def test_bucketed_layout_same_rows_fewer_shuffles(spark, tmp_path):
+    from skyledger.plans.catalog import OPS
+    from skyledger.sources.io import materialize_views
+    plain = materialize_views(spark, SMALL_SF, str(tmp_path / "plain"))
+    buck = materialize_views(spark, SMALL_SF, str(tmp_path / "bucketed"), buckets=4)
+    for n in ("complete_orders", "order_history", "crew_requirement"):
+        assert sorted(OPS[n](plain, spark, SMALL_SF).collect()) == sorted(OPS[n](buck, spark, SMALL_SF).collect())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        plan = OPS["complete_orders"](buck, spark, SMALL_SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan   # orders ⋈ flights read co-bucketed files
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
