@@ -203,13 +203,18 @@ def ingest_planes(t, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- I7 flights --------------------------------------------------------------------------------
 
-def ingest_flights(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
+def ingest_flights(t, batch: DataFrame, as_of: dt.datetime, check_staffing: bool = False) -> DataFrame:
     """I7 — batch: PlainID, TakeOffTime, SourceField, DestinationField, Seq.
 
     Refused: same source and destination, no such route, unknown plane, a
-    take-off day that is not after ``as_of``. Accepted rows get a new FlightID
-    (after the largest existing one, in Seq order) and IsDeleted = false.
+    take-off day that is not after ``as_of``; with ``check_staffing`` also a
+    flight that cannot be staffed (D14: the batch's valid flights are the
+    planning candidates, landing = take-off + route duration). Accepted rows
+    get a new FlightID (after the largest existing one, in Seq order) and
+    IsDeleted = false.
     """
+    from skyledger.functions.scalar import add_seconds, is_long
+    from skyledger.operators.assign import staffing_feasibility
     b = (batch.join(_flag(t.routes, ["SourceField", "DestinationField"], "_route"),
                     ["SourceField", "DestinationField"], "left")
          .join(_flag(t.planes, ["PlainID"], "_plane"), "PlainID", "left"))
@@ -219,6 +224,17 @@ def ingest_flights(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
         (F.col("_plane").isNull(), "unknown plane"),
         (trunc_day("TakeOffTime") <= as_of_lit(as_of), "not in the future"),
     ])).drop("_route", "_plane")
+    if check_staffing:
+        cands = (b.filter(F.col(REASON).isNull())
+                 .join(t.routes, ["SourceField", "DestinationField"])
+                 .select(F.col("Seq").cast("string").alias("CandidateID"), "SourceField", "DestinationField",
+                         "TakeOffTime", add_seconds("TakeOffTime", "DurationSec").alias("LandingTime"),
+                         "DurationSec", is_long("DurationSec").alias("IsLong")))
+        feas = staffing_feasibility(t, cands).select(F.col("CandidateID").cast("long").alias("Seq"), "Feasible")
+        b = (b.join(feas, "Seq", "left")
+             .withColumn(REASON, F.coalesce(F.col(REASON),
+                                            F.when(~F.col("Feasible"), F.lit("cannot be staffed"))))
+             .drop("Feasible"))
     start = t.flights.agg(F.coalesce(F.max("FlightID"), F.lit(0)).cast("long")).scalar()
     ok = allocate_ids(b.filter(F.col(REASON).isNull()).select("Seq"), ["Seq"], start, "FlightID")
     return (b.join(ok, "Seq", "left")

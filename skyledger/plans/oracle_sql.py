@@ -708,3 +708,33 @@ WHERE s.BookingSeq IN (SELECT o.Seq FROM ord o LEFT JOIN verdict v ON v.BookingS
                        WHERE COALESCE(o.RejectReason, v.seat_reason,
                                       CASE WHEN COALESCE(v.n_seats, 0) = 0 THEN 'no seats' END) IS NULL)""",
                                   BATCH_CTES + "," + _BOOKING)
+
+
+def _staffed_flights_sql() -> str:
+    feas_body = SQL["staffing_feasibility"].split("\nSELECT c.CandidateID, c.IsLong, x.AvailablePlanes", 1)[1]
+    feas = ("SELECT c.CandidateID, c.IsLong, x.AvailablePlanes" + feas_body).replace("candidates c", "fcand c")
+    assign = ASSIGN_CTES.replace("FROM candidates c", "FROM fcand c")
+    return inv(f"""
+SELECT r2.Seq, CASE WHEN r2.R2 IS NULL THEN (SELECT COALESCE(MAX(FlightID), 0) FROM flights)
+                 + ROW_NUMBER() OVER (PARTITION BY (r2.R2 IS NULL) ORDER BY r2.Seq) END AS FlightID,
+       r2.PlainID, r2.TakeOffTime, r2.SourceField, r2.DestinationField,
+       CASE WHEN r2.R2 IS NULL THEN FALSE END AS IsDeleted, r2.R2 AS RejectReason
+FROM r2""", BATCH_CTES + """,
+fr AS (SELECT b.*, CASE WHEN b.SourceField = b.DestinationField THEN 'same field'
+          WHEN NOT EXISTS (SELECT 1 FROM routes x WHERE x.SourceField = b.SourceField
+                           AND x.DestinationField = b.DestinationField) THEN 'no route'
+          WHEN NOT EXISTS (SELECT 1 FROM planes p WHERE p.PlainID = b.PlainID) THEN 'unknown plane'
+          WHEN date_trunc('day', b.TakeOffTime) <= """ + A + """ THEN 'not in the future' END AS R
+        FROM b_flight b),
+fcand AS (SELECT CAST(fr.Seq AS VARCHAR) AS CandidateID, fr.SourceField, fr.DestinationField, fr.TakeOffTime,
+                 fr.TakeOffTime + to_seconds(CAST(rt.DurationSec AS BIGINT)) AS LandingTime, rt.DurationSec,
+                 (rt.DurationSec > 21600) AS IsLong
+          FROM fr JOIN routes rt ON fr.SourceField = rt.SourceField AND fr.DestinationField = rt.DestinationField
+          WHERE fr.R IS NULL),
+""" + assign + """,
+feas AS (""" + feas + """),
+r2 AS (SELECT fr.*, COALESCE(fr.R, CASE WHEN f.Feasible = FALSE THEN 'cannot be staffed' END) AS R2
+       FROM fr LEFT JOIN feas f ON f.CandidateID = CAST(fr.Seq AS VARCHAR))""")
+
+
+SQL["ingest_flights_staffed"] = _staffed_flights_sql()
