@@ -63,19 +63,28 @@ def load_tables(spark: SparkSession, root: str, names: Sequence[str] | None = No
     return out
 
 
-def save_tables(tables, root: str, names: Sequence[str] | None = None, partition_by: dict | None = None) -> None:
+def save_tables(tables, root: str, names: Sequence[str] | None = None, partition_by: dict | None = None,
+                parallel: int = 4) -> None:
     """S3 — materialise tables (e.g. the derived views) as Parquet under ``root``.
 
     ``partition_by`` maps a table to its partition columns, e.g. flights by
     take-off month so that month filters (P14) prune whole directories.
+    Independent tables are written by up to ``parallel`` concurrent jobs, so
+    small tables do not leave the cluster idle between writes.
     """
-    for n in names or list(tables):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(n: str) -> None:
         w = tables[n].write.mode("overwrite")
         cols = (partition_by or {}).get(n)
         if cols:
             w = w.partitionBy(*cols)
         w.parquet(f"{root}/{n}")
 
+    names = list(names or tables)
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        list(pool.map(write, names))
+
 
 # Tables keyed by flight: stored bucketed on FlightID, joins and aggregations on
 # FlightID between them read co-partitioned buckets instead of shuffling.
