@@ -45,6 +45,11 @@ def _first_reason(checks: list[tuple[Column, str]]) -> Column:
     return out
 
 
+def _missing(*cols: str) -> Column:
+    """Any of the required columns is NULL."""
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+
+
 def _flag(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.select(*keys).distinct().withColumn(name, F.lit(True))
 
@@ -94,6 +99,7 @@ def ingest_phones(t, batch: DataFrame) -> DataFrame:
     b = (batch.withColumn("Phone", F.trim("Phone"))
          .join(stored.withColumn("_known", F.lit(True)), ["Email", "IsSignedUp", "Phone"], "left")
          .withColumn(REASON, _first_reason([
+             (_missing("Email", "IsSignedUp"), "missing field"),
              (F.col("Phone").isNull() | (F.col("Phone") == ""), "empty phone"),
              (F.col("_known").isNotNull(), "exists")]))
          .drop("_known"))
@@ -126,6 +132,7 @@ def ingest_orders(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
          .join(priced, ["FlightID", "ClassType"], "left")
          .join(_flag(t.customers, ["Email"], "_cust"), "Email", "left"))
     b = b.withColumn(REASON, _first_reason([
+        (_missing("Email", "FlightID", "ClassType"), "missing field"),
         (F.col("_mgr").isNotNull(), "manager email"),
         (F.col("_fl").isNull(), "unknown flight"),
         (F.col("IsDeleted"), "flight deleted"),
@@ -165,6 +172,7 @@ def ingest_order_seats(t, batch: DataFrame) -> DataFrame:
                 | (F.col("Line") < 1) | (F.col("SeatLetter") < 1)
                 | (F.col("Line") > F.col("NumberRows")) | (F.col("SeatLetter") > F.col("NumberCols")))
     b = b.withColumn(REASON, _first_reason([
+        (_missing("CustomerKind", "OrderID", "SeatToken"), "missing field"),
         (F.col("_o").isNull(), "unknown order"),
         (bad_seat, "no such seat"),
         (F.col("_taken").isNotNull(), "seat taken"),
@@ -219,6 +227,7 @@ def ingest_flights(t, batch: DataFrame, as_of: dt.datetime, check_staffing: bool
                     ["SourceField", "DestinationField"], "left")
          .join(_flag(t.planes, ["PlainID"], "_plane"), "PlainID", "left"))
     b = b.withColumn(REASON, _first_reason([
+        (_missing("PlainID", "TakeOffTime", "SourceField", "DestinationField"), "missing field"),
         (F.col("SourceField") == F.col("DestinationField"), "same field"),
         (F.col("_route").isNull(), "no route"),
         (F.col("_plane").isNull(), "unknown plane"),
@@ -254,6 +263,7 @@ def ingest_flight_prices(t, batch: DataFrame) -> DataFrame:
     b = (batch.join(fl, "FlightID", "left").join(cab, ["PlainID", "ClassType"], "left")
          .join(have, ["FlightID", "ClassType"], "left"))
     b = b.withColumn(REASON, _first_reason([
+        (_missing("FlightID", "ClassType"), "missing field"),
         (F.col("PlainID").isNull(), "unknown flight"),
         (F.col("_cab").isNull(), "class not on plane"),
         (F.col("Price").isNull() | (F.col("Price") < 0), "bad price"),
@@ -272,6 +282,7 @@ def ingest_crew(t, batch: DataFrame) -> DataFrame:
             .unionByName(t.attendants.select(F.col("AttendantID").alias("EmployeeID"))))
     b = batch.join(_flag(held, ["EmployeeID"], "_held"), "EmployeeID", "left")
     b = b.withColumn(REASON, _first_reason([
+        (_missing("EmployeeID", "Role", "FirstName", "LastName", "Qualified4LongFlights"), "missing field"),
         (~F.col("Role").isin(S.ROLE_PILOT, S.ROLE_ATTENDANT), "unknown role"),
         (F.col("_held").isNotNull(), "id holds a role"),
     ])).drop("_held")

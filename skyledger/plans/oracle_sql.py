@@ -502,7 +502,8 @@ SQL["ingest_phones"] = bat(f"""
 , stored AS (SELECT Email, Phone, TRUE AS IsSignedUp FROM customer_phones
              UNION ALL SELECT Email, Phone, FALSE AS IsSignedUp FROM guest_phones),
 r1 AS (SELECT b.Seq, b.Email, b.IsSignedUp, trim(b.Phone) AS Phone,
-         CASE WHEN trim(b.Phone) IS NULL OR trim(b.Phone) = '' THEN 'empty phone'
+         CASE WHEN b.Email IS NULL OR b.IsSignedUp IS NULL THEN 'missing field'
+              WHEN trim(b.Phone) IS NULL OR trim(b.Phone) = '' THEN 'empty phone'
               WHEN EXISTS (SELECT 1 FROM stored s WHERE s.Email = b.Email AND s.IsSignedUp = b.IsSignedUp
                            AND s.Phone = trim(b.Phone)) THEN 'exists' END AS R
        FROM b_phone b),
@@ -517,6 +518,7 @@ FROM r3""".replace("\n, stored", "\nstored"))
 def _orders_body(batch_cte: str) -> str:
     return f"""
 , r AS (SELECT b.*, f.PlainID AS FPlain, CASE
+          WHEN b.Email IS NULL OR b.FlightID IS NULL OR b.ClassType IS NULL THEN 'missing field'
           WHEN EXISTS (SELECT 1 FROM managers m WHERE m.Email = b.Email) THEN 'manager email'
           WHEN f.FlightID IS NULL THEN 'unknown flight'
           WHEN f.IsDeleted THEN 'flight deleted'
@@ -544,7 +546,8 @@ SQL["ingest_order_seats"] = bat(f"""
           o.FlightID, o.ClassType, o.OrderID AS OID, c.NumberRows, c.NumberCols
         FROM b_seat b LEFT JOIN orders_v o ON o.CustomerKind = b.CustomerKind AND o.OrderID = b.OrderID
         LEFT JOIN cabins c ON c.PlainID = o.PlainID AND c.ClassType = o.ClassType),
-r2 AS (SELECT *, CASE WHEN OID IS NULL THEN 'unknown order'
+r2 AS (SELECT *, CASE WHEN CustomerKind IS NULL OR OrderID IS NULL OR SeatToken IS NULL THEN 'missing field'
+          WHEN OID IS NULL THEN 'unknown order'
           WHEN Line IS NULL OR SeatLetter IS NULL OR NumberRows IS NULL OR Line < 1 OR SeatLetter < 1
                OR Line > NumberRows OR SeatLetter > NumberCols THEN 'no such seat'
           WHEN EXISTS (SELECT 1 FROM occ_seats s WHERE s.FlightID = r.FlightID AND s.ClassType = r.ClassType
@@ -575,7 +578,9 @@ SELECT 'Business', PlainID, CAST(BusinessRows AS INTEGER), CAST(BusinessCols AS
 FROM pr WHERE RejectReason IS NULL AND BusinessRows > 0 AND BusinessCols > 0""", BATCH_CTES + "," + _PLANES_R)
 
 SQL["ingest_flights"] = bat(f"""
-, r AS (SELECT b.*, CASE WHEN b.SourceField = b.DestinationField THEN 'same field'
+, r AS (SELECT b.*, CASE WHEN b.PlainID IS NULL OR b.TakeOffTime IS NULL OR b.SourceField IS NULL
+               OR b.DestinationField IS NULL THEN 'missing field'
+          WHEN b.SourceField = b.DestinationField THEN 'same field'
           WHEN NOT EXISTS (SELECT 1 FROM routes x WHERE x.SourceField = b.SourceField
                            AND x.DestinationField = b.DestinationField) THEN 'no route'
           WHEN NOT EXISTS (SELECT 1 FROM planes p WHERE p.PlainID = b.PlainID) THEN 'unknown plane'
@@ -589,6 +594,7 @@ FROM r""".replace("\n, r AS", "\nr AS"))
 
 SQL["ingest_flight_prices"] = bat(f"""
 , r AS (SELECT b.Seq, b.ClassType, b.FlightID, f.PlainID, CAST(b.Price AS DOUBLE) AS Price, CASE
+          WHEN b.FlightID IS NULL OR b.ClassType IS NULL THEN 'missing field'
           WHEN f.PlainID IS NULL THEN 'unknown flight'
           WHEN NOT EXISTS (SELECT 1 FROM cabins c WHERE c.PlainID = f.PlainID AND c.ClassType = b.ClassType)
             THEN 'class not on plane'
@@ -600,7 +606,9 @@ SELECT Seq, ClassType, FlightID, PlainID, Price, {_dup('FlightID, ClassType')} A
 """.replace("\n, r AS", "\nr AS"))
 
 SQL["ingest_crew"] = bat(f"""
-, r AS (SELECT b.*, CASE WHEN Role NOT IN ('Pilot', 'Flight Attendant') THEN 'unknown role'
+, r AS (SELECT b.*, CASE WHEN EmployeeID IS NULL OR Role IS NULL OR FirstName IS NULL OR LastName IS NULL
+                OR Qualified4LongFlights IS NULL THEN 'missing field'
+          WHEN Role NOT IN ('Pilot', 'Flight Attendant') THEN 'unknown role'
           WHEN EXISTS (SELECT 1 FROM pilots p WHERE p.PilotID = b.EmployeeID)
             OR EXISTS (SELECT 1 FROM attendants a WHERE a.AttendantID = b.EmployeeID) THEN 'id holds a role' END AS R
         FROM b_crew b)
@@ -720,7 +728,9 @@ SELECT r2.Seq, CASE WHEN r2.R2 IS NULL THEN (SELECT COALESCE(MAX(FlightID), 0) F
        r2.PlainID, r2.TakeOffTime, r2.SourceField, r2.DestinationField,
        CASE WHEN r2.R2 IS NULL THEN FALSE END AS IsDeleted, r2.R2 AS RejectReason
 FROM r2""", BATCH_CTES + """,
-fr AS (SELECT b.*, CASE WHEN b.SourceField = b.DestinationField THEN 'same field'
+fr AS (SELECT b.*, CASE WHEN b.PlainID IS NULL OR b.TakeOffTime IS NULL OR b.SourceField IS NULL
+               OR b.DestinationField IS NULL THEN 'missing field'
+          WHEN b.SourceField = b.DestinationField THEN 'same field'
           WHEN NOT EXISTS (SELECT 1 FROM routes x WHERE x.SourceField = b.SourceField
                            AND x.DestinationField = b.DestinationField) THEN 'no route'
           WHEN NOT EXISTS (SELECT 1 FROM planes p WHERE p.PlainID = b.PlainID) THEN 'unknown plane'

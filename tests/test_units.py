@@ -413,3 +413,17 @@ def test_search_num_seats_and_status_spelling(t):
     assert 10 not in five and 13 not in five               # nothing left with 4 free seats
     one = {r.FlightID: (r.TotalSeats, r.BookedSeats) for r in inv.flight_search(t, AS_OF, flight_id=11).collect()}
     assert one == {11: (6, 2)}                              # cancelled order 3 does not hold its seat
+
+
+def test_ingest_missing_fields(t, spark):
+    orders = spark.createDataFrame([(1, None, 16, "Regular"), (2, "z@x", None, "Regular")],
+                                   "Seq long, Email string, FlightID long, ClassType string")
+    assert {r.RejectReason for r in ingest.ingest_orders(t, orders, AS_OF).collect()} == {"missing field"}
+    phones = spark.createDataFrame([(1, None, "0599", True), (2, None, "0599", True)],
+                                   "Seq long, Email string, Phone string, IsSignedUp boolean")
+    assert {r.RejectReason for r in ingest.ingest_phones(t, phones).collect()} == {"missing field"}
+    seats = spark.createDataFrame([(1, "customer", 8, None)], "Seq long, CustomerKind string, OrderID long, SeatToken string")
+    assert [r.RejectReason for r in ingest.ingest_order_seats(t, seats).collect()] == ["missing field"]
+    fl = spark.createDataFrame([(1, 1, None, "AAA", "BBB")],
+                               "Seq long, PlainID long, TakeOffTime timestamp_ntz, SourceField string, DestinationField string")
+    assert [r.RejectReason for r in ingest.ingest_flights(t, fl, AS_OF).collect()] == ["missing field"]
