@@ -16,6 +16,7 @@ as they land in a folder, with Structured Streaming's file source and
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, schema: StructType,
     ``validate(tables, batch_df)`` is one of the ingestion operators (bound to
     its extra arguments, e.g. ``lambda t, b: ingest_orders(t, b, as_of)``).
     """
-    ckpt = checkpoint_location or f"{checkpoint_dir(spark)}/streams/{abs(hash(out_dir))}"
+    # stable across restarts (Python's hash() of a str is salted per process)
+    ckpt = checkpoint_location or f"{checkpoint_dir(spark)}/streams/{hashlib.sha1(out_dir.encode()).hexdigest()}"
     requests = spark.readStream.schema(schema).parquet(source_dir)
 
     def run_batch(batch: DataFrame, epoch_id: int) -> None:
