@@ -24,3 +24,19 @@ def test_ingest_stream_matches_batch(spark):
     want = {r.Seq: r.RejectReason for r in ingest.ingest_orders(t, batch, as_of).collect()}
     assert got == want
     assert got[2] == "manager email" and got[3] == "unknown flight"
+
+
+def test_ingest_stream_restart_processes_only_new_files(spark):
+    t = airline_views(spark, SMALL_SF)
+    src, out, ck = (tempfile.mkdtemp(prefix=p) for p in ("req-", "out-", "ck-"))
+    schema = "Seq long, Email string, FlightID long, ClassType string"
+    as_of = dt.datetime(1990, 1, 1)
+    run = lambda: ingest_stream(spark, src, spark.createDataFrame([], schema).schema,
+                                lambda tt, b: ingest.ingest_orders(tt, b, as_of), lambda: t, out,
+                                checkpoint_location=ck).awaitTermination(120)
+    spark.createDataFrame([(1, "c1@example.com", 5, "Regular")], schema).write.mode("append").parquet(src)
+    run()
+    spark.createDataFrame([(2, "c2@example.com", 6, "Regular")], schema).write.mode("append").parquet(src)
+    run()
+    rows = spark.read.parquet(out).select("batch", "Seq").collect()
+    assert sorted((r.batch, r.Seq) for r in rows) == [(0, 1), (1, 2)]
