@@ -29,20 +29,26 @@ def occupied_seats(t, include_cancelled: bool = False) -> DataFrame:
             .select("Line", "SeatLetter", *t.orders.columns))
 
 
+def _live_seat_counts(t, only_flights: DataFrame | None = None) -> DataFrame:
+    """(cabin key, n): seats of each live order — seats counted per order first."""
+    orders = t.orders.filter(P.not_cancelled("OrderStatus")).select("CustomerKind", "OrderID", *CABIN_KEY)
+    if only_flights is not None:
+        orders = orders.join(only_flights, "FlightID", "left_semi")
+    seats_per_order = t.seats.groupBy("CustomerKind", "OrderID").agg(F.count(F.lit(1)).alias("n"))
+    return orders.join(seats_per_order, ["CustomerKind", "OrderID"]).select(*CABIN_KEY, "n")
+
+
 def occupied_count(t) -> DataFrame:
     """D2 — booked seats per (flight, class, plane), zero for priced cabins without bookings.
 
-    ``agg ∪ (prices ∖ agg)`` is one full outer join on the cabin key. Seats
-    are counted per order first (order ids are unique), so the seat rows are
-    reduced before the join with orders.
+    ``agg ∪ (prices ∖ agg)`` as one union of booked rows and priced keys and
+    one aggregate on the cabin key: a single shuffle, after map-side partial
+    aggregation (a hot flight never lands whole in one task).
     """
-    seats_per_order = t.seats.groupBy("CustomerKind", "OrderID").agg(F.count(F.lit(1)).alias("n"))
-    booked = (t.orders.filter(P.not_cancelled("OrderStatus"))
-              .select("CustomerKind", "OrderID", *CABIN_KEY)
-              .join(seats_per_order, ["CustomerKind", "OrderID"])
-              .groupBy(*CABIN_KEY).agg(F.sum("n").alias("OccupiedSeats")))
-    return (booked.join(t.prices.select(*CABIN_KEY), CABIN_KEY, "full")
-            .select(*CABIN_KEY, F.coalesce("OccupiedSeats", F.lit(0)).cast("long").alias("OccupiedSeats")))
+    booked = _live_seat_counts(t)
+    priced = t.prices.select(*CABIN_KEY, F.lit(None).cast("long").alias("n"))
+    return (booked.unionByName(priced).groupBy(*CABIN_KEY)
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("OccupiedSeats")))
 
 
 def flight_capacity(t) -> DataFrame:
@@ -89,28 +95,31 @@ def cabin_state(t, only_flights: DataFrame | None = None) -> DataFrame:
     """Per cabin key (FlightID, ClassType, PlainID): Price, Capacity, OccupiedSeats, InAvail.
 
     One row for every key that is priced, booked or part of the flight's
-    plane (two full outer joins on the same key, so the three inputs are
-    co-partitioned once). ``OccupiedSeats`` is NULL for keys outside D2,
-    ``InAvail`` marks the keys of D4 (priced-or-booked and with a cabin).
-    Assumes orders and prices carry their flight's plane, as the schema's
-    foreign keys require. ``only_flights`` (a FlightID column) restricts every
-    input with a semi join before any aggregation — the plan for a selective
-    search touches only the selected flights' orders and prices.
+    plane: the three inputs are unioned and aggregated once on the cabin key
+    (one shuffle, partial aggregation first). ``OccupiedSeats`` is NULL for
+    keys outside D2, ``InAvail`` marks the keys of D4 (priced-or-booked and
+    with a cabin). Assumes orders and prices carry their flight's plane, as
+    the schema's foreign keys require. ``only_flights`` (a FlightID column)
+    restricts every input with a semi join before any aggregation — the plan
+    for a selective search touches only the selected flights' orders and prices.
     """
     def keep(df: DataFrame) -> DataFrame:
         return df if only_flights is None else df.join(only_flights, "FlightID", "left_semi")
 
-    orders = keep(t.orders.filter(P.not_cancelled("OrderStatus")).select("CustomerKind", "OrderID", *CABIN_KEY))
-    seats_per_order = t.seats.groupBy("CustomerKind", "OrderID").agg(F.count(F.lit(1)).alias("n"))
-    booked = (orders.join(seats_per_order, ["CustomerKind", "OrderID"])
-              .groupBy(*CABIN_KEY).agg(F.sum("n").alias("_booked")))
-    priced = keep(t.prices.select(*CABIN_KEY, "Price", F.lit(True).alias("_priced")))
+    none_l = F.lit(None).cast("long")
+    booked = _live_seat_counts(t, only_flights).select(
+        *CABIN_KEY, F.lit(None).cast("double").alias("Price"), F.lit(False).alias("_priced"),
+        "n", F.lit(None).cast("int").alias("Capacity"))
+    priced = keep(t.prices).select(*CABIN_KEY, "Price", F.lit(True).alias("_priced"), none_l.alias("n"),
+                                   F.lit(None).cast("int").alias("Capacity"))
     capacity = (keep(t.flights.select("FlightID", "PlainID")).join(t.cabins, "PlainID")
-                .select("FlightID", "PlainID", "ClassType",
+                .select("FlightID", "ClassType", "PlainID", F.lit(None).cast("double").alias("Price"),
+                        F.lit(False).alias("_priced"), none_l.alias("n"),
                         (F.col("NumberRows") * F.col("NumberCols")).alias("Capacity")))
-    c = (priced.join(booked, CABIN_KEY, "full")
-         .join(capacity, CABIN_KEY, "full"))
-    in_occ = F.col("_priced").isNotNull() | F.col("_booked").isNotNull()
+    c = (booked.unionByName(priced).unionByName(capacity).groupBy(*CABIN_KEY)
+         .agg(F.max("Price").alias("Price"), F.bool_or("_priced").alias("_priced"),
+              F.sum("n").alias("_booked"), F.max("Capacity").alias("Capacity")))
+    in_occ = F.col("_priced") | F.col("_booked").isNotNull()
     return c.select(*CABIN_KEY, "Price", "Capacity",
                     F.when(in_occ, F.coalesce(F.col("_booked"), F.lit(0)).cast("long")).alias("OccupiedSeats"),
                     (in_occ & F.col("Capacity").isNotNull()).alias("InAvail"))
