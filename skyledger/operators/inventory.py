@@ -60,8 +60,12 @@ def flight_capacity(t) -> DataFrame:
 
 
 def available_seats(t) -> DataFrame:
-    """D4 — capacity − occupied per (flight, plane, class)."""
-    return (occupied_count(t).join(flight_capacity(t), CABIN_KEY)
+    """D4 — capacity − occupied per (flight, plane, class).
+
+    The keys of D2 that also have a cabin (D3): the ``InAvail`` rows of
+    :func:`cabin_state`, so one union + aggregate instead of two joins.
+    """
+    return (cabin_state(t).filter(F.col("InAvail"))
             .select("FlightID", "PlainID", "ClassType", "Capacity", "OccupiedSeats",
                     (F.col("Capacity") - F.col("OccupiedSeats")).alias("AvailableSeats")))
 
