@@ -3,7 +3,7 @@
 Read operators return DataFrames over all orders (one customer's history is
 a filter on ``Email``). Lifecycle operators are copy-on-write: they return
 the *new* version of the table as a DataFrame, leaving the write to
-:mod:`skyledger.sources.sinks` (never read and overwrite one path in one plan).
+:func:`skyledger.sources.io.commit_table` (never read and overwrite one path in one plan).
 """
 
 from __future__ import annotations
@@ -33,15 +33,22 @@ def quote_price(t, requests: DataFrame) -> DataFrame:
 
 
 def _history_base(t) -> DataFrame:
+    """Orders with seat counts, price and flight columns.
+
+    Prices meet flights first (flight-sized inputs, both keyed by FlightID),
+    so the order-sized side is shuffled only twice: by order key for the
+    seat counts and by (flight, class) for the price.
+    """
     per_order = seats_per_order(t)
     status = F.col("OrderStatus")
     base = F.col("NumSeats") * F.col("Price")
+    flight_class = (t.prices.select("FlightID", "ClassType", "Price")
+                    .join(t.flights.select("FlightID", "SourceField", "DestinationField", "TakeOffTime"), "FlightID"))
     return (t.orders.join(per_order, ORDER_KEY)
-            .join(t.prices.select("FlightID", "ClassType", "Price"), ["FlightID", "ClassType"])
+            .join(flight_class, ["FlightID", "ClassType"])
             .withColumn("OrderPrice", round2(F.when(status == S.ORDER_CUSTOMER_CANCELLED, base * S.CANCELLATION_FEE)
                                              .when(status == S.ORDER_SYSTEM_CANCELLED, F.lit(0.0))
-                                             .otherwise(base)))
-            .join(t.flights.select("FlightID", "SourceField", "DestinationField", "TakeOffTime"), "FlightID"))
+                                             .otherwise(base))))
 
 
 HISTORY_COLUMNS = ["CustomerKind", "Email", "OrderID", "FlightID", "ClassType", "NumSeats", "OrderStatus",
