@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_prints, language, packing, piece_codec, quality, simhash, suffix_dedup, token_count
+from . import chunk_prints, language, packing, piece_codec, quality, simhash, suffix_dedup, token_count, vector_join
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op4_suffix_array_dedup, op5_sentencepiece_codec,
-    op6_quality_classifier, op7_document_fingerprints, op9_simhash_near_dedup, op10_language_id)}
+    op6_quality_classifier, op7_document_fingerprints, op8_embedding_near_dedup, op9_simhash_near_dedup,
+    op10_language_id)}
 
 ORACLE: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, id_text, store
-from .components import connected_components
+from .components import PlaceForest, connected_components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -71,25 +71,6 @@ def pivots(n: int) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 2**64, n, dtype=np.uint64)
 
 
-class _Forest:
-    """Union of array positions, smallest position as root."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        root = self.root
-        while True:
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root[:] = root[root]
-
-
 def close_pairs(cell: np.ndarray, side: np.ndarray, bits: np.ndarray, max_bits: int, reference: np.ndarray) -> np.ndarray:
     """Positions' roots after joining all pairs within ``max_bits`` of the same cell.
 
@@ -98,7 +79,7 @@ def close_pairs(cell: np.ndarray, side: np.ndarray, bits: np.ndarray, max_bits:
     """
     table = np.bitwise_count(bits[:, None] ^ reference[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], cell))
-    forest = _Forest(len(bits))
+    forest = PlaceForest(len(bits))
     cell, side, sorted_bits, table, place = cell[order], side[order], bits[order], table[order], order
     left = np.arange(len(bits) - 1)
     step = 1
