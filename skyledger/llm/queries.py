@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_prints, language, packing, piece_codec, quality, simhash, suffix_dedup, token_count, vector_join
+from . import chunk_prints, language, licenses, packing, piece_codec, quality, simhash, suffix_dedup, token_count, vector_join
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.kept_digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
 
@@ -47,8 +51,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_token_counts, op4_suffix_array_dedup, op5_sentencepiece_codec,
-    op6_quality_classifier, op7_document_fingerprints, op8_embedding_near_dedup, op9_simhash_near_dedup,
+    op1_best_fit_packing, op2_token_counts, op3_license_scans, op4_suffix_array_dedup,
+    op5_sentencepiece_codec, op6_quality_classifier, op7_document_fingerprints, op8_embedding_near_dedup, op9_simhash_near_dedup,
     op10_language_id)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_license_scans": licenses.oracle_sql()}
