@@ -79,6 +79,17 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, wanted: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose ``column`` a batch function accepts."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted(batch.column(column)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [columns[f.name] if isinstance(columns[f.name], pa.Array)

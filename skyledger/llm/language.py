@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, id_text, record_batch
+from .common import arrow_map, crc_mod, id_text, keep_rows, record_batch
 from .training import bounded_ids
 
 BUCKETS = 1 << 15
@@ -136,12 +136,27 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def wanted(texts) -> list[bool]:
+        found = [classify(t.as_py(), shared.value) for t in texts]
+        return [lang != UNDETERMINED and score >= min_score for lang, score in found]
+
+    return keep_rows(docs, text_col, wanted)
+
+
+def training_rows(docs: DataFrame, id_col: str = "doc_id", modulus: int = 4, held: int = 2) -> DataFrame:
+    """Rows whose crc32(id) mod ``modulus`` is not ``held``; never those with a null id."""
+    return docs.where(crc_mod(F.col(id_col), modulus) != held)
+
+
 def held_out_languages(docs: DataFrame, modulus: int = 4, held: int = 2, **fit_options) -> DataFrame:
     """Learn from the rows whose crc32(id) mod ``modulus`` is not ``held``; predict all rows.
 
     ``doc_id, held_out, lang_pred, score``. Rows with a null id are held out.
     """
-    remainder = crc_mod(F.col("doc_id"), modulus)
-    model = fit(docs.where(remainder != held), **fit_options)
-    held_out = F.coalesce(remainder == held, F.lit(True)).alias("held_out")
+    model = fit(training_rows(docs, "doc_id", modulus, held), **fit_options)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), modulus) == held, F.lit(True)).alias("held_out")
     return identify(docs, model).select("doc_id", held_out, "lang_pred", "score")

@@ -22,7 +22,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.kept_digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+    return suffix_dedup.kept_digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_license_scans, op4_suffix_array_dedup,
     op5_sentencepiece_codec, op6_quality_classifier, op7_document_fingerprints, op8_embedding_near_dedup, op9_simhash_near_dedup,
-    op10_language_id)}
+    op10_language_id, pipeline)}
 
 ORACLE = {"op3_license_scans": licenses.oracle_sql()}

@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_map, id_text, store
+from .common import arrow_map, id_text, ship_package, store
 from .components import PlaceForest, connected_components
 
 SHINGLE_WORDS = 4
@@ -153,6 +155,40 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS,
             .mapInArrow(run, "a long, b long"))
 
 
+def _classes(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Distinct fingerprints with the ``root`` fingerprint of their group."""
+    distinct = store(distinct, "distinct-fingerprints")
+    roots = connected_components(links(distinct.select("bits"), max_bits))
+    return (distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left")
+            .withColumn("root", F.coalesce("root", "bits")))
+
+
+def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                        words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs``, all columns, per group of near-duplicates: the one with the least id.
+
+    A null id comes after all others; of rows that share the least id and its
+    fingerprint one stays, the least text first.
+    """
+    ship_package(docs.sparkSession)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([fingerprint(t.as_py(), words_per_shingle) for t in batch.column(text_col)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))],
+                                             [*batch.schema.names, "_bits"])
+
+    marked = store(docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField("_bits", LongType())])),
+                   "marked-documents")
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    classes = _classes(marked.groupBy(F.col("_bits").alias("bits")).agg(F.min(place).alias("first_id")), max_bits)
+    keepers = (classes.groupBy("root").agg(F.min(F.struct("first_id", "bits")).alias("k"))
+               .select(F.col("k.first_id").alias("_place"), F.col("k.bits").alias("_bits")))
+    same = Window.partitionBy("_place", "_bits").orderBy(text_col)
+    return (marked.withColumn("_place", place).join(keepers, ["_place", "_bits"])
+            .withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*docs.columns))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words_per_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, bits, component_id`` of every row.
@@ -164,10 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     further columns are ignored.
     """
     marked = store(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
-    distinct = store(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = connected_components(links(distinct.select("bits"), max_bits))
-    classes = (distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left")
-               .withColumn("root", F.coalesce("root", "bits")))
+    classes = _classes(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")), max_bits)
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return (marked.join(classes.join(least, "root").select("bits", "component_id"), "bits")
             .select("doc_id", "bits", "component_id"))

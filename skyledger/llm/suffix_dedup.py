@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import record_batch, ship_package, store
 
@@ -288,7 +289,7 @@ def _signed(value: int) -> int:
     return value - 2**64 if value >= 2**63 else value
 
 
-def _pieces(joined: DataFrame, hot_names: np.ndarray, min_length: int, gram: int, bits: int) -> DataFrame:
+def _pieces(joined: DataFrame, text_col: str, hot_names: np.ndarray, min_length: int, gram: int, bits: int) -> DataFrame:
     """Runs of shared names as bytes, dealt by name; hot names window by window, dealt by the window.
 
     A piece whose bytes this task has met in a smaller doc is removed at once
@@ -318,9 +319,9 @@ def _pieces(joined: DataFrame, hot_names: np.ndarray, min_length: int, gram: int
         met: dict[bytes, int] = {}
         rows: list[tuple] = []
         for batch in batches:
-            for doc, text, names, copies in zip(batch.column("d").to_pylist(), batch.column("text"),
-                                                batch.column("names").to_pylist(),
-                                                batch.column("copies").to_pylist(), strict=True):
+            for doc, text, names, copies in zip(batch.column("_d").to_pylist(), batch.column(text_col),
+                                                batch.column("_names").to_pylist(),
+                                                batch.column("_copies").to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
                 if len(raw) < min_length:
                     continue
@@ -405,54 +406,57 @@ def _removed(pieces: DataFrame, min_length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
                    hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
-    """``doc_id, text, spans``: every row with its removed spans, (start, end) byte pairs as packed longs.
+    """Every row, all columns, with ``removed_spans``: (start, end) byte pairs as packed longs.
 
     Spans are maximal, apart and in order; null if nothing is removed. Matches
     never cross documents and are judged on the input. Null text counts as
     empty. Rows that share an id remove nothing from each other; a null id is
-    later than all others. An empty table gives an empty result; further
-    columns are ignored.
+    later than all others. An empty table gives an empty result; an input
+    column named like the result or like ``_d`` is replaced.
     """
     spark = docs.sparkSession
     ship_package(spark)
     gram = max(1, min(GRAM, min_length // 3))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = own.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
+    docs = docs.drop("removed_spans", "_d")
+    text = F.col(text_col).cast("string")
+    base = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = 48 + min(16, max(4, (4 * partitions - 1).bit_length()))
 
-    shared = store(_shared_names(_names(base, min_length, gram, bits), hot_documents), "shared-names")
+    own = base.select(F.col("_d").alias("d"), text.alias("text"))
+    shared = store(_shared_names(_names(own, min_length, gram, bits), hot_documents), "shared-names")
     hot_rows = shared.where("hot").select("names").collect()  # each lists names of over hot_documents documents
     hot = np.frombuffer(b"".join(r["names"] for r in hot_rows), "<u8").reshape(-1, 2)
     hot = hot[np.argsort(hot[:, 1])[::-1][:MAX_HOT_NAMES], 0]
 
-    texts = base.where(F.octet_length("text") >= min_length).select("d", F.md5("text").alias("digest"),
-                                                                  F.xxhash64("text").alias("text_key"))
+    texts = own.where(F.octet_length("text") >= min_length).select("d", F.md5("text").alias("digest"),
+                                                                 F.xxhash64("text").alias("text_key"))
     firsts = texts.groupBy("digest").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
     copies = texts.join(firsts, "digest").where("first < d").select("d", "text_key")
     news = (shared.where("NOT hot").select("d", "names", F.lit(None).cast("long").alias("copy"))
             .unionByName(copies.select("d", F.lit(None).cast("binary").alias("names"), F.col("text_key").alias("copy")))
-            .groupBy("d").agg(F.collect_list("names").alias("names"), F.collect_set("copy").alias("copies")))
-    joined = base.join(news, "d").select("doc_id", "d", "text", "names", "copies")
-    spans = (_removed(_pieces(joined, hot, min_length, gram, bits), min_length)
-             .groupBy("d").agg(F.collect_list(F.struct("text_key", "spans")).alias("found")))
+            .groupBy(F.col("d").alias("_d")).agg(F.collect_list("names").alias("_names"),
+                                                 F.collect_set("copy").alias("_copies")))
+    # All columns go along, so that both joins read one shuffle of the documents.
+    joined = base.join(news, "_d").select(*base.columns, "_names", "_copies")
+    spans = (_removed(_pieces(joined, text_col, hot, min_length, gram, bits), min_length)
+             .groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("text_key", "spans")).alias("_found")))
+
+    columns = docs.columns
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text"), batch.column("found").to_pylist(), strict=True):
-                text_key = _signed(xxhash.xxh64_intdigest((text.as_py() or "").encode(), KEY_SEED)) if found else None
-                parts = [np.frombuffer(f["spans"], "<i8").reshape(-1, 2) for f in found or () if f["text_key"] == text_key]
-                if parts:
-                    pairs = np.concatenate(parts)
-                    out.append(_spans(pairs[:, 0], pairs[:, 1]).astype("<i8").tobytes())
-                else:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, pa.binary())],
-                                             ["doc_id", "text", "spans"])
+            for value, found in zip(batch.column(text_col), batch.column("_found").to_pylist(), strict=True):
+                key = _signed(xxhash.xxh64_intdigest((value.as_py() or "").encode(), KEY_SEED)) if found else None
+                parts = [np.frombuffer(f["spans"], "<i8").reshape(-1, 2) for f in found or () if f["text_key"] == key]
+                pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+                out.append(_spans(pairs[:, 0], pairs[:, 1]).astype("<i8").tobytes() if parts else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())],
+                                             [*columns, "removed_spans"])
 
-    return (base.join(spans, "d", "left").select("doc_id", "text", "found")
-            .mapInArrow(merge, "doc_id long, text string, spans binary"))
+    return (base.join(spans, "_d", "left").select(*columns, "_found")
+            .mapInArrow(merge, StructType([*docs.schema.fields, StructField("removed_spans", BinaryType())])))
 
 
 def span_pairs(packed: bytes | None) -> list[tuple[int, int]]:
@@ -476,7 +480,7 @@ def kept_digests(found: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
-                                           batch.column("spans").to_pylist(), strict=True):
+                                           batch.column("removed_spans").to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
                 pairs = span_pairs(spans)
                 rows.append((doc_id, len(raw), sum(b - a for a, b in pairs), len(pairs),
@@ -498,3 +502,33 @@ def whole_characters(raw: bytes, pairs: list[tuple[int, int]]) -> list[tuple[int
         if a < b:
             out.append((a, b))
     return out
+
+
+def remove_spans(found: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of :func:`repeated_spans` with the spans cut from their texts.
+
+    Whole characters only. ``length_col``, if it is there, becomes the new number of
+    code points. Rows left with nothing by the removal go; empty and null texts
+    that lost nothing stay.
+    """
+    target = StructType([f for f in found.schema.fields if f.name != "removed_spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = [], []
+            for value, spans in zip(batch.column(text_col), batch.column("removed_spans").to_pylist(), strict=True):
+                text = value.as_py()
+                if spans:
+                    raw = text.encode()
+                    text = without_spans(raw, whole_characters(raw, span_pairs(spans))).decode()
+                texts.append(text)
+                keep.append(not spans or bool(text))
+            columns = {f.name: batch.column(f.name) for f in target.fields}
+            columns[text_col] = pa.array(texts, pa.string())
+            if length_col in columns:
+                changed = [len(t) if s else n for t, s, n in zip(texts, batch.column("removed_spans").to_pylist(),
+                                                                 batch.column(length_col).to_pylist(), strict=True)]
+                columns[length_col] = pa.array(changed, columns[length_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(keep, pa.bool_()))
+
+    return found.mapInArrow(run, target)
