@@ -111,7 +111,7 @@ def in_order(docs: DataFrame, key: str, tie: str, per_partition: int = 4) -> Dat
     order = F.coalesce(F.col(key), F.lit(-(2**63)))
     keyed = docs.withColumn("_order", order).withColumn("_place", order.cast("double"))
     bounds = keyed.approxQuantile("_place", [i / parts for i in range(1, parts)], 0.2 / parts)
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_range").transform(keyed)
     firsts = sorted(dealt.groupBy("_range").agg(F.min("_order").alias("first")).collect())
     targets = [(first, int(firsts[i - 1][0])) for i, (_, first) in enumerate(firsts)]
