@@ -13,26 +13,23 @@ and, for a long candidate, it is qualified (Large plane / long-flight crew).
 Gaps in the middle of a schedule are never used; cancelled flights still
 count as legs.
 
-Plan shape: per-resource extremes are a partial aggregate plus an equi join
-on (resource, time) — no window over a resource's whole history. Candidates
-are a batch of planning requests; after a row-count check they are broadcast
-(the resource legs stay partitioned and are matched on the field name), and
-beyond the limit the joins shuffle, salted where the key has few values. Branch (c) pairs are only materialised by the
-listing operators; the feasibility check counts them with one aggregate.
+Plan shape: every kind's shifts are read once and reduced to one *profile* per
+resource (first and last leg, their fields); a field matters only at the two
+extremes, so a profile holds at most a few fields however long the schedule.
+The listing operators join profiles with candidates on the field; the
+feasibility check counts without listing pairs. No hint forces a join: AQE
+broadcasts a side only after measuring it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger import schemas as S
-from skyledger.functions.scalar import day_of
+from skyledger.functions.scalar import add_seconds, day_of
 from skyledger.operators.inventory import flights_with_landing
-from skyledger.operators.relational import broadcast_if_small, rows_at_extreme, salted_key_join
-
-# A planning batch is broadcast up to this many candidates; larger batches are
-# joined with shuffles (salted where the join key has few values).
-MAX_BROADCAST_CANDIDATES = 200_000
 
 KINDS = {
     # kind: (id column, dimension table, shifts table)
@@ -43,68 +40,98 @@ KINDS = {
 
 
 def _resources(t, kind: str) -> DataFrame:
-    """(ResourceID, Qualified) for every resource of a kind."""
+    """(Kind, ResourceID, Qualified) for every resource of a kind."""
     rid, dim, _ = KINDS[kind]
-    d = t[dim]
     q = (F.col("Size") == S.SIZE_LARGE) if kind == "planes" else F.col("Qualified4LongFlights")
-    return d.select(F.col(rid).alias("ResourceID"), q.alias("Qualified"))
+    return t[dim].select(F.lit(kind).alias("Kind"), F.col(rid).alias("ResourceID"), q.alias("Qualified"))
+
+
+def _shifts(t, kind: str) -> DataFrame:
+    rid, _, shifts = KINDS[kind]
+    return t[shifts].select(F.lit(kind).alias("Kind"), F.col(rid).alias("ResourceID"), "FlightID")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
 def resource_legs(t, kind: str) -> DataFrame:
     """Every scheduled leg of every resource, with landing time (flights without a route drop out)."""
-    rid, _, shifts = KINDS[kind]
-    fl = flights_with_landing(t).select("FlightID", "PlainID", "SourceField", "DestinationField",
-                                        "TakeOffTime", "LandingTime")
-    if kind == "planes":
-        legs = fl.withColumnRenamed("PlainID", "ResourceID")
-    else:
-        legs = (t[shifts].select(F.col(rid).alias("ResourceID"), "FlightID")
-                .join(fl.drop("PlainID"), "FlightID"))
-    return legs.join(_resources(t, kind), "ResourceID")
+    fl = flights_with_landing(t).select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "LandingTime")
+    return _shifts(t, kind).join(fl, "FlightID").join(_resources(t, kind), ["Kind", "ResourceID"]).drop("Kind")
 
 
-def _unassigned(t, kind: str) -> DataFrame:
-    rid, _, shifts = KINDS[kind]
-    used = t[shifts].select(F.col(rid).alias("ResourceID"))
-    return _resources(t, kind).join(used, "ResourceID", "left_anti")
-
-
-def _branches_ab(t, kind: str, candidates: DataFrame) -> DataFrame:
-    """(CandidateID, ResourceID) from branches (a) and (b), duplicates removed."""
-    legs = resource_legs(t, kind)
-    cands, _ = broadcast_if_small(candidates.select("CandidateID", "SourceField", "DestinationField",
-                                                    "TakeOffTime", "LandingTime", "IsLong"),
-                                  MAX_BROADCAST_CANDIDATES)
-    first = rows_at_extreme(legs, ["ResourceID"], "TakeOffTime", "min")
-    last = rows_at_extreme(legs, ["ResourceID"], "LandingTime", "max")
-    c = cands.alias("c")
-    before = (first.alias("e")
-              .join(c, (F.col("e.SourceField") == F.col("c.DestinationField"))
-                    & (F.col("e.TakeOffTime") > F.col("c.LandingTime"))
-                    & (F.col("e.Qualified") | ~F.col("c.IsLong")))
-              .select("c.CandidateID", "e.ResourceID"))
-    after = (last.alias("l")
-             .join(c, (F.col("l.DestinationField") == F.col("c.SourceField"))
-                   & (F.col("l.LandingTime") < F.col("c.TakeOffTime"))
-                   & (F.col("l.Qualified") | ~F.col("c.IsLong")))
-             .select("c.CandidateID", "l.ResourceID"))
-    return before.unionByName(after).distinct()
+def resource_profiles(t, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
+    """One row per resource: Kind, ResourceID, Qualified, Used, FirstTime, FirstFields, LastTime, LastFields.
+
+    ``Used``: it has a shift at all. ``FirstFields`` are the departure fields of
+    its legs at the earliest take-off, ``LastFields`` the arrival fields at the
+    latest landing (several on ties); legs whose flight or route is unknown
+    have no times. All kinds share one pass: shifts meet the flights once and
+    are reduced map-side to one row per (resource, field).
+    """
+    legs = (t.flights.join(t.routes, ["SourceField", "DestinationField"], "left")
+            .select("FlightID", "SourceField", "DestinationField",
+                    F.when(F.col("DurationSec").isNotNull(), F.col("TakeOffTime")).alias("Leaves"),
+                    add_seconds("TakeOffTime", "DurationSec").alias("Lands")))
+    ends = (_union([_shifts(t, k) for k in kinds]).join(legs, "FlightID", "left")
+            .select("Kind", "ResourceID", F.inline(F.array(
+                F.struct(F.col("SourceField").alias("Field"), F.col("Leaves").alias("First"),
+                         F.lit(None).cast("timestamp_ntz").alias("Last")),
+                F.struct(F.col("DestinationField").alias("Field"), F.lit(None).cast("timestamp_ntz").alias("First"),
+                         F.col("Lands").alias("Last"))))))
+    by_field = (ends.groupBy("Kind", "ResourceID", "Field")
+                .agg(F.min("First").alias("First"), F.max("Last").alias("Last")))
+    used = (by_field.groupBy("Kind", "ResourceID")
+            .agg(F.collect_list(F.struct("Field", "First", "Last")).alias("f"),
+                 F.min("First").alias("FirstTime"), F.max("Last").alias("LastTime"))
+            .select("Kind", "ResourceID", "FirstTime", "LastTime",
+                    F.expr("transform(filter(f, x -> x.First = FirstTime), x -> x.Field)").alias("FirstFields"),
+                    F.expr("transform(filter(f, x -> x.Last = LastTime), x -> x.Field)").alias("LastFields")))
+    return (_union([_resources(t, k) for k in kinds]).join(used, ["Kind", "ResourceID"], "left")
+            .select("Kind", "ResourceID", "Qualified", F.col("FirstFields").isNotNull().alias("Used"),
+                    "FirstTime", "FirstFields", "LastTime", "LastFields"))
+
+
+def qualifies(is_long: Column) -> Column:
+    return F.col("Qualified") | ~is_long
+
+
+def fits_before(destination: Column, landing: Column) -> Column:
+    """(a) the resource's first leg starts at the destination after the landing."""
+    return F.coalesce(F.array_contains("FirstFields", destination) & (F.col("FirstTime") > landing), F.lit(False))
+
+
+def fits_after(source: Column, take_off: Column) -> Column:
+    """(b) the resource's last leg ended at the source before the take-off."""
+    return F.coalesce(F.array_contains("LastFields", source) & (F.col("LastTime") < take_off), F.lit(False))
+
+
+def can_take(source: Column, destination: Column, take_off: Column, landing: Column, is_long: Column) -> Column:
+    """(a), (b) or (c) for a profile and a flight that stand in one row."""
+    return qualifies(is_long) & (~F.col("Used") | fits_before(destination, landing) | fits_after(source, take_off))
 
 
 def assignable_resources(t, kind: str, candidates: DataFrame | None = None) -> DataFrame:
-    """D12 — (CandidateID, <id column>) for every resource that can take each candidate."""
+    """D12 — (CandidateID, <id column>) for every resource that can take each candidate.
+
+    The listing itself is candidates × fitting resources. Each pair comes from
+    one branch: (b) leaves out what (a) has found.
+    """
     rid = KINDS[kind][0]
-    candidates = t.candidates if candidates is None else candidates
-    ab = _branches_ab(t, kind, candidates)
-    # (c): a resource with no legs serves every candidate it is qualified for. The
-    # category key turns this into an equi join: against the broadcast batch when
-    # it is small, salted over many tasks otherwise (the key has two values).
+    c = (t.candidates if candidates is None else candidates).select(
+        "CandidateID", "SourceField", "DestinationField", "TakeOffTime", "LandingTime", "IsLong")
+    p = resource_profiles(t, (kind,))
+    long = F.col("IsLong")
+    before = (p.withColumn("DestinationField", F.explode("FirstFields")).join(c, "DestinationField")
+              .where((F.col("FirstTime") > F.col("LandingTime")) & qualifies(long)))
+    after = (p.withColumn("SourceField", F.explode("LastFields")).join(c, "SourceField")
+             .where((F.col("LastTime") < F.col("TakeOffTime")) & qualifies(long)
+                    & ~fits_before(F.col("DestinationField"), F.col("LandingTime"))))
     serve = F.when(F.col("Qualified"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    unused = _unassigned(t, kind).select("ResourceID", F.explode(serve).alias("IsLong"))
-    cands, small = broadcast_if_small(candidates.select("CandidateID", "IsLong"), MAX_BROADCAST_CANDIDATES)
-    free = (unused.join(cands, "IsLong") if small else salted_key_join(unused, cands, "IsLong"))
-    free = free.select("CandidateID", "ResourceID")
-    return ab.unionByName(free).withColumnRenamed("ResourceID", rid)
+    free = (p.where(~F.col("Used")).select("ResourceID", F.explode(serve).alias("IsLong"))
+            .join(c.select("CandidateID", "IsLong"), "IsLong"))
+    return _union([x.select("CandidateID", F.col("ResourceID").alias(rid)) for x in (before, after, free)])
 
 
 def available_planes(t, candidates: DataFrame | None = None) -> DataFrame:
@@ -124,14 +151,8 @@ def available_attendants(t, candidates: DataFrame | None = None) -> DataFrame:
     return assignable_resources(t, "attendants", candidates).join(t.attendants, "AttendantID")
 
 
-def _free_by_category(t, kind: str, prefix: str) -> DataFrame:
-    """Never-used resources a candidate of each category may take: one anti join and
-    one aggregate per kind, giving two rows (IsLong = true / false)."""
-    serve = F.when(F.col("Qualified"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    return (_unassigned(t, kind).select(F.explode(serve).alias("IsLong"), "Qualified")
-            .groupBy("IsLong")
-            .agg(F.count(F.lit(1)).alias(f"{prefix}_free"),
-                 F.count(F.when(~F.col("Qualified"), 1)).alias(f"{prefix}_free_unqualified")))
+_COUNTED = [(kind, q) for kind in KINDS for q in (True, False)]
+_COUNTS = [f"{kind}_{'q' if q else 'n'}" for kind, q in _COUNTED]
 
 
 def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
@@ -139,44 +160,70 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
 
     Needs at least one plane; a long candidate, or one whose available planes
     are all Large (vacuously true when there are none), needs 6 attendants and
-    3 pilots, otherwise 3 and 2. Branch (c) resources are counted once per
-    qualification category (a two-row table, never candidate × resource
-    pairs); branches (a)/(b) are grouped per candidate, planes together with
-    their sizes in the same pass.
+    3 pilots, otherwise 3 and 2.
+
+    Only counts are needed, so no candidate × resource pair is made: for (b)
+    the resources whose last landing at the field lies before the take-off are
+    a running count over time, for (a) the total less the running count up to
+    the landing. Both run in two levels, by (field, day) and over the days of
+    a field, so a busy field is spread over its days. (a) and (b) never hold
+    for one resource at once: its first take-off would lie after the landing
+    and its last landing before the take-off. A candidate lands after it takes off.
     """
-    candidates = t.candidates if candidates is None else candidates
-    planes_ab = (_branches_ab(t, "planes", candidates)
-                 .join(t.planes.select(F.col("PlainID").alias("ResourceID"), "Size"), "ResourceID")
-                 .groupBy("CandidateID")
-                 .agg(F.count(F.lit(1)).alias("pl_ab"),
-                      F.bool_and(F.col("Size") == S.SIZE_LARGE).alias("ab_large")))
-    pilots_ab = (_branches_ab(t, "pilots", candidates).groupBy("CandidateID")
-                 .agg(F.count(F.lit(1)).alias("pi_ab")))
-    atts_ab = (_branches_ab(t, "attendants", candidates).groupBy("CandidateID")
-               .agg(F.count(F.lit(1)).alias("at_ab")))
-    free = (_free_by_category(t, "planes", "pl")
-            .join(_free_by_category(t, "pilots", "pi"), "IsLong", "full")
-            .join(_free_by_category(t, "attendants", "at"), "IsLong", "full"))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    big_need = 3, 6
-    small_need = 2, 3
-    out = (candidates.select("CandidateID", "IsLong")
-           .join(planes_ab, "CandidateID", "left").join(pilots_ab, "CandidateID", "left")
-           .join(atts_ab, "CandidateID", "left")
-           .join(F.broadcast(free), "IsLong", "left")          # two rows, one per category
-           .select("CandidateID", "IsLong",
-                   (n("pl_ab") + n("pl_free")).alias("AvailablePlanes"),
-                   (n("pi_ab") + n("pi_free")).alias("AvailablePilots"),
-                   (n("at_ab") + n("at_free")).alias("AvailableAttendants"),
-                   (F.coalesce("ab_large", F.lit(True)) & (n("pl_free_unqualified") == 0)).alias("AllPlanesLarge"))
-           .withColumn("big", F.col("IsLong") | F.col("AllPlanesLarge"))
-           .withColumn("RequiredPilots", F.when(F.col("big"), big_need[0]).otherwise(small_need[0]))
-           .withColumn("RequiredAttendants", F.when(F.col("big"), big_need[1]).otherwise(small_need[1])))
-    return out.select(
-        "CandidateID", "IsLong", "AvailablePlanes", "AllPlanesLarge", "AvailablePilots", "AvailableAttendants",
-        "RequiredPilots", "RequiredAttendants",
-        ((F.col("AvailablePlanes") >= 1) & (F.col("AvailablePilots") >= F.col("RequiredPilots"))
-         & (F.col("AvailableAttendants") >= F.col("RequiredAttendants"))).alias("Feasible"))
+    c = t.candidates if candidates is None else candidates
+    one = [F.when((F.col("Kind") == kind) & (F.col("Qualified") == q), 1).otherwise(0).cast("long").alias(n)
+           for (kind, q), n in zip(_COUNTED, _COUNTS)]
+    none = [F.lit(0).cast("long").alias(n) for n in _COUNTS]
+    events = resource_profiles(t).select(*one, F.explode(F.when(F.col("Used"), F.concat(
+        F.transform("FirstFields", lambda f: F.struct(F.lit("a").alias("side"), f.alias("field"),
+                                                      F.col("FirstTime").alias("at"))),
+        F.transform("LastFields", lambda f: F.struct(F.lit("b").alias("side"), f.alias("field"),
+                                                     F.col("LastTime").alias("at")))))
+        .otherwise(F.array(F.struct(F.lit("c").alias("side"), F.lit(None).cast("string").alias("field"),
+                                    F.lit(None).cast("timestamp_ntz").alias("at"))))).alias("e")).select("e.*", *_COUNTS)
+    events = events.withColumn("day", day_of("at"))
+    per_day = events.groupBy("side", "field", "day").agg(*[F.sum(n).alias(n) for n in _COUNTS])
+    days = W.partitionBy("side", "field").orderBy("day")
+    field = W.partitionBy("side", "field")
+    asked = c.select("CandidateID", "IsLong", F.inline(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("DestinationField").alias("field"), F.col("LandingTime").alias("at")),
+        F.struct(F.lit("b").alias("side"), F.col("SourceField").alias("field"), F.col("TakeOffTime").alias("at")))))
+    asked = asked.withColumn("day", day_of("at"))
+    # Days asked about take part in the running totals, so that each finds its own row.
+    ask_days = asked.select("side", "field", "day").distinct().select("*", *none)
+    upto = (per_day.where("side != 'c'").unionByName(ask_days)
+            .groupBy("side", "field", "day").agg(*[F.sum(n).alias(n) for n in _COUNTS])
+            .select("side", "field", "day",
+                    *[(F.sum(n).over(days) - F.col(n)).alias(f"{n}_before") for n in _COUNTS],
+                    *[F.sum(n).over(field).alias(f"{n}_all") for n in _COUNTS]))
+    # Within a day: events at the very minute of a landing are not after it, of a take-off not before it.
+    order = F.when(F.col("side") == "a", F.col("asks")).otherwise(1 - F.col("asks"))
+    in_day = W.partitionBy("side", "field", "day").orderBy("at", "order").rowsBetween(W.unboundedPreceding, 0)
+    line = (events.where("side != 'c'").select("side", "field", "day", "at", *_COUNTS, F.lit(0).alias("asks"),
+                                               F.lit(None).cast(c.schema["CandidateID"].dataType).alias("CandidateID"),
+                                               F.lit(None).cast("boolean").alias("IsLong"))
+            .unionByName(asked.select("side", "field", "day", "at", *none, F.lit(1).alias("asks"), "CandidateID", "IsLong"))
+            .withColumn("order", order))
+    seen = (line.select("*", *[F.sum(n).over(in_day).alias(f"{n}_in") for n in _COUNTS]).where("asks = 1")
+            .join(upto, ["side", "field", "day"]))
+    count = {n: F.when(F.col("side") == "a", F.col(f"{n}_all") - F.col(f"{n}_before") - F.col(f"{n}_in"))
+             .otherwise(F.col(f"{n}_before") + F.col(f"{n}_in")) for n in _COUNTS}
+    found = seen.groupBy("CandidateID", "IsLong").agg(*[F.sum(count[n]).alias(n) for n in _COUNTS])
+    free = per_day.where("side = 'c'").agg(F.struct(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _COUNTS])).scalar()
+    total = found.withColumn("free", free)
+    usable = lambda kind: (F.col(f"{kind}_q") + F.col(f"free.{kind}_q")
+                           + F.when(F.col("IsLong"), 0).otherwise(F.col(f"{kind}_n") + F.col(f"free.{kind}_n")))
+    small_planes = F.when(F.col("IsLong"), 0).otherwise(F.col("planes_n") + F.col("free.planes_n"))
+    big = F.col("IsLong") | F.col("AllPlanesLarge")
+    return (total.select("CandidateID", "IsLong", usable("planes").alias("AvailablePlanes"),
+                         usable("pilots").alias("AvailablePilots"), usable("attendants").alias("AvailableAttendants"),
+                         (small_planes == 0).alias("AllPlanesLarge"))
+            .withColumn("RequiredPilots", F.when(big, 3).otherwise(2))
+            .withColumn("RequiredAttendants", F.when(big, 6).otherwise(3))
+            .select("CandidateID", "IsLong", "AvailablePlanes", "AllPlanesLarge", "AvailablePilots",
+                    "AvailableAttendants", "RequiredPilots", "RequiredAttendants",
+                    ((F.col("AvailablePlanes") >= 1) & (F.col("AvailablePilots") >= F.col("RequiredPilots"))
+                     & (F.col("AvailableAttendants") >= F.col("RequiredAttendants"))).alias("Feasible")))
 
 
 def crew_requirement(t) -> DataFrame:

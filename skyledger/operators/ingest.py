@@ -17,14 +17,14 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger import schemas as S
-from skyledger.functions.scalar import as_of_lit, seat_token_col, seat_token_line, trunc_day
+from skyledger.functions.scalar import add_seconds, as_of_lit, is_long, seat_token_col, seat_token_line, trunc_day
+from skyledger.operators.assign import can_take, qualifies, resource_profiles, staffing_feasibility
 from skyledger.operators.inventory import occupied_seats
-from skyledger.operators.relational import allocate_ids, first_k_per_group, first_per_key
-from skyledger.session import checkpoint_dir
-from skyledger.sources.views import Tables
+from skyledger.operators.relational import allocate_ids, first_k_per_group
+from skyledger.sources.io import store
 
 REASON = "RejectReason"
 
@@ -37,11 +37,11 @@ def rejected(result: DataFrame) -> DataFrame:
     return result.filter(F.col(REASON).isNotNull())
 
 
-def _first_reason(checks: list[tuple[Column, str]]) -> Column:
+def _first_reason(checks: list[tuple[Column, str | Column]]) -> Column:
     """First failing check's label; NULL when all pass (NULL checks count as passing)."""
     out = F.lit(None).cast("string")
     for cond, label in reversed(checks):
-        out = F.when(F.coalesce(cond, F.lit(False)), F.lit(label)).otherwise(out)
+        out = F.when(F.coalesce(cond, F.lit(False)), label if isinstance(label, Column) else F.lit(label)).otherwise(out)
     return out
 
 
@@ -55,13 +55,15 @@ def _flag(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _mark_in_batch_duplicates(df: DataFrame, keys: list[str], label: str = "duplicate in batch") -> DataFrame:
-    """Among rows without a reason yet, only the first (by Seq) per key is kept."""
-    ok = df.filter(F.col(REASON).isNull())
-    winners = first_per_key(ok, keys, "Seq").select(*keys, "Seq").withColumn("_win", F.lit(True))
-    out = df.join(winners, [*keys, "Seq"], "left")
-    return (out.withColumn(REASON, F.when(F.col(REASON).isNull() & F.col("_win").isNull(), F.lit(label))
-                           .otherwise(F.col(REASON)))
-            .drop("_win"))
+    """Among rows without a reason yet, only the first (by Seq) per key is kept.
+
+    The first Seq per key is a partial aggregate, so a key that many requests
+    share meets in no single task; the join back is split by AQE if it is skewed.
+    """
+    first = (df.filter(F.col(REASON).isNull()).groupBy(*keys).agg(F.min("Seq").alias("_first")))
+    late = F.col(REASON).isNull() & (F.col("Seq") != F.col("_first"))
+    return (df.join(first, keys, "left")
+            .withColumn(REASON, F.when(late, F.lit(label)).otherwise(F.col(REASON))).drop("_first"))
 
 
 # ---- I1 customers / guests --------------------------------------------------------
@@ -77,7 +79,7 @@ def ingest_customers(t, batch: DataFrame) -> DataFrame:
          .join(_flag(t.customers, ["Email"], "_cust"), "Email", "left")
          .join(_flag(t.guests, ["Email"], "_guest"), "Email", "left"))
     signed = F.col("IsSignedUp")
-    missing = (F.col("Email").isNull() | F.col("EngFirstName").isNull() | F.col("EngLastName").isNull()
+    missing = (_missing("Email", "EngFirstName", "EngLastName", "IsSignedUp")
                | (signed & (F.col("PassportNumber").isNull() | F.col("Birthdate").isNull()
                             | F.col("SignUpDate").isNull())))
     b = b.withColumn(REASON, _first_reason([
@@ -92,27 +94,33 @@ def ingest_customers(t, batch: DataFrame) -> DataFrame:
 
 def ingest_phones(t, batch: DataFrame) -> DataFrame:
     """I2 — batch: Email, Phone, IsSignedUp, Seq. Phones are trimmed; stored pairs are
-    skipped; a user keeps at most 10 phones (stored + new, in arrival order)."""
+    skipped; a user keeps at most 10 phones (stored + new, in arrival order).
+
+    Stored phones and valid requests are reduced together to one row per
+    (user, phone); the ranking of the new ones and the count of the stored ones
+    then work on those, and the verdicts go back to the requests in one join.
+    """
+    user = ["Email", "IsSignedUp"]
     stored = (t.customer_phones.withColumn("IsSignedUp", F.lit(True))
               .unionByName(t.guest_phones.withColumn("IsSignedUp", F.lit(False))))
-    have = stored.groupBy("Email", "IsSignedUp").agg(F.count(F.lit(1)).alias("_have"))
     b = (batch.withColumn("Phone", F.trim("Phone"))
-         .join(stored.withColumn("_known", F.lit(True)), ["Email", "IsSignedUp", "Phone"], "left")
          .withColumn(REASON, _first_reason([
-             (_missing("Email", "IsSignedUp"), "missing field"),
-             (F.col("Phone").isNull() | (F.col("Phone") == ""), "empty phone"),
-             (F.col("_known").isNotNull(), "exists")]))
-         .drop("_known"))
-    b = _mark_in_batch_duplicates(b, ["Email", "IsSignedUp", "Phone"])
-    ranked = (first_k_per_group(b.filter(F.col(REASON).isNull()), ["Email", "IsSignedUp"], ["Seq"],
-                                S.MAX_PHONES_PER_USER, rank_col="_rank")
-              .select("Email", "IsSignedUp", "Seq", "_rank"))
-    out = (b.join(ranked, ["Email", "IsSignedUp", "Seq"], "left")
-           .join(have, ["Email", "IsSignedUp"], "left"))
-    over = F.col(REASON).isNull() & (F.col("_rank").isNull()
-                                     | (F.col("_rank") + F.coalesce("_have", F.lit(0)) > S.MAX_PHONES_PER_USER))
-    return (out.withColumn(REASON, F.when(over, F.lit("too many phones")).otherwise(F.col(REASON)))
-            .drop("_rank", "_have"))
+             (_missing(*user), "missing field"),
+             (F.col("Phone").isNull() | (F.col("Phone") == ""), "empty phone")])))
+    pairs = (stored.select(*user, "Phone", F.lit(None).cast("long").alias("Seq"), F.lit(True).alias("_known"))
+             .unionByName(b.filter(F.col(REASON).isNull()).select(*user, "Phone", F.col("Seq").cast("long").alias("Seq"),
+                                                                  F.lit(False).alias("_known")))
+             .groupBy(*user, "Phone").agg(F.min("Seq").alias("_first"), F.bool_or("_known").alias("_known")))
+    have = pairs.filter("_known").groupBy(*user).agg(F.count(F.lit(1)).alias("_have"))
+    new = first_k_per_group(pairs.filter("NOT _known"), user, "_first", S.MAX_PHONES_PER_USER)
+    kept = (new.join(have, user, "left")
+            .filter(F.col("_rank") + F.coalesce("_have", F.lit(0)) <= S.MAX_PHONES_PER_USER)
+            .select(F.col("_first").alias("Seq"), F.lit(True).alias("_kept")))
+    return (b.join(pairs, [*user, "Phone"], "left").join(kept, "Seq", "left")
+            .select(*batch.columns, F.coalesce(REASON, _first_reason([
+                (F.col("_known"), "exists"),
+                (F.col("Seq") != F.col("_first"), "duplicate in batch"),
+                (F.col("_kept").isNull(), "too many phones")])).alias(REASON)))
 
 
 # ---- I3 orders -----------------------------------------------------------------------------
@@ -124,6 +132,11 @@ def ingest_orders(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
     order), status Active, today's date, the flight's plane, and go to the
     customer table when the email is registered, else to the guest table.
     """
+    return _as_orders(t, _order_requests(t, batch, as_of), as_of)
+
+
+def _order_requests(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Requests with their flight's plane, whether the email is registered, and the reject reason."""
     fl = t.flights.select("FlightID", F.col("PlainID").alias("_plane"), "TakeOffTime", "IsDeleted",
                           F.lit(True).alias("_fl"))
     priced = _flag(t.prices, ["FlightID", "ClassType"], "_priced")
@@ -131,17 +144,20 @@ def ingest_orders(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
          .join(fl, "FlightID", "left")
          .join(priced, ["FlightID", "ClassType"], "left")
          .join(_flag(t.customers, ["Email"], "_cust"), "Email", "left"))
-    b = b.withColumn(REASON, _first_reason([
+    return b.withColumn(REASON, _first_reason([
         (_missing("Email", "FlightID", "ClassType"), "missing field"),
         (F.col("_mgr").isNotNull(), "manager email"),
         (F.col("_fl").isNull(), "unknown flight"),
         (F.col("IsDeleted"), "flight deleted"),
         (F.col("TakeOffTime") <= as_of_lit(as_of), "flight departed"),
         (F.col("_priced").isNull(), "class not offered"),
-    ]))
+    ])).select(*batch.columns, "_plane", "_cust", REASON)
+
+
+def _as_orders(t, b: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Order columns of validated requests; accepted ones get their new ids."""
     start = t.orders.agg(F.coalesce(F.max("OrderID"), F.lit(0)).cast("long")).scalar()
-    ok = allocate_ids(b.filter(F.col(REASON).isNull()).select("Seq"), ["Seq"], start, "OrderID")
-    out = b.join(ok, "Seq", "left")
+    out = allocate_ids(b, "Seq", start, "OrderID", F.col(REASON).isNull())
     return out.select(
         "Seq", "Email", "FlightID", "ClassType", REASON,
         "OrderID",
@@ -162,26 +178,31 @@ def ingest_order_seats(t, batch: DataFrame) -> DataFrame:
     batch (first request wins).
     """
     o = t.orders.select("CustomerKind", "OrderID", "FlightID", "PlainID", "ClassType", F.lit(True).alias("_o"))
-    cab = t.cabins.select("PlainID", "ClassType", "NumberRows", "NumberCols")
-    taken = _flag(occupied_seats(t), ["FlightID", "ClassType", "Line", "SeatLetter"], "_taken")
-    b = (batch.withColumn("Line", seat_token_line("SeatToken")).withColumn("SeatLetter", seat_token_col("SeatToken"))
-         .join(o, ["CustomerKind", "OrderID"], "left")
-         .join(cab, ["PlainID", "ClassType"], "left")
-         .join(taken, ["FlightID", "ClassType", "Line", "SeatLetter"], "left"))
-    bad_seat = (F.col("Line").isNull() | F.col("SeatLetter").isNull() | F.col("NumberRows").isNull()
-                | (F.col("Line") < 1) | (F.col("SeatLetter") < 1)
-                | (F.col("Line") > F.col("NumberRows")) | (F.col("SeatLetter") > F.col("NumberCols")))
-    b = b.withColumn(REASON, _first_reason([
+    b = _seat_checks(t, batch.join(o, ["CustomerKind", "OrderID"], "left"), [
         (_missing("CustomerKind", "OrderID", "SeatToken"), "missing field"),
-        (F.col("_o").isNull(), "unknown order"),
-        (bad_seat, "no such seat"),
-        (F.col("_taken").isNotNull(), "seat taken"),
-    ]))
+        (F.col("_o").isNull(), "unknown order")])
     b = _mark_in_batch_duplicates(b, ["FlightID", "ClassType", "Line", "SeatLetter"], "seat requested twice")
     return b.select("Seq", "CustomerKind", "OrderID", "SeatToken", "Line", "SeatLetter", "FlightID", "ClassType",
                     REASON)
 
 
+SEAT = ["FlightID", "ClassType", "Line", "SeatLetter"]
+
+
+def _seat_checks(t, requests: DataFrame, before: list[tuple[Column, str]]) -> DataFrame:
+    """Line, SeatLetter and reason of seat requests that carry FlightID, PlainID, ClassType and SeatToken."""
+    cab = t.cabins.select("PlainID", "ClassType", "NumberRows", "NumberCols")
+    taken = _flag(occupied_seats(t), SEAT, "_taken")
+    b = (requests.withColumn("Line", seat_token_line("SeatToken"))
+         .withColumn("SeatLetter", seat_token_col("SeatToken"))
+         .join(cab, ["PlainID", "ClassType"], "left").join(taken, SEAT, "left"))
+    bad_seat = (F.col("Line").isNull() | F.col("SeatLetter").isNull() | F.col("NumberRows").isNull()
+                | (F.col("Line") < 1) | (F.col("SeatLetter") < 1)
+                | (F.col("Line") > F.col("NumberRows")) | (F.col("SeatLetter") > F.col("NumberCols")))
+    return b.withColumn(REASON, _first_reason([
+        *before, (bad_seat, "no such seat"), (F.col("_taken").isNotNull(), "seat taken")]))
+
+
 # ---- I5/I6 planes and cabins -------------------------------------------------------------------
 
 def ingest_planes(t, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -211,47 +232,56 @@ def ingest_planes(t, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- I7 flights --------------------------------------------------------------------------------
 
-def ingest_flights(t, batch: DataFrame, as_of: dt.datetime, check_staffing: bool = False) -> DataFrame:
+def ingest_flights(t, batch: DataFrame, as_of: dt.datetime, check_staffing: bool = True) -> DataFrame:
     """I7 — batch: PlainID, TakeOffTime, SourceField, DestinationField, Seq.
 
     Refused: same source and destination, no such route, unknown plane, a
-    take-off day that is not after ``as_of``; with ``check_staffing`` also a
-    flight that cannot be staffed (D14: the batch's valid flights are the
-    planning candidates, landing = take-off + route duration). Accepted rows
-    get a new FlightID (after the largest existing one, in Seq order) and
-    IsDeleted = false.
+    take-off day that is not after ``as_of``; a flight that cannot be staffed
+    (D14: the batch's valid flights are the planning candidates, landing =
+    take-off + route duration), a plane that cannot take the flight (D12), and
+    all but the first flight of a plane in the batch, as the first one changes where
+    the plane is. Accepted rows get a new FlightID (after the largest existing
+    one, in Seq order) and IsDeleted = false. ``check_staffing=False`` leaves
+    the last three checks out (flights whose crews are planned elsewhere).
+
+    The requests that pass the first checks are stored once in the shared
+    folder; the staffing checks and the result read them from there.
     """
-    from skyledger.functions.scalar import add_seconds, is_long
-    from skyledger.operators.assign import staffing_feasibility
-    b = (batch.join(_flag(t.routes, ["SourceField", "DestinationField"], "_route"),
+    b = (batch.join(t.routes.select("SourceField", "DestinationField", "DurationSec"),
                     ["SourceField", "DestinationField"], "left")
          .join(_flag(t.planes, ["PlainID"], "_plane"), "PlainID", "left"))
     b = b.withColumn(REASON, _first_reason([
         (_missing("PlainID", "TakeOffTime", "SourceField", "DestinationField"), "missing field"),
         (F.col("SourceField") == F.col("DestinationField"), "same field"),
-        (F.col("_route").isNull(), "no route"),
+        (F.col("DurationSec").isNull(), "no route"),
         (F.col("_plane").isNull(), "unknown plane"),
         (trunc_day("TakeOffTime") <= as_of_lit(as_of), "not in the future"),
-    ])).drop("_route", "_plane")
+    ])).drop("_plane")
     if check_staffing:
-        cands = (b.filter(F.col(REASON).isNull())
-                 .join(t.routes, ["SourceField", "DestinationField"])
-                 .select(F.col("Seq").cast("string").alias("CandidateID"), "SourceField", "DestinationField",
-                         "TakeOffTime", add_seconds("TakeOffTime", "DurationSec").alias("LandingTime"),
-                         "DurationSec", is_long("DurationSec").alias("IsLong")))
-        feas = staffing_feasibility(t, cands).select(F.col("CandidateID").cast("long").alias("Seq"), "Feasible")
-        b = (b.join(feas, "Seq", "left")
-             .withColumn(REASON, F.coalesce(F.col(REASON),
-                                            F.when(~F.col("Feasible"), F.lit("cannot be staffed"))))
-             .drop("Feasible"))
+        b = _staffing_checks(t, store(b, "flight-requests"))
     start = t.flights.agg(F.coalesce(F.max("FlightID"), F.lit(0)).cast("long")).scalar()
-    ok = allocate_ids(b.filter(F.col(REASON).isNull()).select("Seq"), ["Seq"], start, "FlightID")
-    return (b.join(ok, "Seq", "left")
+    return (allocate_ids(b, "Seq", start, "FlightID", F.col(REASON).isNull())
             .withColumn("IsDeleted", F.when(F.col(REASON).isNull(), F.lit(False)))
             .select("Seq", "FlightID", "PlainID", "TakeOffTime", "SourceField", "DestinationField", "IsDeleted",
                     REASON))
 
 
+def _staffing_checks(t, b: DataFrame) -> DataFrame:
+    landing = add_seconds("TakeOffTime", "DurationSec")
+    long = is_long("DurationSec")
+    cands = (b.filter(F.col(REASON).isNull())
+             .select(F.col("Seq").alias("CandidateID"), "SourceField", "DestinationField", "TakeOffTime",
+                     landing.alias("LandingTime"), "DurationSec", long.alias("IsLong")))
+    feasible = staffing_feasibility(t, cands).select(F.col("CandidateID").alias("Seq"), "Feasible")
+    planes = resource_profiles(t, ("planes",)).withColumnRenamed("ResourceID", "PlainID").drop("Kind")
+    fits = can_take(F.col("SourceField"), F.col("DestinationField"), F.col("TakeOffTime"), landing, long)
+    b = (b.join(feasible, "Seq", "left").join(planes, "PlainID", "left")
+         .withColumn(REASON, F.coalesce(REASON, _first_reason([(~F.col("Feasible"), "cannot be staffed"),
+                                                               (~fits, "plane not available")])))
+         .drop("Feasible", *[c for c in planes.columns if c != "PlainID"]))
+    return _mark_in_batch_duplicates(b, ["PlainID"], "plane used twice in batch")
+
+
 # ---- I8 prices -----------------------------------------------------------------------------------
 
 def ingest_flight_prices(t, batch: DataFrame) -> DataFrame:
@@ -293,25 +323,46 @@ def ingest_crew(t, batch: DataFrame) -> DataFrame:
 
 def ingest_crew_assignments(t, batch: DataFrame) -> DataFrame:
     """I10 — batch: FlightID, PilotIDs array, AttendantIDs array. One row per
-    (flight, crew member) with whether the flight's chosen crew meets the
-    plane-size requirement (D15)."""
-    rows = (batch.select("FlightID", F.explode(F.array_distinct("PilotIDs")).alias("EmployeeID"),
-                         F.lit(S.ROLE_PILOT).alias("Role"))
-            .unionByName(batch.select("FlightID", F.explode(F.array_distinct("AttendantIDs")).alias("EmployeeID"),
-                                      F.lit(S.ROLE_ATTENDANT).alias("Role"))))
-    size = (batch.select("FlightID", F.size(F.array_distinct("PilotIDs")).alias("_np"),
-                         F.size(F.array_distinct("AttendantIDs")).alias("_na"))
-            .join(t.flights.select("FlightID", "PlainID"), "FlightID", "left")
-            .join(t.planes.select("PlainID", "Size"), "PlainID", "left"))
+    (flight, crew member) with whether the number chosen meets the plane-size
+    requirement (D15).
+
+    Refused, in this order: a flight that does not exist, a person without the
+    role, a person not qualified for a long flight, one already on this
+    flight, one whose schedule cannot take the flight (D12), a flight whose
+    chosen crew is too small, and all but the person's first flight (by
+    FlightID) in the batch, as that one changes where the person is.
+    """
+    kind = lambda k, col: batch.select("FlightID", F.explode(F.array_distinct(col)).alias("EmployeeID"),
+                                       F.lit(k).alias("Kind"))
+    rows = kind("pilots", "PilotIDs").unionByName(kind("attendants", "AttendantIDs"))
+    chosen = batch.select("FlightID", F.size(F.array_distinct("PilotIDs")).alias("_np"),
+                          F.size(F.array_distinct("AttendantIDs")).alias("_na"))
     large = F.col("Size") == S.SIZE_LARGE
-    req = size.select("FlightID", "Size",
-                      ((F.col("_np") >= F.when(large, 3).otherwise(2))
-                       & (F.col("_na") >= F.when(large, 6).otherwise(3))).alias("CrewComplete"))
-    out = rows.join(req, "FlightID", "left")
-    return out.withColumn(REASON, _first_reason([
+    flight = (t.flights.join(t.planes.select("PlainID", "Size"), "PlainID", "left")
+              .join(t.routes, ["SourceField", "DestinationField"], "left"))
+    req = (chosen.join(flight, "FlightID", "left")
+           .withColumn("CrewComplete", (F.col("_np") >= F.when(large, 3).otherwise(2))
+                       & (F.col("_na") >= F.when(large, 6).otherwise(3))))
+    people = resource_profiles(t, ("pilots", "attendants")).withColumnRenamed("ResourceID", "EmployeeID")
+    on_flight = (t.working_pilots.select("FlightID", F.col("PilotID").alias("EmployeeID"), F.lit("pilots").alias("Kind"))
+                 .unionByName(t.working_attendants.select("FlightID", F.col("AttendantID").alias("EmployeeID"),
+                                                          F.lit("attendants").alias("Kind"))))
+    b = (rows.join(req, "FlightID", "left").join(people, ["Kind", "EmployeeID"], "left")
+         .join(on_flight.withColumn("_there", F.lit(True)), ["FlightID", "EmployeeID", "Kind"], "left"))
+    long = F.coalesce(is_long("DurationSec"), F.lit(False))
+    fits = can_take(F.col("SourceField"), F.col("DestinationField"), F.col("TakeOffTime"),
+                    add_seconds("TakeOffTime", "DurationSec"), long)
+    b = b.withColumn("Seq", F.col("FlightID")).withColumn(REASON, _first_reason([
         (F.col("Size").isNull(), "unknown flight"),
+        (F.col("Qualified").isNull(), "no such employee in the role"),
+        (~qualifies(long), "not qualified for long flights"),
+        (F.col("_there").isNotNull(), "already on the flight"),
+        (~fits, "not available"),
         (~F.col("CrewComplete"), "crew short of requirement"),
     ]))
+    role = F.when(F.col("Kind") == "pilots", S.ROLE_PILOT).otherwise(S.ROLE_ATTENDANT).alias("Role")
+    return (_mark_in_batch_duplicates(b, ["Kind", "EmployeeID"], "assigned twice in batch")
+            .select("FlightID", "EmployeeID", role, "Size", "CrewComplete", REASON))
 
 
 # ---- I11 key audit ---------------------------------------------------------------------------------------------
@@ -319,35 +370,42 @@ def ingest_crew_assignments(t, batch: DataFrame) -> DataFrame:
 def check_keys(t) -> DataFrame:
     """I11 — PRIMARY KEY, NOT NULL and FOREIGN KEY audit over every table.
 
-    One row per check: (TableName, CheckName, Columns, Violations). The key
-    checks of a table share one pass: rows are grouped by the key (partial
-    aggregation absorbs a hot key), then one global aggregate yields both the
-    surplus rows of duplicated keys and the rows whose key has a NULL. Foreign
-    keys are anti joins against the parent's distinct keys.
+    One row per check: (TableName, CheckName, Columns, Violations). A table is
+    reduced once to one row per key with its row count and the number of NULLs
+    in every required column, so a repeated key meets in no single task; one
+    global aggregate of those yields all its key and NULL checks. A foreign key
+    groups child and parent keys together and counts the child rows of groups without
+    a parent (a key with a NULL refers to nothing, and counts).
     """
     checks = []
+
+    def row(name: str, columns: list[str], value: Column) -> Column:
+        return F.struct(F.lit(name).alias("CheckName"), F.lit(",".join(columns)).alias("Columns"),
+                        F.coalesce(value, F.lit(0)).cast("long").alias("Violations"))
+
     for table, keys in S.PRIMARY_KEYS.items():
         if t.get(table) is None:
             continue
-        any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        per_key = t[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        both = per_key.agg(
-            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("long").alias("pk"),
-            F.coalesce(F.sum(F.when(any_null, F.col("n"))), F.lit(0)).cast("long").alias("nn"))
-        cols = ",".join(keys)
-        checks.append(both.select(F.lit(table).alias("TableName"), F.inline(F.array(
-            F.struct(F.lit("primary key").alias("CheckName"), F.lit(cols).alias("Columns"),
-                     F.col("pk").alias("Violations")),
-            F.struct(F.lit("not null").alias("CheckName"), F.lit(cols).alias("Columns"),
-                     F.col("nn").alias("Violations"))))))
+        required = [c for c in S.REQUIRED[table] if c in t[table].columns]
+        null = lambda c: F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}")
+        per_key = t[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[null(c) for c in required if c not in keys])
+        total = {c: F.sum(F.when(F.col(c).isNull(), F.col("_n"))) if c in keys else F.sum(f"_null_{c}") for c in required}
+        one = per_key.agg(F.sum(F.col("_n") - 1).alias("_pk"), *[v.alias(f"_t_{c}") for c, v in total.items()])
+        checks.append(one.select(F.lit(table).alias("TableName"), F.inline(F.array(
+            row("primary key", keys, F.col("_pk")), *[row("not null", [c], F.col(f"_t_{c}")) for c in required]))))
     for child, ccols, parent, pcols in S.FOREIGN_KEYS:
         if t.get(child) is None or t.get(parent) is None:
             continue
-        par = t[parent].select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols)]).distinct()
-        orphans = t[child].select(*ccols).join(par, ccols, "left_anti").agg(F.count(F.lit(1)).alias("Violations"))
-        checks.append(orphans.select(F.lit(child).alias("TableName"),
-                                     F.lit(f"foreign key -> {parent}").alias("CheckName"),
-                                     F.lit(",".join(ccols)).alias("Columns"), "Violations"))
+        own = t[child] if child != "orders" or parent not in ("customers", "guests") else \
+            t[child].filter(F.col("CustomerKind") == (S.KIND_CUSTOMER if parent == "customers" else S.KIND_GUEST))
+        both = (own.select(*ccols, F.lit(1).alias("_child"), F.lit(0).alias("_parent"))
+                .unionByName(t[parent].select(*[F.col(p).alias(c) for p, c in zip(pcols, ccols)],
+                                              F.lit(0).alias("_child"), F.lit(1).alias("_parent"))))
+        groups = both.groupBy(*ccols).agg(F.sum("_child").alias("_c"), F.sum("_parent").alias("_p"))
+        lost = (F.col("_p") == 0) | reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ccols])
+        checks.append(groups.agg(F.sum(F.when(lost, F.col("_c"))).alias("_v"))
+                      .select(F.lit(child).alias("TableName"),
+                              F.inline(F.array(row(f"foreign key -> {parent}", ccols, F.col("_v"))))))
     return reduce(lambda a, b: a.unionByName(b), checks)
 
 
@@ -356,37 +414,54 @@ def check_keys(t) -> DataFrame:
 def ingest_bookings(t, batch: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Booking requests — Email, FlightID, ClassType, SeatTokens (array of 'row-col'), Seq.
 
-    The order is validated as in :func:`ingest_orders` (new id, Active, today),
-    then its seats as in :func:`ingest_order_seats` against the existing
-    bookings plus this batch. A booking is accepted only when the order and
-    every one of its seats are (all or nothing, as one purchase); otherwise the
-    first reason is reported. Returns ``(bookings, seats)``: one row per
-    request, and the seat rows of the accepted bookings, ready to append.
+    The order is validated as in :func:`ingest_orders`, its seats as in
+    :func:`ingest_order_seats`; a booking is accepted only with all its seats, as one
+    purchase. Bookings count in the order of ``Seq``: one that is refused holds
+    no seat, so a later booking of the same seat may still have it. Accepted
+    bookings get their ids after that, without gaps. Returns ``(bookings,
+    seats)``: one row per request with the first reason, and the seat rows of
+    the accepted bookings, ready to append.
+
+    Seats are settled in rounds. A pending booking that comes first on every
+    seat it asks for wins; those that share a seat with a winner are refused;
+    the rest go to the next round, and the first of a cabin always wins, so a
+    cabin takes no more rounds than it has seats. Each round is stored in the
+    shared folder.
     """
-    # Validated orders with their new ids are written once to the shared checkpoint
-    # folder: every later step reads the same ids, and the lineage stops here.
-    checkpoint_dir(batch.sparkSession)
-    orders = ingest_orders(t, batch.select("Seq", "Email", "FlightID", "ClassType"), as_of).checkpoint()
-    new_orders = accepted(orders).select(*t.orders.columns)
-    # seat request order: booking order first, then position in the booking's list
-    width = batch.agg(F.greatest(F.max(F.size("SeatTokens")), F.lit(1)).cast("long")).scalar()
-    seat_req = (accepted(orders).select("Seq", "CustomerKind", "OrderID")
-                .join(batch.select("Seq", "SeatTokens"), "Seq")
-                .select(F.col("Seq").alias("BookingSeq"), "CustomerKind", "OrderID",
-                        F.posexplode("SeatTokens").alias("pos", "SeatToken"))
-                .withColumn("Seq", F.col("BookingSeq") * width + F.col("pos")))
-    t2 = Tables(t)
-    t2["orders"] = t.orders.unionByName(new_orders)
-    seats = ingest_order_seats(t2, seat_req.drop("BookingSeq", "pos")).join(
-        seat_req.select("Seq", "BookingSeq"), "Seq")
-    seat_verdict = (seats.groupBy("BookingSeq")
-                    .agg(F.min_by(REASON, F.when(F.col(REASON).isNotNull(), F.col("Seq"))).alias("_seat_reason"),
-                         F.count(F.lit(1)).alias("_n_seats")))
-    out = (orders.join(seat_verdict.withColumnRenamed("BookingSeq", "Seq"), "Seq", "left")
-           .withColumn(REASON, F.coalesce(F.col(REASON), F.col("_seat_reason"),
-                                          F.when(F.coalesce(F.col("_n_seats"), F.lit(0)) == 0, F.lit("no seats"))))
-           .drop("_seat_reason", "_n_seats"))
-    ok_bookings = out.filter(F.col(REASON).isNull()).select(F.col("Seq").alias("BookingSeq"))
-    seat_rows = (seats.join(ok_bookings, "BookingSeq", "left_semi")
-                 .select("CustomerKind", "OrderID", "Line", "SeatLetter"))
-    return out, seat_rows
+    requests = store(_order_requests(t, batch, as_of), "booking-requests")
+    seats = (requests.filter(F.col(REASON).isNull())
+             .select("Seq", "FlightID", "ClassType", F.col("_plane").alias("PlainID"),
+                     F.posexplode("SeatTokens").alias("_pos", "SeatToken")))
+    seats = _seat_checks(t, seats, []).withColumn(
+        "_twice", F.row_number().over(W.partitionBy("Seq", *SEAT[2:]).orderBy("_pos")) > 1)  # one booking's few seats
+    seats = store(seats.withColumn(REASON, F.coalesce(REASON, F.when(F.col("_twice"), F.lit("seat requested twice"))))
+                  .select("Seq", "_pos", *SEAT, REASON), "booking-seats")
+    bad = seats.filter(F.col(REASON).isNotNull()).groupBy("Seq").agg(F.min_by(REASON, "_pos").alias("_bad"))
+    pending = seats.join(bad, "Seq", "left_anti").select("Seq", *SEAT)
+    won, lost = [], []
+    while True:
+        pending = store(pending, "pending-seats")
+        if pending.isEmpty():
+            break
+        first = pending.groupBy(*SEAT).agg(F.min("Seq").alias("_first"))
+        state = (pending.join(first, SEAT).groupBy("Seq")
+                 .agg(F.bool_and(F.col("Seq") == F.col("_first")).alias("_wins")))
+        winners = store(state.filter("_wins").select("Seq"), "booking-winners")
+        gone = pending.join(winners, "Seq", "left_semi").select(*SEAT)
+        losers = store(pending.join(gone, SEAT, "left_semi").select("Seq").distinct()
+                       .join(winners, "Seq", "left_anti"), "booking-losers")
+        won.append(winners)
+        lost.append(losers)
+        pending = pending.join(winners.unionByName(losers), "Seq", "left_anti")
+    none = requests.select("Seq").limit(0)
+    winners = reduce(DataFrame.unionByName, won, none).withColumn("_won", F.lit(True))
+    verdict = (requests.join(bad, "Seq", "left").join(winners, "Seq", "left")
+               .withColumn(REASON, F.coalesce(REASON, _first_reason([
+                   (F.coalesce(F.size("SeatTokens"), F.lit(0)) <= 0, "no seats"),
+                   (F.col("_bad").isNotNull(), F.col("_bad")),
+                   (F.col("_won").isNull(), "seat requested twice")])))
+               .drop("_bad", "_won"))
+    bookings = _as_orders(t, verdict, as_of)
+    taken = (seats.join(bookings.filter(F.col(REASON).isNull()).select("Seq", "CustomerKind", "OrderID"), "Seq")
+             .select("CustomerKind", "OrderID", "Line", "SeatLetter"))
+    return bookings, taken

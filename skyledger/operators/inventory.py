@@ -12,12 +12,11 @@ from __future__ import annotations
 import datetime as dt
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger import schemas as S
 from skyledger.functions import predicates as P
 from skyledger.functions.scalar import add_seconds, as_of_lit, is_long
-from skyledger.operators.relational import bounded
 
 CABIN_KEY = ["FlightID", "ClassType", "PlainID"]
 
@@ -30,10 +29,13 @@ def occupied_seats(t, include_cancelled: bool = False) -> DataFrame:
 
 
 def _live_seat_counts(t, only_flights: DataFrame | None = None) -> DataFrame:
-    """(cabin key, n): seats of each live order — seats counted per order first."""
+    """(cabin key, n): seats of live orders — counted per order first, or, for a
+    selection of flights, only the seats of their orders, counted after the join."""
     orders = t.orders.filter(P.not_cancelled("OrderStatus")).select("CustomerKind", "OrderID", *CABIN_KEY)
     if only_flights is not None:
-        orders = orders.join(only_flights, "FlightID", "left_semi")
+        chosen = orders.join(only_flights, "FlightID", "left_semi")
+        return (t.seats.select("CustomerKind", "OrderID").join(chosen, ["CustomerKind", "OrderID"])
+                .groupBy(*CABIN_KEY).agg(F.count(F.lit(1)).alias("n")))
     seats_per_order = t.seats.groupBy("CustomerKind", "OrderID").agg(F.count(F.lit(1)).alias("n"))
     return orders.join(seats_per_order, ["CustomerKind", "OrderID"]).select(*CABIN_KEY, "n")
 
@@ -79,19 +81,27 @@ def available_class_prices(t, atleast: int = 0) -> DataFrame:
             .select("FlightID", "ClassType", "Price"))
 
 
+def known_class(classes: Sequence[str]) -> Column:
+    """True for a class of the list; any other class fails the query instead of dropping out of a pivot."""
+    return (F.when(F.col("ClassType").isin(*classes), F.lit(True))
+            .otherwise(F.raise_error(F.concat(F.lit("class without a price column: "),
+                                              F.coalesce("ClassType", F.lit("NULL")))).cast("boolean")))
+
+
 def class_price_pivot(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES) -> DataFrame:
     """D5b/A10 — one ``<class>_price`` column per class; NULL where the class is short.
 
-    The class list is passed in (stable schema, no extra job to discover it).
+    The class list is passed in (stable schema, no extra job to discover it);
+    a class outside it is an error.
     """
-    out = (available_class_prices(t, atleast)
+    out = (available_class_prices(t, atleast).filter(known_class(classes))
            .groupBy("FlightID").pivot("ClassType", list(classes)).agg(F.max("Price")))
     return out.select("FlightID", *[F.col(c).alias(f"{c}_price") for c in classes])
 
 
 def flights_with_landing(t) -> DataFrame:
     """D7 — flights with ``LandingTime = TakeOffTime + route duration`` (inner join on route)."""
-    return (t.flights.join(bounded(t.routes), ["SourceField", "DestinationField"])
+    return (t.flights.join(t.routes, ["SourceField", "DestinationField"])
             .select(*t.flights.columns, add_seconds("TakeOffTime", "DurationSec").alias("LandingTime")))
 
 
@@ -138,7 +148,7 @@ def flight_totals(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES,
     flight appears in (the source joins them with inner joins).
     """
     atleast = max(int(atleast or 0), 0)
-    c = cabin_state(t, only_flights)
+    c = cabin_state(t, only_flights).filter(known_class(classes))
     avail = F.col("Capacity") - F.col("OccupiedSeats")
     offer = F.col("InAvail") & (avail >= atleast) & F.col("Price").isNotNull()
     return c.groupBy("FlightID").agg(
@@ -188,7 +198,7 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
     """
     f = t.flights
     preds = P.conj([
-        (F.col("FlightID") == F.lit(int(flight_id))) if flight_id is not None else None,
+        (F.col("FlightID") == F.lit(int(flight_id))) if flight_id not in (None, "") else None,
         P.contains_ci("SourceField", source_field) if source_field else None,
         P.contains_ci("DestinationField", destination_field) if destination_field else None,
         (F.col("TakeOffTime") == as_of_lit(take_off_time.replace(microsecond=0))) if take_off_time else None,
@@ -226,7 +236,7 @@ def flight_category(t, requests: DataFrame | None = None) -> DataFrame:
     """D11 — ``Long`` iff the route takes more than 6 h, ``Short`` otherwise, NULL without route."""
     req = t.flights if requests is None else requests
     cat = F.when(is_long("DurationSec"), "Long").when(F.col("DurationSec").isNotNull(), "Short")
-    return (req.join(bounded(t.routes), ["SourceField", "DestinationField"], "left")
+    return (req.join(t.routes, ["SourceField", "DestinationField"], "left")
             .select(*req.columns, cat.alias("FlightCategory")))
 
 

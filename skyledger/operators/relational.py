@@ -3,8 +3,8 @@
 Thin, typed DataFrame helpers for the clauses the source application
 assembled as SQL text: projection, CASE, equi-joins, semi/anti joins, rows at
 a per-key extreme, ordered top-k, set operations, copy-on-write updates and
-dense id allocation. Catalyst picks the physical join; these helpers only add
-a broadcast hint for tables whose size is bounded by construction.
+dense id allocation. Catalyst and AQE pick the physical join from sizes; no
+helper starts a job or forces a broadcast.
 """
 
 from __future__ import annotations
@@ -40,43 +40,6 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "in
     return left.join(right, list(on), how)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """Broadcast hint for a table whose row count is bounded by construction.
-
-    Use only for dimension tables that do not grow with the data (route
-    network, candidate batches derived from it, nation/region). Everything
-    else is left to Catalyst's size estimate and AQE's runtime statistics,
-    which switch to a broadcast only after measuring the side.
-    """
-    return F.broadcast(df)
-
-
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Size check before a broadcast of a table whose bound is not structural.
-
-    Counts at most ``max_rows + 1`` rows (a bounded job: ``limit`` stops the
-    scan early), so the check itself never scans a large input to the end.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows, else ``(df, False)``."""
-    return (F.broadcast(df), True) if is_small(df, max_rows) else (df, False)
-
-
-def salted_key_join(big: DataFrame, small: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """Equi join on a low-cardinality ``key`` without sending each key to one task.
-
-    ``big`` rows get a salt in ``[0, buckets)`` from a hash of all their columns;
-    ``small`` rows are replicated once per salt. The join on (key, salt) yields
-    exactly the pairs of the plain join, spread over ``buckets`` times more tasks.
-    """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(buckets)))
-    fanned = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted.join(fanned, [key, "_salt"]).drop("_salt")
-
-
 def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """J8/J12 — rows of ``left`` with a match (``EXISTS``)."""
     return left.join(right.select(*on), list(on), "left_semi")
@@ -178,52 +141,57 @@ def rewrite_delete(df: DataFrame, cond: Column) -> DataFrame:
 
 # ---- id allocation --------------------------------------------------------------
 
-def allocate_ids(batch: DataFrame, order_cols: Sequence[str], start_after: Column,
-                 id_col: str = "NewID") -> DataFrame:
-    """W3 — dense ids ``start_after + 1, +2, ...`` in ``order_cols`` order.
+def _before(counts: DataFrame, key: str, parent: str) -> DataFrame:
+    """Running total of ``n`` before each ``key``, inside its ``parent`` (2^16 keys at most)."""
+    return counts.withColumn("_before", F.sum("n").over(W.partitionBy(parent).orderBy(key)) - F.col("n"))
+
 
+def allocate_ids(batch: DataFrame, order_col: str, start_after: Column, id_col: str = "NewID",
+                 where: Column | None = None) -> DataFrame:
+    """W3 — dense ids ``start_after + 1, +2, ...`` in ``order_col`` order to the rows ``where`` holds.
+
+    ``order_col`` is a unique integer per row; other rows get a NULL id.
     ``start_after`` is a scalar Column (e.g. ``coalesce(max(id), 0)`` of the
-    existing table, as a scalar subquery). The batch is range-partitioned on
-    the order columns; each row's rank is the number of rows in earlier
-    partitions plus its position inside its own partition. Only the
-    per-partition counts (one row per partition) pass through a single task,
-    never the batch itself. ``order_cols`` must be a unique key for the
-    numbering to be reproducible on recomputation.
+    existing table, as a scalar subquery).
+
+    The numbering is a function of the keys alone: rows are grouped by the
+    key without its low 16 bits, a window numbers each group (65,536 rows at
+    most), and the groups' counts are summed up 16 bits at a time in the same
+    way. No partition number, row position or sampled range takes part, so
+    plans that recompute or coalesce parts of it agree.
     """
-    sorted_batch = (batch.repartitionByRange(*order_cols)
-                    .sortWithinPartitions(*order_cols)
-                    .withColumn("_pid", F.spark_partition_id())
-                    .withColumn("_mono", F.monotonically_increasing_id()))
-    # monotonically_increasing_id = partition id << 33 | row position in the partition
-    with_pos = sorted_batch.withColumn("_pos", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33))
-    counts = with_pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    return (with_pos.join(F.broadcast(offsets), "_pid")
-            .withColumn(id_col, start_after + F.col("_off") + F.col("_pos") + 1)
-            .drop("_pid", "_mono", "_pos", "_off"))
+    wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    key = F.col(order_col).cast("long")
+    rows = batch.withColumn("_g1", F.shiftright(key, 16)).withColumn("_want", wanted.cast("long"))
+    place = F.sum("_want").over(W.partitionBy("_g1").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0))
+    up = lambda c: F.shiftright(F.col(c), 16)
+    first = rows.groupBy("_g1").agg(F.sum("_want").alias("n")).withColumn("_g2", up("_g1"))
+    second = first.groupBy("_g2").agg(F.sum("n").alias("n")).withColumn("_g3", up("_g2"))
+    third = second.groupBy("_g3").agg(F.sum("n").alias("n"))
+    top = (third.withColumn("_top", F.sum("n").over(W.orderBy("_g3")) - F.col("n"))  # 2^16 rows at most
+           .select("_g3", "_top"))
+    middle = (_before(second, "_g2", "_g3").join(top, "_g3")
+              .select("_g2", (F.col("_before") + F.col("_top")).alias("_middle")))
+    offsets = (_before(first, "_g1", "_g2").join(middle, "_g2")
+               .select("_g1", (F.col("_before") + F.col("_middle")).alias("_offset")))
+    numbered = rows.withColumn("_place", place).join(offsets, "_g1")
+    return (numbered.withColumn(id_col, F.when(F.col("_want") == 1, start_after + F.col("_offset") + F.col("_place")))
+            .drop("_g1", "_want", "_place", "_offset"))
 
 
 # ---- per-group ranking without hot groups ------------------------------------------
 
-def first_per_key(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """Rows holding the smallest ``seq`` of their key (``seq`` unique): MIN per key,
-    computed map-side, then an equi semi join on (keys, seq)."""
-    first = df.groupBy(*keys).agg(F.min(seq).alias(seq))
-    return df.join(first, [*keys, seq], "left_semi")
-
-
-def first_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
-                      buckets: int = 64, rank_col: str = "_rank") -> DataFrame:
-    """Rows ranked ``<= k`` inside each key group by ``order`` (a total order), with ``rank_col``.
+def first_k_per_group(df: DataFrame, keys: Sequence[str], seq: str, k: int, rank_col: str = "_rank") -> DataFrame:
+    """The first ``k`` rows of each key group by ``seq`` (a unique integer), with their rank.
 
-    Two levels, so a hot group is never sorted by one task: rows are salted
-    into ``buckets`` sub-groups by a hash of the order key, the first ``k`` of
-    each sub-group survive (the global first ``k`` always do), and the final
-    ranking sees at most ``k * buckets`` rows per group.
+    Two levels, so a hot group is never sorted by one task: each group is cut
+    into stretches of 65,536 values of ``seq``, the first ``k`` of a stretch
+    survive (the group's first ``k`` always do), and the final ranking sees
+    ``k`` rows per stretch.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    w1 = W.partitionBy(*keys, "_salt").orderBy(*order)
-    pre = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
-    w2 = W.partitionBy(*keys).orderBy(*order)
-    return (pre.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
-            .drop("_salt", "_r1"))
+    near = W.partitionBy(*keys, "_stretch").orderBy(seq)
+    pre = (df.withColumn("_stretch", F.shiftright(F.col(seq).cast("long"), 16))
+           .withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= k))
+    whole = W.partitionBy(*keys).orderBy(seq)
+    return (pre.withColumn(rank_col, F.row_number().over(whole)).filter(F.col(rank_col) <= k)
+            .drop("_stretch", "_near"))

@@ -17,7 +17,7 @@ from skyledger import schemas as S
 from skyledger.functions import predicates as P
 from skyledger.functions.scalar import (as_of_lit, cancellation_band, day_of, month_text, route_pair,
                                         utilisation_band)
-from skyledger.operators.relational import bounded, top_k
+from skyledger.operators.relational import top_k
 
 CABIN_KEY = ["FlightID", "ClassType", "PlainID"]
 
@@ -83,7 +83,7 @@ def report_business_share(t, as_of: dt.datetime) -> DataFrame:
 def _shift_seconds(t, as_of: dt.datetime) -> DataFrame:
     """Crew shifts on departed, non-deleted flights with the route duration in seconds."""
     flights = (t.flights.filter(~F.col("IsDeleted") & P.departed("TakeOffTime", as_of))
-               .join(bounded(t.routes), ["SourceField", "DestinationField"])
+               .join(t.routes, ["SourceField", "DestinationField"])
                .select("FlightID", "DurationSec"))
     crew = (t.working_pilots.select(F.lit(S.ROLE_PILOT).alias("Role"), F.col("PilotID").alias("EmployeeID"),
                                     "FlightID")

@@ -94,8 +94,21 @@ ORDERS = _s(("OrderID", T.LongType(), False), ("CustomerKind", T.StringType(), F
             ("ClassType", T.StringType(), False), ("FlightID", T.LongType(), False))
 SEATS = _s(("CustomerKind", T.StringType(), False), ("OrderID", T.LongType(), False),
            ("Line", T.IntegerType(), False), ("SeatLetter", T.IntegerType(), False))
-CREW = _s(("EmployeeID", T.LongType(), False), ("FirstName", T.StringType(), False),
-          ("LastName", T.StringType(), False), ("Qualified4LongFlights", T.BooleanType(), False))
+def _crew(key):
+    return _s((key, T.LongType(), False), ("FirstName", T.StringType(), False),
+              ("LastName", T.StringType(), False), ("Qualified4LongFlights", T.BooleanType(), False))
+
+
+def _shift(key):
+    return _s((key, T.LongType(), False), ("FlightID", T.LongType(), False))
+
+
+MANAGERS = _s(("ManagerID", T.LongType(), False), ("FirstName", T.StringType(), False),
+              ("LastName", T.StringType(), False), ("Email", T.StringType(), False))
+CANDIDATES = _s(("CandidateID", T.StringType(), False), ("SourceField", T.StringType(), False),
+                ("DestinationField", T.StringType(), False), ("TakeOffTime", T.TimestampNTZType(), False),
+                ("LandingTime", T.TimestampNTZType(), False), ("DurationSec", T.IntegerType(), False),
+                ("IsLong", T.BooleanType(), False))
 CUSTOMERS = _s(("Email", T.StringType(), False), ("EngFirstName", T.StringType(), False),
                ("EngLastName", T.StringType(), False), ("PassportNumber", T.LongType(), False),
                ("Birthdate", T.DateType(), True), ("SignUpDate", T.DateType(), False))
@@ -107,8 +120,14 @@ SCHEMAS = {
     "planes": PLANES, "cabins": CABINS, "routes": ROUTES, "flights": FLIGHTS,
     "prices": PRICES, "orders": ORDERS, "seats": SEATS, "customers": CUSTOMERS,
     "guests": GUESTS, "customer_phones": PHONES, "guest_phones": PHONES,
+    "pilots": _crew("PilotID"), "attendants": _crew("AttendantID"),
+    "working_pilots": _shift("PilotID"), "working_attendants": _shift("AttendantID"),
+    "managers": MANAGERS, "candidates": CANDIDATES,
 }
 
+# Columns the DDL declares NOT NULL, audited by ingest.check_keys.
+REQUIRED = {table: [f.name for f in schema.fields if not f.nullable] for table, schema in SCHEMAS.items()}
+
 # Primary keys (the DDL's PRIMARY KEY / UNIQUE), audited by ingest.check_keys.
 PRIMARY_KEYS = {
     "planes": ["PlainID"],
@@ -138,6 +157,10 @@ FOREIGN_KEYS = [
     ("prices", ["ClassType", "PlainID"], "cabins", ["ClassType", "PlainID"]),
     ("orders", ["FlightID"], "flights", ["FlightID"]),
     ("orders", ["ClassType", "FlightID", "PlainID"], "prices", ["ClassType", "FlightID", "PlainID"]),
+    ("orders", ["Email"], "customers", ["Email"]),
+    ("orders", ["Email"], "guests", ["Email"]),
+    ("customer_phones", ["Email"], "customers", ["Email"]),
+    ("guest_phones", ["Email"], "guests", ["Email"]),
     ("seats", ["CustomerKind", "OrderID"], "orders", ["CustomerKind", "OrderID"]),
     ("working_pilots", ["PilotID"], "pilots", ["PilotID"]),
     ("working_pilots", ["FlightID"], "flights", ["FlightID"]),

@@ -67,8 +67,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged writes.
 
-    Uses ``spark.checkpoint.dir`` as configured for the cluster. Only when it
-    is unset (local tests) a scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` as configured for the cluster. Only a local
+    master (tests, one machine) may leave it unset and gets a scratch folder;
+    elsewhere executors would not see such a folder, so that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -76,6 +77,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="skyledger-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -3,9 +3,9 @@
 * S1 ``scan_table`` — named table, optional column list (pruned in the scan).
 * S2 ``scan_derived`` — a DataFrame used as a derived table inside SQL text.
 * S3 ``load_tables`` / ``save_tables`` — all airline tables with explicit schemas.
-* S4 ``append_rows`` — one batch append, not one statement per row.
+* S4 ``append_rows`` — one batch append, not one statement per row, as the table's next version.
 * S5/S6 — copy-on-write update/delete: see :mod:`skyledger.operators.relational`;
-  ``commit_table`` writes the new version beside the old one and swaps a pointer.
+  ``commit_table`` publishes the rewritten rows as the table's next version.
 * S7 ``to_json_records`` — report rows as JSON objects (chart input).
 
 Writes go to a shared, fault-tolerant location (the cluster's checkpoint
@@ -18,6 +18,7 @@ import itertools
 import uuid
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import schemas as S
@@ -49,17 +50,22 @@ def to_json_records(df: DataFrame) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, root: str, names: Sequence[str] | None = None, fmt: str = "parquet"):
-    """S3 — read airline tables stored under ``root/<name>`` with their declared schemas."""
+    """S3 — read airline tables stored under ``root/<name>`` with their declared schemas.
+
+    The seed spelling of a finished order is mapped to the stored one (Q1).
+    """
     from skyledger.sources.views import Tables
     names = list(names or S.SCHEMAS)
     out = Tables()
     for n in names:
         reader = spark.read.format(fmt)
-        if n in S.SCHEMAS and fmt != "parquet":
+        if n in S.SCHEMAS:
             reader = reader.schema(S.SCHEMAS[n])
         if fmt == "csv":
             reader = reader.option("header", "true")
         out[n] = reader.load(f"{root}/{n}")
+        if n == "orders":
+            out[n] = out[n].withColumn("OrderStatus", S.normalize_order_status_col(F.col("OrderStatus")))
     return out
 
 
@@ -145,9 +151,11 @@ def materialize_views(spark: SparkSession, sf_dir: str, root: str, buckets: int
     return materialize(t, root, [n for n in t if not n.startswith("_")], buckets=buckets)
 
 
-def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """S4 — append a whole validated batch in one write."""
-    df.write.mode("append").format(fmt).save(path)
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back (lineage ends there)."""
+    path = staging_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def staging_path(spark: SparkSession, table: str) -> str:
@@ -155,13 +163,66 @@ def staging_path(spark: SparkSession, table: str) -> str:
     return f"{checkpoint_dir(spark)}/tables/{table}/v-{uuid.uuid4().hex}"
 
 
-def commit_table(new_version: DataFrame, table: str) -> str:
-    """S5/S6 — write the new version of a table to a fresh path and return it.
+# ---- versioned tables (S4–S6) -----------------------------------------------------
+#
+# A store is a folder of tables; ``<root>/<table>/data/<file set>`` holds rows and
+# ``<root>/<table>/versions/<n>`` lists the file sets of version n. A version is one
+# JSON row that Spark commits in a folder of its own, so it is there whole or
+# not at all, and readers take the highest one.
+
+VERSION_SCHEMA = "version long, parts array<string>"
+
+
+def _latest(spark: SparkSession, root: str, table: str, version: int | None = None) -> tuple[int, list[str]]:
+    """Number and file sets of the latest version, or of the one asked for; (0, []) if there is none."""
+    try:
+        rows = spark.read.schema(VERSION_SCHEMA).json(f"{root}/{table}/versions/*")
+    except AnalysisException:  # no version has been published yet
+        return 0, []
+    if version is not None:
+        rows = rows.filter(F.col("version") == version)
+    found = rows.orderBy(F.desc("version")).first()
+    return (found["version"], found["parts"]) if found else (0, [])
+
+
+def _publish(spark: SparkSession, root: str, table: str, parts: list[str], version: int) -> int:
+    """Make ``parts`` version ``version`` of a table; a version that exists is an error (someone was faster)."""
+    (spark.createDataFrame([(version, parts)], VERSION_SCHEMA).coalesce(1)
+     .write.mode("errorifexists").json(f"{root}/{table}/versions/{version}"))
+    return version
+
+
+def _write_part(df: DataFrame, root: str, table: str) -> str:
+    part = f"{root}/{table}/data/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(part)
+    return part
+
+
+def read_version(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
+    """A table of the store as of its latest version, or an older one."""
+    _, parts = _latest(spark, root, table, version)
+    if not parts:
+        raise ValueError(f"no such version of {table} under {root}")
+    return spark.read.schema(S.SCHEMAS[table]).parquet(*parts)
+
+
+def _conform(df: DataFrame, table: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.SCHEMAS[table].fields])
+
+
+def append_rows(df: DataFrame, root: str, table: str) -> int:
+    """S4 — a new version with the rows of a validated batch added, in one write; returns its number."""
+    spark = df.sparkSession
+    last, old = _latest(spark, root, table)
+    return _publish(spark, root, table, [*old, _write_part(_conform(df, table), root, table)], last + 1)
+
+
+def commit_table(new_version: DataFrame, root: str, table: str) -> int:
+    """S5/S6 — a new version that holds the rewritten rows only; returns its number.
 
-    The caller swaps its table pointer to the returned path; the old version
-    stays readable until then, so a lost executor or failed job never leaves a
+    The old version stays readable, so a lost executor or failed job leaves no
     half-written table behind.
     """
-    path = staging_path(new_version.sparkSession, table)
-    new_version.write.mode("errorifexists").parquet(path)
-    return path
+    spark = new_version.sparkSession
+    last, _ = _latest(spark, root, table)
+    return _publish(spark, root, table, [_write_part(_conform(new_version, table), root, table)], last + 1)
