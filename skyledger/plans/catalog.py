@@ -172,9 +172,9 @@ register_batch("ingest_orders", lambda t, s, d: ing.ingest_orders(t, bt.order_ba
 register_batch("ingest_order_seats", lambda t, s, d: ing.ingest_order_seats(t, bt.seat_batch(s, d)))
 register_batch("ingest_planes", lambda t, s, d: ing.ingest_planes(t, bt.plane_batch(s, d))[0])
 register_batch("ingest_cabins", lambda t, s, d: ing.ingest_planes(t, bt.plane_batch(s, d))[1])
-register_batch("ingest_flights", lambda t, s, d: ing.ingest_flights(t, bt.flight_batch(s, d), AS_OF))
-register_batch("ingest_flights_staffed",
-               lambda t, s, d: ing.ingest_flights(t, bt.flight_batch(s, d), AS_OF, check_staffing=True))
+register_batch("ingest_flights",
+               lambda t, s, d: ing.ingest_flights(t, bt.flight_batch(s, d), AS_OF, check_staffing=False))
+register_batch("ingest_flights_staffed", lambda t, s, d: ing.ingest_flights(t, bt.flight_batch(s, d), AS_OF))
 register_batch("ingest_flight_prices", lambda t, s, d: ing.ingest_flight_prices(t, bt.price_batch(s, d)))
 register_batch("ingest_crew", lambda t, s, d: ing.ingest_crew(t, bt.crew_batch(s, d)))
 register_batch("ingest_crew_assignments",

@@ -1,8 +1,9 @@
 """Independent SQL formulations (DuckDB dialect) of the domain operators.
 
-Written from the source application's semantics, not from the Spark code:
-NOT EXISTS instead of anti joins, correlated MIN/MAX instead of extremes by
-aggregation, UNION instead of full outer joins, hand-rolled CASE pivots.
+Written from the described semantics, not from the Spark code: NOT EXISTS
+instead of anti joins, correlated MIN/MAX instead of extremes by aggregation,
+counts over a left join instead of unions, filtered aggregates instead of CASE
+sums, a recursive walk instead of rounds.
 ``INV_CTES`` are shared building blocks appended after the view CTEs.
 """
 
@@ -13,20 +14,19 @@ from skyledger.plans.oracle_views import AS_OF_SQL, with_views
 A = AS_OF_SQL
 
 INV_CTES = f"""
+live AS (SELECT * FROM orders_v WHERE OrderStatus IN ('Active', 'Complete')),
 occ_seats AS (
-  SELECT s.Line, s.SeatLetter, o.OrderID, o.CustomerKind, o.OrderStatus, o.OrderDate, o.Email,
-         o.PlainID, o.ClassType, o.FlightID
-  FROM orders_v o JOIN seats s ON o.CustomerKind = s.CustomerKind AND o.OrderID = s.OrderID
-  WHERE o.OrderStatus NOT IN ('System_Cancelled', 'Customer_Cancelled')),
-occ_agg AS (
-  SELECT FlightID, ClassType, PlainID, count(OrderID) AS OccupiedSeats
-  FROM occ_seats GROUP BY FlightID, ClassType, PlainID),
-occ_count AS (
-  SELECT FlightID, ClassType, PlainID, OccupiedSeats FROM occ_agg
+  SELECT Line, SeatLetter, OrderID, CustomerKind, OrderStatus, OrderDate, Email, PlainID, ClassType, FlightID
+  FROM seats JOIN live USING (CustomerKind, OrderID)),
+sold_cabin AS (
+  SELECT FlightID, ClassType, PlainID FROM prices
   UNION
-  SELECT FP.FlightID, FP.ClassType, FP.PlainID, 0 AS OccupiedSeats FROM prices FP
-  WHERE NOT EXISTS (SELECT 1 FROM occ_agg OS WHERE OS.FlightID = FP.FlightID
-                    AND OS.PlainID = FP.PlainID AND OS.ClassType = FP.ClassType)),
+  SELECT FlightID, ClassType, PlainID FROM occ_seats),
+occ_count AS (
+  SELECT k.FlightID, k.ClassType, k.PlainID, count(x.Line) AS OccupiedSeats
+  FROM sold_cabin k LEFT JOIN occ_seats x
+    ON (x.FlightID, x.ClassType, x.PlainID) = (k.FlightID, k.ClassType, k.PlainID)
+  GROUP BY k.FlightID, k.ClassType, k.PlainID),
 capacity AS (
   SELECT f.FlightID, f.PlainID, c.ClassType, c.NumberRows * c.NumberCols AS Capacity
   FROM flights f JOIN cabins c ON f.PlainID = c.PlainID),
@@ -47,15 +47,14 @@ price_pivot AS (
 flights_landing AS (
   SELECT f.*, f.TakeOffTime + to_seconds(CAST(r.DurationSec AS BIGINT)) AS LandingTime
   FROM flights f JOIN routes r ON f.SourceField = r.SourceField AND f.DestinationField = r.DestinationField),
+seats_left AS (SELECT FlightID, sum(AvailableSeats) AS n FROM avail GROUP BY FlightID),
 fstatus AS (
-  SELECT fct.FlightID,
-         CASE WHEN f.IsDeleted THEN 'Deleted'
-              WHEN NOT f.IsDeleted AND fct.TotalAvailableSeats = 0 THEN 'Full Capacity'
-              WHEN NOT f.IsDeleted AND fct.TotalAvailableSeats > 0 AND f.TakeOffTime <= {A} THEN 'Complete'
-              ELSE 'Active' END AS FlightStatus
-  FROM flights f
-  RIGHT JOIN (SELECT FlightID, sum(AvailableSeats) AS TotalAvailableSeats FROM avail GROUP BY FlightID) fct
-    ON f.FlightID = fct.FlightID),
+  SELECT l.FlightID, CASE
+           WHEN f.IsDeleted THEN 'Deleted'
+           WHEN f.FlightID IS NULL OR l.n < 0 THEN 'Active'
+           WHEN l.n = 0 THEN 'Full Capacity'
+           ELSE if(f.TakeOffTime > {A}, 'Active', 'Complete') END AS FlightStatus
+  FROM seats_left l LEFT JOIN flights f USING (FlightID)),
 search AS (
   SELECT f.FlightID, f.SourceField, f.DestinationField, f.TakeOffTime, f.PlainID, st.FlightStatus,
          pp.Business_price, pp.Regular_price, cap.TotalSeats, bk.BookedSeats
@@ -88,35 +87,29 @@ SQL["flight_search"] = inv("SELECT * FROM search")
 
 # ---- reports (R1–R7) ----------------------------------------------------------
 _R1 = f"""
-SELECT ROUND(AVG((COALESCE(pd.ActualPax, 0) / pc.TotalCapacity) * 100), 2) AS Average_Occupancy_Percent
-FROM flights F
-JOIN (SELECT PlainID, SUM(NumberRows * NumberCols) AS TotalCapacity FROM cabins GROUP BY PlainID) pc
-  ON F.PlainID = pc.PlainID
-LEFT JOIN (SELECT FlightID, COUNT(*) AS ActualPax FROM orders_v WHERE OrderStatus = 'Complete' GROUP BY FlightID) pd
-  ON F.FlightID = pd.FlightID
-WHERE NOT F.IsDeleted AND F.TakeOffTime <= {A}"""
+SELECT round(avg(coalesce(flown.n, 0) / room.n * 100), 2) AS Average_Occupancy_Percent
+FROM (SELECT PlainID, sum(NumberRows * NumberCols) AS n FROM cabins GROUP BY ALL) room
+JOIN (SELECT FlightID, PlainID FROM flights WHERE IsDeleted = FALSE AND TakeOffTime <= {A}) done USING (PlainID)
+LEFT JOIN (SELECT FlightID, count(*) FILTER (OrderStatus = 'Complete') AS n FROM orders_v GROUP BY ALL) flown
+  USING (FlightID)"""
 SQL["report_average_occupancy"] = with_views(_R1)
 SQL["report_occupancy_split"] = with_views(
     f"SELECT COALESCE(Average_Occupancy_Percent, 0.0) AS Occupied_Percent, "
     f"ROUND(100.0 - COALESCE(Average_Occupancy_Percent, 0.0), 2) AS Free_Percent FROM ({_R1}) r1")
 
 _R2 = f"""
-SELECT P.Manufacturer, P.Size,
-  ROUND(SUM(CASE WHEN o.ClassType = 'Regular' THEN
-        CASE WHEN o.OrderStatus = 'Customer_Cancelled' THEN FP.Price * 0.05 ELSE FP.Price END ELSE 0 END), 2)
-        AS Regular_Safe_Revenue,
-  ROUND(SUM(CASE WHEN o.ClassType = 'Business' THEN
-        CASE WHEN o.OrderStatus = 'Customer_Cancelled' THEN FP.Price * 0.05 ELSE FP.Price END ELSE 0 END), 2)
-        AS Business_Safe_Revenue,
-  ROUND(SUM(CASE WHEN o.OrderStatus = 'Customer_Cancelled' THEN FP.Price * 0.05 ELSE FP.Price END), 2)
-        AS Total_Safe_Revenue
-FROM (SELECT PlainID, FlightID, ClassType, OrderStatus FROM orders_v
-      WHERE OrderStatus NOT LIKE '%Cancelled%' OR OrderStatus = 'Customer_Cancelled') o
-JOIN flights F ON o.FlightID = F.FlightID
-JOIN planes P ON o.PlainID = P.PlainID
-JOIN prices FP ON o.FlightID = FP.FlightID AND o.ClassType = FP.ClassType AND o.PlainID = FP.PlainID
-WHERE NOT F.IsDeleted AND F.TakeOffTime <= {A} + INTERVAL 36 HOUR
-GROUP BY P.Manufacturer, P.Size"""
+SELECT Manufacturer, Size, round(sum(earned) FILTER (ClassType = 'Regular'), 2) AS Regular_Safe_Revenue,
+       round(coalesce(sum(earned) FILTER (ClassType = 'Business'), 0), 2) AS Business_Safe_Revenue,
+       round(sum(earned), 2) AS Total_Safe_Revenue
+FROM (SELECT cabin.PlainID, cabin.ClassType, (cabin.kept + 0.05 * cabin.fee) * prices.Price AS earned
+      FROM (SELECT FlightID, ClassType, PlainID, count(*) FILTER (OrderStatus IN ('Active', 'Complete')) AS kept,
+                   count(*) FILTER (OrderStatus = 'Customer_Cancelled') AS fee
+            FROM orders_v WHERE OrderStatus <> 'System_Cancelled' GROUP BY ALL) cabin
+      JOIN prices USING (FlightID, ClassType, PlainID)
+      WHERE cabin.FlightID IN (SELECT FlightID FROM flights
+                               WHERE IsDeleted = FALSE AND TakeOffTime - INTERVAL 36 HOUR <= {A})) money
+JOIN planes USING (PlainID)
+GROUP BY ALL"""
 SQL["report_revenue_breakdown"] = with_views(_R2 + "\nORDER BY Total_Safe_Revenue DESC")
 SQL["report_business_share"] = with_views(
     f"SELECT Manufacturer, Size, ROUND(CASE WHEN Total_Safe_Revenue > 0 THEN "
@@ -124,70 +117,62 @@ SQL["report_business_share"] = with_views(
 
 _R3 = f"""
 SELECT Role, EmployeeID, FirstName, LastName,
-  ROUND(SUM(CASE WHEN R.DurationSec <= 21600 THEN R.DurationSec ELSE 0 END) / 3600.0, 2) AS Short_Flight_Hours,
-  ROUND(SUM(CASE WHEN R.DurationSec > 21600 THEN R.DurationSec ELSE 0 END) / 3600.0, 2) AS Long_Flight_Hours,
-  ROUND(SUM(R.DurationSec) / 3600.0, 2) AS Total_Hours
-FROM (SELECT 'Pilot' AS Role, P.PilotID AS EmployeeID, P.FirstName, P.LastName, W.FlightID
-      FROM pilots P JOIN working_pilots W ON P.PilotID = W.PilotID
-      UNION ALL
-      SELECT 'Flight Attendant', A.AttendantID, A.FirstName, A.LastName, W.FlightID
-      FROM attendants A JOIN working_attendants W ON A.AttendantID = W.AttendantID) crew
-JOIN flights F ON crew.FlightID = F.FlightID
-JOIN routes R ON F.SourceField = R.SourceField AND F.DestinationField = R.DestinationField
-WHERE NOT F.IsDeleted AND F.TakeOffTime <= {A}
-GROUP BY Role, EmployeeID, FirstName, LastName"""
+       round(coalesce(sum(sec) FILTER (sec <= 21600), 0) / 3600.0, 2) AS Short_Flight_Hours,
+       round(coalesce(sum(sec) FILTER (sec > 21600), 0) / 3600.0, 2) AS Long_Flight_Hours,
+       round(sum(sec) / 3600.0, 2) AS Total_Hours
+FROM (SELECT FlightID, DurationSec AS sec FROM routes JOIN flights USING (SourceField, DestinationField)
+      WHERE IsDeleted = FALSE AND TakeOffTime <= {A}) leg
+JOIN (SELECT FlightID, PilotID AS EmployeeID, 'Pilot' AS Role FROM working_pilots
+      UNION ALL BY NAME
+      SELECT FlightID, AttendantID AS EmployeeID, 'Flight Attendant' AS Role FROM working_attendants) shift
+  USING (FlightID)
+JOIN (SELECT PilotID AS EmployeeID, 'Pilot' AS Role, FirstName, LastName FROM pilots
+      UNION ALL BY NAME
+      SELECT AttendantID AS EmployeeID, 'Flight Attendant' AS Role, FirstName, LastName FROM attendants) person
+  USING (EmployeeID, Role)
+GROUP BY ALL"""
 SQL["report_employee_hours"] = with_views(_R3 + "\nORDER BY Total_Hours DESC, Role, EmployeeID")
 SQL["report_top_employees"] = with_views(_R3 + "\nORDER BY Total_Hours DESC, Role, EmployeeID LIMIT 20")
 
 _R4 = """
-SELECT strftime(OrderDate, '%Y-%m') AS Order_Month, COUNT(*) AS Total_Orders,
-  CAST(SUM(CASE WHEN OrderStatus = 'Customer_Cancelled' THEN 1 ELSE 0 END) AS BIGINT) AS Cancelled_Orders,
-  ROUND(SUM(CASE WHEN OrderStatus = 'Customer_Cancelled' THEN 1 ELSE 0 END) / COUNT(*) * 100, 2)
-    AS Cancellation_Rate_Percent
-FROM orders_v GROUP BY strftime(OrderDate, '%Y-%m')"""
+SELECT strftime(OrderDate, '%Y-%m') AS Order_Month, count(*) AS Total_Orders,
+       count(*) FILTER (OrderStatus = 'Customer_Cancelled') AS Cancelled_Orders,
+       round(avg(if(OrderStatus = 'Customer_Cancelled', 100.0, 0.0)::DOUBLE), 2) AS Cancellation_Rate_Percent
+FROM orders_v GROUP BY ALL"""
 SQL["report_cancellation_rate"] = with_views(_R4 + "\nORDER BY Order_Month")
 SQL["report_rate_bands"] = with_views(
     f"SELECT *, CASE WHEN Cancellation_Rate_Percent < 5 THEN 'success' "
     f"WHEN Cancellation_Rate_Percent < 15 THEN 'warning' ELSE 'danger' END AS Rate_Band FROM ({_R4}) r4")
 
-_R5 = """
-WITH RouteRankings AS (
-  SELECT PlainID, strftime(TakeOffTime, '%Y-%m') AS MonthID,
-         SourceField || ' - ' || DestinationField AS RoutePair,
-         ROW_NUMBER() OVER (PARTITION BY PlainID, strftime(TakeOffTime, '%Y-%m')
-                            ORDER BY COUNT(*) DESC, SourceField || ' - ' || DestinationField) AS rn
-  FROM flights WHERE NOT IsDeleted
-  GROUP BY PlainID, MonthID, RoutePair)
-SELECT P.Manufacturer, F.PlainID, strftime(F.TakeOffTime, '%Y-%m') AS Activity_Month,
-  CAST(SUM(CASE WHEN NOT F.IsDeleted THEN 1 ELSE 0 END) AS BIGINT) AS Executed_Flights,
-  CAST(SUM(CASE WHEN F.IsDeleted THEN 1 ELSE 0 END) AS BIGINT) AS Cancelled_Flights,
-  ROUND((COUNT(DISTINCT CASE WHEN NOT F.IsDeleted THEN CAST(F.TakeOffTime AS DATE) END) / 30.0) * 100, 2)
-    AS Utilization_Percent,
-  MAX(RR.RoutePair) AS Dominant_Route
-FROM flights F
-JOIN planes P ON F.PlainID = P.PlainID
-LEFT JOIN RouteRankings RR ON F.PlainID = RR.PlainID AND strftime(F.TakeOffTime, '%Y-%m') = RR.MonthID AND RR.rn = 1
-GROUP BY P.Manufacturer, F.PlainID, Activity_Month"""
+# The busiest route of a plane and month: the first by name among those flown most often.
+_ROUTE_OF_MONTH = """
+SELECT PlainID, m, min(pair) AS pair FROM (
+  SELECT PlainID, m, pair, n, max(n) OVER (PARTITION BY PlainID, m) AS most FROM (
+    SELECT PlainID, strftime(TakeOffTime, '%Y-%m') AS m, concat(SourceField, ' - ', DestinationField) AS pair,
+           count(*) AS n FROM flights WHERE IsDeleted = FALSE GROUP BY ALL) per_pair) rated
+WHERE n = most GROUP BY ALL"""
+_R5 = f"""
+SELECT Manufacturer, act.PlainID, act.m AS Activity_Month, act.flown AS Executed_Flights,
+       act.gone AS Cancelled_Flights, round(act.days / 30.0 * 100, 2) AS Utilization_Percent, top.pair AS Dominant_Route
+FROM (SELECT PlainID, strftime(TakeOffTime, '%Y-%m') AS m, count(*) FILTER (IsDeleted = FALSE) AS flown,
+             count(*) FILTER (IsDeleted) AS gone,
+             count(DISTINCT TakeOffTime::DATE) FILTER (IsDeleted = FALSE) AS days
+      FROM flights GROUP BY ALL) act
+JOIN planes ON planes.PlainID = act.PlainID
+LEFT JOIN ({_ROUTE_OF_MONTH}) top ON (top.PlainID, top.m) = (act.PlainID, act.m)"""
 SQL["report_plane_activity"] = with_views("SELECT * FROM (" + _R5 + ") r5 ORDER BY PlainID, Activity_Month")
 SQL["report_utilization_bands"] = with_views(
     "SELECT *, CASE WHEN Utilization_Percent > 70 THEN 'success' WHEN Utilization_Percent > 40 THEN 'warning' "
     "ELSE 'danger' END AS Utilization_Band FROM (" + _R5 + ") r5")
-SQL["dominant_route"] = with_views("""
-SELECT PlainID, MonthID AS Activity_Month, RoutePair AS Dominant_Route FROM (
-  SELECT PlainID, strftime(TakeOffTime, '%Y-%m') AS MonthID, SourceField || ' - ' || DestinationField AS RoutePair,
-         ROW_NUMBER() OVER (PARTITION BY PlainID, strftime(TakeOffTime, '%Y-%m')
-                            ORDER BY COUNT(*) DESC, SourceField || ' - ' || DestinationField) AS rn
-  FROM flights WHERE NOT IsDeleted GROUP BY PlainID, MonthID, RoutePair) x WHERE rn = 1""")
+SQL["dominant_route"] = with_views(
+    f"SELECT PlainID, m AS Activity_Month, pair AS Dominant_Route FROM ({_ROUTE_OF_MONTH}) best")
 
 SQL["report_summary"] = with_views("""
-SELECT (SELECT COUNT(*) FROM flights WHERE NOT IsDeleted) AS total_flights,
-       (SELECT COUNT(*) FROM orders_v WHERE OrderStatus = 'Active') AS active_orders,
-       (SELECT ROUND(COALESCE(SUM(CASE WHEN o.OrderStatus = 'Customer_Cancelled' THEN FP.Price * 0.05
-                                       ELSE FP.Price END), 0), 2)
-        FROM orders_v o JOIN prices FP ON o.FlightID = FP.FlightID AND o.ClassType = FP.ClassType
-                                       AND o.PlainID = FP.PlainID
-        WHERE o.OrderStatus NOT LIKE '%System%') AS total_revenue,
-       (SELECT COUNT(*) FROM planes) AS fleet_size""")
+SELECT * FROM (SELECT count(*) FILTER (IsDeleted = FALSE) AS total_flights FROM flights),
+     (SELECT count(*) FILTER (OrderStatus = 'Active') AS active_orders FROM orders_v),
+     (SELECT round(coalesce(sum(Price * if(OrderStatus = 'Customer_Cancelled', 0.05, 1)), 0), 2) AS total_revenue
+      FROM prices JOIN orders_v USING (FlightID, ClassType, PlainID) WHERE OrderStatus <> 'System_Cancelled'),
+     (SELECT count(*) AS fleet_size FROM planes)""")
 
 # ---- assignability (D12–D17) ----------------------------------------------------
 def _legs_cte(kind: str) -> str:
@@ -291,19 +276,15 @@ SELECT r.* FROM routes r WHERE NOT EXISTS (
 
 # ---- orders, pricing, lifecycle (D20–D29, J8) -------------------------------------
 HIST_CTE = """
+held AS (SELECT CustomerKind, OrderID, count(*) AS NumSeats FROM seats GROUP BY ALL),
 hist AS (
-  SELECT O.CustomerKind, O.Email, O.OrderID, O.FlightID, O.ClassType, O.NumSeats, O.OrderStatus, O.OrderDate,
-         ROUND(CASE WHEN O.OrderStatus = 'Customer_Cancelled' THEN O.NumSeats * O.Price * 0.05
-                    WHEN O.OrderStatus = 'System_Cancelled' THEN 0
-                    ELSE O.NumSeats * O.Price END, 2) AS OrderPrice,
-         F.SourceField, F.DestinationField, F.TakeOffTime, O.Price
-  FROM (SELECT S.CustomerKind, S.Email, S.OrderID, S.FlightID, S.ClassType, S.OrderStatus, S.OrderDate,
-               COUNT(S.OrderID) AS NumSeats, FP.Price
-        FROM (SELECT s.Line, s.SeatLetter, o.* FROM orders_v o
-              JOIN seats s ON o.CustomerKind = s.CustomerKind AND o.OrderID = s.OrderID) S
-        JOIN prices FP ON S.FlightID = FP.FlightID AND S.ClassType = FP.ClassType
-        GROUP BY S.CustomerKind, S.Email, S.OrderID, S.FlightID, S.ClassType, S.OrderStatus, S.OrderDate, FP.Price) O
-  JOIN flights F ON O.FlightID = F.FlightID)"""
+  SELECT CustomerKind, Email, OrderID, FlightID, ClassType, NumSeats, OrderStatus, OrderDate,
+         round(Price * NumSeats * CASE OrderStatus WHEN 'System_Cancelled' THEN 0
+                                                   WHEN 'Customer_Cancelled' THEN 0.05 ELSE 1 END, 2) AS OrderPrice,
+         SourceField, DestinationField, TakeOffTime, Price
+  FROM flights JOIN prices USING (FlightID)
+  JOIN (SELECT * EXCLUDE (PlainID) FROM orders_v) USING (FlightID, ClassType)
+  JOIN held USING (CustomerKind, OrderID))"""
 
 HIST_COLS = ("CustomerKind, Email, OrderID, FlightID, ClassType, NumSeats, OrderStatus, OrderDate, OrderPrice, "
              "SourceField, DestinationField, TakeOffTime")
@@ -621,19 +602,17 @@ def _check_keys_sql() -> str:
     tbl = {"orders": "orders_v"}
     parts = []
     for table, keys in S.PRIMARY_KEYS.items():
-        src = tbl.get(table, table)
-        k = ", ".join(keys)
+        src, k = tbl.get(table, table), ", ".join(keys)
         parts.append(f"SELECT '{table}' AS TableName, 'primary key' AS CheckName, '{','.join(keys)}' AS Columns, "
-                     f"CAST(COALESCE((SELECT SUM(n - 1) FROM (SELECT COUNT(*) AS n FROM {src} GROUP BY {k}) x "
-                     f"WHERE n > 1), 0) AS BIGINT) AS Violations")
-        nulls = " OR ".join(f"{c} IS NULL" for c in keys)
-        parts.append(f"SELECT '{table}', 'not null', '{','.join(keys)}', "
-                     f"CAST((SELECT COUNT(*) FROM {src} WHERE {nulls}) AS BIGINT)")
+                     f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {k} FROM {src})) FROM {src}) AS Violations")
+        for c in S.REQUIRED[table]:
+            parts.append(f"SELECT '{table}', 'not null', '{c}', (SELECT count(*) FROM {src} WHERE {c} IS NULL)")
+    kinds = {("orders", "customers"): "c.CustomerKind = 'customer' AND ", ("orders", "guests"): "c.CustomerKind = 'guest' AND "}
     for child, ccols, parent, pcols in S.FOREIGN_KEYS:
         cond = " AND ".join(f"p.{pc} = c.{cc}" for cc, pc in zip(ccols, pcols))
         parts.append(f"SELECT '{child}', 'foreign key -> {parent}', '{','.join(ccols)}', "
-                     f"CAST((SELECT COUNT(*) FROM {tbl.get(child, child)} c WHERE NOT EXISTS "
-                     f"(SELECT 1 FROM {tbl.get(parent, parent)} p WHERE {cond})) AS BIGINT)")
+                     f"(SELECT count(*) FROM {tbl.get(child, child)} c WHERE {kinds.get((child, parent), '')}NOT EXISTS "
+                     f"(SELECT 1 FROM {tbl.get(parent, parent)} p WHERE {cond}))")
     return with_views("\nUNION ALL\n".join(parts))
 
 
@@ -644,7 +623,7 @@ SQL["report_to_json"] = with_views(
     "'Business_Safe_Revenue': Business_Safe_Revenue, 'Total_Safe_Revenue': Total_Safe_Revenue}) AS VARCHAR) AS json "
     "FROM (" + _R2 + ") r2")
 
-SQL["ingest_crew_assignments"] = bat("""
+_CREW_ASSIGN = """
 b_ca AS (
   SELECT o_orderkey AS FlightID,
          CASE WHEN o_orderpriority = '1-URGENT' THEN [o_custkey % 50, (o_custkey + 1) % 50, (o_custkey + 2) % 50]
@@ -661,11 +640,38 @@ req AS (
 crew_rows AS (
   SELECT FlightID, unnest(list_distinct(PilotIDs)) AS EmployeeID, 'Pilot' AS Role FROM b_ca
   UNION ALL
-  SELECT FlightID, unnest(list_distinct(AttendantIDs)) AS EmployeeID, 'Flight Attendant' AS Role FROM b_ca)
-SELECT r.FlightID, r.EmployeeID, r.Role, q.Size, q.CrewComplete,
-       CASE WHEN q.Size IS NULL THEN 'unknown flight' WHEN NOT q.CrewComplete THEN 'crew short of requirement' END
-         AS RejectReason
-FROM crew_rows r LEFT JOIN req q ON r.FlightID = q.FlightID""")
+  SELECT FlightID, unnest(list_distinct(AttendantIDs)) AS EmployeeID, 'Flight Attendant' AS Role FROM b_ca),
+acand AS (
+  SELECT f.FlightID AS CandidateID, f.SourceField, f.DestinationField, f.TakeOffTime,
+         f.TakeOffTime + to_seconds(CAST(rt.DurationSec AS BIGINT)) AS LandingTime, coalesce(rt.DurationSec > 21600, FALSE) AS IsLong
+  FROM flights f LEFT JOIN routes rt USING (SourceField, DestinationField)
+  WHERE f.FlightID IN (SELECT FlightID FROM b_ca)),
+person AS (
+  SELECT PilotID AS EmployeeID, 'Pilot' AS Role, Qualified4LongFlights AS Q FROM pilots
+  UNION ALL SELECT AttendantID, 'Flight Attendant', Qualified4LongFlights FROM attendants),
+""" + ",".join(_assign_ctes(k).strip() for k in ("pilots", "attendants")).replace(
+    "FROM candidates c", "FROM acand c") + """,
+able AS (SELECT CandidateID, PilotID AS EmployeeID, 'Pilot' AS Role FROM assign_pilots
+         UNION SELECT CandidateID, AttendantID, 'Flight Attendant' FROM assign_attendants),
+on_it AS (SELECT FlightID, PilotID AS EmployeeID, 'Pilot' AS Role FROM working_pilots
+          UNION SELECT FlightID, AttendantID, 'Flight Attendant' FROM working_attendants),
+judged AS (
+  SELECT r.FlightID, r.EmployeeID, r.Role, q.Size, q.CrewComplete, CASE
+      WHEN q.Size IS NULL THEN 'unknown flight'
+      WHEN (r.EmployeeID, r.Role) NOT IN (SELECT (EmployeeID, Role) FROM person) THEN 'no such employee in the role'
+      WHEN a.IsLong AND EXISTS (SELECT 1 FROM person p WHERE p.EmployeeID = r.EmployeeID AND p.Role = r.Role AND NOT p.Q)
+        THEN 'not qualified for long flights'
+      WHEN (r.FlightID, r.EmployeeID, r.Role) IN (SELECT (FlightID, EmployeeID, Role) FROM on_it) THEN 'already on the flight'
+      WHEN (r.FlightID, r.EmployeeID, r.Role) NOT IN (SELECT (CandidateID, EmployeeID, Role) FROM able) THEN 'not available'
+      WHEN NOT q.CrewComplete THEN 'crew short of requirement' END AS R
+  FROM crew_rows r LEFT JOIN req q USING (FlightID) LEFT JOIN acand a ON a.CandidateID = r.FlightID)
+SELECT FlightID, EmployeeID, Role, Size, CrewComplete,
+       CASE WHEN R IS NOT NULL THEN R
+            WHEN FlightID <> MIN(CASE WHEN R IS NULL THEN FlightID END) OVER (PARTITION BY Role, EmployeeID)
+              THEN 'assigned twice in batch' END AS RejectReason
+FROM judged"""
+SQL["ingest_crew_assignments"] = inv(_CREW_ASSIGN[_CREW_ASSIGN.rindex("\nSELECT FlightID"):],
+                                     BATCH_CTES + "," + _CREW_ASSIGN[:_CREW_ASSIGN.rindex("\nSELECT FlightID")])
 
 
 _BOOKING = f"""
@@ -677,10 +683,9 @@ b_booking AS (
            AS SeatTokens
   FROM b_order b JOIN orders o ON o.o_orderkey = b.Seq),
 ord AS (WITH {_orders_body("b_booking").strip()}),
-width AS (SELECT GREATEST(MAX(len(SeatTokens)), 1) AS w FROM b_booking),
 seat_req AS (
   SELECT o.Seq AS BookingSeq, o.CustomerKind, o.OrderID, o.FlightID, o.ClassType, o.PlainID,
-         u.pos, u.SeatToken, o.Seq * (SELECT w FROM width) + u.pos AS Seq
+         u.pos, u.SeatToken
   FROM ord o
   JOIN (SELECT Seq, generate_subscripts(SeatTokens, 1) - 1 AS pos, unnest(SeatTokens) AS SeatToken
         FROM b_booking) u ON u.Seq = o.Seq
@@ -697,25 +702,42 @@ seat_r AS (
       WHEN EXISTS (SELECT 1 FROM occ_seats x WHERE x.FlightID = seat_chk.FlightID AND x.ClassType = seat_chk.ClassType
                    AND x.Line = seat_chk.Line AND x.SeatLetter = seat_chk.SeatLetter) THEN 'seat taken' END AS R
   FROM seat_chk),
-seat_final AS (
-  SELECT *, {_dup('FlightID, ClassType, Line, SeatLetter', 'seat requested twice')} AS SR FROM seat_r),
-verdict AS (
-  SELECT BookingSeq, arg_min(SR, CASE WHEN SR IS NOT NULL THEN Seq END) AS seat_reason, COUNT(*) AS n_seats
-  FROM seat_final GROUP BY BookingSeq)"""
-
-SQL["ingest_bookings"] = inv("""
-SELECT o.Seq, o.Email, o.FlightID, o.ClassType,
-       COALESCE(o.RejectReason, v.seat_reason, CASE WHEN COALESCE(v.n_seats, 0) = 0 THEN 'no seats' END)
-         AS RejectReason,
-       o.OrderID, o.CustomerKind, o.OrderStatus, o.OrderDate, o.PlainID
-FROM ord o LEFT JOIN verdict v ON v.BookingSeq = o.Seq""", BATCH_CTES + "," + _BOOKING)
+whole AS (  -- bookings whose order and seats are all good, with the seats they want
+  SELECT BookingSeq AS Seq, FlightID, ClassType, list(Line * 1000 + SeatLetter) AS wants
+  FROM seat_r GROUP BY ALL HAVING count(R) = 0 AND count(*) = count(DISTINCT (Line, SeatLetter))),
+queue AS (SELECT *, row_number() OVER (PARTITION BY FlightID, ClassType ORDER BY Seq) AS k FROM whole),
+walk AS (  -- one booking of each cabin after the other, with the seats given away so far
+  SELECT FlightID, ClassType, k, Seq, wants AS given, TRUE AS ok FROM queue WHERE k = 1
+  UNION ALL
+  SELECT q.FlightID, q.ClassType, q.k, q.Seq,
+         CASE WHEN list_has_any(w.given, q.wants) THEN w.given ELSE list_concat(w.given, q.wants) END,
+         NOT list_has_any(w.given, q.wants)
+  FROM walk w JOIN queue q ON (q.FlightID, q.ClassType, q.k) = (w.FlightID, w.ClassType, w.k + 1)),
+own_fault AS (
+  SELECT BookingSeq AS Seq, arg_min(why, pos) AS why FROM (
+    SELECT BookingSeq, pos, coalesce(R, CASE WHEN row_number() OVER (PARTITION BY BookingSeq, Line, SeatLetter ORDER BY pos) > 1
+                                             THEN 'seat requested twice' END) AS why FROM seat_r) x
+  WHERE why IS NOT NULL GROUP BY ALL),
+booked AS (
+  SELECT o.* EXCLUDE (RejectReason, OrderID, CustomerKind, OrderStatus, OrderDate, PlainID), o.CustomerKind AS k_, o.PlainID AS p_,
+         COALESCE(o.RejectReason, CASE WHEN coalesce(len(b.SeatTokens), 0) = 0 THEN 'no seats' END, f.why,
+                  CASE WHEN w.ok IS NOT TRUE THEN 'seat requested twice' END) AS RejectReason
+  FROM ord o JOIN b_booking b ON b.Seq = o.Seq LEFT JOIN own_fault f ON f.Seq = o.Seq LEFT JOIN walk w ON w.Seq = o.Seq),
+booked_ids AS (
+  SELECT Seq, Email, FlightID, ClassType, RejectReason,
+         CASE WHEN RejectReason IS NULL THEN (SELECT COALESCE(MAX(OrderID), 0) FROM orders_v)
+              + count(*) FILTER (RejectReason IS NULL) OVER (ORDER BY Seq) END AS OrderID,
+         CASE WHEN RejectReason IS NULL THEN k_ END AS CustomerKind,
+         CASE WHEN RejectReason IS NULL THEN 'Active' END AS OrderStatus,
+         CASE WHEN RejectReason IS NULL THEN CAST({A} AS DATE) END AS OrderDate,
+         CASE WHEN RejectReason IS NULL THEN p_ END AS PlainID
+  FROM booked)"""
+
+SQL["ingest_bookings"] = inv("SELECT * FROM booked_ids", BATCH_CTES + "," + _BOOKING)
 
 SQL["ingest_booking_seats"] = inv("""
-SELECT s.CustomerKind, s.OrderID, s.Line, s.SeatLetter FROM seat_final s
-WHERE s.BookingSeq IN (SELECT o.Seq FROM ord o LEFT JOIN verdict v ON v.BookingSeq = o.Seq
-                       WHERE COALESCE(o.RejectReason, v.seat_reason,
-                                      CASE WHEN COALESCE(v.n_seats, 0) = 0 THEN 'no seats' END) IS NULL)""",
-                                  BATCH_CTES + "," + _BOOKING)
+SELECT b.CustomerKind, b.OrderID, s.Line, s.SeatLetter FROM booked_ids b JOIN seat_r s ON s.BookingSeq = b.Seq
+WHERE b.RejectReason IS NULL""", BATCH_CTES + "," + _BOOKING)
 
 
 def _staffed_flights_sql() -> str:
@@ -723,11 +745,11 @@ def _staffed_flights_sql() -> str:
     feas = ("SELECT c.CandidateID, c.IsLong, x.AvailablePlanes" + feas_body).replace("candidates c", "fcand c")
     assign = ASSIGN_CTES.replace("FROM candidates c", "FROM fcand c")
     return inv(f"""
-SELECT r2.Seq, CASE WHEN r2.R2 IS NULL THEN (SELECT COALESCE(MAX(FlightID), 0) FROM flights)
-                 + ROW_NUMBER() OVER (PARTITION BY (r2.R2 IS NULL) ORDER BY r2.Seq) END AS FlightID,
-       r2.PlainID, r2.TakeOffTime, r2.SourceField, r2.DestinationField,
-       CASE WHEN r2.R2 IS NULL THEN FALSE END AS IsDeleted, r2.R2 AS RejectReason
-FROM r2""", BATCH_CTES + """,
+SELECT r3.Seq, CASE WHEN r3.R3 IS NULL THEN (SELECT COALESCE(MAX(FlightID), 0) FROM flights)
+                 + ROW_NUMBER() OVER (PARTITION BY (r3.R3 IS NULL) ORDER BY r3.Seq) END AS FlightID,
+       r3.PlainID, r3.TakeOffTime, r3.SourceField, r3.DestinationField,
+       CASE WHEN r3.R3 IS NULL THEN FALSE END AS IsDeleted, r3.R3 AS RejectReason
+FROM r3""", BATCH_CTES + """,
 fr AS (SELECT b.*, CASE WHEN b.PlainID IS NULL OR b.TakeOffTime IS NULL OR b.SourceField IS NULL
                OR b.DestinationField IS NULL THEN 'missing field'
           WHEN b.SourceField = b.DestinationField THEN 'same field'
@@ -743,8 +765,13 @@ fcand AS (SELECT CAST(fr.Seq AS VARCHAR) AS CandidateID, fr.SourceField, fr.Dest
           WHERE fr.R IS NULL),
 """ + assign + """,
 feas AS (""" + feas + """),
-r2 AS (SELECT fr.*, COALESCE(fr.R, CASE WHEN f.Feasible = FALSE THEN 'cannot be staffed' END) AS R2
-       FROM fr LEFT JOIN feas f ON f.CandidateID = CAST(fr.Seq AS VARCHAR))""")
+r2 AS (SELECT fr.*, COALESCE(fr.R, CASE WHEN f.Feasible = FALSE THEN 'cannot be staffed'
+              WHEN (CAST(fr.Seq AS VARCHAR), fr.PlainID) NOT IN (SELECT (CandidateID, PlainID) FROM assign_planes)
+                THEN 'plane not available' END) AS R2
+       FROM fr LEFT JOIN feas f ON f.CandidateID = CAST(fr.Seq AS VARCHAR)),
+r3 AS (SELECT *, CASE WHEN R2 IS NOT NULL THEN R2
+              WHEN Seq <> MIN(CASE WHEN R2 IS NULL THEN Seq END) OVER (PARTITION BY PlainID)
+                THEN 'plane used twice in batch' END AS R3 FROM r2)""")
 
 
 SQL["ingest_flights_staffed"] = _staffed_flights_sql()

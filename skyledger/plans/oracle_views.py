@@ -117,4 +117,4 @@ def with_views(body: str, extra_ctes: str = "") -> str:
     ctes = VIEW_CTES.strip()
     if extra_ctes.strip():
         ctes = ctes + ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"

@@ -47,11 +47,9 @@ SELECT FlightID, CASE WHEN IsDeleted THEN 'Deleted' WHEN TakeOffTime <= {A} THEN
            [(F.col("IsDeleted"), "Deleted"), (P.departed("TakeOffTime", AS_OF), "Departed")], "Scheduled")
            .alias("Phase")), q)
     _p("nested_case", with_views("""
-SELECT o.FlightID, ROUND(SUM(CASE WHEN o.ClassType = 'Regular' THEN
-         CASE WHEN o.OrderStatus = 'Customer_Cancelled' THEN p.Price * 0.05 ELSE p.Price END ELSE 0 END), 2)
-       AS Regular_Revenue
-FROM orders_v o JOIN prices p ON o.FlightID = p.FlightID AND o.ClassType = p.ClassType AND o.PlainID = p.PlainID
-GROUP BY o.FlightID"""),
+SELECT FlightID, round(coalesce(sum(if(OrderStatus = 'Customer_Cancelled', 0.05, 1) * Price)
+                                FILTER (ClassType = 'Regular'), 0), 2) AS Regular_Revenue
+FROM prices JOIN orders_v USING (FlightID, ClassType, PlainID) GROUP BY ALL"""),
        lambda t: t.orders.join(t.prices, ["FlightID", "ClassType", "PlainID"]).groupBy("FlightID").agg(
            FS.round2(R.sum_when(F.col("ClassType") == S.CLASS_REGULAR,
                                 R.case_when([(F.col("OrderStatus") == S.ORDER_CUSTOMER_CANCELLED,
@@ -84,7 +82,7 @@ WHERE OrderStatus NOT LIKE '%Cancelled%' OR OrderStatus = 'Customer_Cancelled'""
 SELECT f.FlightID, r.DurationSec FROM flights f
 LEFT JOIN routes r ON f.SourceField = r.SourceField AND f.DestinationField = r.DestinationField
 WHERE r.DurationSec IS NULL OR r.DurationSec > 21600"""),
-       lambda t: t.flights.join(R.bounded(t.routes), ["SourceField", "DestinationField"], "left")
+       lambda t: t.flights.join(t.routes, ["SourceField", "DestinationField"], "left")
        .filter(F.col("DurationSec").isNull() | FS.is_long("DurationSec")).select("FlightID", "DurationSec"), q)
     _p("filter_bool_flag", with_views("SELECT PilotID FROM pilots WHERE Qualified4LongFlights"),
        lambda t: t.pilots.filter(F.col("Qualified4LongFlights")).select("PilotID"), q)
@@ -128,19 +126,15 @@ JOIN prices p ON o.FlightID = p.FlightID AND o.ClassType = p.ClassType AND o.Pla
        .join(t.prices, ["FlightID", "ClassType", "PlainID"])
        .select("OrderID", "CustomerKind", "Manufacturer", "TakeOffTime", "Price"), q)
     _p("join_left_with_on_filter", with_views("""
-SELECT f.FlightID, rr.RoutePair AS Dominant_Route FROM flights f
-LEFT JOIN (SELECT PlainID, strftime(TakeOffTime, '%Y-%m') AS MonthID,
-                  SourceField || ' - ' || DestinationField AS RoutePair,
-                  ROW_NUMBER() OVER (PARTITION BY PlainID, strftime(TakeOffTime, '%Y-%m')
-                                     ORDER BY COUNT(*) DESC, SourceField || ' - ' || DestinationField) AS rn
-           FROM flights WHERE NOT IsDeleted GROUP BY PlainID, MonthID, RoutePair) rr
-  ON f.PlainID = rr.PlainID AND strftime(f.TakeOffTime, '%Y-%m') = rr.MonthID AND rr.rn = 1"""),
+SELECT FlightID, (SELECT arg_min(pair, (-n, pair)) FROM (
+    SELECT concat(g.SourceField, ' - ', g.DestinationField) AS pair, count(*) AS n FROM flights g
+    WHERE g.IsDeleted = FALSE AND g.PlainID = f.PlainID
+      AND date_trunc('month', g.TakeOffTime) = date_trunc('month', f.TakeOffTime) GROUP BY ALL) flown) AS Dominant_Route
+FROM flights f"""),
        lambda t: t.flights.select("FlightID", "PlainID", FS.month_text("TakeOffTime").alias("Activity_Month"))
        .join(reports.dominant_route(t), ["PlainID", "Activity_Month"], "left").select("FlightID", "Dominant_Route"), q)
     _p("anti_join", inv_sql("""
-SELECT FP.FlightID, FP.ClassType, FP.PlainID FROM prices FP
-WHERE NOT EXISTS (SELECT 1 FROM occ_seats s WHERE s.FlightID = FP.FlightID AND s.ClassType = FP.ClassType
-                  AND s.PlainID = FP.PlainID)"""),
+SELECT FlightID, ClassType, PlainID FROM prices EXCEPT SELECT FlightID, ClassType, PlainID FROM occ_seats"""),
        lambda t: R.anti_join(t.prices.select("FlightID", "ClassType", "PlainID"), inv.occupied_seats(t),
                              ["FlightID", "ClassType", "PlainID"]), q)
     _p("anti_join_unassigned", with_views("""
@@ -241,12 +235,30 @@ WHERE FT.TakeOffTime = (SELECT MIN(F2.TakeOffTime) FROM flights_landing F2 WHERE
     def _ids(t, spark, sf_dir):
         batch = read_driver(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Seq"))
         start = t.flights.agg(F.coalesce(F.max("FlightID"), F.lit(0)).cast("long")).scalar()
-        return R.allocate_ids(batch, ["Seq"], start, "NewID")
+        return R.allocate_ids(batch, "Seq", start, "NewID")
     SQL["id_allocator"] = with_views("""
 SELECT o_orderkey AS Seq, (SELECT COALESCE(MAX(FlightID), 0) FROM flights) + ROW_NUMBER() OVER (ORDER BY o_orderkey)
        AS NewID FROM orders""")
     register_batch("id_allocator", _ids)
 
+    def _wide_ids(t, spark, sf_dir):
+        batch = read_driver(spark, sf_dir, "orders")
+        start = t.flights.agg(F.coalesce(F.max("FlightID"), F.lit(0)).cast("long")).scalar()
+        return R.allocate_ids(batch, "o_orderkey", start, "NewID", F.col("o_orderstatus") != "P")
+    SQL["id_allocator_wide"] = with_views("""
+SELECT o.*, n.NewID FROM orders o LEFT JOIN (
+  SELECT o_orderkey, (SELECT COALESCE(MAX(FlightID), 0) FROM flights) + ROW_NUMBER() OVER (ORDER BY o_orderkey) AS NewID
+  FROM orders WHERE o_orderstatus <> 'P') n USING (o_orderkey)""")
+    register_batch("id_allocator_wide", _wide_ids)
+    _p("rewrite_delete", with_views("SELECT * FROM orders_v WHERE OrderStatus <> 'System_Cancelled'"),
+       lambda t: R.rewrite_delete(t.orders, F.col("OrderStatus") == S.ORDER_SYSTEM_CANCELLED), q)
+    _p("text_functions", with_views("""
+SELECT PilotID, concat(FirstName, ' ', LastName) AS FullName, len(string_split(LastName, '#')) AS NameParts,
+       'Supplier' AS FirstPart, FlightID, strftime(TakeOffTime, '%d/%m/%Y %H:%M') AS FromSeconds,
+       strftime(TakeOffTime, '%d/%m/%Y %H:%M') AS FromMinutes, strftime(TakeOffTime, '%d/%m/%Y 00:00') AS FromDay,
+       'not a date' AS PassedThrough, date_trunc('second', TakeOffTime) AS WholeSecond
+FROM working_pilots JOIN pilots USING (PilotID) JOIN flights USING (FlightID)"""), _texts, q)
+
     # ---- §2.6 ordering --------------------------------------------------------------------------
     _p("order_by", with_views("SELECT * FROM routes ORDER BY DurationSec DESC, SourceField, DestinationField"),
        lambda t: R.order_by(t.routes, ["DurationSec", "SourceField", "DestinationField"], [True, False, False]), q)
@@ -294,7 +306,7 @@ LEFT JOIN prices bp ON bp.FlightID = f.FlightID AND bp.ClassType = 'Business'"""
 def _scalars(t):
     token = F.concat((F.col("FlightID") % 7 + 1).cast("string"), F.lit("-"), (F.col("FlightID") % 3 + 1).cast("string"))
     bp = t.prices.filter(F.col("ClassType") == S.CLASS_BUSINESS).select("FlightID", F.col("Price").alias("bp"))
-    return (t.flights.join(R.bounded(t.routes), ["SourceField", "DestinationField"])
+    return (t.flights.join(t.routes, ["SourceField", "DestinationField"])
             .join(bp, "FlightID", "left")
             .select("FlightID",
                     FS.add_seconds("TakeOffTime", "DurationSec").alias("LandingTime"),
@@ -314,3 +326,14 @@ def _scalars(t):
                     FS.utilisation_band(F.expr("DurationSec div 60") % 100).alias("Band"),
                     FS.trunc_day("TakeOffTime").alias("TakeOffMidnight"),
                     FS.seconds_until("TakeOffTime", AS_OF).alias("SecondsUntil")))
+
+
+def _texts(t):
+    at = lambda fmt: FS.format_datetime(F.date_format("TakeOffTime", fmt), "dd/MM/yyyy HH:mm")
+    parts = FS.split_list("LastName", "#")
+    return (t.working_pilots.join(t.pilots, "PilotID").join(t.flights, "FlightID")
+            .select("PilotID", FS.full_name().alias("FullName"), F.size(parts).cast("long").alias("NameParts"),
+                    F.element_at(parts, 1).alias("FirstPart"), "FlightID", at("yyyy-MM-dd HH:mm:ss").alias("FromSeconds"),
+                    at("yyyy-MM-dd HH:mm").alias("FromMinutes"), at("yyyy-MM-dd").alias("FromDay"),
+                    FS.format_datetime(F.lit("not a date"), "dd/MM/yyyy HH:mm").alias("PassedThrough"),
+                    FS.trunc_second(F.expr("TakeOffTime + INTERVAL '0.25' SECOND")).alias("WholeSecond")))
