@@ -4,18 +4,65 @@ import pytest
 
 from conftest import SMALL_SF
 
-import __spark_entry__ as E
+from skyledger.plans.catalog import QUERIES
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
-def test_no_cartesian_no_python(spark, name):
-    plan = E.queries()[name](spark, SMALL_SF)._jdf.queryExecution().executedPlan().toString()
+# Operators that settle their batch in stored rounds, or store it once, before the result is read.
+STORING = {"ingest_bookings", "ingest_booking_seats", "ingest_flights_staffed"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_cartesian_no_python_no_job(spark, name):
+    sc = spark.sparkContext
+    sc.setJobGroup(f"building {name}", name)
+    df = QUERIES[name](spark, SMALL_SF)
+    jobs = sc.statusTracker().getJobIdsForGroup(f"building {name}")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert name in STORING or not jobs, name
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [k for k in FORBIDDEN if k in plan], name
 
 
+def _without_broadcasts(spark, build):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_selected_seats_meet_their_orders_before_they_are_counted(spark, tmp_path):
+    from skyledger.operators.inventory import _live_seat_counts
+    from skyledger.sources.io import materialize
+    from skyledger.sources.views import airline_views
+    t = materialize(airline_views(spark, SMALL_SF), str(tmp_path / "tables"), ["flights", "orders", "seats"])
+    chosen = t.flights.filter("FlightID = 7").select("FlightID")
+    plan = _without_broadcasts(spark, lambda: _live_seat_counts(t, chosen))
+    assert plan.index("HashAggregate") < plan.index("Join") and "HashAggregate" not in plan[plan.index("Join"):]
+
+
+@pytest.mark.parametrize("name,most", [("ingest_phones", 10), ("ingest_customers", 8), ("ingest_crew", 8),
+                                       ("staffing_feasibility", 20)])
+def test_shuffles_of_stored_tables(spark, tmp_path_factory, name, most):
+    from skyledger.plans.catalog import OPS
+    from skyledger.sources.io import materialize_views
+    root = tmp_path_factory.getbasetemp() / "stored"
+    if not root.exists():
+        _STORED["t"] = materialize_views(spark, SMALL_SF, str(root))
+    plan = _without_broadcasts(spark, lambda: OPS[name](_STORED["t"], spark, SMALL_SF))
+    assert plan.count("Exchange hashpartitioning") <= most, plan.count("Exchange hashpartitioning")
+
+
+_STORED: dict = {}
+
+
 def test_month_filter_reaches_scan(spark, tmp_path):
     import datetime as dt
     from skyledger.functions.scalar import month_bounds

@@ -159,18 +159,40 @@ def test_extreme_rows_keep_ties(spark):
 
 
 def test_allocate_ids_dense(spark):
-    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 3).alias("Seq"))
-    out = R.allocate_ids(df, ["Seq"], F.lit(41), "NewID").collect()
-    ids = sorted((r.Seq, r.NewID) for r in out)
-    assert [i for _, i in ids] == list(range(42, 1042))
+    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 3 - 900).alias("Seq"))
+    out = R.allocate_ids(df, "Seq", F.lit(41), "NewID", F.col("Seq") % 2 == 0).collect()
+    ids = [r.NewID for r in sorted(out, key=lambda r: r.Seq) if r.Seq % 2 == 0]
+    assert ids == list(range(42, 542)) and len(out) == 1000
+    assert all(r.NewID is None for r in out if r.Seq % 2)
+
+
+def test_allocate_ids_whatever_the_plan_does(spark):
+    """A million wide rows: no row lost, ids dense, the same under every way to coalesce partitions."""
+    wide = spark.range(0, 1_000_000, 1, 16).select(
+        ((F.col("id") * 7919) % 1_000_003 * 37 - 10_000_000).alias("Seq"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("a"), (F.col("id") * 2).alias("b"))
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    seen = set()
+    try:
+        for values in (("true", "64k", "64"), ("true", "64m", "64"), ("false", "1m", "11")):
+            for k, v in zip(keys, values):
+                spark.conf.set(k, v)
+            out = R.allocate_ids(wide, "Seq", F.lit(10), "NewID")
+            seen.add(tuple(out.agg(F.count("a"), F.min("NewID"), F.max("NewID"), F.count_distinct("NewID"),
+                                   F.sum(F.xxhash64("Seq", "b", "NewID").cast("decimal(38,0)"))).first()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(seen) == 1 and next(iter(seen))[:4] == (1_000_000, 11, 1_000_010, 1_000_000)
 
 
 def test_first_k_per_group_hot_key(spark):
     df = spark.range(0, 5000).select(F.when(F.col("id") < 4000, F.lit(1)).otherwise(F.col("id") % 7)
-                                     .alias("k"), F.col("id").alias("seq"))
-    got = R.first_k_per_group(df, ["k"], ["seq"], 3, buckets=8)
-    hot = sorted(r.seq for r in got.filter("k = 1").collect())
-    assert hot == [0, 1, 2]
+                                     .alias("k"), (F.col("id") * 100).alias("seq"))
+    got = R.first_k_per_group(df, ["k"], "seq", 3)
+    hot = sorted((r.seq, r._rank) for r in got.filter("k = 1").collect())
+    assert hot == [(0, 1), (100, 2), (200, 3)]
 
 
 def test_update_null_condition_keeps_row(spark):
@@ -281,19 +303,25 @@ def test_check_keys_flags_duplicates(t, spark):
     assert res[("orders", "primary key")] == 0
 
 
-def test_large_candidate_batch_uses_salted_path(t, monkeypatch):
-    small = {(r.CandidateID, r.PilotID) for r in assign.assignable_resources(t, "pilots").collect()}
-    monkeypatch.setattr(assign, "MAX_BROADCAST_CANDIDATES", 1)
-    big = {(r.CandidateID, r.PilotID) for r in assign.assignable_resources(t, "pilots").collect()}
-    assert big == small
+def test_feasibility_counts_equal_the_listing(t):
+    listed = {}
+    for kind in ("planes", "pilots", "attendants"):
+        for r in assign.assignable_resources(t, kind).collect():
+            listed.setdefault((r.CandidateID, kind), set()).add(r[1])
+    for r in assign.staffing_feasibility(t).collect():
+        assert (r.AvailablePlanes, r.AvailablePilots, r.AvailableAttendants) == tuple(
+            len(listed.get((r.CandidateID, kind), ())) for kind in ("planes", "pilots", "attendants"))
 
 
-def test_salted_key_join_equals_plain_join(spark):
-    big = spark.range(0, 500).select((F.col("id") % 2 == 0).alias("k"), F.col("id"))
-    small = spark.createDataFrame([(True, "a"), (True, "b"), (False, "c")], "k boolean, v string")
-    plain = sorted(big.join(small, "k").collect())
-    salted = sorted(R.salted_key_join(big, small, "k", buckets=8).select("k", "id", "v").collect())
-    assert plain == salted
+def test_a_class_without_a_column_is_an_error(t, spark):
+    t2 = Tables(t)
+    t2["cabins"] = t.cabins.unionByName(spark.createDataFrame([("First", 1, 1, 1)], S.CABINS))
+    t2["prices"] = t.prices.unionByName(spark.createDataFrame([("First", 11, 1, 900.0)], S.PRICES))
+    for query in (inv.class_price_pivot(t2, 0), inv.flight_search(t2, AS_OF)):
+        with pytest.raises(Exception, match="class without a price column"):
+            query.collect()
+    three = inv.flight_search(t2, AS_OF, classes=("Business", "First", "Regular"))
+    assert {r.FlightID: r.First_price for r in three.collect()}[11] == 900.0
 
 
 def test_ingest_customers_rules(t, spark):
@@ -352,7 +380,7 @@ def test_ingest_flights_rules_and_ids(t, spark):
         (5, 77, dt.datetime(2027, 1, 1), "AAA", "BBB"),      # unknown plane
         (6, 2, dt.datetime(2027, 1, 1), "BBB", "CCC"),       # accepted
     ], "Seq long, PlainID long, TakeOffTime timestamp_ntz, SourceField string, DestinationField string")
-    out = {r.Seq: (r.RejectReason, r.FlightID) for r in ingest.ingest_flights(t, batch, AS_OF).collect()}
+    out = {r.Seq: (r.RejectReason, r.FlightID) for r in ingest.ingest_flights(t, batch, AS_OF, False).collect()}
     assert out == {1: (None, 19), 2: ("not in the future", None), 3: ("same field", None),
                    4: ("no route", None), 5: ("unknown plane", None), 6: (None, 20)}
 
@@ -380,12 +408,63 @@ def test_io_roundtrip_and_commit(t, spark):
     root = tempfile.mkdtemp(prefix="tables-")
     stored = io.materialize(t, root, ["flights", "orders"])
     assert sorted(stored.flights.collect()) == sorted(t.flights.collect())
-    io.append_rows(t.orders.limit(2), f"{root}/orders")
-    assert spark.read.parquet(f"{root}/orders").count() == t.orders.count() + 2
-    path = io.commit_table(ords.complete_orders(t, AS_OF), "orders")
-    assert spark.read.parquet(path).count() == t.orders.count()
-    from skyledger.session import checkpoint_dir
-    assert path.startswith(checkpoint_dir(spark))
+    versions = f"{root}/store"
+    with pytest.raises(ValueError):
+        io.read_version(spark, versions, "orders")
+    assert io.append_rows(t.orders, versions, "orders") == 1
+    assert io.append_rows(t.orders.limit(2), versions, "orders") == 2
+    assert io.read_version(spark, versions, "orders").count() == t.orders.count() + 2
+    now = Tables(t)
+    now["orders"] = io.read_version(spark, versions, "orders", 1)
+    assert io.commit_table(ords.complete_orders(now, AS_OF), versions, "orders") == 3
+    done = io.read_version(spark, versions, "orders")
+    assert sorted(done.collect()) == sorted(ords.complete_orders(t, AS_OF).collect())
+    assert sorted(io.read_version(spark, versions, "orders", 1).collect()) == sorted(t.orders.collect())
+
+
+def test_accepted_rows_join_the_table_and_the_next_batch_sees_them(t, spark):
+    import tempfile
+    from skyledger.sources import io
+    root = tempfile.mkdtemp(prefix="store-")
+    io.append_rows(t.orders, root, "orders")
+    batch = lambda seq: spark.createDataFrame([(seq, "z@x", 16, "Regular")],
+                                              "Seq long, Email string, FlightID long, ClassType string")
+    ids = []
+    for seq in (1, 2):
+        now = Tables(t)
+        now["orders"] = io.read_version(spark, root, "orders")
+        new = ingest.accepted(ingest.ingest_orders(now, batch(seq), AS_OF))
+        ids.append(new.first().OrderID)
+        io.append_rows(new, root, "orders")
+    assert ids == [21, 22] and io.read_version(spark, root, "orders").count() == t.orders.count() + 2
+
+
+def test_load_normalises_the_seed_status(t, spark):
+    import tempfile
+    from skyledger.sources import io
+    root = tempfile.mkdtemp(prefix="seed-")
+    t.orders.withColumn("OrderStatus", F.lit("Completed")).write.parquet(f"{root}/orders")
+    assert {r.OrderStatus for r in io.load_tables(spark, root, ["orders"]).orders.collect()} == {"Complete"}
+
+
+def test_every_key_check_fires(t, spark):
+    """A table bundle with one fault per check: a repeated row, NULLs everywhere, keys that lead nowhere."""
+    broken = Tables()
+    for name, schema in S.SCHEMAS.items():
+        if name == "candidates":
+            continue
+        loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+        value = lambda f: (S.KIND_CUSTOMER if f.name == "CustomerKind" else {
+            "string": name + "?", "bigint": 9000 + len(name), "int": 3, "double": 1.0, "boolean": True,
+            "date": dt.date(2020, 1, 1), "timestamp_ntz": dt.datetime(2020, 1, 1)}[f.dataType.simpleString()])
+        row = tuple(value(f) for f in schema.fields)
+        rows = [row, row, tuple(None for _ in row)]
+        if name == "orders":
+            rows.append(tuple(S.KIND_GUEST if f.name == "CustomerKind" else value(f) for f in schema.fields))
+        broken[name] = spark.createDataFrame(rows, loose)
+    found = {(r.TableName, r.CheckName, r.Columns): r.Violations for r in ingest.check_keys(broken).collect()}
+    assert len(found) >= 60
+    assert [k for k, v in found.items() if not v] == []
 
 
 def test_ingest_bookings_all_or_nothing(t, spark):
@@ -404,6 +483,26 @@ def test_ingest_bookings_all_or_nothing(t, spark):
     assert got == [(r[1][1], 1, 1), (r[1][1], 1, 2)]
 
 
+def test_refused_bookings_hold_no_seats_and_no_ids(t, spark):
+    batch = spark.createDataFrame([
+        (1, "z@x", 11, "Regular", ["1-1"]),          # flight departed
+        (2, "z@x", 16, "Regular", ["1-1", "9-9"]),   # no such seat
+        (3, "z@x", 16, "Regular", ["1-1", "1-2"]),   # accepted
+        (4, "z@x", 16, "Regular", ["1-2", "2-1"]),   # shares 1-2 with booking 3
+        (5, "z@x", 16, "Regular", ["2-1"]),          # booking 4 holds nothing: accepted
+        (6, "z@x", 16, "Regular", ["2-2", "2-2"]),   # twice in one booking
+        (7, "z@x", 16, "Regular", ["2-2"]),          # accepted
+        (8, "z@x", 16, "Regular", None),             # no seats
+    ], "Seq long, Email string, FlightID long, ClassType string, SeatTokens array<string>")
+    out, seats = ingest.ingest_bookings(t, batch, AS_OF)
+    got = {r.Seq: (r.RejectReason, r.OrderID) for r in out.collect()}
+    assert got == {1: ("flight departed", None), 2: ("no such seat", None), 3: (None, 21),
+                   4: ("seat requested twice", None), 5: (None, 22), 6: ("seat requested twice", None),
+                   7: (None, 23), 8: ("no seats", None)}
+    assert sorted((s.OrderID, s.Line, s.SeatLetter) for s in seats.collect()) == [
+        (21, 1, 1), (21, 1, 2), (22, 2, 1), (23, 2, 2)]
+
+
 def test_search_num_seats_and_status_spelling(t):
     ids = lambda df: sorted(r.FlightID for r in df.collect())
     assert ids(inv.flight_search(t, AS_OF, status="full_capacity")) == [10]
