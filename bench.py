@@ -28,7 +28,7 @@ HEADLINE = [
     "report_cancellation_rate", "report_plane_activity", "report_summary",
     "staffing_feasibility", "available_pilots", "chain_continuity",
     "order_history", "complete_orders", "cancel_flights_orders",
-    "ingest_orders", "ingest_phones", "check_keys",
+    "ingest_orders", "ingest_phones", "ingest_flights_staffed", "ingest_bookings", "check_keys",
 ]
 
 

@@ -44,13 +44,14 @@ def phone_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~guest).alias("IsSignedUp"))
 
 
-def order_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_batch(spark: SparkSession, sf_dir: str, flight_from: str = "o_orderkey") -> DataFrame:
+    """Order requests; the flights follow ``flight_from``: one request a flight, or one flight a customer."""
     o = read_driver(spark, sf_dir, "orders")
     n_orders = o.agg(F.count(F.lit(1))).scalar()
     return o.select(
         F.col("o_orderkey").alias("Seq"),
         _email(F.when(F.col("o_orderkey") % 3 == 0, "g").otherwise("c"), "o_custkey").alias("Email"),
-        ((F.col("o_orderkey") * 7 + 3) % n_orders).alias("FlightID"),
+        ((F.col(flight_from) * 7 + 3) % n_orders).alias("FlightID"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "Business").otherwise("Regular").alias("ClassType"))
 
 
@@ -120,7 +121,7 @@ def crew_assignment_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("FlightID"), pilots.alias("PilotIDs"), atts.alias("AttendantIDs"))
 
 
-def booking_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def booking_batch(spark: SparkSession, sf_dir: str, flight_from: str = "o_orderkey") -> DataFrame:
     """One purchase per driver order: the order request of :func:`order_batch` plus
     one seat token, two for urgent orders."""
     o = read_driver(spark, sf_dir, "orders")
@@ -128,4 +129,4 @@ def booking_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = tok(F.col("o_custkey") % 3, F.col("o_orderkey") % 3)
     second = tok(F.col("o_orderkey") % 2, F.col("o_custkey") % 2)
     seats = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(first, second)).otherwise(F.array(first))
-    return order_batch(spark, sf_dir).join(o.select(F.col("o_orderkey").alias("Seq"), seats.alias("SeatTokens")), "Seq")
+    return order_batch(spark, sf_dir, flight_from).join(o.select(F.col("o_orderkey").alias("Seq"), seats.alias("SeatTokens")), "Seq")

@@ -181,6 +181,9 @@ register_batch("ingest_crew_assignments",
                lambda t, s, d: ing.ingest_crew_assignments(t, bt.crew_assignment_batch(s, d)))
 register_batch("ingest_bookings", lambda t, s, d: ing.ingest_bookings(t, bt.booking_batch(s, d), AS_OF)[0])
 register_batch("ingest_booking_seats", lambda t, s, d: ing.ingest_bookings(t, bt.booking_batch(s, d), AS_OF)[1])
+# a customer's orders all ask for seats of one flight, so bookings of a batch compete
+register_batch("ingest_bookings_contended",
+               lambda t, s, d: ing.ingest_bookings(t, bt.booking_batch(s, d, "o_custkey"), AS_OF)[0])
 register("check_keys")(lambda t: ing.check_keys(t))
 
 # ---- relational primitives (§2.2–2.8), one query each ---------------------------------------

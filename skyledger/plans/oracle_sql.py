@@ -735,6 +735,8 @@ booked_ids AS (
 
 SQL["ingest_bookings"] = inv("SELECT * FROM booked_ids", BATCH_CTES + "," + _BOOKING)
 
+SQL["ingest_bookings_contended"] = SQL["ingest_bookings"].replace("(o_orderkey * 7 + 3)", "(o_custkey * 7 + 3)")
+
 SQL["ingest_booking_seats"] = inv("""
 SELECT b.CustomerKind, b.OrderID, s.Line, s.SeatLetter FROM booked_ids b JOIN seat_r s ON s.BookingSeq = b.Seq
 WHERE b.RejectReason IS NULL""", BATCH_CTES + "," + _BOOKING)

@@ -11,7 +11,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 
 # Operators that settle their batch in stored rounds, or store it once, before the result is read.
-STORING = {"ingest_bookings", "ingest_booking_seats", "ingest_flights_staffed"}
+STORING = {"ingest_bookings", "ingest_booking_seats", "ingest_bookings_contended", "ingest_flights_staffed"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

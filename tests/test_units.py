@@ -385,6 +385,44 @@ def test_ingest_flights_rules_and_ids(t, spark):
                    4: ("no route", None), 5: ("unknown plane", None), 6: (None, 20)}
 
 
+@pytest.fixture(scope="module")
+def staffed(t, spark):
+    """The bundle with a crew that has never flown: enough for a Large plane."""
+    out = Tables(t)
+    out["pilots"] = t.pilots.unionByName(crew_df(spark, "PilotID", [(900 + i, "P", "N", True) for i in range(3)]))
+    out["attendants"] = t.attendants.unionByName(
+        crew_df(spark, "AttendantID", [(950 + i, "A", "N", True) for i in range(6)]))
+    return out
+
+
+def test_ingest_flights_staffing(staffed, spark):
+    day = dt.datetime(2027, 2, 1, 8)
+    batch = spark.createDataFrame([
+        (1, 3, day, "BBB", "AAA"),                             # plane 3 ended in CCC
+        (2, 1, day, "BBB", "AAA"),                             # plane 1 ended in BBB: accepted
+        (3, 1, day + dt.timedelta(days=9), "BBB", "AAA"),      # the same plane again
+        (4, 2, day, "BBB", "CCC"),                             # plane 2 ended in BBB too: accepted
+    ], "Seq long, PlainID long, TakeOffTime timestamp_ntz, SourceField string, DestinationField string")
+    out = {r.Seq: (r.RejectReason, r.FlightID) for r in ingest.ingest_flights(staffed, batch, AS_OF).collect()}
+    assert out == {1: ("plane not available", None), 2: (None, 19), 3: ("plane used twice in batch", None), 4: (None, 20)}
+
+
+def test_ingest_crew_assignments(staffed, spark):
+    new = list(range(950, 956))
+    batch = spark.createDataFrame([(11, [900, 901, 902], new), (14, [900, 998], new[:3]), (404, [901], new[:1])],
+                                  "FlightID long, PilotIDs array<long>, AttendantIDs array<long>")
+    out = {(r.FlightID, r.EmployeeID, r.Role): r.RejectReason
+           for r in ingest.ingest_crew_assignments(staffed, batch).collect()}
+    assert {out[11, e, "Pilot"] for e in (900, 901, 902)} == {None}
+    assert {out[11, e, "Flight Attendant"] for e in new} == {None}
+    assert out[14, 998, "Pilot"] == "no such employee in the role"
+    assert out[14, 900, "Pilot"] == out[14, 950, "Flight Attendant"] == "crew short of requirement"
+    assert out[404, 901, "Pilot"] == "unknown flight"
+    two = spark.createDataFrame([(11, [900, 901, 902], new), (14, [900, 901, 902], new)], batch.schema)
+    again = {(r.FlightID, r.EmployeeID): r.RejectReason for r in ingest.ingest_crew_assignments(staffed, two).collect()}
+    assert again[11, 900] is None and again[14, 900] == "assigned twice in batch"
+
+
 def test_ingest_prices_and_crew(t, spark):
     prices = spark.createDataFrame([(1, 18, "Regular", 99.0), (2, 18, "Business", 250.0), (3, 10, "Business", 1.0),
                                     (4, 10, "Regular", 5.0), (5, 18, "Regular", 98.0), (6, 18, "Business", -1.0),
