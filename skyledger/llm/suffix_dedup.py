@@ -36,7 +36,7 @@ GRAM = 16
 HOT_DOCUMENTS = 4096
 MAX_HOT_NAMES = 1_000_000
 SLICE = 1 << 22
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 1 << 20
 KEY_SEED = 42  # of Spark's xxhash64
 _LAST = (1 << 63) - 1  # stands for a null id: later than all
 
@@ -187,7 +187,7 @@ def _packets(name: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, byte
                                   + _planes(count[a:b].astype(np.uint64), 2))
 
 
-def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: int = 4_000_000) -> DataFrame:
+def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: int = 1_000_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         names, ids, held = [], [], 0
@@ -303,17 +303,23 @@ def _pieces(joined: DataFrame, text_col: str, hot_names: np.ndarray, min_length:
         mine = np.isin(name, np.frombuffer(b"".join(names), "<u8"))
         name, first, n = name[mine], first[mine], n[mine]
         split = np.isin(name, hot.value)
+        gone_at, gone = 0, 0  # neighbouring windows removed at once go into one row
         for k, a, m, single in zip(name.tolist(), first.tolist(), n.tolist(), split.tolist()):
             todo = [(a + i, 1) for i in range(m)] if single else [(a, m)]
             for at, windows in todo:
                 own = raw[at:at + windows + min_length - 1]
                 if met.get(own, doc) < doc:
-                    yield key, doc, key, at, windows, None
+                    if gone and gone_at + gone != at:
+                        yield key, doc, key, gone_at, gone, None
+                        gone = 0
+                    gone_at, gone = at - gone, gone + windows
                     continue
-                if len(met) >= 200_000:
+                if len(met) >= 100_000:
                     met.clear()
                 met[own] = doc
                 yield _signed(xxhash.xxh64_intdigest(own, 1) if single else k), doc, key, at, windows, own
+        if gone:
+            yield key, doc, key, gone_at, gone, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, int] = {}
