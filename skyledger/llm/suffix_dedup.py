@@ -37,6 +37,7 @@ HOT_DOCUMENTS = 4096
 MAX_HOT_NAMES = 1_000_000
 SLICE = 1 << 22
 FLUSH_BYTES = 1 << 20
+PAIRS_HELD = 1_000_000
 KEY_SEED = 42  # of Spark's xxhash64
 _LAST = (1 << 63) - 1  # stands for a null id: later than all
 
@@ -163,9 +164,10 @@ def _from_planes(payload: bytes, at: int, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _packets(name: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _packets(name: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Rows of one batch of (name, doc), distinct: a record per name and, for names of several docs
-    here, the names each such doc shares (known already, so only the first of them stands for all)."""
+    here, the names each such doc shares (known already, so only the first of them stands for all).
+    Records are dealt by name, lists of known names by document."""
     order = np.argsort(name, kind="stable")
     name, doc = name[order], doc[order]
     first = np.concatenate(([True], name[1:] != name[:-1]))
@@ -177,7 +179,7 @@ def _packets(name: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, byte
         d, k = doc[many][by_doc], name[many][by_doc]
         cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         for a, b in zip(cuts, np.append(cuts[1:], len(d))):
-            yield int(k[a] >> np.uint64(48)), 1, d[a:a + 1].tobytes() + k[a:b].astype("<u8").tobytes()
+            yield int(d[a]) * 2_654_435_761 % 2**32 % buckets, 1, d[a:a + 1].tobytes() + k[a:b].astype("<u8").tobytes()
     name, doc = name[first], doc[first]
     count = np.minimum(size, 65535)
     bucket = (name >> np.uint64(48)).astype(np.int64)
@@ -194,7 +196,7 @@ def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: i
 
         def flush() -> Iterator[pa.RecordBatch]:
             if names:
-                rows = list(_packets(np.concatenate(names), np.concatenate(ids)))
+                rows = list(_packets(np.concatenate(names), np.concatenate(ids), 1 << bits - 48))
                 for at in range(0, len(rows), 2000):
                     part = rows[at:at + 2000]
                     yield record_batch(dict(zip(_PACKET.names, map(list, zip(*part, strict=True)), strict=True)), _PACKET)
@@ -228,7 +230,8 @@ _SHARED = pa.schema([("d", pa.int64()), ("names", pa.binary()), ("hot", pa.bool_
 def _shared_names(packets: DataFrame, hot_documents: int) -> DataFrame:
     """(d, names): shared names of a document; rows with ``hot`` list names held by very many documents."""
 
-    def bucket_rows(bucket: int, payloads: list[bytes]) -> Iterator[tuple]:
+    def bucket_pairs(bucket: int, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """Shared (name, doc) records of a bucket, and its rows of hot names."""
         parts = []
         for p in payloads:
             n = len(p) // 16
@@ -238,27 +241,41 @@ def _shared_names(packets: DataFrame, hot_documents: int) -> DataFrame:
         order = np.argsort(name, kind="stable")
         name, doc, count = name[order], doc[order], count[order].astype(np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        size = np.diff(cuts, append=len(name))
         total = np.add.reduceat(count, cuts)
-        hot = name[cuts][total > hot_documents]
-        if len(hot):
-            yield None, np.stack([hot, total[total > hot_documents].astype(np.uint64)], 1).astype("<u8").tobytes(), True
+        hot = total > hot_documents
+        rows = [(None, np.stack([name[cuts][hot], total[hot].astype(np.uint64)], 1).astype("<u8").tobytes(), True)]
         apart = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
-        keep = np.repeat(apart, size)
-        order = np.argsort(doc[keep], kind="stable")
-        doc, name = doc[keep][order], name[keep][order].astype("<u8")
+        keep = np.repeat(apart, np.diff(cuts, append=len(name)))
+        return name[keep], doc[keep], rows if hot.any() else []
+
+    def by_document(name: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(doc, kind="stable")
+        doc, name = doc[order], name[order].astype("<u8")
         cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
         for a, b in zip(cuts, [*cuts[1:], len(doc)]):
             yield int(doc[a]), name[a:b].tobytes(), False
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now = None
+    def send(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), 5000):
+            yield record_batch(dict(zip(_SHARED.names, map(list, zip(*rows[at:at + 5000], strict=True)), strict=True)),
+                               _SHARED)
 
-        def send(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(rows), 5000):
-                yield record_batch(dict(zip(_SHARED.names, map(list, zip(*rows[at:at + 5000], strict=True)), strict=True)),
-                                   _SHARED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads: list[bytes] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # of several buckets, so a document gets few rows
+        now, held = None, 0
+
+        def finish(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal payloads, found, held
+            if payloads:
+                name, doc, rows = bucket_pairs(now, payloads)
+                found.append((name, doc))
+                held += len(name)
+                payloads = []
+                yield from send(rows)
+            if found and (last or held >= PAIRS_HELD):
+                yield from send(list(by_document(*(np.concatenate(c) for c in zip(*found, strict=True)))))
+                found, held = [], 0
 
         for batch in batches:
             known = []
@@ -266,14 +283,12 @@ def _shared_names(packets: DataFrame, hot_documents: int) -> DataFrame:
                 if kind:
                     known.append((int.from_bytes(payload[:8], "little", signed=True), payload[8:], False))
                     continue
-                if bucket != now and held:
-                    yield from send(list(bucket_rows(now, held)))
-                    held = []
+                if bucket != now:
+                    yield from finish(False)
                 now = bucket
-                held.append(payload)
+                payloads.append(payload)
             yield from send(known)
-        if held:
-            yield from send(list(bucket_rows(now, held)))
+        yield from finish(True)
 
     return (packets.repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(run, "d long, names binary, hot boolean"))
@@ -362,8 +377,19 @@ def _removed(pieces: DataFrame, min_length: int) -> DataFrame:
         return record_batch({"d": pa.array(d[cuts] if len(d) else d), "text_key": pa.array(key[cuts] if len(d) else key),
                              "spans": spans}, _REMOVED)
 
-    def suffix_task(columns: list[np.ndarray], texts: list[bytes]) -> pa.RecordBatch:
-        d, key, start, n = columns
+    def suffix_task(columns: list[np.ndarray], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.stack(columns)
+        order = np.argsort(rows[0], kind="stable")
+        rows, texts = rows[:, order], [texts[i] for i in order]
+        # Of equal pieces the first document's stands for all: the later ones go whole.
+        first: dict[bytes, int] = {}
+        owner = np.fromiter((first.setdefault(t, i) for i, t in enumerate(texts)), np.int64, len(texts))
+        later = rows[0, owner] < rows[0]
+        if later.any():
+            yield by_document(rows[0, later], rows[1, later], rows[2, later],
+                              rows[2, later] + rows[3, later] + min_length - 1)
+        d, key, start, n = rows[:, ~later]
+        texts = [t for t, gone in zip(texts, later.tolist(), strict=True) if not gone]
         data = np.frombuffer(b"".join(texts), np.uint8)
         base = np.cumsum(n + min_length - 1) - (n + min_length - 1)
         piece = np.repeat(np.arange(len(n)), n)
@@ -373,7 +399,7 @@ def _removed(pieces: DataFrame, min_length: int) -> DataFrame:
         # neighbouring windows of a piece as one span
         new = np.concatenate(([True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, bool)
         last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1])) if len(at) else np.zeros(0, int)
-        return by_document(d[piece[new]], key[piece[new]], at[new], at[last] + min_length)
+        yield by_document(d[piece[new]], key[piece[new]], at[new], at[last] + min_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[np.ndarray] = []
@@ -395,14 +421,14 @@ def _removed(pieces: DataFrame, min_length: int) -> DataFrame:
             # windows of one name must meet: flush only where the name changes
             cut = int(np.searchsorted(deal, deal[-1]))
             if held and held + sum(map(len, own[:cut])) >= FLUSH_BYTES and (cut or last_deal != deal[0]):
-                yield suffix_task(list(np.concatenate([*columns, rows[:, :cut]], axis=1)), texts + own[:cut])
+                yield from suffix_task(list(np.concatenate([*columns, rows[:, :cut]], axis=1)), texts + own[:cut])
                 columns, texts = [rows[:, cut:]], own[cut:]
             else:
                 columns.append(rows)
                 texts += own
             held, last_deal = sum(map(len, texts)), deal[-1]
         if texts:
-            yield suffix_task(list(np.concatenate(columns, axis=1)), texts)
+            yield from suffix_task(list(np.concatenate(columns, axis=1)), texts)
 
     return (pieces.repartition("deal").sortWithinPartitions("deal")
             .mapInArrow(run, "d long, text_key long, spans binary"))
