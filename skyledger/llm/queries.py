@@ -22,7 +22,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.kept_digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return suffix_dedup.kept_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import record_batch, ship_package, store
+from .common import arrow_map, record_batch, ship_package, store
 
 MIN_LENGTH = 50
 GRAM = 16
@@ -37,7 +37,7 @@ HOT_DOCUMENTS = 4096
 MAX_HOT_NAMES = 1_000_000
 SLICE = 1 << 22
 FLUSH_BYTES = 1 << 20
-PAIRS_HELD = 1_000_000
+PAIRS_HELD = 500_000
 KEY_SEED = 42  # of Spark's xxhash64
 _LAST = (1 << 63) - 1  # stands for a null id: later than all
 
@@ -189,7 +189,7 @@ def _packets(name: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[tuple[
                                   + _planes(count[a:b].astype(np.uint64), 2))
 
 
-def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: int = 1_000_000) -> DataFrame:
+def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: int = 500_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         names, ids, held = [], [], 0
@@ -436,20 +436,11 @@ def _removed(pieces: DataFrame, min_length: int) -> DataFrame:
 
 # --- the operator ------------------------------------------------------------------------
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
-                   hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
-    """Every row, all columns, with ``removed_spans``: (start, end) byte pairs as packed longs.
-
-    Spans are maximal, apart and in order; null if nothing is removed. Matches
-    never cross documents and are judged on the input. Null text counts as
-    empty. Rows that share an id remove nothing from each other; a null id is
-    later than all others. An empty table gives an empty result; an input
-    column named like the result or like ``_d`` is replaced.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, min_length: int, hot_documents: int) -> DataFrame:
+    """The rows of ``docs`` with ``_found``: the removed spans of their id, as the suffix tasks gave them."""
     spark = docs.sparkSession
     ship_package(spark)
     gram = max(1, min(GRAM, min_length // 3))
-    docs = docs.drop("removed_spans", "_d")
     text = F.col(text_col).cast("string")
     base = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -474,25 +465,50 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = (_removed(_pieces(joined, text_col, hot, min_length, gram, bits), min_length)
              .groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("text_key", "spans")).alias("_found")))
 
+    return base.join(spans, "_d", "left").select(*docs.columns, "_found")
+
+
+def _own_spans(raw: bytes, found: list | None) -> np.ndarray:
+    """Maximal removed spans of a text, in order, from those found under its id."""
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    key = _signed(xxhash.xxh64_intdigest(raw, KEY_SEED))
+    parts = [np.frombuffer(f["spans"], "<i8").reshape(-1, 2) for f in found if f["text_key"] == key]
+    pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    return _spans(pairs[:, 0], pairs[:, 1])
+
+
+def _each_text(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[str | None, bytes, list[tuple[int, int]]]]:
+    """Text, its bytes and its removed spans, row by row."""
+    for value, found in zip(batch.column(text_col), batch.column("_found").to_pylist(), strict=True):
+        text = value.as_py()
+        raw = (text or "").encode()
+        yield text, raw, [tuple(p) for p in _own_spans(raw, found).tolist()]
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
+                   hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+    """Every row, all columns, with ``removed_spans``: an array of (start, end) byte pairs.
+
+    Spans are maximal, apart and in order; empty if nothing is removed. Matches
+    never cross documents and are judged on the input. Null text counts as
+    empty. Rows that share an id remove nothing from each other; a null id is
+    later than all others. An empty table gives an empty result; an input
+    column named like the result is replaced.
+    """
+    docs = docs.drop("removed_spans")
     columns = docs.columns
+    pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value, found in zip(batch.column(text_col), batch.column("_found").to_pylist(), strict=True):
-                key = _signed(xxhash.xxh64_intdigest((value.as_py() or "").encode(), KEY_SEED)) if found else None
-                parts = [np.frombuffer(f["spans"], "<i8").reshape(-1, 2) for f in found or () if f["text_key"] == key]
-                pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-                out.append(_spans(pairs[:, 0], pairs[:, 1]).astype("<i8").tobytes() if parts else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())],
+            spans = [[{"start": a, "end": b} for a, b in pairs] for _, _, pairs in _each_text(batch, text_col)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(spans, pa.list_(pair))],
                                              [*columns, "removed_spans"])
 
-    return (base.join(spans, "_d", "left").select(*columns, "_found")
-            .mapInArrow(merge, StructType([*docs.schema.fields, StructField("removed_spans", BinaryType())])))
-
-
-def span_pairs(packed: bytes | None) -> list[tuple[int, int]]:
-    return [] if packed is None else [tuple(p) for p in np.frombuffer(packed, "<i8").reshape(-1, 2).tolist()]
+    span = StructType([StructField("start", LongType()), StructField("end", LongType())])
+    return _found(docs, id_col, text_col, min_length, hot_documents).mapInArrow(
+        run, StructType([*docs.schema.fields, StructField("removed_spans", ArrayType(span))]))
 
 
 def without_spans(raw: bytes, pairs: list[tuple[int, int]]) -> bytes:
@@ -503,24 +519,20 @@ def without_spans(raw: bytes, pairs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def kept_digests(found: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of :func:`repeated_spans`' result."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                        ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
+                 hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row: what :func:`repeated_spans` leaves."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"),
-                                           batch.column("removed_spans").to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode()
-                pairs = span_pairs(spans)
-                rows.append((doc_id, len(raw), sum(b - a for a, b in pairs), len(pairs),
-                             hashlib.sha256(without_spans(raw, pairs)).hexdigest()))
-            if rows:
-                yield record_batch(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+    def run(batch: pa.RecordBatch) -> dict:
+        rows = [(len(raw), sum(b - a for a, b in pairs), len(pairs),
+                 hashlib.sha256(without_spans(raw, pairs)).hexdigest()) for _, raw, pairs in _each_text(batch, "text")]
+        out = zip(*rows, strict=True) if rows else [()] * 4
+        return dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, out), strict=True)) | {
+            "doc_id": batch.column("doc_id")}
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(_found(own, "doc_id", "text", min_length, hot_documents), run,
+                     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(raw: bytes, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -536,31 +548,28 @@ def whole_characters(raw: bytes, pairs: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def remove_spans(found: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of :func:`repeated_spans` with the spans cut from their texts.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars",
+                    min_length: int = MIN_LENGTH) -> DataFrame:
+    """The rows of ``docs``, all columns, with the spans of :func:`repeated_spans` cut from their texts.
 
     Whole characters only. ``length_col``, if it is there, becomes the new number of
     code points. Rows left with nothing by the removal go; empty and null texts
     that lost nothing stay.
     """
-    target = StructType([f for f in found.schema.fields if f.name != "removed_spans"])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for value, spans in zip(batch.column(text_col), batch.column("removed_spans").to_pylist(), strict=True):
-                text = value.as_py()
-                if spans:
-                    raw = text.encode()
-                    text = without_spans(raw, whole_characters(raw, span_pairs(spans))).decode()
-                texts.append(text)
-                keep.append(not spans or bool(text))
-            columns = {f.name: batch.column(f.name) for f in target.fields}
+            rows = list(_each_text(batch, text_col))
+            texts = [without_spans(raw, whole_characters(raw, pairs)).decode() if pairs else text
+                     for text, raw, pairs in rows]
+            columns = {c: batch.column(c) for c in names}
             columns[text_col] = pa.array(texts, pa.string())
             if length_col in columns:
-                changed = [len(t) if s else n for t, s, n in zip(texts, batch.column("removed_spans").to_pylist(),
-                                                                 batch.column(length_col).to_pylist(), strict=True)]
+                changed = [len(t) if row[2] else n
+                           for t, row, n in zip(texts, rows, batch.column(length_col).to_pylist(), strict=True)]
                 columns[length_col] = pa.array(changed, columns[length_col].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(pa.array(keep, pa.bool_()))
+            keep = pa.array([not row[2] or bool(t) for t, row in zip(texts, rows, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(keep)
 
-    return found.mapInArrow(run, target)
+    return _found(docs, id_col, text_col, min_length, HOT_DOCUMENTS).mapInArrow(run, docs.schema)

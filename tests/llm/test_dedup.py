@@ -118,20 +118,20 @@ def plain_repeats(rows, length):
     return sorted(out)
 
 
-def digests(found):
+def digests(docs, **options):
     return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
-                  for r in suffix_dedup.kept_digests(found).collect())
+                  for r in suffix_dedup.kept_digests(docs, **options).collect())
 
 
 def test_repeated_passages(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert digests(suffix_dedup.repeated_spans(docs)) == plain_repeats(rows, 50)
-    assert digests(suffix_dedup.repeated_spans(docs, min_length=20)) == plain_repeats(rows, 20)
+    assert digests(docs) == plain_repeats(rows, 50)
+    assert digests(docs, min_length=20) == plain_repeats(rows, 20)
 
 
 def test_hot_names_are_dealt_by_window(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert digests(suffix_dedup.repeated_spans(docs, hot_documents=2)) == plain_repeats(rows, 50)
+    assert digests(docs, hot_documents=2) == plain_repeats(rows, 50)
 
 
 def test_flushing_keeps_names_together(docs, monkeypatch):
@@ -160,8 +160,12 @@ def test_previous_factors_against_plain_search():
 
 
 def test_removed_texts_hold_whole_characters(docs):
-    cut = suffix_dedup.remove_spans(suffix_dedup.repeated_spans(docs))
+    cut = suffix_dedup.without_repeats(docs)
     assert cut.columns == docs.columns
+    spans = suffix_dedup.repeated_spans(docs)
+    assert spans.columns == [*docs.columns, "removed_spans"]
+    assert sorted((str(r.doc_id), sum(s.end - s.start for s in r.removed_spans), len(r.removed_spans))
+                  for r in spans.collect()) == [(d, m, n) for d, _, m, n, _ in digests(docs)]
     before = {r.doc_id: r.text for r in docs.collect()}
     for r in cut.collect():
         assert r.text is None or len(r.text) <= len(before[r.doc_id])
