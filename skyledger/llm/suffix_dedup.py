@@ -37,7 +37,6 @@ HOT_DOCUMENTS = 4096
 MAX_HOT_NAMES = 1_000_000
 SLICE = 1 << 22
 FLUSH_BYTES = 1 << 20
-PAIRS_HELD = 500_000
 KEY_SEED = 42  # of Spark's xxhash64
 _LAST = (1 << 63) - 1  # stands for a null id: later than all
 
@@ -224,11 +223,12 @@ def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: i
     return docs.select("d", "text").mapInArrow(run, "bucket int, kind int, payload binary")
 
 
-_SHARED = pa.schema([("d", pa.int64()), ("names", pa.binary()), ("hot", pa.bool_())])
+_SHARED = pa.schema([("d", pa.int64()), ("name", pa.int64()), ("names", pa.binary()), ("hot", pa.bool_())])
 
 
 def _shared_names(packets: DataFrame, hot_documents: int) -> DataFrame:
-    """(d, names): shared names of a document; rows with ``hot`` list names held by very many documents."""
+    """(d, name) or (d, names): shared names of a document, one or a list; rows with ``hot`` list names
+    held by very many documents."""
 
     def bucket_pairs(bucket: int, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
         """Shared (name, doc) records of a bucket, and its rows of hot names."""
@@ -243,17 +243,18 @@ def _shared_names(packets: DataFrame, hot_documents: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         total = np.add.reduceat(count, cuts)
         hot = total > hot_documents
-        rows = [(None, np.stack([name[cuts][hot], total[hot].astype(np.uint64)], 1).astype("<u8").tobytes(), True)]
+        rows = [(None, None, np.stack([name[cuts][hot], total[hot].astype(np.uint64)], 1).astype("<u8").tobytes(), True)]
         apart = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
         keep = np.repeat(apart, np.diff(cuts, append=len(name)))
         return name[keep], doc[keep], rows if hot.any() else []
 
-    def by_document(name: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-        order = np.argsort(doc, kind="stable")
-        doc, name = doc[order], name[order].astype("<u8")
-        cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
-        for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-            yield int(doc[a]), name[a:b].tobytes(), False
+    def by_name(name: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row per shared name and document, so the rows follow the names, not the tasks."""
+        for at in range(0, len(name), 50_000):
+            part = name[at:at + 50_000].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[at:at + 50_000]), pa.array(part),
+                                              pa.nulls(len(part), pa.binary()), pa.array([False] * len(part))],
+                                             schema=_SHARED)
 
     def send(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(rows), 5000):
@@ -262,36 +263,30 @@ def _shared_names(packets: DataFrame, hot_documents: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads: list[bytes] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []  # of several buckets, so a document gets few rows
-        now, held = None, 0
+        now = None
 
-        def finish(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal payloads, found, held
+        def finish() -> Iterator[pa.RecordBatch]:
             if payloads:
                 name, doc, rows = bucket_pairs(now, payloads)
-                found.append((name, doc))
-                held += len(name)
-                payloads = []
+                payloads.clear()
                 yield from send(rows)
-            if found and (last or held >= PAIRS_HELD):
-                yield from send(list(by_document(*(np.concatenate(c) for c in zip(*found, strict=True)))))
-                found, held = [], 0
+                yield from by_name(name, doc)
 
         for batch in batches:
             known = []
             for bucket, kind, payload in zip(*(batch.column(c).to_pylist() for c in _PACKET.names), strict=True):
                 if kind:
-                    known.append((int.from_bytes(payload[:8], "little", signed=True), payload[8:], False))
+                    known.append((int.from_bytes(payload[:8], "little", signed=True), None, payload[8:], False))
                     continue
                 if bucket != now:
-                    yield from finish(False)
+                    yield from finish()
                 now = bucket
                 payloads.append(payload)
             yield from send(known)
-        yield from finish(True)
+        yield from finish()
 
     return (packets.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, "d long, names binary, hot boolean"))
+            .mapInArrow(run, "d long, name long, names binary, hot boolean"))
 
 
 # --- step 2: the bytes of shared runs ------------------------------------------------
@@ -312,15 +307,15 @@ def _pieces(joined: DataFrame, text_col: str, hot_names: np.ndarray, min_length:
     """
     hot = joined.sparkSession.sparkContext.broadcast(hot_names)  # at most MAX_HOT_NAMES
 
-    def pieces(doc: int, raw: bytes, names: list[bytes], met: dict) -> Iterator[tuple]:
+    def pieces(doc: int, raw: bytes, single: np.ndarray, names: list[bytes], met: dict) -> Iterator[tuple]:
         key = _signed(xxhash.xxh64_intdigest(raw, KEY_SEED))
         name, first, n = runs(np.frombuffer(raw, np.uint8), min_length, gram, bits)
-        mine = np.isin(name, np.frombuffer(b"".join(names), "<u8"))
+        mine = np.isin(name, np.concatenate([single.view(np.uint64), np.frombuffer(b"".join(names), "<u8")]))
         name, first, n = name[mine], first[mine], n[mine]
         split = np.isin(name, hot.value)
         gone_at, gone = 0, 0  # neighbouring windows removed at once go into one row
-        for k, a, m, single in zip(name.tolist(), first.tolist(), n.tolist(), split.tolist()):
-            todo = [(a + i, 1) for i in range(m)] if single else [(a, m)]
+        for k, a, m, by_window in zip(name.tolist(), first.tolist(), n.tolist(), split.tolist()):
+            todo = [(a + i, 1) for i in range(m)] if by_window else [(a, m)]
             for at, windows in todo:
                 own = raw[at:at + windows + min_length - 1]
                 if met.get(own, doc) < doc:
@@ -332,7 +327,7 @@ def _pieces(joined: DataFrame, text_col: str, hot_names: np.ndarray, min_length:
                 if len(met) >= 100_000:
                     met.clear()
                 met[own] = doc
-                yield _signed(xxhash.xxh64_intdigest(own, 1) if single else k), doc, key, at, windows, own
+                yield _signed(xxhash.xxh64_intdigest(own, 1) if by_window else k), doc, key, at, windows, own
         if gone:
             yield key, doc, key, gone_at, gone, None
 
@@ -340,8 +335,8 @@ def _pieces(joined: DataFrame, text_col: str, hot_names: np.ndarray, min_length:
         met: dict[bytes, int] = {}
         rows: list[tuple] = []
         for batch in batches:
-            for doc, text, names, copies in zip(batch.column("_d").to_pylist(), batch.column(text_col),
-                                                batch.column("_names").to_pylist(),
+            for doc, text, single, names, copies in zip(batch.column("_d").to_pylist(), batch.column(text_col),
+                                                batch.column("_name"), batch.column("_names").to_pylist(),
                                                 batch.column("_copies").to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
                 if len(raw) < min_length:
@@ -350,7 +345,7 @@ def _pieces(joined: DataFrame, text_col: str, hot_names: np.ndarray, min_length:
                 if key in (copies or ()):
                     rows.append((key, doc, key, 0, len(raw) - min_length + 1, None))
                     continue
-                for row in pieces(doc, raw, names or [], met):
+                for row in pieces(doc, raw, single.values.to_numpy(), names or [], met):
                     rows.append(row)
                     if len(rows) >= 20_000:
                         yield record_batch(dict(zip(_PIECE.names, map(list, zip(*rows, strict=True)), strict=True)), _PIECE)
@@ -456,12 +451,14 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_length: int, hot_doc
                                                                  F.xxhash64("text").alias("text_key"))
     firsts = texts.groupBy("digest").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
     copies = texts.join(firsts, "digest").where("first < d").select("d", "text_key")
-    news = (shared.where("NOT hot").select("d", "names", F.lit(None).cast("long").alias("copy"))
-            .unionByName(copies.select("d", F.lit(None).cast("binary").alias("names"), F.col("text_key").alias("copy")))
-            .groupBy(F.col("d").alias("_d")).agg(F.collect_list("names").alias("_names"),
+    news = (shared.where("NOT hot").select("d", "name", "names", F.lit(None).cast("long").alias("copy"))
+            .unionByName(copies.select("d", F.lit(None).cast("long").alias("name"),
+                                       F.lit(None).cast("binary").alias("names"), F.col("text_key").alias("copy")))
+            .groupBy(F.col("d").alias("_d")).agg(F.collect_list("name").alias("_name"),
+                                                 F.collect_list("names").alias("_names"),
                                                  F.collect_set("copy").alias("_copies")))
     # All columns go along, so that both joins read one shuffle of the documents.
-    joined = base.join(news, "_d").select(*base.columns, "_names", "_copies")
+    joined = base.join(news, "_d").select(*base.columns, "_name", "_names", "_copies")
     spans = (_removed(_pieces(joined, text_col, hot, min_length, gram, bits), min_length)
              .groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("text_key", "spans")).alias("_found")))
 
