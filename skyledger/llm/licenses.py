@@ -1,13 +1,16 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised and looked up among known
-licence sentences, which gives the document's sequence of sentence identifiers.
+A text is cut into sentences and normalised; the known licence sentences among
+them give the document's sequence of sentence identifiers. A known sentence may
+run over line breaks, indented and commented lines too, but not over blank ones.
 Ordered licence rules are matched against that sequence: a rule takes the
 identifiers it matches, so a later, more general rule cannot claim them again.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,12 @@ _NO_WORD = r"[^a-z0-9.\n]+"
 _EDGES = r"^[ .]+|[ .]+$"
 _TAKEN = "<->"
 
+_LINE_CLOSE = r"(?<![ \t*])[ \t]*+(?:(?:\*++/?|-->)[ \t]*+)?\n"  # blanks and comment ends, as far as the line's end
+_PROSE_BREAK = r"([^.!?:;\n])\n(?!https?:)([a-z(])"
+_LINE_OPEN = r"\n[ \t]*+(?:/\*++|<!--|\*++(?!/)|//++|#++|--++|;++|%++|!++|>++|(?:dnl|rem|REM)(?![^ \t\n]))?[ \t]*+"
+_VERSION = r"(?<![A-Za-z0-9])([Vv])\.[ \t\n]+(?=[0-9])"
+_LINE_EDGES = r"(?<=\n)[ .]++|(?<![ .])[ .]++(?=\n)"
+
 # Normalised licence sentences and their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2.0": "apache2-short",
@@ -92,12 +101,78 @@ RULES = (
 )
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: ASCII lower case, words and dots only, single spaces."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), _WRAPPED_LINE, "$1 $2")
-    cut = F.regexp_replace(joined, _SENTENCE_END, "$1\n")
-    plain = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), _NO_WORD, " ")
-    return F.transform(F.split(plain, "\n"), lambda s: F.regexp_replace(s, _EDGES, ""))
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_OR_LATER = " either version {} of the license or at your option any later version"
+
+# The published notices that the tables above leave out.
+NOTICES = {
+    "this source code form is subject to the terms of the mozilla public license v.2.0": "mpl2-short",
+    "this library is free software": "lgpl-free",
+    "either version 2.1 of the license or at your option any later version": "gpl-2.1-later",
+    _GNU.format("library general public license"): "lgpl-library-terms",
+    _GNU.format("affero general public license"): "agpl-terms",
+    **{_GNU.format(name) + _OR_LATER.format(version): f"{mark}-{version}-or-later"
+       for mark, name in (("gpl", "general public license"), ("lgpl", "lesser general public license"),
+                          ("lgpl-library", "library general public license"), ("agpl", "affero general public license"))
+       for version in ("2", "2.1", "3")},
+    _GNU.format("general public license version 2"): "gpl-2-terms",
+    _GNU.format("general public license version 3"): "gpl-3-terms",
+    _GNU.format("lesser general public license version 2.1"): "lgpl-2.1-terms",
+    _GNU.format("lesser general public license version 3"): "lgpl-3-terms",
+    **{f"permission to use copy modify {word} distribute this software for any purpose with or without fee is hereby "
+       "granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant"
+       for word in ("and", "or", "and or")},
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+    "granted": "0bsd-grant",
+}
+
+# Fixed values, as RULES and tried after them.
+NOTICE_RULES = (
+    ("LGPL-2.0-or-later", ("lgpl-free", "lgpl-terms", "gpl-2-later")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-terms", "gpl-2.1-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-terms", "gpl-3-later")),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl-terms", "gpl-2.1-later")),
+    ("LGPL-2.0-or-later", ("lgpl-free", "lgpl-library-terms", "gpl-2-later")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-terms", "gpl-3-later")),
+    *((name, (*free, ids)) for name, ids in (
+        ("GPL-2.0-or-later", "gpl-2-or-later"), ("GPL-3.0-or-later", "gpl-3-or-later"),
+        ("LGPL-2.0-or-later", "lgpl-2-or-later"), ("LGPL-2.1-or-later", "lgpl-2.1-or-later"),
+        ("LGPL-3.0-or-later", "lgpl-3-or-later"), ("LGPL-2.0-or-later", "lgpl-library-2-or-later"),
+        ("AGPL-3.0-or-later", "agpl-3-or-later"), ("GPL-2.0-only", "gpl-2-terms"), ("GPL-3.0-only", "gpl-3-terms"),
+        ("LGPL-2.1-only", "lgpl-2.1-terms"), ("LGPL-3.0-only", "lgpl-3-terms"))
+      for free in (("gpl-free",), ("lgpl-free",), ())),
+    # "Name is free software": the terms say it alone.
+    ("GPL-2.0-or-later", ("gpl-terms", "gpl-2-later")),
+    ("GPL-3.0-or-later", ("gpl-terms", "gpl-3-later")),
+    ("LGPL-2.0-or-later", ("lgpl-terms", "gpl-2-later")),
+    ("LGPL-2.1-or-later", ("lgpl-terms", "gpl-2.1-later")),
+    ("LGPL-3.0-or-later", ("lgpl-terms", "gpl-3-later")),
+    ("LGPL-2.0-or-later", ("lgpl-library-terms", "gpl-2-later")),
+    ("AGPL-3.0-or-later", ("agpl-terms", "gpl-3-later")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+)
+
+
+def normalised(text: Column) -> Column:
+    """Lines of ASCII lower-case words and dots with single spaces, without comment marks.
+
+    A sentence starts and ends at a line break; a single break may also lie
+    within one, two never do. Wrapped lines that go on in lower case are joined.
+    """
+    lines = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), F.lit("\n"))
+    for pattern, by in ((_LINE_CLOSE, "\n"), (_PROSE_BREAK, "$1 $2"), (_LINE_OPEN, "\n"), (_VERSION, "$1."),
+                        (r"([.!?:;])(?:[ \t]+|\n)", "$1\n\n")):
+        lines = F.regexp_replace(lines, pattern, by)
+    plain = F.regexp_replace(F.translate(lines, _UPPER, _LOWER), _NO_WORD, " ")
+    return F.regexp_replace(plain, _LINE_EDGES, "")
+
+
+def known_sentences(text: Column, known: list[str]) -> Column:
+    """The ``known`` sentences of a text in order, each found at its longest."""
+    words = "|".join(re.escape(s).replace(r"\ ", r"[ \n]") for s in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(normalised(text), F.lit(rf"(?<![^\n])(?:{words})(?![^\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.translate(s, "\n", " "))
 
 
 def _pattern(identifiers: tuple[str, ...]) -> str:
@@ -106,7 +181,7 @@ def _pattern(identifiers: tuple[str, ...]) -> str:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   known: dict[str, str] | None = None,
-                  rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
+                  rules: tuple[tuple[str, tuple[str, ...]], ...] = (*RULES, *NOTICE_RULES)) -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licenses, n_unmatched`` of every row.
 
     ``n_sentences`` known sentences, their identifiers in order of the text,
@@ -115,9 +190,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty: no sentence, empty lists. Null ids and repeated
     rows are kept; further columns are ignored; an empty table gives an empty result.
     """
-    table = F.create_map(*[F.lit(v) for pair in (known or SENTENCES).items() for v in pair])
-    found = F.filter(F.transform(sentences(F.col(text_col).cast("string")), lambda s: table[s]),
-                     lambda i: i.isNotNull())
+    known = known or SENTENCES | NOTICES
+    table = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
+    found = F.transform(known_sentences(F.col(text_col).cast("string"), list(known)), lambda s: table[s])
     steps = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(_pattern(ids)).alias("ids")) for name, ids in rules])
 
     def apply(state: Column, rule: Column) -> Column:
@@ -138,7 +213,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def oracle_sql() -> str:
-    """The scan of ``documents`` as DuckDB SQL, rule by rule."""
+    """The scan of ``documents`` as DuckDB SQL, rule by rule: SENTENCES and RULES, without the notices."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
     steps, hits = ["s0"], []

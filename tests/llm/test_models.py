@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import sys
+import textwrap
 import zlib
 
 import duckdb
@@ -177,6 +178,53 @@ def test_license_rules(spark, no_docs):
     assert {i for _, ids in licenses.RULES for i in ids} <= known
 
 
+def test_published_notices_wrapped_indented_and_commented(spark):
+    gnu = ("This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public "
+           "License as published by the Free Software Foundation{} either version {} of the License, or (at your option) "
+           "any later version.")
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+           "the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, "
+           "this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the "
+           "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+           "materials provided with the distribution.")
+    notices = [("GPL-2.0-or-later", gnu.format("program", ";", "", ";", "2")),
+               ("GPL-3.0-or-later", gnu.format("program", ":", "", ",", "3")),
+               ("LGPL-3.0-or-later", gnu.format("program", ":", "Lesser ", ",", "3")),
+               ("LGPL-2.1-or-later", gnu.format("library", ";", "Lesser ", ";", "2.1")),
+               ("LGPL-2.0-or-later", gnu.format("library", ";", "Library ", ";", "2")),
+               ("AGPL-3.0-or-later", gnu.format("program", ":", "Affero ", ",", "3")),
+               ("GPL-3.0-or-later", gnu.format("program", ":", "", ",", "3").replace("This program", "Thing")),
+               ("BSD-2-Clause", bsd),
+               ("BSD-3-Clause", bsd + "\n3. Neither the name of the copyright holder nor the names of its contributors may be "
+                "used to endorse or promote products derived from this software without specific prior written permission."),
+               ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+                "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+               ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
+                "of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+               ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+                "except in compliance with the License. You may obtain a copy of the License at\n"
+                "    http://www.apache.org/licenses/LICENSE-2.0")]
+    rows = []
+    for name, notice in notices:
+        for width in (25, 40, 72, 1000):
+            lines = [line for part in notice.split("\n") for line in textwrap.wrap(part, width) or [""]]
+            for start, mark, end in (("", "", ""), ("", "    ", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "//", ""),
+                                     ("", ";; ", ""), ("", "-- ", ""), ("<!-- ", "  ", " -->"), ("/* ", "   ", " */")):
+                for lead in ("", "Copyright (c) 2020 A. Holder\n", "x = 1\n\n"):
+                    text = lead + start + "\n".join(mark + line for line in lines) + end + "\nint main() {}"
+                    rows += [(len(rows), name, text), (len(rows) + 1, name, text.replace("\n", "\r\n"))]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = {r.doc_id: (r.licenses, r.n_unmatched) for r in licenses.scan_licenses(docs).collect()}
+    wrong = [(name, got[i], text) for i, name, text in rows
+             if got[i][0] != name or got[i][1]]
+    assert not wrong, (len(wrong), len(rows), wrong[:3])
+    odd = [(0, " " * 200_000 + "x" + "*" * 200_000 + "x" + "." * 200_000 + "\t" * 200_000 + "x"),
+           (1, "This program is free software;\n\nyou can redistribute\n\nit"), (2, "Released under the\n\nMIT License.")]
+    got = {r.doc_id: (r.licenses, r.n_sentences)
+           for r in licenses.scan_licenses(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert got == {0: ("", 0), 1: ("", 1), 2: ("", 0)}
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan_licenses(spark.read.parquet(f"{SMALL_SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
