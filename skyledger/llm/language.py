@@ -1,8 +1,8 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams per language make a matrix of log-probabilities
-(languages x buckets) that is broadcast; a batch is scored in numpy from the
-buckets that its texts hold.
+(languages x buckets) that is broadcast; a batch is scored as one sparse product
+of its documents x buckets counts with the matrix, in slices of bounded size.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from .training import bounded_ids
 BUCKETS = 1 << 15
 MAX_TRAINING_DOCS = 20_000
 SLICE = 1 << 20
+TABLE_SLICE = 1 << 18  # entries of a batch's count table held at once
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
@@ -108,15 +109,50 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                          np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T))
 
 
+def gram_table(texts: list, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The counts of a batch as (row, bucket, count) arrays, the non-zero entries, slice by slice."""
+    rows, found, counts, held = [], [], [], 0
+    for row, text in enumerate(texts):
+        for part in ngram_buckets(text or "", buckets):
+            if len(part) < 4096:
+                own, n = np.unique(part, return_counts=True)
+            else:
+                n = np.bincount(part, minlength=buckets)
+                own = np.flatnonzero(n)
+                n = n[own]
+            rows.append(np.full(len(own), row))
+            found.append(own)
+            counts.append(n)
+            held += len(own)
+            if held >= TABLE_SLICE:
+                yield np.concatenate(rows), np.concatenate(found), np.concatenate(counts)
+                rows, found, counts, held = [], [], [], 0
+    if held:
+        yield np.concatenate(rows), np.concatenate(found), np.concatenate(counts)
+
+
+def gram_sums(texts: list, matrix: np.ndarray) -> np.ndarray:
+    """Counts of the texts (texts x buckets, sparse) times ``matrix`` (buckets x columns)."""
+    out = np.zeros((len(texts), matrix.shape[1]))
+    for row, bucket, count in gram_table(texts, len(matrix)):
+        for j in range(matrix.shape[1]):
+            out[:, j] += np.bincount(row, count * matrix[bucket, j], len(texts))
+    return out
+
+
+def classify_batch(texts: list, model: LanguageModel) -> list[tuple[str, float]]:
+    """Language and posterior probability of every text."""
+    if not model.languages:
+        return [(UNDETERMINED, 0.0)] * len(texts)
+    total = gram_sums(texts, model.log_prob) + model.log_prior
+    best = total.argmax(1)
+    score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+    return [(model.languages[b], s) if has_letter(t) else (UNDETERMINED, 0.0)
+            for t, b, s in zip(texts, best.tolist(), score.tolist(), strict=True)]
+
+
 def classify(text: str | None, model: LanguageModel) -> tuple[str, float]:
-    if not model.languages or not has_letter(text):
-        return UNDETERMINED, 0.0
-    total = model.log_prior.copy()
-    for part in ngram_buckets(text, len(model.log_prob)):
-        total += model.log_prob[part].sum(0) if len(part) < 4096 else \
-            np.bincount(part, minlength=len(model.log_prob)) @ model.log_prob
-    best = int(np.argmax(total))
-    return model.languages[best], float(1 / np.exp(total - total[best]).sum())
+    return classify_batch([text], model)[0]
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,8 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        known = shared.value
-        found = [classify(t.as_py(), known) for t in batch.column("text")]
+        found = classify_batch(batch.column("text").to_pylist(), shared.value)
         return {"doc_id": batch.column("doc_id"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
     return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
@@ -141,7 +176,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def wanted(texts) -> list[bool]:
-        found = [classify(t.as_py(), shared.value) for t in texts]
+        found = classify_batch(texts.to_pylist(), shared.value)
         return [lang != UNDETERMINED and score >= min_score for lang, score in found]
 
     return keep_rows(docs, text_col, wanted)

@@ -53,6 +53,25 @@ def test_slices_change_no_counts(monkeypatch):
     assert (language.gram_counts(text) == whole).all()
 
 
+def test_batches_score_as_single_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = language.LanguageModel(["a", "b", "c"], np.log([0.2, 0.3, 0.5]), np.log(rng.random((language.BUCKETS, 3))))
+    texts = [None, "", "12", "short", "Straße über den Fluss. " * 400, "aaaa", "日本語 text"]
+    want = language.gram_counts(texts[4]) @ model.log_prob
+    for size in (7, 1 << 18):
+        monkeypatch.setattr(language, "TABLE_SLICE", size)
+        table = list(language.gram_table(texts))
+        dense = np.zeros((len(texts), language.BUCKETS), np.int64)
+        for row, bucket, count in table:
+            np.add.at(dense, (row, bucket), count)
+        assert (dense == [language.gram_counts(t or "") for t in texts]).all() and (size > 7) == (len(table) == 1)
+        assert np.allclose(language.gram_sums(texts, model.log_prob)[4], want)
+        found = language.classify_batch(texts, model)
+        assert [f[0] for f in found] == [language.classify(t, model)[0] for t in texts]
+        assert found[:3] == [("und", 0.0)] * 3
+    assert language.classify_batch([], model) == []
+
+
 # --- quality --------------------------------------------------------------------------------
 
 def test_quality_on_held_out_rows(spark):
