@@ -5,7 +5,7 @@ its predecessor kept; ``run`` writes each result to the shared folder and reads
 it back for the next. All stages but the last return the columns of ``docs``.
 
 Nulls, empty tables and repeated rows: a document without a letter (null and
-empty texts too) is rejected by the first stage; a null id never teaches a model and yields
+empty texts too) or in no learned language is rejected by the first stage; a null id never teaches a model and yields
 to every other id in the later ones; of repeated rows one stays; empty tables
 give empty results with the same columns.
 """
@@ -19,7 +19,7 @@ from skyledger.llm.common import store, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is determined."""
+    """Keeps documents in a language that the model, learned from their ``lang``, knows."""
     return language.keep_identified(docs, language.fit(language.training_rows(docs)))
 
 

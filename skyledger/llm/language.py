@@ -31,6 +31,8 @@ class LanguageModel(NamedTuple):
     languages: list[str]
     log_prior: np.ndarray
     log_prob: np.ndarray  # buckets x languages
+    seen: np.ndarray | None = None  # buckets x languages: 1 where the training documents hold the gram
+    usual: np.ndarray | None = None  # share of a training document's grams that others of its language hold
 
 
 def has_letter(text: str | None) -> bool:
@@ -80,33 +82,40 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                           F.col(lang_col).cast("string").alias("lang"))
               .where("text IS NOT NULL AND lang IS NOT NULL"))
     chosen = F.broadcast(bounded_ids(usable, max_training_docs, "language"))  # size bounded just above
-    schema = "lang string, docs long, counts array<long>"
+    schema = "lang string, docs long, counts array<long>, holders array<long>"
+    target = pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.list_(pa.int64())),
+                        ("holders", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-                own = sums.setdefault(lang, [0, np.zeros(buckets, np.int64)])
+                own = sums.setdefault(lang, [0, np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)])
+                found = gram_counts(text.as_py(), buckets)
                 own[0] += 1
-                own[1] += gram_counts(text.as_py(), buckets)
-        for lang, (n, counts) in sums.items():
-            yield record_batch({"lang": [lang], "docs": [n], "counts": [counts]},
-                               pa.schema([("lang", pa.string()), ("docs", pa.int64()), ("counts", pa.list_(pa.int64()))]))
+                own[1] += found
+                own[2] += found > 0
+        for lang, (n, counts, holders) in sums.items():
+            yield record_batch({"lang": [lang], "docs": [n], "counts": [counts], "holders": [holders]}, target)
 
     partial = usable.join(chosen, "doc_id", "left_semi").select("text", "lang").mapInArrow(count, schema)
 
     def add(pdf):
         import pandas as pd
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "docs": [int(pdf["docs"].sum())],
-                             "counts": [np.sum(np.stack(pdf["counts"].to_list()), axis=0)]})
+                             **{c: [np.sum(np.stack(pdf[c].to_list()), axis=0)] for c in ("counts", "holders")}})
 
     rows = sorted(partial.groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r["lang"])
     if not rows:
         return LanguageModel([], np.zeros(0), np.zeros((buckets, 0)))
-    counts = np.array([r["counts"] for r in rows], np.float64) + alpha
+    raw = np.array([r["counts"] for r in rows], np.float64)
+    shared = np.array([r["holders"] for r in rows]) > 1
+    counts = raw + alpha
     seen = np.array([r["docs"] for r in rows], np.float64)
     return LanguageModel([r["lang"] for r in rows], np.log(seen / seen.sum()),
-                         np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T))
+                         np.ascontiguousarray(np.log(counts / counts.sum(1, keepdims=True)).T),
+                         np.ascontiguousarray((raw > 0).T.astype(np.float64)),
+                         (raw * shared).sum(1) / np.maximum(1, raw.sum(1)))
 
 
 def gram_table(texts: list, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,13 +180,28 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is determined with at least ``min_score``."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.5,
+                    min_familiar: float = 0.9) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined and known to the model.
+
+    The posterior, at least ``min_score``, only says which learned language is
+    nearest; it nears 1 for long texts in any language. So the share of a
+    text's grams that the training documents of that language hold must also
+    reach ``min_familiar`` of the share that a training document finds in the
+    others. A language close to a learned one may pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def wanted(texts) -> list[bool]:
-        found = classify_batch(texts.to_pylist(), shared.value)
-        return [lang != UNDETERMINED and score >= min_score for lang, score in found]
+        known, texts = shared.value, texts.to_pylist()
+        found = classify_batch(texts, known)
+        if not known.languages:
+            return [False] * len(texts)
+        sums = gram_sums(texts, np.hstack([known.seen, np.ones((len(known.seen), 1))]))
+        place = {lang: i for i, lang in enumerate(known.languages)}
+        return [lang != UNDETERMINED and score >= min_score
+                and own[place[lang]] >= min_familiar * known.usual[place[lang]] * own[-1]
+                for (lang, score), own in zip(found, sums, strict=True)]
 
     return keep_rows(docs, text_col, wanted)
 

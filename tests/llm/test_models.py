@@ -46,6 +46,19 @@ def test_language_of_odd_texts(spark, docs, no_docs):
     assert kept.columns == docs.columns and not {0, 1, 2} & {r.doc_id for r in kept.collect()}
 
 
+def test_languages_never_learned_are_rejected(spark):
+    table = spark.read.parquet(f"{MID_SF}/documents.parquet")
+    model = language.fit(language.training_rows(table))
+    foreign = ["日本語の文章はここにあります。これは学習されていない言語です。", "这是一个没有学过的语言的句子。", "xkqz wvbn qqqq zzxx jkjk pwpw mnbv xcvb",
+               "Это предложение на русском языке, которого модель не знает.", "To jest zdanie w języku polskim, którego model nie zna."]
+    assert all(score >= 0.5 for _, score in language.classify_batch(foreign, model))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(foreign * 2)], "doc_id long, text string")
+    assert language.keep_identified(docs, model).collect() == []
+    held = table.subtract(language.training_rows(table)).where("text RLIKE '[A-Za-z]'")
+    n = held.count()
+    assert language.keep_identified(held, model).count() >= 0.99 * n > 0
+
+
 def test_slices_change_no_counts(monkeypatch):
     text = "Straße über den Fluss, 12 Äpfel. " * 40
     whole = language.gram_counts(text)
