@@ -86,16 +86,20 @@ def best_fit_pack(rows: DataFrame, size_col: str = "length", keys: tuple[str, ..
                   capacity: int = CAPACITY, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to every row; sizes of a sequence sum to at most ``capacity``.
 
-    ``keys`` spread the rows over groups and order equal sizes; rows equal in
-    all keys may swap places. Null sizes count as 0 and take no room; a size
+    ``keys`` and a number that the row gets when it is stored spread the rows
+    over groups, so null and repeated keys fill no group beyond its bound;
+    ``keys`` order equal sizes; rows equal in all keys may swap places. Null sizes count as 0 and take no room; a size
     above ``capacity`` is an error. An empty table gives an empty result. Columns named
     ``sequence_id`` or ``offset`` in the input are replaced. ``rows`` is read
     once: it is stored in the shared folder, then counted and packed from there.
     """
-    rows = store(rows.drop("sequence_id", "offset"), "packing-rows")
+    given, salt = rows.drop("sequence_id", "offset"), "_salt"
+    while salt in given.columns:
+        salt += "_"
+    rows = store(given.withColumn(salt, F.monotonically_increasing_id()), "packing-rows")
     groups = max(1, math.ceil(rows.count() / rows_per_group))
-    group = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(groups)).alias("_group")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    group = F.pmod(F.xxhash64(*[F.col(k) for k in keys], salt), F.lit(groups))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf[size_col].fillna(0).clip(lower=0).astype("int64")
@@ -106,7 +110,7 @@ def best_fit_pack(rows: DataFrame, size_col: str = "length", keys: tuple[str, ..
         return pdf.assign(sequence_id=np.array(bins, "int64") + first,
                           offset=np.array(offsets, "int64")).drop(columns=["_group", "_size"])
 
-    return (rows.withColumn("_group", group).groupBy("_group")
+    return (rows.withColumn("_group", group).drop(salt).groupBy("_group")
             .applyInPandas(pack, f"{schema}, sequence_id long, offset long"))
 
 

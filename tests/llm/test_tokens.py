@@ -43,6 +43,17 @@ def test_token_counts(docs, library):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 100)
 
 
+def test_groups_are_bounded_for_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 else 5, 0, 1 + i % 50) for i in range(3000)]
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, piece int, length long, _salt long")
+    packed = packing.best_fit_pack(table.repartition(4), capacity=64, rows_per_group=100)
+    assert packed.columns == [*table.columns, "sequence_id", "offset"]
+    got = packed.collect()
+    assert sorted(r._salt for r in got) == list(range(3000))
+    group = [r.sequence_id >> 32 for r in got]
+    assert len(set(group)) == 30 and max(map(group.count, set(group))) < 200
+
+
 def test_packing_holds_every_piece_once(docs, library):
     cap = 64
     packed = packing.pack_documents(docs, capacity=cap, rows_per_group=40)
