@@ -121,6 +121,19 @@ def test_quality_of_odd_texts(spark, docs, no_docs):
     assert quality.keep_good(docs, none).count() == docs.count()
 
 
+def test_an_id_of_many_rows_is_one_example(spark, monkeypatch):
+    rows = [(1, f"The same id, row {i}. Nothing else here.") for i in range(300)] + [(i, "A text. It ends.") for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_pairs", lambda x, label, cut: seen.append((x, label)))
+    quality.fit(docs, labels)
+    quality.fit(docs, labels, max_training_docs=5)
+    (x, label), (bounded, _) = seen
+    assert x.shape == (8, len(quality.FEATURES)) and label.tolist() == [1, 0] * 4 and len(bounded) == 5
+    assert np.allclose(x[0], np.mean([quality.features(t) for d, t in rows if d == 1], axis=0))
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 
 def plain_ends(data):
