@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_prints, language, licenses, packing, piece_codec, quality, simhash, suffix_dedup, token_count, vector_join
+from . import (chunk_prints, language, licenses, packing, piece_codec, quality, resample, secret_scan, simhash, suffix_dedup,
+               token_count, vector_join, whitening)
 from .common import table
 
 
@@ -50,6 +51,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as a long: null where the exact number needs more."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -58,6 +74,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_token_counts, op3_license_scans, op4_suffix_array_dedup,
     op5_sentencepiece_codec, op6_quality_classifier, op7_document_fingerprints, op8_embedding_near_dedup, op9_simhash_near_dedup,
-    op10_language_id, pipeline)}
+    op10_language_id, op11_importance_resampling, op12_embedding_whitening, op13_secret_scans, pipeline)}
 
 ORACLE = {"op3_license_scans": licenses.oracle_sql()}
