@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -93,6 +94,7 @@ def keep_rows(df: DataFrame, column: str, wanted: Callable[[list], list[bool]])
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array(wanted(batch.column(column)), pa.bool_()))
 
@@ -111,21 +113,62 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
+def internal_names(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, …, so that no internal name can meet one of them."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def internal_name(docs: DataFrame, column: str) -> str | None:
+    """Name under :func:`internal_names` of a column (None: there is none)."""
+    for at, name in enumerate(docs.columns):
+        if name == column or name.lower() == column.lower() and column not in docs.columns:
+            return f"c{at}"
+    return None
+
+
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """A value that a Python worker keeps between tasks: the last operator's only.
+
+    Workers serve all operators of an application one after another; each would
+    otherwise leave its tables and caches behind.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator left in this worker."""
+    _kept.clear()
+
+
+def _weight(value) -> int:
+    return sum(map(_weight, value)) if isinstance(value, tuple) else sys.getsizeof(value)
+
+
 class RecentCache(dict):
-    """Word cache bounded by two generations: a full one becomes the old one and
+    """Cache bounded by the bytes of two generations: a full one becomes the old one and
     words still in use move back, so frequent words stay."""
 
-    def __init__(self, compute: Callable, limit: int = 400_000, longest: int = 64):
+    ENTRY = 100  # bytes of a dictionary entry, about
+
+    def __init__(self, compute: Callable, megabytes: int = 16, longest: int = 64):
         super().__init__()
-        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
+        self.compute, self.limit, self.longest, self.old, self.held = compute, megabytes << 20, longest, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
+            if self.held >= self.limit:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
+            self.held += self.ENTRY + _weight(key) + _weight(value)
             self[key] = value
         return value

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, id_text, keep_rows, record_batch
+from .common import arrow_map, crc_mod, id_text, keep_rows, record_batch, release
 from .training import bounded_ids
 
 BUCKETS = 1 << 15
@@ -87,6 +87,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                         ("holders", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, list] = {}
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):

@@ -9,7 +9,6 @@ a bin or two at most, so the groups cost next to nothing in fill.
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, arrow_map, id_text, store
+from .common import RecentCache, arrow_map, id_text, kept, store
 from .word_bpe import WordBpeFile, load, words
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -82,6 +81,13 @@ def pack_group(sizes: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
     return [p[0] for p in placed], [p[1] for p in placed]
 
 
+def _free_name(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def best_fit_pack(rows: DataFrame, size_col: str = "length", keys: tuple[str, ...] = ("doc_id", "piece"),
                   capacity: int = CAPACITY, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to every row; sizes of a sequence sum to at most ``capacity``.
@@ -93,9 +99,8 @@ def best_fit_pack(rows: DataFrame, size_col: str = "length", keys: tuple[str, ..
     ``sequence_id`` or ``offset`` in the input are replaced. ``rows`` is read
     once: it is stored in the shared folder, then counted and packed from there.
     """
-    given, salt = rows.drop("sequence_id", "offset"), "_salt"
-    while salt in given.columns:
-        salt += "_"
+    given = rows.drop("sequence_id", "offset")
+    salt, own_group, own_size = (_free_name(n, given.columns) for n in ("_salt", "_group", "_size"))
     rows = store(given.withColumn(salt, F.monotonically_increasing_id()), "packing-rows")
     groups = max(1, math.ceil(rows.count() / rows_per_group))
     group = F.pmod(F.xxhash64(*[F.col(k) for k in keys], salt), F.lit(groups))
@@ -103,14 +108,14 @@ def best_fit_pack(rows: DataFrame, size_col: str = "length", keys: tuple[str, ..
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf[size_col].fillna(0).clip(lower=0).astype("int64")
-        pdf = pdf.assign(_size=sizes).sort_values(["_size", *keys], ascending=[False] + [True] * len(keys),
-                                                  kind="stable")
-        bins, offsets = pack_group(pdf["_size"].to_numpy(), capacity)
-        first = int(pdf["_group"].iloc[0]) << 32
+        pdf = pdf.assign(**{own_size: sizes}).sort_values([own_size, *keys], ascending=[False] + [True] * len(keys),
+                                                          kind="stable")
+        bins, offsets = pack_group(pdf[own_size].to_numpy(), capacity)
+        first = int(pdf[own_group].iloc[0]) << 32
         return pdf.assign(sequence_id=np.array(bins, "int64") + first,
-                          offset=np.array(offsets, "int64")).drop(columns=["_group", "_size"])
+                          offset=np.array(offsets, "int64")).drop(columns=[own_group, own_size])
 
-    return (rows.withColumn("_group", group).drop(salt).groupBy("_group")
+    return (rows.withColumn(own_group, group).drop(salt).groupBy(own_group)
             .applyInPandas(pack, f"{schema}, sequence_id long, offset long"))
 
 
@@ -121,7 +126,7 @@ class WordEncoder:
         self.source = source
         self.tokenize = source.tokenizer.model.tokenize
         self.by_piece = RecentCache(self._encode_piece)
-        self.by_word = RecentCache(self._encode_word)
+        self.by_word = RecentCache(self._encode_word, 48)
 
     def _encode_piece(self, piece: str) -> bytes:
         return np.array([t.id for t in self.tokenize(piece)], "<u4").tobytes()
@@ -135,9 +140,9 @@ class WordEncoder:
         return b"".join(map(self.by_word.__getitem__, words(text)))
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(load(path))
+    """The worker's own, with its caches."""
+    return kept(("encoder", path), lambda: WordEncoder(load(path)))
 
 
 def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

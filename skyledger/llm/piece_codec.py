@@ -9,7 +9,6 @@ Ids are then read backwards from the end of the text.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import RecentCache, arrow_map, id_text
+from .common import RecentCache, arrow_map, id_text, kept
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"  # fixed value: the visible space of SentencePiece vocabularies
@@ -46,7 +45,7 @@ class PrefixTable:
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.by_text = by_text
-        self._pairs = RecentCache(lambda key: self._compatible(key[0], key[1], len(by_text)), 1_000_000)
+        self._pairs = RecentCache(lambda key: self._compatible(key[0], key[1], len(by_text)), 96)
         self._learn_merges(merged)
         self.automaton = ahocorasick.Automaton()
         for i in self.rank:
@@ -163,7 +162,7 @@ class TextCodec:
         whole = any("\n" in t for t in tokens)
         self.cut = re.compile(r"(?s:.+)" if inner_space or whole else r" *[^ \n]+| +|\n")
         self.by_part = RecentCache(lambda s: tuple(self.table.ids(s)))
-        self.by_word = RecentCache(self._word)
+        self.by_word = RecentCache(self._word, 48)
 
     def _word(self, word: str) -> tuple[int, str, str]:
         word = word.replace(" ", SPACE)
@@ -190,9 +189,9 @@ class TextCodec:
         return text[1:] if text.startswith(" ") else text
 
 
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> TextCodec:
-    return TextCodec(path)
+    """The worker's own, with its caches."""
+    return kept(("codec", path), lambda: TextCodec(path))
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, record_batch
+from .common import arrow_map, discard, id_text, record_batch, store
 from .guess_cost import LONGEST_WORD, GuessCost
 
 DICTIONARY_WORDS = 20_000  # learned words, of at most LONGEST_WORD letters each: under 1 MB to broadcast
@@ -86,10 +86,12 @@ def all_spans(text: str, model: GuessCost, min_guesses: float = MIN_GUESSES) ->
 
 
 def word_ranks(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> dict[str, int]:
-    """Rank of the ``words`` words that most documents hold (ties in alphabetical order).
+    """Rank of the words that most documents hold, at most ``words`` of them (ties in alphabetical order).
 
     Words are runs of 3 to 20 letters a-z, lower-cased. All documents are
-    counted; tasks send sums, and the driver gets ``words`` rows.
+    counted. A word is taken if its number of documents reaches the least level that no more
+    than ``words`` words reach; levels lie 2^(1/64) apart, so the driver gets one
+    row per level and then the words taken.
     """
     own = docs.select(F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -109,9 +111,17 @@ def word_ranks(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_
                     yield flush()
         yield flush()
 
-    top = (own.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(words).collect())
-    return {r["word"]: i for i, r in enumerate(top, 1)}
+    counts = own.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    table = store(counts.withColumn("level", F.floor(64 * F.log2("n")).cast("int")), "word-counts")
+    least, held = None, 0
+    for r in table.groupBy("level").count().orderBy(F.desc("level")).collect():  # 64 levels per doubling
+        held += r["count"]
+        if held > words:
+            break
+        least = r["level"]
+    taken = [] if least is None else table.where(F.col("level") >= least).select("n", "word").collect()
+    discard(table)
+    return {r["word"]: i for i, r in enumerate(sorted(taken, key=lambda r: (-r["n"], r["word"])), 1)}
 
 
 def scan(docs: DataFrame, ranks: dict[str, int], id_col: str = "doc_id", text_col: str = "text",

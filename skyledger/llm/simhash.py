@@ -22,7 +22,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_map, id_text, ship_package, store
+from .common import arrow_map, id_text, internal_name, internal_names, release, ship_package, store
 from .components import PlaceForest, connected_components
 
 SHINGLE_WORDS = 4
@@ -168,11 +168,16 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row of ``docs``, all columns, per group of near-duplicates: the one with the least id.
 
     A null id comes after all others; of rows that share the least id and its
-    fingerprint one stays, the least text first.
+    fingerprint one stays, the least text first. Null and empty texts share fingerprint
+    zero, very long ones are read whole, an empty table gives an empty result,
+    and columns may have any names.
     """
     ship_package(docs.sparkSession)
+    columns, id_col, text_col = docs.columns, internal_name(docs, id_col), internal_name(docs, text_col)
+    docs = internal_names(docs)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             bits = np.array([fingerprint(t.as_py(), words_per_shingle) for t in batch.column(text_col)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))],
@@ -186,7 +191,7 @@ def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                .select(F.col("k.first_id").alias("_place"), F.col("k.bits").alias("_bits")))
     same = Window.partitionBy("_place", "_bits").orderBy(text_col)
     return (marked.withColumn("_place", place).join(keepers, ["_place", "_bits"])
-            .withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*docs.columns))
+            .withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*docs.columns).toDF(*columns))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import arrow_map, record_batch, ship_package, store
+from .common import arrow_map, internal_name, internal_names, record_batch, release, ship_package, store
 
 MIN_LENGTH = 50
 GRAM = 16
@@ -190,6 +190,7 @@ def _packets(name: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[tuple[
 
 def _names(docs: DataFrame, min_length: int, gram: int, bits: int, flush_runs: int = 500_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: dict[bytes, int] = {}
         names, ids, held = [], [], 0
 
@@ -432,9 +433,12 @@ def _removed(pieces: DataFrame, min_length: int) -> DataFrame:
 # --- the operator ------------------------------------------------------------------------
 
 def _found(docs: DataFrame, id_col: str, text_col: str, min_length: int, hot_documents: int) -> DataFrame:
-    """The rows of ``docs`` with ``_found``: the removed spans of their id, as the suffix tasks gave them."""
+    """The rows of ``docs`` under internal names, with ``_found``: the removed spans of their id,
+    as the suffix tasks gave them."""
     spark = docs.sparkSession
     ship_package(spark)
+    id_col, text_col = internal_name(docs, id_col), internal_name(docs, text_col)
+    docs = internal_names(docs)
     gram = max(1, min(GRAM, min_length // 3))
     text = F.col(text_col).cast("string")
     base = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
@@ -494,13 +498,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     column named like the result is replaced.
     """
     docs = docs.drop("removed_spans")
-    columns = docs.columns
+    columns, text_name = docs.columns, internal_name(docs, text_col)
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[{"start": a, "end": b} for a, b in pairs] for _, _, pairs in _each_text(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(spans, pa.list_(pair))],
+            spans = [[{"start": a, "end": b} for a, b in pairs] for _, _, pairs in _each_text(batch, text_name)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.list_(pair))],
                                              [*columns, "removed_spans"])
 
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -523,10 +527,10 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = [(len(raw), sum(b - a for a, b in pairs), len(pairs),
-                 hashlib.sha256(without_spans(raw, pairs)).hexdigest()) for _, raw, pairs in _each_text(batch, "text")]
+                 hashlib.sha256(without_spans(raw, pairs)).hexdigest()) for _, raw, pairs in _each_text(batch, "c1")]
         out = zip(*rows, strict=True) if rows else [()] * 4
         return dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), map(list, out), strict=True)) | {
-            "doc_id": batch.column("doc_id")}
+            "doc_id": batch.column("c0")}
 
     return arrow_map(_found(own, "doc_id", "text", min_length, hot_documents), run,
                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -551,22 +555,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Whole characters only. ``length_col``, if it is there, becomes the new number of
     code points. Rows left with nothing by the removal go; empty and null texts
-    that lost nothing stay.
+    that lost nothing stay. Rows that share an id remove nothing from each other; a null id is later
+    than all others. Very long texts are read whole, an empty table gives an
+    empty result, and columns may have any names.
     """
-    names = docs.columns
+    names, text_at = docs.columns, int(internal_name(docs, text_col)[1:])
+    length_at = internal_name(docs, length_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_each_text(batch, text_col))
+            rows = list(_each_text(batch, f"c{text_at}"))
             texts = [without_spans(raw, whole_characters(raw, pairs)).decode() if pairs else text
                      for text, raw, pairs in rows]
-            columns = {c: batch.column(c) for c in names}
-            columns[text_col] = pa.array(texts, pa.string())
-            if length_col in columns:
+            columns = batch.columns[:-1]
+            columns[text_at] = pa.array(texts, pa.string())
+            if length_at:
                 changed = [len(t) if row[2] else n
-                           for t, row, n in zip(texts, rows, batch.column(length_col).to_pylist(), strict=True)]
-                columns[length_col] = pa.array(changed, columns[length_col].type)
+                           for t, row, n in zip(texts, rows, batch.column(length_at).to_pylist(), strict=True)]
+                columns[int(length_at[1:])] = pa.array(changed, batch.column(length_at).type)
             keep = pa.array([not row[2] or bool(t) for t, row in zip(texts, rows, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(keep)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(keep)
 
     return _found(docs, id_col, text_col, min_length, HOT_DOCUMENTS).mapInArrow(run, docs.schema)

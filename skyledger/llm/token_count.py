@@ -8,14 +8,13 @@ merges, so no identifiers are made.
 
 from __future__ import annotations
 
-import functools
 import heapq
 
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import RecentCache, arrow_map, id_text
+from .common import RecentCache, arrow_map, id_text, kept
 from .word_bpe import WordBpeFile, load, words
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -33,7 +32,7 @@ class PairMerger:
         for rank, (left, right) in enumerate(source.merges):
             self.rank.setdefault((number(left), number(right)), (rank, number(left + right)))
         self.by_piece = RecentCache(self.merged_length)
-        self.by_word = RecentCache(self._count_word)
+        self.by_word = RecentCache(self._count_word, 48)
 
     def merged_length(self, piece: str) -> int:
         """Tokens of one byte-level piece: symbols minus merges."""
@@ -78,9 +77,9 @@ class PairMerger:
         return sum(map(self.by_word.__getitem__, words(text)))
 
 
-@functools.lru_cache(maxsize=4)
 def merger(path: str) -> PairMerger:
-    return PairMerger(load(path))
+    """The worker's own, with its caches."""
+    return kept(("merger", path), lambda: PairMerger(load(path)))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

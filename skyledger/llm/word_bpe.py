@@ -7,7 +7,6 @@ handled once per worker through a bounded cache.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -73,6 +72,5 @@ class WordBpeFile:
         return out, len(parts) - 1
 
 
-@functools.lru_cache(maxsize=4)
 def load(path: str) -> WordBpeFile:
     return WordBpeFile(path)

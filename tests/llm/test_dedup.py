@@ -236,3 +236,25 @@ def test_queries_over_driver_tables(spark):
     got = queries.QUERIES["op8_embedding_near_dedup"](spark, SMALL_SF).collect()
     assert sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in got) \
         == plain_vectors([tuple(v) for v in vectors])
+
+
+def test_internal_names_in_the_input(spark):
+    """Columns named like internal ones come through as they are, in any case of letters."""
+    shared = "a passage of more than fifty bytes that two of the documents have in common. "
+    rows = [(1, 777, "one " + shared, 5, 6.5, "x"), (2, 778, shared + "two", 7, 8.5, "y"), (3, 779, None, 9, 1.5, None)]
+    names = ["doc_id", "_d", "text", "n_chars", "_place", "c0"]
+    for more in (["_name", "_found", "_bits", "_row", "C1"], ["_names", "_copies", "d", "name", "_D2"]):
+        table = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows],
+                                      "doc_id long, _d int, text string, n_chars long, _place double, c0 string, "
+                                      + ", ".join(f"{m} int" for m in more))
+        kept = suffix_dedup.without_repeats(table)
+        assert kept.columns == [*names, *more]
+        got = {r[0]: tuple(r) for r in kept.collect()}
+        assert got[1] == (*rows[0], 1, 2, 3, 4, 5) and got[3] == (*rows[2], 1, 2, 3, 4, 5)
+        assert got[2] == (2, 778, "two", 3, 8.5, "y", 1, 2, 3, 4, 5)
+        found = suffix_dedup.repeated_spans(table)
+        assert found.columns == [*names, *more, "removed_spans"]
+        assert {r[0]: len(r[-1]) for r in found.collect()} == {1: 0, 2: 1, 3: 0}
+        first = simhash.first_of_each_group(table)
+        assert first.columns == [*names, *more]
+        assert sorted(tuple(r) for r in first.collect()) == sorted((*r, 1, 2, 3, 4, 5) for r in rows)

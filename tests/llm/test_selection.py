@@ -226,7 +226,8 @@ def test_word_ranks(spark):
     texts = ["The cat, the CAT", "cat dog", "zzz dog cat ab üben", None]
     table = spark.createDataFrame([(t,) for t in texts], "text string")
     assert secret_scan.word_ranks(table) == {"cat": 1, "dog": 2, "ben": 3, "the": 4, "zzz": 5}
-    assert secret_scan.word_ranks(table, words=2) == {"cat": 1, "dog": 2}
+    assert secret_scan.word_ranks(table, words=2) == secret_scan.word_ranks(table, words=4) == {"cat": 1, "dog": 2}
+    assert secret_scan.word_ranks(table, words=0) == secret_scan.word_ranks(table.where("false")) == {}
 
 
 def every_cut(text, model):

@@ -1,5 +1,6 @@
 """Packing, token counts and the SentencePiece codec against the tokenizer libraries."""
 
+import hashlib
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from skyledger.llm import packing, piece_codec, queries, token_count
+from skyledger.llm import common, packing, piece_codec, queries, token_count
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,7 +22,7 @@ def library():
 
 
 def odd_words():
-    """Every character of the basic plane (surrogates aside) inside a word."""
+    """Every seventh character of the basic plane below the surrogates, inside a word."""
     return ["a" + chr(c) + "B1" for c in range(0x1, 0xD800, 7)] + ["'tis we'll !!'s _a_ ２３ Ⅷ ΑΣ Σας é́ ´ ^", "a" * 3000]
 
 
@@ -137,12 +138,53 @@ def test_empty_tables(no_docs):
     assert piece_codec.encoding_digests(no_docs).collect() == []
 
 
-def test_queries_over_driver_tables(spark):
-    import duckdb
+def test_registered_queries_equal_the_libraries(spark, library):
     sf = "/root/testdata/sf0.001"
-    n = duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchone()[0]
-    for name in ("op2_token_counts", "op5_sentencepiece_codec"):
-        assert queries.QUERIES[name](spark, sf).count() == n
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    counted = queries.QUERIES["op2_token_counts"](spark, sf).collect()
+    coded = queries.QUERIES["op5_sentencepiece_codec"](spark, sf).collect()
+    assert len(counted) == len(coded) == len(texts)
+    words = {d: library.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    for r in counted:
+        n = len(words[r.doc_id])
+        assert tuple(r) == (r.doc_id, len(texts[r.doc_id].encode()), n, n > 2048)
+    for r in coded:
+        ids = pieces.encode(texts[r.doc_id])
+        assert tuple(r) == (r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(pieces.decode(ids)))
     packed = queries.QUERIES["op1_best_fit_packing"](spark, sf)
     assert packed.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    assert packed.select("doc_id").distinct().count() == n
+    rows = packed.collect()
+    want = []
+    for d, ids in words.items():
+        ids = [*ids, 0]
+        want += [(d, k, at, len(ids[at:at + 2048]), zlib.crc32(np.array(ids[at:at + 2048], "<u4").tobytes()))
+                 for k, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048
+
+
+def test_internal_names_in_the_input(spark):
+    rows = [(i, 0, 3 + i, f"g{i}", i, -i, 7) for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, length long, _group string, _size int, _salt int, offset int")
+    packed = packing.best_fit_pack(table, capacity=64)
+    assert packed.columns == ["doc_id", "piece", "length", "_group", "_size", "_salt", "sequence_id", "offset"]
+    assert sorted(tuple(r)[:6] for r in packed.collect()) == sorted(r[:6] for r in rows)
+
+
+def test_caches_are_bounded_by_bytes_and_one_operator_keeps_them():
+    cache = common.RecentCache(str.upper, megabytes=1)
+    for i in range(60_000):
+        assert cache[f"word{i}"] == f"WORD{i}"
+    assert 0 < len(cache) < 6000 and 0 < len(cache.old) < 6000
+    first = common.kept(("a", 1), list)
+    assert common.kept(("a", 1), list) is first
+    common.kept(("b", 1), list)
+    assert common.kept(("a", 1), list) is not first
+    common.release()
+    assert not common._kept
