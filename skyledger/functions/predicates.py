@@ -13,6 +13,15 @@ from skyledger.functions.scalar import as_of_lit, month_bounds
 ColumnOrName = Column | str
 
 
+def email_key(email: str | Column = "Email") -> Column:
+    """What all spellings of one e-mail address share: addresses compare without regard to case.
+
+    The order of the ``UTF8_LCASE`` collation as a plain key, so that joins
+    hash it and aggregates stay partial.
+    """
+    return F.lower(email)
+
+
 def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -16,9 +16,10 @@ count as legs.
 Plan shape: every kind's shifts are read once and reduced to one *profile* per
 resource (first and last leg, their fields); a field matters only at the two
 extremes, so a profile holds at most a few fields however long the schedule.
-The listing operators join profiles with candidates on the field; the
-feasibility check counts without listing pairs. No hint forces a join: AQE
-broadcasts a side only after measuring it.
+The listing operators join classes of equal profiles with candidates on (field,
+bin of days) and attach the members afterwards; the feasibility check counts
+without listing pairs. No hint forces a join: AQE broadcasts a side only
+after measuring it.
 """
 
 from __future__ import annotations
@@ -74,23 +75,28 @@ def resource_profiles(t, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
             .select("FlightID", "SourceField", "DestinationField",
                     F.when(F.col("DurationSec").isNotNull(), F.col("TakeOffTime")).alias("Leaves"),
                     add_seconds("TakeOffTime", "DurationSec").alias("Lands")))
+    none = F.lit(None).cast("timestamp_ntz")
     ends = (_union([_shifts(t, k) for k in kinds]).join(legs, "FlightID", "left")
             .select("Kind", "ResourceID", F.inline(F.array(
-                F.struct(F.col("SourceField").alias("Field"), F.col("Leaves").alias("First"),
-                         F.lit(None).cast("timestamp_ntz").alias("Last")),
-                F.struct(F.col("DestinationField").alias("Field"), F.lit(None).cast("timestamp_ntz").alias("First"),
-                         F.col("Lands").alias("Last"))))))
-    by_field = (ends.groupBy("Kind", "ResourceID", "Field")
-                .agg(F.min("First").alias("First"), F.max("Last").alias("Last")))
-    used = (by_field.groupBy("Kind", "ResourceID")
-            .agg(F.collect_list(F.struct("Field", "First", "Last")).alias("f"),
-                 F.min("First").alias("FirstTime"), F.max("Last").alias("LastTime"))
-            .select("Kind", "ResourceID", "FirstTime", "LastTime",
-                    F.expr("transform(filter(f, x -> x.First = FirstTime), x -> x.Field)").alias("FirstFields"),
-                    F.expr("transform(filter(f, x -> x.Last = LastTime), x -> x.Field)").alias("LastFields")))
-    return (_union([_resources(t, k) for k in kinds]).join(used, ["Kind", "ResourceID"], "left")
-            .select("Kind", "ResourceID", "Qualified", F.col("FirstFields").isNotNull().alias("Used"),
-                    "FirstTime", "FirstFields", "LastTime", "LastFields"))
+                F.struct(F.col("SourceField").alias("Field"), F.col("Leaves").alias("First"), none.alias("Last")),
+                F.struct(F.col("DestinationField").alias("Field"), none.alias("First"), F.col("Lands").alias("Last")))),
+                    F.lit(None).cast("boolean").alias("Qualified"), F.lit(True).alias("Shift")))
+    # The resources themselves take part in the aggregation instead of a join after it.
+    there = (_union([_resources(t, k) for k in kinds])
+             .select("Kind", "ResourceID", F.lit(None).cast("string").alias("Field"), none.alias("First"),
+                     none.alias("Last"), "Qualified", F.lit(False).alias("Shift")))
+    by_field = (ends.unionByName(there).groupBy("Kind", "ResourceID", "Field")
+                .agg(F.min("First").alias("First"), F.max("Last").alias("Last"),
+                     F.bool_or("Qualified").alias("Qualified"), F.bool_or("Shift").alias("Shift")))
+    one = (by_field.groupBy("Kind", "ResourceID")
+           .agg(F.collect_list(F.when(F.col("Shift"), F.struct("Field", "First", "Last"))).alias("f"),
+                F.min("First").alias("FirstTime"), F.max("Last").alias("LastTime"),
+                F.bool_or("Qualified").alias("Qualified"), F.bool_or("Shift").alias("Used"))
+           .where("Qualified IS NOT NULL"))  # shifts of unknown resources drop out
+    fields = lambda column, time: F.when(F.col("Used"), F.sort_array(F.expr(
+        f"transform(filter(f, x -> x.{column} = {time}), x -> x.Field)")))
+    return one.select("Kind", "ResourceID", "Qualified", "Used", "FirstTime", fields("First", "FirstTime").alias("FirstFields"),
+                      "LastTime", fields("Last", "LastTime").alias("LastFields"))
 
 
 def qualifies(is_long: Column) -> Column:
@@ -112,26 +118,89 @@ def can_take(source: Column, destination: Column, take_off: Column, landing: Col
     return qualifies(is_long) & (~F.col("Used") | fits_before(destination, landing) | fits_after(source, take_off))
 
 
-def assignable_resources(t, kind: str, candidates: DataFrame | None = None) -> DataFrame:
-    """D12 — (CandidateID, <id column>) for every resource that can take each candidate.
+CLASS_KEY = ("Qualified", "Used", "FirstTime", "FirstFields", "LastTime", "LastFields")
+
+
+def _class_id() -> Column:
+    """Text that all resources of one profile share; what it holds decides every candidate alike."""
+    at = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))
+    fields = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return F.concat_ws("|", F.when(F.col("Qualified"), "q").otherwise("n"),
+                       F.when(F.col("Used"), F.concat_ws("|", at("FirstTime"), fields("FirstFields"),
+                                                         at("LastTime"), fields("LastFields"))).otherwise("free"))
+
+
+def class_members(t, kind: str) -> DataFrame:
+    """D12 — (ClassID, <id column>): the equivalence class of every resource of a kind.
 
-    The listing itself is candidates × fitting resources. Each pair comes from
-    one branch: (b) leaves out what (a) has found.
+    Resources with one profile (qualification, first and last times and fields) can take the
+    same candidates. Crews that fly together form a class, and all
+    resources never scheduled form two.
+    """
+    return resource_profiles(t, (kind,)).select(_class_id().alias("ClassID"), F.col("ResourceID").alias(KINDS[kind][0]))
+
+
+BIN_DAYS = 32
+
+
+def _bin(time: str) -> Column:
+    return F.floor(F.unix_date(F.to_date(time)) / BIN_DAYS).cast("int")
+
+
+def class_candidates(t, kind: str, candidates: DataFrame | None = None) -> DataFrame:
+    """D12/J11 — (CandidateID, ClassID) of every class that can take a candidate; each pair once.
+
+    A range join in bins of :data:`BIN_DAYS` days: classes and candidates meet
+    on (field, bin), so a busy field is spread over its bins. A candidate asks
+    every whole bin after its landing (a) or before its take-off (b), between
+    the flights' first and last take-offs; only in its own bin are times
+    compared. The free classes, two at most, meet the candidates on
+    qualification alone.
     """
-    rid = KINDS[kind][0]
     c = (t.candidates if candidates is None else candidates).select(
         "CandidateID", "SourceField", "DestinationField", "TakeOffTime", "LandingTime", "IsLong")
-    p = resource_profiles(t, (kind,))
+    classes = (resource_profiles(t, (kind,)).select(_class_id().alias("ClassID"), *CLASS_KEY)
+               .groupBy("ClassID", "Qualified", "Used").agg(*[F.any_value(k).alias(k) for k in CLASS_KEY[2:]]))
+    span = t.flights.agg(F.struct(F.min(_bin("TakeOffTime")).alias("lo"), F.max(_bin("TakeOffTime")).alias("hi"))).scalar()
     long = F.col("IsLong")
-    before = (p.withColumn("DestinationField", F.explode("FirstFields")).join(c, "DestinationField")
-              .where((F.col("FirstTime") > F.col("LandingTime")) & qualifies(long)))
-    after = (p.withColumn("SourceField", F.explode("LastFields")).join(c, "SourceField")
-             .where((F.col("LastTime") < F.col("TakeOffTime")) & qualifies(long)
-                    & ~fits_before(F.col("DestinationField"), F.col("LandingTime"))))
+    whole = lambda start, stop: F.when(start <= stop, F.sequence(start, stop)).otherwise(
+        F.array().cast("array<int>"))
+    land, leave = _bin("LandingTime"), _bin("TakeOffTime")
+    c = c.withColumn("lo", span["lo"]).withColumn("hi", span["hi"])
+    after = c.select("*", F.explode(whole(F.greatest(land, "lo"), F.col("hi"))).alias("bin"))
+    before = c.select("*", F.explode(whole(F.col("lo"), leave)).alias("bin"))
+    used = classes.where("Used")
+    a = (used.select("*", _bin("FirstTime").alias("bin"), F.explode("FirstFields").alias("DestinationField"))
+         .join(after, ["DestinationField", "bin"])
+         .where(((F.col("bin") > land) | (F.col("FirstTime") > F.col("LandingTime"))) & qualifies(long)))
+    b = (used.select("*", _bin("LastTime").alias("bin"), F.explode("LastFields").alias("SourceField"))
+         .join(before, ["SourceField", "bin"])
+         .where(((F.col("bin") < leave) | (F.col("LastTime") < F.col("TakeOffTime"))) & qualifies(long)
+                & ~fits_before(F.col("DestinationField"), F.col("LandingTime"))))  # (a) has those
     serve = F.when(F.col("Qualified"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    free = (p.where(~F.col("Used")).select("ResourceID", F.explode(serve).alias("IsLong"))
+    free = (classes.where("NOT Used").select("ClassID", F.explode(serve).alias("IsLong"))
             .join(c.select("CandidateID", "IsLong"), "IsLong"))
-    return _union([x.select("CandidateID", F.col("ResourceID").alias(rid)) for x in (before, after, free)])
+    return _union([x.select("CandidateID", "ClassID") for x in (a, b, free)])
+
+
+FREE_SALT = 64
+
+
+def assignable_resources(t, kind: str, candidates: DataFrame | None = None) -> DataFrame:
+    """D12 — (CandidateID, <id column>) for every resource that can take each candidate.
+
+    The pair listing of :func:`class_candidates` and :func:`class_members`.
+    The members of the free classes may be most of a table, so those classes
+    are dealt over :data:`FREE_SALT` parts.
+    """
+    rid = KINDS[kind][0]
+    free = F.col("ClassID").endswith("|free")
+    members = class_members(t, kind).withColumn(
+        "part", F.when(free, F.pmod(F.xxhash64(rid), F.lit(FREE_SALT))).otherwise(F.lit(0).cast("long")))
+    able = class_candidates(t, kind, candidates).withColumn("part", F.explode(
+        F.when(free, F.sequence(F.lit(0).cast("long"), F.lit(FREE_SALT - 1).cast("long")))
+        .otherwise(F.array(F.lit(0).cast("long")))))
+    return able.join(members, ["ClassID", "part"]).select("CandidateID", rid)
 
 
 def available_planes(t, candidates: DataFrame | None = None) -> DataFrame:
@@ -182,7 +251,6 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
         .otherwise(F.array(F.struct(F.lit("c").alias("side"), F.lit(None).cast("string").alias("field"),
                                     F.lit(None).cast("timestamp_ntz").alias("at"))))).alias("e")).select("e.*", *_COUNTS)
     events = events.withColumn("day", day_of("at"))
-    per_day = events.groupBy("side", "field", "day").agg(*[F.sum(n).alias(n) for n in _COUNTS])
     days = W.partitionBy("side", "field").orderBy("day")
     field = W.partitionBy("side", "field")
     asked = c.select("CandidateID", "IsLong", F.inline(F.array(
@@ -190,8 +258,8 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
         F.struct(F.lit("b").alias("side"), F.col("SourceField").alias("field"), F.col("TakeOffTime").alias("at")))))
     asked = asked.withColumn("day", day_of("at"))
     # Days asked about take part in the running totals, so that each finds its own row.
-    ask_days = asked.select("side", "field", "day").distinct().select("*", *none)
-    upto = (per_day.where("side != 'c'").unionByName(ask_days)
+    upto = (events.select("side", "field", "day", *_COUNTS)
+            .unionByName(asked.select("side", "field", "day", *none))
             .groupBy("side", "field", "day").agg(*[F.sum(n).alias(n) for n in _COUNTS])
             .select("side", "field", "day",
                     *[(F.sum(n).over(days) - F.col(n)).alias(f"{n}_before") for n in _COUNTS],
@@ -199,7 +267,7 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
     # Within a day: events at the very minute of a landing are not after it, of a take-off not before it.
     order = F.when(F.col("side") == "a", F.col("asks")).otherwise(1 - F.col("asks"))
     in_day = W.partitionBy("side", "field", "day").orderBy("at", "order").rowsBetween(W.unboundedPreceding, 0)
-    line = (events.where("side != 'c'").select("side", "field", "day", "at", *_COUNTS, F.lit(0).alias("asks"),
+    line = (events.select("side", "field", "day", "at", *_COUNTS, F.lit(0).alias("asks"),
                                                F.lit(None).cast(c.schema["CandidateID"].dataType).alias("CandidateID"),
                                                F.lit(None).cast("boolean").alias("IsLong"))
             .unionByName(asked.select("side", "field", "day", "at", *none, F.lit(1).alias("asks"), "CandidateID", "IsLong"))
@@ -209,7 +277,9 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
     count = {n: F.when(F.col("side") == "a", F.col(f"{n}_all") - F.col(f"{n}_before") - F.col(f"{n}_in"))
              .otherwise(F.col(f"{n}_before") + F.col(f"{n}_in")) for n in _COUNTS}
     found = seen.groupBy("CandidateID", "IsLong").agg(*[F.sum(count[n]).alias(n) for n in _COUNTS])
-    free = per_day.where("side = 'c'").agg(F.struct(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _COUNTS])).scalar()
+    idle = (_union([_resources(t, k) for k in KINDS])
+            .join(_union([_shifts(t, k) for k in KINDS]), ["Kind", "ResourceID"], "left_anti").select(*one))
+    free = idle.agg(F.struct(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _COUNTS])).scalar()
     total = found.withColumn("free", free)
     usable = lambda kind: (F.col(f"{kind}_q") + F.col(f"free.{kind}_q")
                            + F.when(F.col("IsLong"), 0).otherwise(F.col(f"{kind}_n") + F.col(f"free.{kind}_n")))

@@ -20,9 +20,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger import schemas as S
+from skyledger.functions.predicates import email_key
 from skyledger.functions.scalar import add_seconds, as_of_lit, is_long, seat_token_col, seat_token_line, trunc_day
 from skyledger.operators.assign import can_take, qualifies, resource_profiles, staffing_feasibility
 from skyledger.operators.inventory import occupied_seats
+from skyledger.operators.orders import known_emails
 from skyledger.operators.relational import allocate_ids, first_k_per_group
 from skyledger.sources.io import store
 
@@ -73,21 +75,19 @@ def ingest_customers(t, batch: DataFrame) -> DataFrame:
 
     Registered customers need passport, birth and sign-up dates; guests only
     names and email. Manager emails and emails already registered (in the
-    target table) are refused.
+    target table) are refused; an email is the same in any case of letters.
     """
-    b = (batch.join(_flag(t.managers, ["Email"], "_mgr"), "Email", "left")
-         .join(_flag(t.customers, ["Email"], "_cust"), "Email", "left")
-         .join(_flag(t.guests, ["Email"], "_guest"), "Email", "left"))
+    b = batch.withColumn("_email", email_key()).join(known_emails(t), "_email", "left")
     signed = F.col("IsSignedUp")
     missing = (_missing("Email", "EngFirstName", "EngLastName", "IsSignedUp")
                | (signed & (F.col("PassportNumber").isNull() | F.col("Birthdate").isNull()
                             | F.col("SignUpDate").isNull())))
     b = b.withColumn(REASON, _first_reason([
         (missing, "missing field"),
-        (F.col("_mgr").isNotNull(), "manager email"),
-        (F.when(signed, F.col("_cust").isNotNull()).otherwise(F.col("_guest").isNotNull()), "exists"),
-    ])).drop("_mgr", "_cust", "_guest")
-    return _mark_in_batch_duplicates(b, ["Email", "IsSignedUp"])
+        (F.col("IsManager"), "manager email"),
+        (F.when(signed, F.col("IsCustomer")).otherwise(F.col("IsGuest")), "exists"),
+    ]))
+    return _mark_in_batch_duplicates(b, ["_email", "IsSignedUp"]).select(*batch.columns, REASON)
 
 
 # ---- I2 phones ------------------------------------------------------------------------
@@ -100,12 +100,12 @@ def ingest_phones(t, batch: DataFrame) -> DataFrame:
     (user, phone); the ranking of the new ones and the count of the stored ones
     then work on those, and the verdicts go back to the requests in one join.
     """
-    user = ["Email", "IsSignedUp"]
+    user = ["_email", "IsSignedUp"]
     stored = (t.customer_phones.withColumn("IsSignedUp", F.lit(True))
-              .unionByName(t.guest_phones.withColumn("IsSignedUp", F.lit(False))))
-    b = (batch.withColumn("Phone", F.trim("Phone"))
+              .unionByName(t.guest_phones.withColumn("IsSignedUp", F.lit(False))).withColumn("_email", email_key()))
+    b = (batch.withColumn("Phone", F.trim("Phone")).withColumn("_email", email_key())
          .withColumn(REASON, _first_reason([
-             (_missing(*user), "missing field"),
+             (_missing("Email", "IsSignedUp"), "missing field"),
              (F.col("Phone").isNull() | (F.col("Phone") == ""), "empty phone")])))
     pairs = (stored.select(*user, "Phone", F.lit(None).cast("long").alias("Seq"), F.lit(True).alias("_known"))
              .unionByName(b.filter(F.col(REASON).isNull()).select(*user, "Phone", F.col("Seq").cast("long").alias("Seq"),
@@ -140,18 +140,17 @@ def _order_requests(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
     fl = t.flights.select("FlightID", F.col("PlainID").alias("_plane"), "TakeOffTime", "IsDeleted",
                           F.lit(True).alias("_fl"))
     priced = _flag(t.prices, ["FlightID", "ClassType"], "_priced")
-    b = (batch.join(_flag(t.managers, ["Email"], "_mgr"), "Email", "left")
+    b = (batch.withColumn("_email", email_key()).join(known_emails(t, ("customers", "managers")), "_email", "left")
          .join(fl, "FlightID", "left")
-         .join(priced, ["FlightID", "ClassType"], "left")
-         .join(_flag(t.customers, ["Email"], "_cust"), "Email", "left"))
+         .join(priced, ["FlightID", "ClassType"], "left"))
     return b.withColumn(REASON, _first_reason([
         (_missing("Email", "FlightID", "ClassType"), "missing field"),
-        (F.col("_mgr").isNotNull(), "manager email"),
+        (F.col("IsManager"), "manager email"),
         (F.col("_fl").isNull(), "unknown flight"),
         (F.col("IsDeleted"), "flight deleted"),
         (F.col("TakeOffTime") <= as_of_lit(as_of), "flight departed"),
         (F.col("_priced").isNull(), "class not offered"),
-    ])).select(*batch.columns, "_plane", "_cust", REASON)
+    ])).select(*batch.columns, "_plane", F.coalesce("IsCustomer", F.lit(False)).alias("_cust"), REASON)
 
 
 def _as_orders(t, b: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -162,7 +161,7 @@ def _as_orders(t, b: DataFrame, as_of: dt.datetime) -> DataFrame:
         "Seq", "Email", "FlightID", "ClassType", REASON,
         "OrderID",
         F.when(F.col(REASON).isNull(),
-               F.when(F.col("_cust").isNotNull(), S.KIND_CUSTOMER).otherwise(S.KIND_GUEST)).alias("CustomerKind"),
+               F.when(F.col("_cust"), S.KIND_CUSTOMER).otherwise(S.KIND_GUEST)).alias("CustomerKind"),
         F.when(F.col(REASON).isNull(), F.lit(S.ORDER_ACTIVE)).alias("OrderStatus"),
         F.when(F.col(REASON).isNull(), F.to_date(as_of_lit(as_of))).alias("OrderDate"),
         F.when(F.col(REASON).isNull(), F.col("_plane")).alias("PlainID"))

@@ -88,17 +88,40 @@ def known_class(classes: Sequence[str]) -> Column:
                                               F.coalesce("ClassType", F.lit("NULL")))).cast("boolean")))
 
 
-def class_price_pivot(t, atleast: int = 0, classes: Sequence[str] = S.CLASSES) -> DataFrame:
+def class_price_pivot(t, atleast: int = 0, classes: Sequence[str] | None = S.CLASSES) -> DataFrame:
     """D5b/A10 — one ``<class>_price`` column per class; NULL where the class is short.
 
-    The class list is passed in (stable schema, no extra job to discover it);
-    a class outside it is an error.
+    With a class list passed in the schema is stable and no job looks for it (a
+    class outside it is an error); ``classes=None`` takes the classes of the
+    data, from a job of its own (:func:`class_list`).
     """
+    classes = class_list(t) if classes is None else classes
     out = (available_class_prices(t, atleast).filter(known_class(classes))
            .groupBy("FlightID").pivot("ClassType", list(classes)).agg(F.max("Price")))
     return out.select("FlightID", *[F.col(c).alias(f"{c}_price") for c in classes])
 
 
+def class_price_map(t, atleast: int = 0) -> DataFrame:
+    """A10/D5b — (FlightID, Prices): a map from every class that has the seats to its price.
+
+    The classes are those of the data, whatever they are, and no job looks for
+    them first. A flight's map holds a class once (the higher price, as in
+    :func:`class_price_pivot`), so it is no longer than the plane has cabins.
+    """
+    return (available_class_prices(t, atleast).groupBy("FlightID", "ClassType").agg(F.max("Price").alias("Price"))
+            .groupBy("FlightID")
+            .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ClassType", "Price")))).alias("Prices")))
+
+
+def class_list(t, most: int = 32) -> list[str]:
+    """Classes that any flight is priced in, in order; more than ``most`` are an error (columns are no place for them)."""
+    found = sorted(r[0] for r in t.prices.select("ClassType").where("ClassType IS NOT NULL").distinct()
+                   .limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"over {most} classes; class_price_map holds any number")
+    return found
+
+
 def flights_with_landing(t) -> DataFrame:
     """D7 — flights with ``LandingTime = TakeOffTime + route duration`` (inner join on route)."""
     return (t.flights.join(t.routes, ["SourceField", "DestinationField"])
@@ -186,9 +209,11 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
                   destination_field: str | None = None, take_off_time: dt.datetime | None = None,
                   before_time: dt.datetime | None = None, after_time: dt.datetime | None = None,
                   status: str | None = None, num_seats: int | None = None,
-                  classes: Sequence[str] = S.CLASSES, sort: bool = True) -> DataFrame:
+                  classes: Sequence[str] | None = S.CLASSES, sort: bool = True) -> DataFrame:
     """D9 — flights with status, per-class prices, TotalSeats and BookedSeats.
 
+    ``classes=None``: a price column for each class of the data (:func:`class_list`).
+
     Optional filters (P7) are typed predicates; ``None``/empty means "not
     supplied". Flight-column predicates are applied to the flights side
     (pushed into the scan where they are literals); the seat inventory is
@@ -196,6 +221,7 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
     filtered flights, so one shuffle by FlightID serves status, prices and
     seat totals.
     """
+    classes = class_list(t) if classes is None else classes
     f = t.flights
     preds = P.conj([
         (F.col("FlightID") == F.lit(int(flight_id))) if flight_id not in (None, "") else None,

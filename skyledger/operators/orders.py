@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from skyledger import schemas as S
 from skyledger.functions import predicates as P
+from skyledger.functions.predicates import email_key
 from skyledger.functions.scalar import as_of_lit, more_than_hours_ahead, round2, trunc_day
 from skyledger.operators.inventory import flight_search
-from skyledger.operators.relational import rewrite_update
+from skyledger.operators.relational import rewrite_update, union_all
 
 ORDER_KEY = ["CustomerKind", "OrderID"]
 
@@ -70,9 +71,10 @@ def order_history(t, status: str | None = None, sort: bool = True) -> DataFrame:
 
 
 def order_lookup(t, requests: DataFrame) -> DataFrame:
-    """D22 — history row for each (OrderID, Email) request; NULLs when not found."""
-    h = order_history(t, sort=False)
-    return requests.select("OrderID", "Email").join(h, ["OrderID", "Email"], "left")
+    """D22 — history row for each (OrderID, Email) request, however the email is spelled; NULLs when not found."""
+    h = order_history(t, sort=False).withColumn("_email", email_key()).drop("Email")
+    return (requests.select("OrderID", "Email", email_key().alias("_email"))
+            .join(h, ["OrderID", "_email"], "left").drop("_email"))
 
 
 def order_cancellable(t, as_of: dt.datetime) -> DataFrame:
@@ -141,26 +143,36 @@ def customer_profile(t) -> DataFrame:
 
     The per-customer list is bounded by the 10-phone rule enforced at ingestion.
     """
-    phones = (t.customer_phones.groupBy("Email")
+    phones = (t.customer_phones.groupBy(email_key().alias("_email"))
               .agg(F.array_join(F.sort_array(F.collect_list("Phone")), ",").alias("Phones")))
-    return (t.customers.join(phones, "Email", "left")
-            .withColumn("Phones", F.coalesce("Phones", F.lit(""))))
+    return (t.customers.withColumn("_email", email_key()).join(phones, "_email", "left")
+            .withColumn("Phones", F.coalesce("Phones", F.lit(""))).drop("_email"))
+
+
+def known_emails(t, of: tuple[str, ...] = ("customers", "guests", "managers")) -> DataFrame:
+    """One row per address (its :func:`email_key`, ``_email``) that any of the tables holds, with a flag per table.
+
+    The tables meet in one union and one aggregate, so asking all three costs
+    the shuffle of one.
+    """
+    flags = {"customers": "IsCustomer", "guests": "IsGuest", "managers": "IsManager"}
+    frames = [t[name].select(email_key().alias("_email"), *[F.lit(other == name).alias(flags[other]) for other in of])
+              for name in of]
+    return (union_all(frames).where("_email IS NOT NULL").groupBy("_email")
+            .agg(*[F.bool_or(flags[name]).alias(flags[name]) for name in of]))
 
 
 def membership_flags(t, emails: DataFrame) -> DataFrame:
-    """J8 — for a batch of emails: is it a registered customer, a guest, a manager."""
-    def flag(df, name):
-        return df.select("Email").distinct().withColumn(name, F.lit(True))
-    e = emails.select("Email").distinct()
-    out = (e.join(flag(t.customers, "IsCustomer"), "Email", "left")
-           .join(flag(t.guests, "IsGuest"), "Email", "left")
-           .join(flag(t.managers, "IsManager"), "Email", "left"))
-    return out.select("Email", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("IsCustomer", "IsGuest", "IsManager")])
+    """J8 — for a batch of emails: is it a registered customer, a guest, a manager, however it is spelled."""
+    e = emails.select("Email").distinct().withColumn("_email", email_key())
+    return (e.join(known_emails(t), "_email", "left")
+            .select("Email", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("IsCustomer", "IsGuest", "IsManager")]))
 
 
 def known_phones(t, pairs: DataFrame, kind: str = S.KIND_CUSTOMER) -> DataFrame:
     """J8 — for (Email, Phone) pairs: is the pair already stored."""
-    stored = (t.customer_phones if kind == S.KIND_CUSTOMER else t.guest_phones).withColumn("Known", F.lit(True))
-    p = pairs.select("Email", F.trim("Phone").alias("Phone")).distinct()
-    return (p.join(stored, ["Email", "Phone"], "left")
+    stored = ((t.customer_phones if kind == S.KIND_CUSTOMER else t.guest_phones)
+              .select(email_key().alias("_email"), "Phone").distinct().withColumn("Known", F.lit(True)))
+    p = pairs.select("Email", F.trim("Phone").alias("Phone")).distinct().withColumn("_email", email_key())
+    return (p.join(stored, ["_email", "Phone"], "left")
             .select("Email", "Phone", F.coalesce("Known", F.lit(False)).alias("Known")))

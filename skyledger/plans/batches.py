@@ -11,13 +11,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skyledger.sources.views import EMAIL_DOMAIN, read_driver
+from skyledger.sources.views import EMAIL_DOMAIN, Tables, read_driver
 
 
 def _email(prefix: F.Column, key: str) -> F.Column:
     return F.concat(prefix, F.col(key).cast("string"), F.lit(EMAIL_DOMAIN))
 
 
+def mixed_case(batch: DataFrame, key: str = "Seq") -> DataFrame:
+    """The batch with the email of every second row in capitals."""
+    return batch.withColumn("Email", F.when(F.col(key) % 2 == 0, F.upper("Email")).otherwise(F.col("Email")))
+
+
+THREE_CLASSES = ("Business", "First", "Regular")
+
+
+def with_first_class(t) -> Tables:
+    """The tables with a class First (one row of two seats, twice the regular price) on every fourth plane."""
+    first = F.lit("First").alias("ClassType")
+    cabins = t.cabins.where((F.col("ClassType") == "Regular") & (F.col("PlainID") % 4 == 0)).withColumns(
+        {"ClassType": first, "NumberRows": F.lit(1), "NumberCols": F.lit(2)})
+    prices = t.prices.where((F.col("ClassType") == "Regular") & (F.col("PlainID") % 4 == 0)).withColumns(
+        {"ClassType": first, "Price": F.col("Price") * 2})
+    return Tables(t, cabins=t.cabins.unionByName(cabins.select(*t.cabins.columns)),
+                  prices=t.prices.unionByName(prices.select(*t.prices.columns)))
+
+
 def signup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_driver(spark, sf_dir, "orders")
     pri = F.col("o_orderpriority")

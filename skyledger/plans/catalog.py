@@ -20,7 +20,7 @@ from skyledger.operators import assign as asg, ingest as ing, inventory as inv,
 from skyledger.plans import batches as bt
 from skyledger.plans.oracle_sql import SQL
 from skyledger.sources import io as sio
-from skyledger.sources.views import DEFAULT_AS_OF, airline_views
+from skyledger.sources.views import DEFAULT_AS_OF, Tables, airline_views
 
 AS_OF = DEFAULT_AS_OF
 
@@ -52,6 +52,11 @@ register("flight_capacity")(lambda t: inv.flight_capacity(t))
 register("available_seats")(lambda t: inv.available_seats(t))
 register("available_class_prices")(lambda t: inv.available_class_prices(t, 0))
 register("class_price_pivot")(lambda t: inv.class_price_pivot(t, 0))
+# a third class, First, on every fourth plane
+register("class_price_map")(lambda t: inv.class_price_map(bt.with_first_class(t)).select(
+    "FlightID", F.to_json("Prices").alias("Prices")))
+register("class_price_pivot_three")(lambda t: inv.class_price_pivot(bt.with_first_class(t), 0, bt.THREE_CLASSES))
+register("flight_search_three")(lambda t: inv.flight_search(bt.with_first_class(t), AS_OF, classes=bt.THREE_CLASSES))
 register("flights_with_landing")(lambda t: inv.flights_with_landing(t))
 register("flight_status")(lambda t: inv.flight_status(t, AS_OF))
 register("flight_search")(lambda t: inv.flight_search(t, AS_OF))
@@ -80,10 +85,16 @@ register("available_planes")(lambda t: asg.available_planes(t))
 register("available_pilots")(lambda t: asg.available_pilots(t))
 register("available_attendants")(lambda t: asg.available_attendants(t))
 register("staffing_feasibility")(lambda t: asg.staffing_feasibility(t))
+for _kind in asg.KINDS:
+    register(f"class_members_{_kind}")(lambda t, k=_kind: asg.class_members(t, k))
+    register(f"class_candidates_{_kind}")(lambda t, k=_kind: asg.class_candidates(t, k))
 register("crew_requirement")(lambda t: asg.crew_requirement(t))
 register("plane_size")(lambda t: asg.plane_size(t))
 register("chain_continuity")(lambda t: asg.chain_continuity(t))
 register("missing_return_routes")(lambda t: asg.missing_return_routes(t))
+# every ninth route is taken away first, so that the ways back of some are missing
+register("missing_return_routes_thinned")(lambda t: asg.missing_return_routes(
+    Tables(t, routes=t.routes.where(F.col("DurationSec") % 540 != 0))))
 
 # ---- orders, pricing, lifecycle (D20–D29, J8) ---------------------------------------
 
@@ -118,6 +129,9 @@ register("cancel_flights_flights")(lambda t: ords.cancel_flights(t, _cancel_flig
 register("cancel_flights_orders")(lambda t: ords.cancel_flights(t, _cancel_flight_ids(t))[1])
 register("customer_profile")(lambda t: ords.customer_profile(t))
 register("membership_flags")(lambda t: ords.membership_flags(t, t.orders))
+# the same with every second address in capitals (J8, D22: an email is the same in any case of letters)
+register("membership_flags_mixed_case")(lambda t: ords.membership_flags(t, bt.mixed_case(t.orders, "OrderID")))
+register("order_lookup_mixed_case")(lambda t: ords.order_lookup(t, bt.mixed_case(t.orders, "OrderID")))
 register("known_phones")(lambda t: ords.known_phones(
     t, t.guest_phones.select(F.regexp_replace("Email", "^g", "c").alias("Email"), "Phone")))
 
@@ -169,6 +183,11 @@ def register_batch(name: str, build):
 register_batch("ingest_customers", lambda t, s, d: ing.ingest_customers(t, bt.signup_batch(s, d)))
 register_batch("ingest_phones", lambda t, s, d: ing.ingest_phones(t, bt.phone_batch(s, d)))
 register_batch("ingest_orders", lambda t, s, d: ing.ingest_orders(t, bt.order_batch(s, d), AS_OF))
+register_batch("ingest_customers_mixed_case",
+               lambda t, s, d: ing.ingest_customers(t, bt.mixed_case(bt.signup_batch(s, d))))
+register_batch("ingest_phones_mixed_case", lambda t, s, d: ing.ingest_phones(t, bt.mixed_case(bt.phone_batch(s, d))))
+register_batch("ingest_orders_mixed_case",
+               lambda t, s, d: ing.ingest_orders(t, bt.mixed_case(bt.order_batch(s, d)), AS_OF))
 register_batch("ingest_order_seats", lambda t, s, d: ing.ingest_order_seats(t, bt.seat_batch(s, d)))
 register_batch("ingest_planes", lambda t, s, d: ing.ingest_planes(t, bt.plane_batch(s, d))[0])
 register_batch("ingest_cabins", lambda t, s, d: ing.ingest_planes(t, bt.plane_batch(s, d))[1])

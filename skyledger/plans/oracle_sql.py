@@ -9,6 +9,8 @@ sums, a recursive walk instead of rounds.
 
 from __future__ import annotations
 
+import re
+
 from skyledger.plans.oracle_views import AS_OF_SQL, with_views
 
 A = AS_OF_SQL
@@ -777,3 +779,80 @@ r3 AS (SELECT *, CASE WHEN R2 IS NOT NULL THEN R2
 
 
 SQL["ingest_flights_staffed"] = _staffed_flights_sql()
+
+
+# ---- addresses in any case of letters (J8, D22, I1–I3) ------------------------------------
+def _capitals(relation: str, key: str = "Seq") -> str:
+    return (f"(SELECT * REPLACE (CASE WHEN {key} % 2 = 0 THEN upper(Email) ELSE Email END AS Email) "
+            f"FROM {relation})")
+
+
+def _caseless(sql: str, relation: str, key: str = "Seq") -> str:
+    """The same query over ``relation`` with every second address in capitals, addresses compared by ``lower``."""
+    sql = re.sub(r"(\w+)\.Email = (\w+)\.Email", r"lower(\1.Email) = lower(\2.Email)", sql)
+    sql = sql.replace("PARTITION BY Email", "PARTITION BY lower(Email)")
+    return sql.replace(f"FROM {relation} ", f"FROM {_capitals(relation, key)} ")
+
+
+SQL["ingest_customers_mixed_case"] = _caseless(SQL["ingest_customers"], "b_signup")
+SQL["ingest_phones_mixed_case"] = _caseless(SQL["ingest_phones"] + "\n", "b_phone")
+SQL["ingest_orders_mixed_case"] = _caseless(SQL["ingest_orders"], "b_order")
+SQL["membership_flags_mixed_case"] = with_views(f"""
+SELECT e.Email, lower(e.Email) IN (SELECT lower(Email) FROM customers) AS IsCustomer,
+       lower(e.Email) IN (SELECT lower(Email) FROM guests) AS IsGuest,
+       lower(e.Email) IN (SELECT lower(Email) FROM managers) AS IsManager
+FROM (SELECT DISTINCT Email FROM {_capitals('orders_v', 'OrderID')}) e""")
+SQL["order_lookup_mixed_case"] = hist(f"""
+SELECT r.OrderID, r.Email, h.CustomerKind, h.FlightID, h.ClassType, h.NumSeats, h.OrderStatus, h.OrderDate,
+       h.OrderPrice, h.SourceField, h.DestinationField, h.TakeOffTime
+FROM {_capitals('orders_v', 'OrderID')} r
+LEFT JOIN hist h ON r.OrderID = h.OrderID AND lower(r.Email) = lower(h.Email)""")
+
+
+# ---- a third class (A10, D5b, D9) ------------------------------------------------------------
+def _three(body: str) -> str:
+    more = """
+cabins3 AS (SELECT * FROM cabins UNION ALL
+            SELECT * REPLACE ('First' AS ClassType, 1 AS NumberRows, 2 AS NumberCols) FROM cabins
+            WHERE ClassType = 'Regular' AND PlainID % 4 = 0),
+prices3 AS (SELECT * FROM prices UNION ALL
+            SELECT * REPLACE ('First' AS ClassType, Price * 2 AS Price) FROM prices
+            WHERE ClassType = 'Regular' AND PlainID % 4 = 0),
+"""
+    return with_views(body, more + re.sub(r"\b(cabins|prices)\b", r"\g<1>3", INV_CTES.strip()))
+
+
+SQL["class_price_map"] = _three("""
+SELECT FlightID, '{' || string_agg('"' || ClassType || '":' || CAST(Price AS VARCHAR), ',' ORDER BY ClassType) || '}' AS Prices
+FROM (SELECT FlightID, ClassType, max(Price) AS Price FROM acp GROUP BY ALL) GROUP BY FlightID""")
+_FARES = """(SELECT FlightID, max(Price) FILTER (ClassType = 'Business') AS Business_price,
+   max(Price) FILTER (ClassType = 'First') AS First_price, max(Price) FILTER (ClassType = 'Regular') AS Regular_price
+   FROM acp GROUP BY FlightID)"""
+SQL["class_price_pivot_three"] = _three(f"SELECT * FROM {_FARES} fares")
+SQL["flight_search_three"] = _three(f"""
+SELECT s.* EXCLUDE (Business_price, Regular_price), x.Business_price, x.First_price, x.Regular_price
+FROM search s JOIN {_FARES} x USING (FlightID)""")
+
+# ---- classes of equal profiles (D12, J11), ways back that are missing (D17) ---------------------
+_CLASS_DIMS = {"planes": ("PlainID", "planes", "flights", "D.Size = 'Large'"),
+               "pilots": ("PilotID", "pilots", "working_pilots", "D.Qualified4LongFlights"),
+               "attendants": ("AttendantID", "attendants", "working_attendants", "D.Qualified4LongFlights")}
+for _kind, (_rid, _dim, _shifts, _q) in _CLASS_DIMS.items():
+    _member = f"""
+(SELECT D.{_rid}, concat_ws('|', CASE WHEN {_q} THEN 'q' ELSE 'n' END,
+        CASE WHEN D.{_rid} NOT IN (SELECT {_rid} FROM {_shifts}) THEN 'free'
+             ELSE concat_ws('|', coalesce(strftime(x.a, '%Y-%m-%d %H:%M:%S'), '-'),
+                  coalesce((SELECT string_agg(DISTINCT l.SourceField, ',' ORDER BY l.SourceField) FROM legs_{_kind} l
+                            WHERE l.ResourceID = D.{_rid} AND l.TakeOffTime = x.a), ''),
+                  coalesce(strftime(x.b, '%Y-%m-%d %H:%M:%S'), '-'),
+                  coalesce((SELECT string_agg(DISTINCT l.DestinationField, ',' ORDER BY l.DestinationField)
+                            FROM legs_{_kind} l WHERE l.ResourceID = D.{_rid} AND l.LandingTime = x.b), '')) END) AS ClassID
+ FROM {_dim} D LEFT JOIN (SELECT ResourceID, min(TakeOffTime) AS a, max(LandingTime) AS b FROM legs_{_kind}
+                          GROUP BY ResourceID) x ON x.ResourceID = D.{_rid})"""
+    SQL[f"class_members_{_kind}"] = asg(f"SELECT ClassID, {_rid} FROM {_member} m")
+    SQL[f"class_candidates_{_kind}"] = asg(
+        f"SELECT DISTINCT CandidateID, ClassID FROM assign_{_kind} JOIN {_member} m USING ({_rid})")
+SQL["missing_return_routes_thinned"] = with_views("""
+SELECT r.* FROM routes r WHERE r.DurationSec % 540 <> 0 AND NOT EXISTS (
+  SELECT 1 FROM routes b WHERE b.SourceField = r.DestinationField AND b.DestinationField = r.SourceField
+  AND b.DurationSec % 540 <> 0)""")
