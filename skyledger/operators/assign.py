@@ -277,8 +277,12 @@ def staffing_feasibility(t, candidates: DataFrame | None = None) -> DataFrame:
     count = {n: F.when(F.col("side") == "a", F.col(f"{n}_all") - F.col(f"{n}_before") - F.col(f"{n}_in"))
              .otherwise(F.col(f"{n}_before") + F.col(f"{n}_in")) for n in _COUNTS}
     found = seen.groupBy("CandidateID", "IsLong").agg(*[F.sum(count[n]).alias(n) for n in _COUNTS])
-    idle = (_union([_resources(t, k) for k in KINDS])
-            .join(_union([_shifts(t, k) for k in KINDS]), ["Kind", "ResourceID"], "left_anti").select(*one))
+    there = _union([_resources(t, k) for k in KINDS]).select("Kind", "ResourceID", "Qualified", F.lit(False).alias("Shift"))
+    shifts = _union([_shifts(t, k) for k in KINDS]).select("Kind", "ResourceID", F.lit(None).cast("boolean").alias("Qualified"),
+                                                           F.lit(True).alias("Shift"))
+    idle = (there.unionByName(shifts).groupBy("Kind", "ResourceID")
+            .agg(F.bool_or("Qualified").alias("Qualified"), F.bool_or("Shift").alias("Shift"))
+            .where("Qualified IS NOT NULL AND NOT Shift").select(*one))
     free = idle.agg(F.struct(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _COUNTS])).scalar()
     total = found.withColumn("free", free)
     usable = lambda kind: (F.col(f"{kind}_q") + F.col(f"free.{kind}_q")

@@ -18,6 +18,8 @@ from skyledger.functions.predicates import email_key
 from skyledger.functions.scalar import as_of_lit, more_than_hours_ahead, round2, trunc_day
 from skyledger.operators.inventory import flight_search
 from skyledger.operators.relational import rewrite_update, union_all
+from skyledger.sources.io import rewrite_rows
+from skyledger.sources.views import Tables
 
 ORDER_KEY = ["CustomerKind", "OrderID"]
 
@@ -138,6 +140,37 @@ def cancel_flights(t, flight_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flights, orders
 
 
+# ---- the same on a versioned table: only file sets with changed rows are rewritten (S5) ------------
+
+def complete_orders_stored(t, spark, root: str, as_of: dt.datetime) -> int:
+    """D26 on the ``orders`` stored under ``root``; returns the version that holds the result."""
+    fl = t.flights.where(F.col("TakeOffTime") <= trunc_day(as_of_lit(as_of))).select("FlightID")
+    due = P.not_cancelled("OrderStatus") & (F.col("OrderStatus") != S.ORDER_COMPLETE)
+    return rewrite_rows(spark, root, "orders", lambda rows: complete_orders(Tables(t, orders=rows), as_of),
+                        lambda rows: rows.where(due).join(fl, "FlightID", "left_semi"))
+
+
+def cancel_orders_stored(t, spark, root: str, requests: DataFrame) -> int:
+    """D27 on the ``orders`` stored under ``root``; returns the version that holds the result."""
+    return rewrite_rows(spark, root, "orders", lambda rows: cancel_orders(Tables(t, orders=rows), requests),
+                        lambda rows: rows.where(F.col("OrderStatus") != S.ORDER_CUSTOMER_CANCELLED)
+                        .join(requests.select(*ORDER_KEY), ORDER_KEY, "left_semi"))
+
+
+def cancel_flights_stored(t, spark, root: str, flight_ids: DataFrame) -> tuple[int, int]:
+    """D28 on the ``flights`` and ``orders`` stored under ``root``; returns both versions, the orders' last.
+
+    The flights come first: a job lost in between is repeated as a whole and finds them done.
+    """
+    ids = flight_ids.select("FlightID")
+    flights = rewrite_rows(spark, root, "flights", lambda rows: cancel_flights(Tables(t, flights=rows), ids)[0],
+                           lambda rows: rows.where("NOT IsDeleted").join(ids, "FlightID", "left_semi"))
+    orders = rewrite_rows(spark, root, "orders", lambda rows: cancel_flights(Tables(t, orders=rows), ids)[1],
+                          lambda rows: rows.where(F.col("OrderStatus") != S.ORDER_SYSTEM_CANCELLED)
+                          .join(ids, "FlightID", "left_semi"))
+    return flights, orders
+
+
 def customer_profile(t) -> DataFrame:
     """D29 — customer columns plus their phones, sorted and comma-joined ('' when none).
 

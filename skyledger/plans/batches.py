@@ -37,6 +37,16 @@ def with_first_class(t) -> Tables:
                   prices=t.prices.unionByName(prices.select(*t.prices.columns)))
 
 
+def flight_lines(t) -> DataFrame:
+    """The flights as CSV lines: some with text for the plane, some cut short, some without a source field."""
+    f = F.col("FlightID")
+    plane = F.when(f % 13 == 0, F.concat(F.lit("x"), "PlainID")).otherwise(F.col("PlainID").cast("string"))
+    source = F.when(f % 19 == 0, F.lit("")).otherwise(F.col("SourceField"))
+    head = F.concat_ws(",", f.cast("string"), plane, F.date_format("TakeOffTime", "yyyy-MM-dd HH:mm:ss"))
+    rest = F.concat_ws(",", source, "DestinationField", F.col("IsDeleted").cast("string"))
+    return t.flights.select(F.when(f % 17 == 0, head).otherwise(F.concat_ws(",", head, rest)).alias("value"))
+
+
 def signup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_driver(spark, sf_dir, "orders")
     pri = F.col("o_orderpriority")

@@ -10,6 +10,7 @@ already stored as Parquet).
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -203,6 +204,58 @@ register_batch("ingest_booking_seats", lambda t, s, d: ing.ingest_bookings(t, bt
 # a customer's orders all ask for seats of one flight, so bookings of a batch compete
 register_batch("ingest_bookings_contended",
                lambda t, s, d: ing.ingest_bookings(t, bt.booking_batch(s, d, "o_custkey"), AS_OF)[0])
+# ---- stored tables: typed load (S3), append (S4), partial rewrite (S5) ------------------------
+
+
+def _csv_of_flights(t, spark, sf_dir):
+    path = sio.staging_path(spark, "flights-csv")
+    bt.flight_lines(t).write.text(path)
+    return sio.load_csv(spark, path, "flights")
+
+
+def _appended(t, spark, sf_dir):
+    """Guest orders as the first version, customer orders as a batch that arrives twice."""
+    root = sio.staging_path(spark, "append")
+    sio.append_rows(t.orders.where(F.col("CustomerKind") == S.KIND_GUEST), root, "orders")
+    for _ in range(2):
+        sio.append_rows(t.orders.where(F.col("CustomerKind") == S.KIND_CUSTOMER), root, "orders", batch="customers")
+    return sio.read_version(spark, root, "orders")
+
+
+def _orders_by_year(t, spark) -> str:
+    root = sio.staging_path(spark, "by-year")
+    sio.commit_table(t.orders, root, "orders", split_by="year(OrderDate)")
+    return root
+
+
+def _completed(t, spark, sf_dir):
+    root = _orders_by_year(t, spark)
+    return sio.read_version(spark, root, "orders", ords.complete_orders_stored(t, spark, root, AS_OF))
+
+
+def _completed_file_sets(t, spark, sf_dir):
+    """File sets of the first version, their rows, and whether the second still lists them."""
+    root = _orders_by_year(t, spark)
+    ords.complete_orders_stored(t, spark, root, AS_OF)
+    before, after = (sio.version_parts(spark, root, "orders", v) for v in (1, 2))
+    rows = [spark.read.schema(S.SCHEMAS["orders"]).parquet(p).agg(F.count(F.lit(1)).alias("Rows"))
+            .select(F.lit(int(p.rpartition("=")[2])).cast("long").alias("OrderYear"), "Rows", F.lit(p in after).alias("Kept"))
+            for p in before]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+def _cancelled(t, spark, sf_dir):
+    root = _orders_by_year(t, spark)
+    sio.commit_table(t.flights, root, "flights", split_by="year(TakeOffTime)")
+    return sio.read_version(spark, root, "orders", ords.cancel_flights_stored(t, spark, root, _cancel_flight_ids(t))[1])
+
+
+register_batch("load_csv_rows", lambda t, s, d: _csv_of_flights(t, s, d)[0])
+register_batch("load_csv_rejects", lambda t, s, d: _csv_of_flights(t, s, d)[1])
+register_batch("append_rows", _appended)
+register_batch("complete_orders_stored", _completed)
+register_batch("complete_orders_file_sets", _completed_file_sets)
+register_batch("cancel_flights_stored", _cancelled)
 register("check_keys")(lambda t: ing.check_keys(t))
 
 # ---- relational primitives (§2.2–2.8), one query each ---------------------------------------

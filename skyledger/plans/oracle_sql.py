@@ -856,3 +856,24 @@ SQL["missing_return_routes_thinned"] = with_views("""
 SELECT r.* FROM routes r WHERE r.DurationSec % 540 <> 0 AND NOT EXISTS (
   SELECT 1 FROM routes b WHERE b.SourceField = r.DestinationField AND b.DestinationField = r.SourceField
   AND b.DurationSec % 540 <> 0)""")
+
+# ---- stored tables (S3–S5) -----------------------------------------------------------------------
+SQL["load_csv_rows"] = with_views(
+    "SELECT FlightID, PlainID, TakeOffTime, SourceField, DestinationField, IsDeleted FROM flights "
+    "WHERE FlightID % 13 <> 0 AND FlightID % 17 <> 0 AND FlightID % 19 <> 0")
+SQL["load_csv_rejects"] = with_views("""
+SELECT concat(FlightID, ',', CASE WHEN FlightID % 13 = 0 THEN 'x' ELSE '' END, PlainID, ',',
+              strftime(TakeOffTime, '%Y-%m-%d %H:%M:%S'),
+              CASE WHEN FlightID % 17 = 0 THEN ''
+                   ELSE concat(',', CASE WHEN FlightID % 19 = 0 THEN '' ELSE SourceField END, ',', DestinationField, ',',
+                               IsDeleted) END) AS Line,
+       CASE WHEN FlightID % 13 = 0 OR FlightID % 17 = 0 THEN 'malformed' ELSE 'missing field' END AS RejectReason
+FROM flights WHERE FlightID % 13 = 0 OR FlightID % 17 = 0 OR FlightID % 19 = 0""")
+SQL["append_rows"] = with_views(f"SELECT {ORDER_COLS} FROM orders_v")
+SQL["complete_orders_stored"] = SQL["complete_orders"]
+SQL["complete_orders_file_sets"] = with_views(f"""
+SELECT year(o.OrderDate) AS OrderYear, count(*) AS Rows,
+       NOT bool_or(coalesce(f.TakeOffTime < date_trunc('day', {A}) + INTERVAL 1 SECOND AND o.OrderStatus = 'Active', FALSE))
+         AS Kept
+FROM orders_v o LEFT JOIN flights f USING (FlightID) GROUP BY year(o.OrderDate)""")
+SQL["cancel_flights_stored"] = SQL["cancel_flights_orders"]

@@ -2,10 +2,12 @@
 
 * S1 ``scan_table`` — named table, optional column list (pruned in the scan).
 * S2 ``scan_derived`` — a DataFrame used as a derived table inside SQL text.
-* S3 ``load_tables`` / ``save_tables`` — all airline tables with explicit schemas.
-* S4 ``append_rows`` — one batch append, not one statement per row, as the table's next version.
+* S3 ``load_tables`` / ``save_tables`` — all airline tables with explicit schemas;
+  ``load_csv`` — typed reading with the rejected lines apart.
+* S4 ``append_rows`` — one batch append, not one statement per row, as the table's next version;
+  a lost race is tried again, a repeated batch token adds nothing.
 * S5/S6 — copy-on-write update/delete: see :mod:`skyledger.operators.relational`;
-  ``commit_table`` publishes the rewritten rows as the table's next version.
+  ``rewrite_rows`` rewrites the file sets that hold rows to change, ``commit_table`` the whole table.
 * S7 ``to_json_records`` — report rows as JSON objects (chart input).
 
 Writes go to a shared, fault-tolerant location (the cluster's checkpoint
@@ -15,7 +17,13 @@ folder by default), never to a machine-local temporary folder.
 from __future__ import annotations
 
 import itertools
+import json
+import random
+import threading
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 from typing import Sequence
 
 from pyspark.errors import AnalysisException
@@ -41,7 +49,10 @@ def scan_derived(df: DataFrame, alias: str, sql: str) -> DataFrame:
     """
     name = f"{alias}_{next(_VIEW_SEQ)}_{uuid.uuid4().hex[:8]}"
     df.createOrReplaceTempView(name)
-    return df.sparkSession.sql(sql.format(**{alias: name}))
+    try:
+        return df.sparkSession.sql(sql.format(**{alias: name}))  # analysed here, so the name is needed no longer
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
 
 
 def to_json_records(df: DataFrame) -> DataFrame:
@@ -166,18 +177,37 @@ def staging_path(spark: SparkSession, table: str) -> str:
 # ---- versioned tables (S4–S6) -----------------------------------------------------
 #
 # A store is a folder of tables; ``<root>/<table>/data/<file set>`` holds rows and
-# ``<root>/<table>/versions/<n>`` lists the file sets of version n. A version is one
-# JSON row that Spark commits in a folder of its own, so it is there whole or
-# not at all, and readers take the highest one.
+# ``<root>/<table>/versions/<n>.json`` lists the file sets of version n, with the token of
+# the batch that made it. A version is written aside and renamed into place, so it is
+# there whole or not at all, and of two writers of one number the second finds it
+# taken (on stores whose rename is atomic, as on HDFS; within one driver in any case). Readers take the
+# highest version.
 
-VERSION_SCHEMA = "version long, parts array<string>"
+VERSION_SCHEMA = "version long, parts array<string>, batch string"
+MAX_ATTEMPTS = 20
+_PUBLISHING = threading.Lock()
 
 
-def _latest(spark: SparkSession, root: str, table: str, version: int | None = None) -> tuple[int, list[str]]:
-    """Number and file sets of the latest version, or of the one asked for; (0, []) if there is none."""
+class VersionTaken(Exception):
+    """Another writer published this version first."""
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     try:
-        rows = spark.read.schema(VERSION_SCHEMA).json(f"{root}/{table}/versions/*")
+        return spark.read.schema(VERSION_SCHEMA).json(f"{root}/{table}/versions/*")
     except AnalysisException:  # no version has been published yet
+        return None
+
+
+def _latest(spark: SparkSession, root: str, table: str, version: int | None = None) -> tuple[int, list[str]]:
+    """Number and file sets of the latest version, or of the one asked for; (0, []) if there is none."""
+    rows = _versions(spark, root, table)
+    if rows is None:
         return 0, []
     if version is not None:
         rows = rows.filter(F.col("version") == version)
@@ -185,15 +215,36 @@ def _latest(spark: SparkSession, root: str, table: str, version: int | None = No
     return (found["version"], found["parts"]) if found else (0, [])
 
 
-def _publish(spark: SparkSession, root: str, table: str, parts: list[str], version: int) -> int:
-    """Make ``parts`` version ``version`` of a table; a version that exists is an error (someone was faster)."""
-    (spark.createDataFrame([(version, parts)], VERSION_SCHEMA).coalesce(1)
-     .write.mode("errorifexists").json(f"{root}/{table}/versions/{version}"))
+def _snapshot(spark: SparkSession, root: str, table: str, batch: str | None) -> tuple[int, list[str], int | None]:
+    """Latest version, its file sets, and the version that carries ``batch``, all from one reading of the versions.
+
+    One reading: a version that it misses holds the next number, so publishing on top of it is refused.
+    """
+    rows = _versions(spark, root, table)
+    if rows is None:
+        return 0, [], None
+    found = rows.agg(F.max("version").alias("last"), F.max_by("parts", "version").alias("parts"),
+                     F.min(F.when(F.col("batch") == F.lit(batch), F.col("version"))).alias("done")).first()
+    return found["last"] or 0, found["parts"] or [], found["done"]
+
+
+def _publish(spark: SparkSession, root: str, table: str, parts: list[str], version: int, batch: str | None = None) -> int:
+    """Make ``parts`` version ``version`` of a table; :class:`VersionTaken` if someone was faster."""
+    fs, aside = _fs(spark, f"{root}/{table}/claims/{uuid.uuid4().hex}.json")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/versions/{version}.json")
+    out = fs.create(aside)
+    out.write(bytearray(json.dumps({"version": version, "parts": parts, "batch": batch}).encode()))
+    out.close()
+    fs.mkdirs(place.getParent())
+    with _PUBLISHING:
+        if fs.exists(place) or not fs.rename(aside, place):
+            fs.delete(aside, False)
+            raise VersionTaken(f"version {version} of {table}")
     return version
 
 
-def _write_part(df: DataFrame, root: str, table: str) -> str:
-    part = f"{root}/{table}/data/{uuid.uuid4().hex}"
+def _write_part(df: DataFrame, root: str, table: str, label: str | None = None) -> str:
+    part = f"{root}/{table}/data/{uuid.uuid4().hex}" + (f"/{label}" if label else "")
     df.write.mode("errorifexists").parquet(part)
     return part
 
@@ -206,23 +257,156 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | None
     return spark.read.schema(S.SCHEMAS[table]).parquet(*parts)
 
 
+def version_parts(spark: SparkSession, root: str, table: str, version: int | None = None) -> list[str]:
+    """File sets of a version."""
+    return _latest(spark, root, table, version)[1]
+
+
 def _conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.SCHEMAS[table].fields])
 
 
-def append_rows(df: DataFrame, root: str, table: str) -> int:
-    """S4 — a new version with the rows of a validated batch added, in one write; returns its number."""
+def _next_version(spark: SparkSession, root: str, table: str, batch: str | None, parts_after) -> int:
+    """Publish ``parts_after(old parts)`` on top of the latest version, again and again while others are faster.
+
+    A batch that is published already, by an earlier or a concurrent attempt, is not published again.
+    """
+    for attempt in range(MAX_ATTEMPTS):
+        last, old, done = _snapshot(spark, root, table, batch)
+        if done is not None:
+            return done
+        parts = parts_after(old)
+        if parts == old and old:
+            return last  # nothing to change
+        try:
+            return _publish(spark, root, table, parts, last + 1, batch)
+        except VersionTaken:
+            time.sleep(random.uniform(0, 0.05 * 2 ** min(attempt, 6)))
+    raise VersionTaken(f"{table} under {root}: lost {MAX_ATTEMPTS} times")
+
+
+def append_rows(df: DataFrame, root: str, table: str, batch: str | None = None) -> int:
+    """S4 — a new version with the rows of a validated batch added, in one write; returns its number.
+
+    The rows are written once; a lost race only repeats the publishing, on top of
+    the version that won. With a ``batch`` token the append is idempotent: a
+    token that a version carries already adds nothing and gives that version.
+    """
     spark = df.sparkSession
-    last, old = _latest(spark, root, table)
-    return _publish(spark, root, table, [*old, _write_part(_conform(df, table), root, table)], last + 1)
+    done = _snapshot(spark, root, table, batch)[2]
+    if done is not None:
+        return done
+    part = _write_part(_conform(df, table), root, table)
+    return _next_version(spark, root, table, batch, lambda old: [*old, part])
 
 
-def commit_table(new_version: DataFrame, root: str, table: str) -> int:
+def commit_table(new_version: DataFrame, root: str, table: str, split_by: str | None = None) -> int:
     """S5/S6 — a new version that holds the rewritten rows only; returns its number.
 
-    The old version stays readable, so a lost executor or failed job leaves no
-    half-written table behind.
+    ``split_by`` (a SQL expression) deals the rows, in the one write, to a file set per value, so that
+    :func:`rewrite_rows` can leave most of them alone; the driver lists a path per value. The old
+    version stays readable, so a lost executor or failed job leaves no half-written table
+    behind. A version that another writer publishes meanwhile is an error: the rows were made without it.
     """
     spark = new_version.sparkSession
     last, _ = _latest(spark, root, table)
-    return _publish(spark, root, table, [_write_part(_conform(new_version, table), root, table)], last + 1)
+    rows = _conform(new_version, table)
+    if split_by is None:
+        return _publish(spark, root, table, [_write_part(rows, root, table)], last + 1)
+    base = f"{root}/{table}/data/{uuid.uuid4().hex}"
+    (rows.withColumn("set", F.coalesce(F.expr(split_by).cast("string"), F.lit("none")))
+     .write.mode("errorifexists").partitionBy("set").parquet(base))
+    fs, at = _fs(spark, base)
+    parts = sorted(f"{base}/{s.getPath().getName()}" for s in fs.listStatus(at) if s.isDirectory())
+    return _publish(spark, root, table, parts or [_write_part(rows, root, table)], last + 1)
+
+
+def rewrite_rows(spark: SparkSession, root: str, table: str, change: Callable[[DataFrame], DataFrame],
+                 hit: Callable[[DataFrame], DataFrame], batch: str | None = None) -> int:
+    """S5 — copy-on-write of the file sets that hold rows to change, and of no other.
+
+    ``hit(rows)`` keeps the rows of a table that an update or delete touches, ``change(rows)`` gives the rows
+    after it. One job counts the hits per file set; only those are read in full,
+    changed and written as new file sets, and the new version lists them
+    beside the untouched ones. A lost race starts again from the version that won.
+    Without a hit no version is made.
+    """
+    def parts_after(old: list[str]) -> list[str]:
+        if not old:
+            return old
+        schema = S.SCHEMAS[table]
+        each = [spark.read.schema(schema).parquet(p).withColumn("_part", F.lit(i)) for i, p in enumerate(old)]
+        found = hit(reduce(lambda a, b: a.unionByName(b), each)).groupBy("_part").count().collect()  # a row per file set
+        touched = {r["_part"] for r in found}
+        return [_write_part(_conform(change(each[i].drop("_part")), table), root, table, _label(p)) if i in touched else p
+                for i, p in enumerate(old)]
+
+    return _next_version(spark, root, table, batch, parts_after)
+
+
+def _label(part: str) -> str | None:
+    """Label of a file set made with ``split_by``."""
+    last = part.rsplit("/", 1)[1]
+    return last if last.startswith("set=") else None
+
+
+def remove_unreferenced(spark: SparkSession, root: str, table: str, keep_versions: int = 1) -> list[str]:
+    """Delete file sets that none of the latest ``keep_versions`` versions lists; returns their paths.
+
+    Left over by lost races, failed jobs and rewritten rows. Older versions cannot be read any
+    more; run it while no writer is at work.
+    """
+    rows = _versions(spark, root, table)
+    if rows is None:
+        return []
+    listed = {p.split("/data/", 1)[1] for r in rows.orderBy(F.desc("version")).limit(keep_versions).collect()
+              for p in r["parts"]}
+    fs, data = _fs(spark, f"{root}/{table}/data")
+    gone = []
+    for top in fs.listStatus(data):
+        name = top.getPath().getName()
+        if name in listed:
+            continue
+        sets = [s.getPath() for s in fs.listStatus(top.getPath()) if s.getPath().getName().startswith("set=")]
+        used = [p for p in sets if f"{name}/{p.getName()}" in listed]
+        gone += [p for p in sets if p not in used] if used else [top.getPath()]
+    for path in gone:
+        fs.delete(path, True)
+    return sorted(p.toString() for p in gone)
+
+
+# ---- typed loading with rejects (S3) -----------------------------------------------------
+
+def load_csv(spark: SparkSession, path: str, table: str, header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S3 — (rows, rejects) of a table's CSV files, by its declared schema.
+
+    ``rows`` hold the table's columns, typed, with the seed spelling of a
+    finished order mapped (Q1). ``rejects`` are the lines that are no such row, as
+    ``Line, RejectReason``: ``malformed`` (a value of another type, too few or
+    too many values) or ``missing field`` (nothing in a required column). Each line that is not blank is in
+    exactly one of the two; a quoted value may hold commas but no line break.
+    """
+    schema = S.SCHEMAS[table]
+    loose = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _broken string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken",
+               "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if header:
+        lines = lines.where(F.col("value") != ",".join(schema.names))
+    read = lines.select("value", F.from_csv("value", loose, options).alias("row"))
+    whole = F.col("row._broken").isNull()
+    required = [F.col(f"row.{f.name}").isNull() for f in schema.fields if not f.nullable]
+    lacking = reduce(lambda a, b: a | b, required, F.lit(False))
+    rows = read.where(whole & ~lacking).select(*[F.col(f"row.{n}") for n in schema.names])
+    if "OrderStatus" in schema.names:
+        rows = rows.withColumn("OrderStatus", S.normalize_order_status_col(F.col("OrderStatus")))
+    rejects = read.where(~whole | lacking).select(
+        F.col("value").alias("Line"), F.when(whole, "missing field").otherwise("malformed").alias("RejectReason"))
+    return rows, rejects
+
+
+def load_csv_tables(spark: SparkSession, root: str, names: Sequence[str] | None = None, header: bool = False):
+    """S3 — :func:`load_csv` of ``<root>/<table>`` for all airline tables: (tables, {table: rejects})."""
+    from skyledger.sources.views import Tables
+    loaded = {n: load_csv(spark, f"{root}/{n}", n, header) for n in (names or S.SCHEMAS)}
+    return Tables({n: rows for n, (rows, _) in loaded.items()}), {n: rejects for n, (_, rejects) in loaded.items()}
