@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -146,19 +145,18 @@ def release() -> None:
     _kept.clear()
 
 
-def _weight(value) -> int:
-    return sum(map(_weight, value)) if isinstance(value, tuple) else sys.getsizeof(value)
-
-
 class RecentCache(dict):
     """Cache bounded by the bytes of two generations: a full one becomes the old one and
-    words still in use move back, so frequent words stay."""
+    words still in use move back, so frequent words stay.
 
-    ENTRY = 100  # bytes of a dictionary entry, about
+    ``entry``: bytes of an entry with an empty key (table slot, objects, a short value); a value is taken
+    to grow by two bytes per character of its key.
+    """
 
-    def __init__(self, compute: Callable, megabytes: int = 16, longest: int = 64):
+    def __init__(self, compute: Callable, megabytes: int = 16, longest: int = 64, entry: int = 140):
         super().__init__()
-        self.compute, self.limit, self.longest, self.old, self.held = compute, megabytes << 20, longest, {}, 0
+        self.compute, self.limit, self.longest, self.entry = compute, megabytes << 20, longest, entry
+        self.old, self.held = {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -169,6 +167,6 @@ class RecentCache(dict):
                 self.old = dict(self)
                 self.clear()
                 self.held = 0
-            self.held += self.ENTRY + _weight(key) + _weight(value)
+            self.held += self.entry + 3 * len(key)
             self[key] = value
         return value

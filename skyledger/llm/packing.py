@@ -10,6 +10,7 @@ a bin or two at most, so the groups cost next to nothing in fill.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RecentCache, arrow_map, id_text, kept, store
-from .word_bpe import WordBpeFile, load, words
+from .word_bpe import WordBpeFile, load, plain_pieces, words
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -119,21 +120,25 @@ def best_fit_pack(rows: DataFrame, size_col: str = "length", keys: tuple[str, ..
             .applyInPandas(pack, f"{schema}, sequence_id long, offset long"))
 
 
+def _ids(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Token ids of words as little-endian unsigned 32-bit bytes, by the tokenizers library."""
 
     def __init__(self, source: WordBpeFile):
         self.source = source
         self.tokenize = source.tokenizer.model.tokenize
-        self.by_piece = RecentCache(self._encode_piece)
-        self.by_word = RecentCache(self._encode_word, 48)
+        self.by_piece = RecentCache(self._encode_piece, 4)
+        self.by_word = RecentCache(self._encode_word, 52)
 
     def _encode_piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenize(piece)], "<u4").tobytes()
+        return _ids(*[t.id for t in self.tokenize(piece)])
 
     def _encode_word(self, word: str) -> bytes:
         if self.source.plain(word):
-            return b"".join(map(self.by_piece.__getitem__, self.source.pieces(word)[0]))
+            return b"".join([self.by_piece[p] for p in plain_pieces(word)])
         return np.array(self.source.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:

@@ -45,7 +45,7 @@ class PrefixTable:
         self.parts: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.by_text = by_text
-        self._pairs = RecentCache(lambda key: self._compatible(key[0], key[1], len(by_text)), 96)
+        self._pairs = RecentCache(lambda key: self._compatible(key[0], key[1], len(by_text)), 96, entry=200)
         self._learn_merges(merged)
         self.automaton = ahocorasick.Automaton()
         for i in self.rank:
@@ -161,8 +161,8 @@ class TextCodec:
         inner_space = any(b == SPACE != a for a, b in self.neighbours)
         whole = any("\n" in t for t in tokens)
         self.cut = re.compile(r"(?s:.+)" if inner_space or whole else r" *[^ \n]+| +|\n")
-        self.by_part = RecentCache(lambda s: tuple(self.table.ids(s)))
-        self.by_word = RecentCache(self._word, 48)
+        self.by_part = RecentCache(lambda s: tuple(self.table.ids(s)), 32, entry=240)
+        self.by_word = RecentCache(self._word, 64, entry=360)
 
     def _word(self, word: str) -> tuple[int, str, str]:
         word = word.replace(" ", SPACE)

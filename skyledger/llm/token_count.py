@@ -31,7 +31,7 @@ class PairMerger:
         number = lambda s: ids.setdefault(s, len(ids))
         for rank, (left, right) in enumerate(source.merges):
             self.rank.setdefault((number(left), number(right)), (rank, number(left + right)))
-        self.by_piece = RecentCache(self.merged_length)
+        self.by_piece = RecentCache(self.merged_length, 48)
         self.by_word = RecentCache(self._count_word, 48)
 
     def merged_length(self, piece: str) -> int:

@@ -40,6 +40,14 @@ def words(text: str) -> list[str]:
     return text.split()
 
 
+def plain_pieces(word: str) -> list[str]:
+    """Byte-level pieces of a plain word."""
+    found = _PLAIN_PIECES.findall(word.lower())
+    if not word.isascii():
+        found = [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in found]
+    return found
+
+
 class WordBpeFile:
     """Parts of the tokenizer file that the operators need, loaded once per worker."""
 
@@ -59,10 +67,7 @@ class WordBpeFile:
     def pieces(self, word: str) -> tuple[list[str], int]:
         """Byte-level pieces of a word, and how many special tokens stand in it."""
         if self.plain(word):
-            found = _PLAIN_PIECES.findall(word.lower())
-            if not word.isascii():
-                found = [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in found]
-            return found, 0
+            return plain_pieces(word), 0
         parts = self.special.split(word) if self.special else [word]
         out: list[str] = []
         for part in parts:
