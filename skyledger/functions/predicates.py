@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyledger import schemas as S
-from skyledger.functions.scalar import as_of_lit, month_bounds
+from skyledger.functions.scalar import as_of_lit, month_bounds, month_start
 
 ColumnOrName = Column | str
 
@@ -78,6 +78,28 @@ def in_month(ts: ColumnOrName, month: str) -> Column:
     return (_c(ts) > as_of_lit(lo)) & (_c(ts) < as_of_lit(hi))
 
 
+def stored_months(df: DataFrame, ts: str, first: str | None, last: str | None) -> Column | None:
+    """P14 — months ``first`` to ``last`` by the partition column of a table stored by the month of ``ts``.
+
+    None for a table that is not stored that way (:data:`skyledger.schemas.MONTHS`), or without bounds.
+    """
+    name = {taken_from: col for col, taken_from in S.MONTHS.values()}.get(ts)
+    if name not in df.columns:
+        return None
+    return conj([F.col(name) >= first if first else None, F.col(name) <= last if last else None])
+
+
+def months_between(df: DataFrame, ts: str, first: str | None, last: str | None) -> DataFrame:
+    """P14 — rows of the calendar months ``first`` to ``last`` (both whole, None: open).
+
+    The bounds on ``ts`` are pushed into the scan; a table stored by month is read in those months only.
+    """
+    return apply_filter(df, conj([
+        stored_months(df, ts, first, last),
+        _c(ts) >= as_of_lit(month_start(first)) if first else None,
+        _c(ts) < as_of_lit(month_bounds(last)[1]) if last else None]))
+
+
 def from_day(ts: ColumnOrName, day: dt.date | dt.datetime) -> Column:
     """P15 — "on or after a day": ``ts > day - 1 minute``."""
     if not isinstance(day, dt.datetime):

@@ -136,9 +136,10 @@ def cabin_state(t, only_flights: DataFrame | None = None) -> DataFrame:
     (one shuffle, partial aggregation first). ``OccupiedSeats`` is NULL for
     keys outside D2, ``InAvail`` marks the keys of D4 (priced-or-booked and
     with a cabin). Assumes orders and prices carry their flight's plane, as
-    the schema's foreign keys require. ``only_flights`` (a FlightID column)
-    restricts every input with a semi join before any aggregation — the plan
-    for a selective search touches only the selected flights' orders and prices.
+    the schema's foreign keys require. ``only_flights`` (FlightID, PlainID of selected
+    flights) takes the place of the flights and restricts the other inputs with a semi join before
+    any aggregation — the plan for a selective search touches only the selected
+    flights' orders and prices, and on flights stored by month only their partitions.
     """
     def keep(df: DataFrame) -> DataFrame:
         return df if only_flights is None else df.join(only_flights, "FlightID", "left_semi")
@@ -149,7 +150,8 @@ def cabin_state(t, only_flights: DataFrame | None = None) -> DataFrame:
         "n", F.lit(None).cast("int").alias("Capacity"))
     priced = keep(t.prices).select(*CABIN_KEY, "Price", F.lit(True).alias("_priced"), none_l.alias("n"),
                                    F.lit(None).cast("int").alias("Capacity"))
-    capacity = (keep(t.flights.select("FlightID", "PlainID")).join(t.cabins, "PlainID")
+    flights = t.flights if only_flights is None else only_flights
+    capacity = (flights.select("FlightID", "PlainID").join(t.cabins, "PlainID")
                 .select("FlightID", "ClassType", "PlainID", F.lit(None).cast("double").alias("Price"),
                         F.lit(False).alias("_priced"), none_l.alias("n"),
                         (F.col("NumberRows") * F.col("NumberCols")).alias("Capacity")))
@@ -230,9 +232,11 @@ def flight_search(t, as_of: dt.datetime, flight_id: int | None = None, source_fi
         (F.col("TakeOffTime") == as_of_lit(take_off_time.replace(microsecond=0))) if take_off_time else None,
         (F.col("TakeOffTime") < as_of_lit(before_time.replace(microsecond=0))) if before_time else None,
         (F.col("TakeOffTime") > as_of_lit(after_time.replace(microsecond=0))) if after_time else None,
+        P.stored_months(f, "TakeOffTime", after_time and f"{after_time:%Y-%m}",
+                        before_time and f"{before_time.replace(microsecond=0) - dt.timedelta(microseconds=1):%Y-%m}"),
     ])
     f = P.apply_filter(f, preds)
-    subset = None if preds is None else f.select("FlightID")
+    subset = None if preds is None else f.select("FlightID", "PlainID")
     totals = (flight_totals(t, num_seats or 0, classes, subset)
               .filter(F.col("_in_status") & F.col("_in_prices") & F.col("_in_capacity") & F.col("_in_booked")))
     out = (f.select("FlightID", "SourceField", "DestinationField", "TakeOffTime", "PlainID", "IsDeleted")
@@ -285,28 +289,48 @@ def seat_map_long(t) -> DataFrame:
                     F.col("taken").isNull().alias("IsFree")))
 
 
-def seat_map(t) -> DataFrame:
-    """D6 — per (flight, class) a rows × cols matrix of booleans, True = free.
+WORD = 64  # seats per number of an occupancy bitmap
+
 
-    The occupied cells of a cabin are collected as a set of ``Line*cols+Seat``
-    numbers (bounded by the cabin size) and the matrix is built with
-    ``transform(sequence(...))`` — no Python.
+def seat_bitmap(t) -> DataFrame:
+    """D6 (bitmap form) — per priced cabin its shape, ``Taken`` and ``FreeSeats``.
+
+    Cell ``(Line - 1) * cols + SeatLetter - 1`` is bit ``cell % 64`` of number ``cell / 64`` of ``Taken``
+    (array of long, one per 64 cells begun). Numbers are made by ``bit_or`` with map-side
+    partial aggregation, so a seat that is booked twice, or a third of all seat rows on one flight, still meet as
+    one long per task; seats outside the cabin are left out. ``FreeSeats`` counts the bits that are not set.
+    A cabin takes 8 bytes per 64 seats; Spark's own bitmap aggregate takes 4,096 bytes per cabin and task.
     """
     shape = (t.prices.select("FlightID", "PlainID", "ClassType")
              .join(t.cabins, ["PlainID", "ClassType"]))
-    # only cells inside the cabin can change the matrix, so the collected set is
-    # bounded by rows x cols whatever the seat rows contain
-    taken = (occupied_seats(t)
-             .join(t.cabins.select("PlainID", "ClassType", "NumberRows", "NumberCols"), ["PlainID", "ClassType"])
-             .filter((F.col("Line") >= 1) & (F.col("Line") <= F.col("NumberRows"))
-                     & (F.col("SeatLetter") >= 1) & (F.col("SeatLetter") <= F.col("NumberCols")))
-             .groupBy("FlightID", "ClassType")
-             .agg(F.collect_set((F.col("Line") - 1) * F.col("NumberCols") + F.col("SeatLetter") - 1)
-                  .alias("taken")))
-    m = (shape.join(taken, ["FlightID", "ClassType"], "left")
-         .withColumn("taken", F.coalesce("taken", F.array().cast("array<int>"))))
+    cell = (F.col("Line") - 1) * F.col("NumberCols") + F.col("SeatLetter") - 1
+    numbers = (occupied_seats(t)
+               .join(t.cabins.select("PlainID", "ClassType", "NumberRows", "NumberCols"), ["PlainID", "ClassType"])
+               .filter((F.col("Line") >= 1) & (F.col("Line") <= F.col("NumberRows"))
+                       & (F.col("SeatLetter") >= 1) & (F.col("SeatLetter") <= F.col("NumberCols")))
+               .select("FlightID", "ClassType", cell.alias("cell"))
+               .groupBy("FlightID", "ClassType", F.expr(f"int(cell div {WORD})").alias("word"))
+               .agg(F.expr(f"bit_or(shiftleft(1L, cell % {WORD}))").alias("bits")))
+    taken = (numbers.groupBy("FlightID", "ClassType")
+             .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"),
+                  F.sum(F.bit_count("bits")).alias("n")))
+    m = shape.join(taken, ["FlightID", "ClassType"], "left")
+    cells = F.col("NumberRows") * F.col("NumberCols")
+    words = F.when(cells > 0, F.transform(
+        F.sequence(F.lit(0), F.expr(f"int((NumberRows * NumberCols - 1) div {WORD})")),
+        lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))).otherwise(
+            F.array().cast("array<bigint>"))
+    return m.select("FlightID", "ClassType", "NumberRows", "NumberCols", words.alias("Taken"),
+                    (cells - F.coalesce("n", F.lit(0))).cast("long").alias("FreeSeats"))
+
+
+def seat_map(t) -> DataFrame:
+    """D6 — per (flight, class) a rows × cols matrix of booleans, True = free, read from the bitmap."""
+    def free(r, c):
+        cell = r * F.col("NumberCols") + c
+        return F.getbit(F.get("Taken", F.floor(cell / WORD).cast("int")), cell % WORD) == 0
+
     matrix = F.transform(
         F.sequence(F.lit(0), F.col("NumberRows") - 1),
-        lambda r: F.transform(F.sequence(F.lit(0), F.col("NumberCols") - 1),
-                              lambda c: ~F.array_contains(F.col("taken"), r * F.col("NumberCols") + c)))
-    return m.select("FlightID", "ClassType", "NumberRows", "NumberCols", matrix.alias("Seats"))
+        lambda r: F.transform(F.sequence(F.lit(0), F.col("NumberCols") - 1), lambda c: free(r, c)))
+    return seat_bitmap(t).select("FlightID", "ClassType", "NumberRows", "NumberCols", matrix.alias("Seats"))

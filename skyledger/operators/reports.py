@@ -18,6 +18,7 @@ from skyledger.functions import predicates as P
 from skyledger.functions.scalar import (as_of_lit, cancellation_band, day_of, month_text, route_pair,
                                         utilisation_band)
 from skyledger.operators.relational import top_k
+from skyledger.sources.views import Tables
 
 CABIN_KEY = ["FlightID", "ClassType", "PlainID"]
 
@@ -121,10 +122,11 @@ def report_top_employees(t, as_of: dt.datetime, k: int = 20) -> DataFrame:
     return top_k(report_employee_hours(t, as_of), k, [F.desc("Total_Hours"), F.asc("Role"), F.asc("EmployeeID")])
 
 
-def report_cancellation_rate(t) -> DataFrame:
-    """R4 — orders, customer-cancelled orders and rate % per order month."""
+def report_cancellation_rate(t, first_month: str | None = None, last_month: str | None = None) -> DataFrame:
+    """R4 — orders, customer-cancelled orders and rate % per order month (``'YYYY-MM'`` bounds: those months only)."""
     cc = F.col("OrderStatus") == S.ORDER_CUSTOMER_CANCELLED
-    return (t.orders.groupBy(month_text("OrderDate").alias("Order_Month"))
+    orders = P.months_between(t.orders, "OrderDate", first_month, last_month)
+    return (orders.groupBy(month_text("OrderDate").alias("Order_Month"))
             .agg(F.count(F.lit(1)).alias("Total_Orders"),
                  F.sum(F.when(cc, 1).otherwise(0)).alias("Cancelled_Orders"))
             .withColumn("Cancellation_Rate_Percent",
@@ -152,8 +154,27 @@ def dominant_route(t) -> DataFrame:
             .select("PlainID", "Activity_Month", F.col("RoutePair").alias("Dominant_Route")))
 
 
-def report_plane_activity(t) -> DataFrame:
-    """R5 — per (plane, month): executed, cancelled, utilisation % (distinct active days / 30), dominant route."""
+def flights_of_months(t, months: DataFrame) -> DataFrame:
+    """P14 — flights that leave in one of ``months`` (a column ``Month`` of ``'YYYY-MM'`` texts).
+
+    ``months`` is broadcast as one row per calendar month, so at most twelve a year whatever the data; on
+    flights stored by month the scan then reads the partitions found at run time only.
+    """
+    month = F.col("TakeOffMonth") if "TakeOffMonth" in t.flights.columns else month_text("TakeOffTime")
+    return (t.flights.withColumn("Month", month)
+            .join(F.broadcast(months.select("Month").distinct()), "Month", "left_semi").drop("Month"))
+
+
+def report_plane_activity(t, first_month: str | None = None, last_month: str | None = None,
+                          months: DataFrame | None = None) -> DataFrame:
+    """R5 — per (plane, month): executed, cancelled, utilisation % (distinct active days / 30), dominant route.
+
+    ``first_month`` / ``last_month`` (``'YYYY-MM'``) and ``months`` (:func:`flights_of_months`) restrict it.
+    """
+    flights = P.months_between(t.flights, "TakeOffTime", first_month, last_month)
+    if months is not None:
+        flights = flights_of_months(Tables(t, flights=flights), months)
+    t = Tables(t, flights=flights)
     live = ~F.col("IsDeleted")
     act = (t.flights.groupBy("PlainID", month_text("TakeOffTime").alias("Activity_Month"))
            .agg(F.sum(F.when(live, 1).otherwise(0)).alias("Executed_Flights"),

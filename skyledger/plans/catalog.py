@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skyledger import schemas as S
 from skyledger.functions.scalar import month_bounds, more_than_hours_ahead
-from skyledger.operators import assign as asg, ingest as ing, inventory as inv, orders as ords, reports as rep
+from skyledger.operators import assign as asg, ingest as ing, inventory as inv, key_ledger, orders as ords, reports as rep
 from skyledger.plans import batches as bt
 from skyledger.plans.oracle_sql import SQL
 from skyledger.sources import io as sio
@@ -139,6 +139,7 @@ register("known_phones")(lambda t: ords.known_phones(
 # ---- seat maps, field lists, category, scans (D6, D10, D11, S1, S2, S7) ------------------
 
 register("seat_map_long")(lambda t: inv.seat_map_long(t))
+register("seat_bitmap")(lambda t: inv.seat_bitmap(t))
 register("seat_map")(lambda t: inv.seat_map(t))
 register("fields_list")(lambda t: inv.fields_list(t))
 register("fields_to")(lambda t: inv.fields_list(t, "NATION_7"))
@@ -250,6 +251,42 @@ def _cancelled(t, spark, sf_dir):
     return sio.read_version(spark, root, "orders", ords.cancel_flights_stored(t, spark, root, _cancel_flight_ids(t))[1])
 
 
+def _by_month(t, spark):
+    return sio.save_by_month(t, sio.staging_path(spark, "by-month"))
+
+
+def _activity_of_months(t, spark, sf_dir):
+    """Plane activity in the months in which customers cancelled at least 27 % of the orders."""
+    t = _by_month(t, spark)
+    busy = rep.report_cancellation_rate(t).where(F.col("Cancellation_Rate_Percent") >= 27)
+    return rep.report_plane_activity(t, months=busy.select(F.col("Order_Month").alias("Month")))
+
+
+AUDITED = ["planes", "cabins", "routes", "flights", "prices", "orders", "seats"]
+
+
+def _audits(t, spark, sf_dir):
+    """Audits of three versions: without the orders of 1997 and later, with them, and without deleted flights."""
+    root = sio.staging_path(spark, "audited")
+    late = F.col("OrderDate") >= F.lit(dt.date(1997, 1, 1))
+    for name in AUDITED:
+        rows = t.orders.where(~late) if name == "orders" else t[name]
+        sio.commit_table(rows, root, name, split_by="year(TakeOffTime)" if name == "flights" else None)
+    found = [key_ledger.audit(spark, root, AUDITED)]
+    sio.append_rows(t.orders.where(late), root, "orders", batch="late")
+    found.append(key_ledger.audit(spark, root, AUDITED))
+    sio.rewrite_rows(spark, root, "flights", change=lambda f: f.where(~F.col("IsDeleted")),
+                     hit=lambda f: f.where(F.col("IsDeleted")))
+    found.append(key_ledger.audit(spark, root, AUDITED))
+    return functools.reduce(DataFrame.unionByName, [
+        a.select(F.lit(i).alias("Audit"), "*") for i, a in enumerate(found, 1)])
+
+
+register_batch("report_cancellation_rate_months",
+               lambda t, s, d: rep.report_cancellation_rate(_by_month(t, s), "1996-07", "1997-06"))
+register_batch("report_plane_activity_months", _activity_of_months)
+register_batch("flight_search_by_month", lambda t, s, d: _search_month(_by_month(t, s)))
+register_batch("check_keys_versions", _audits)
 register_batch("load_csv_rows", lambda t, s, d: _csv_of_flights(t, s, d)[0])
 register_batch("load_csv_rejects", lambda t, s, d: _csv_of_flights(t, s, d)[1])
 register_batch("append_rows", _appended)

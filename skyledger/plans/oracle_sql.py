@@ -169,6 +169,12 @@ SQL["report_utilization_bands"] = with_views(
 SQL["dominant_route"] = with_views(
     f"SELECT PlainID, m AS Activity_Month, pair AS Dominant_Route FROM ({_ROUTE_OF_MONTH}) best")
 
+SQL["report_cancellation_rate_months"] = with_views(
+    f"SELECT * FROM ({_R4}) r4 WHERE Order_Month BETWEEN '1996-07' AND '1997-06'")
+SQL["report_plane_activity_months"] = with_views(
+    f"SELECT * FROM ({_R5}) r5 WHERE Activity_Month IN "
+    f"(SELECT Order_Month FROM ({_R4}) r4 WHERE Cancellation_Rate_Percent >= 27)")
+
 SQL["report_summary"] = with_views("""
 SELECT * FROM (SELECT count(*) FILTER (IsDeleted = FALSE) AS total_flights FROM flights),
      (SELECT count(*) FILTER (OrderStatus = 'Active') AS active_orders FROM orders_v),
@@ -382,6 +388,19 @@ LEFT JOIN (SELECT o.FlightID, o.ClassType, list(DISTINCT CAST((o.Line - 1) * c.N
            FROM occ_seats o JOIN cabins c ON o.PlainID = c.PlainID AND o.ClassType = c.ClassType
            GROUP BY o.FlightID, o.ClassType) tk
   ON tk.FlightID = sh.FlightID AND tk.ClassType = sh.ClassType""")
+SQL["seat_bitmap"] = inv(f"""
+SELECT sh.FlightID, sh.ClassType, sh.NumberRows, sh.NumberCols,
+       [CAST(coalesce(list_sum([CASE WHEN x % 64 = 63 THEN -9223372036854775808::HUGEINT
+                                     ELSE (1::HUGEINT << CAST(x % 64 AS INTEGER)) END
+                                for x in coalesce(tk.taken, []) if x // 64 = w]), 0) AS BIGINT)
+        for w in range(0, (sh.NumberRows * sh.NumberCols + 63) // 64)] AS Taken,
+       CAST(sh.NumberRows * sh.NumberCols - coalesce(len(tk.taken), 0) AS BIGINT) AS FreeSeats
+FROM {_SHAPE} sh
+LEFT JOIN (SELECT o.FlightID, o.ClassType, list(DISTINCT CAST((o.Line - 1) * c.NumberCols + o.SeatLetter - 1 AS BIGINT)) AS taken
+           FROM occ_seats o JOIN cabins c ON o.PlainID = c.PlainID AND o.ClassType = c.ClassType
+           WHERE o.Line BETWEEN 1 AND c.NumberRows AND o.SeatLetter BETWEEN 1 AND c.NumberCols
+           GROUP BY o.FlightID, o.ClassType) tk
+  ON tk.FlightID = sh.FlightID AND tk.ClassType = sh.ClassType""")
 SQL["fields_list"] = with_views("SELECT SourceField FROM routes GROUP BY SourceField")
 SQL["fields_to"] = with_views("SELECT SourceField FROM routes WHERE DestinationField = 'NATION_7'")
 SQL["destinations_list"] = with_views("SELECT DestinationField FROM routes GROUP BY DestinationField")
@@ -399,6 +418,7 @@ SELECT * FROM search
 WHERE lower(SourceField) LIKE '%nation_1%'
   AND TakeOffTime > TIMESTAMP '1998-02-28 23:59:59' AND TakeOffTime < TIMESTAMP '1998-04-01 00:00:00'
   AND FlightStatus = 'Complete'""")
+SQL["flight_search_by_month"] = SQL["flight_search_filtered"]
 SQL["flight_search_from_day"] = inv(f"""
 SELECT * FROM search
 WHERE lower(DestinationField) LIKE '%nation_2%' AND TakeOffTime > TIMESTAMP '2001-06-30 23:59:00'""")
@@ -599,11 +619,13 @@ SELECT Seq, EmployeeID, Role, FirstName, LastName, Qualified4LongFlights, {_dup(
 FROM r""".replace("\n, r AS", "\nr AS"))
 
 
-def _check_keys_sql() -> str:
+def _check_keys_body(names=None, sources=None) -> str:
     from skyledger import schemas as S
-    tbl = {"orders": "orders_v"}
+    tbl = {"orders": "orders_v"} | (sources or {})
     parts = []
     for table, keys in S.PRIMARY_KEYS.items():
+        if names and table not in names:
+            continue
         src, k = tbl.get(table, table), ", ".join(keys)
         parts.append(f"SELECT '{table}' AS TableName, 'primary key' AS CheckName, '{','.join(keys)}' AS Columns, "
                      f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {k} FROM {src})) FROM {src}) AS Violations")
@@ -611,14 +633,23 @@ def _check_keys_sql() -> str:
             parts.append(f"SELECT '{table}', 'not null', '{c}', (SELECT count(*) FROM {src} WHERE {c} IS NULL)")
     kinds = {("orders", "customers"): "c.CustomerKind = 'customer' AND ", ("orders", "guests"): "c.CustomerKind = 'guest' AND "}
     for child, ccols, parent, pcols in S.FOREIGN_KEYS:
+        if names and not {child, parent} <= set(names):
+            continue
         cond = " AND ".join(f"p.{pc} = c.{cc}" for cc, pc in zip(ccols, pcols))
         parts.append(f"SELECT '{child}', 'foreign key -> {parent}', '{','.join(ccols)}', "
                      f"(SELECT count(*) FROM {tbl.get(child, child)} c WHERE {kinds.get((child, parent), '')}NOT EXISTS "
                      f"(SELECT 1 FROM {tbl.get(parent, parent)} p WHERE {cond}))")
-    return with_views("\nUNION ALL\n".join(parts))
+    return "\nUNION ALL\n".join(parts)
 
 
-SQL["check_keys"] = _check_keys_sql()
+SQL["check_keys"] = with_views(_check_keys_body())
+# the stored tables at three times: without late orders, with them, without deleted flights
+_TIMES = [{"orders": "(SELECT * FROM orders_v WHERE OrderDate < DATE '1997-01-01')"}, {},
+          {"flights": "(SELECT * FROM flights WHERE NOT IsDeleted)"}]
+SQL["check_keys_versions"] = with_views("\nUNION ALL\n".join(
+    f"SELECT {i} AS Audit, * FROM (" + _check_keys_body(
+        ["planes", "cabins", "routes", "flights", "prices", "orders", "seats"], at) + f") audit_{i}"
+    for i, at in enumerate(_TIMES, 1)))
 
 SQL["report_to_json"] = with_views(
     "SELECT CAST(to_json({'Manufacturer': Manufacturer, 'Size': Size, 'Regular_Safe_Revenue': Regular_Safe_Revenue, "

@@ -125,6 +125,9 @@ SCHEMAS = {
     "managers": MANAGERS, "candidates": CANDIDATES,
 }
 
+# Tables stored by calendar month: the column that names it ('YYYY-MM') and the one it is taken from.
+MONTHS = {"flights": ("TakeOffMonth", "TakeOffTime"), "orders": ("OrderMonth", "OrderDate")}
+
 # Columns the DDL declares NOT NULL, audited by ingest.check_keys.
 REQUIRED = {table: [f.name for f in schema.fields if not f.nullable] for table, schema in SCHEMAS.items()}
 

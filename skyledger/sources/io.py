@@ -27,7 +27,7 @@ from functools import reduce
 from typing import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skyledger import schemas as S
 from skyledger.session import checkpoint_dir
@@ -103,6 +103,24 @@ def save_tables(tables, root: str, names: Sequence[str] | None = None, partition
         list(pool.map(write, names))
 
 
+def save_by_month(tables, root: str, names: Sequence[str] = ("flights", "orders")):
+    """S3, P14 — store tables by calendar month under ``root``; returns the bundle with those read back.
+
+    Flights go by take-off month and orders by order month (:data:`skyledger.schemas.MONTHS`); rows of a month
+    are brought together before the write, so it has few files, and a month that holds a third
+    of the rows is split again at run time. A row without a time is in the partition of no month.
+    """
+    from skyledger.sources.views import Tables
+    out = Tables(tables)
+    for n in names:
+        col, ts = S.MONTHS[n]
+        rows = _conform(tables[n], n).withColumn(col, F.date_format(ts, "yyyy-MM"))
+        rows.hint("rebalance", F.col(col)).write.mode("errorifexists").partitionBy(col).parquet(f"{root}/{n}")
+        out[n] = rows.sparkSession.read.schema(
+            T.StructType([*S.SCHEMAS[n].fields, T.StructField(col, T.StringType())])).parquet(f"{root}/{n}")
+    return out
+
+
 # Tables keyed by flight: stored bucketed on FlightID, joins and aggregations on
 # FlightID between them read co-partitioned buckets instead of shuffling.
 FLIGHT_KEYED = ("flights", "prices", "orders", "working_pilots", "working_attendants")

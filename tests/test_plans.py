@@ -12,7 +12,8 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 # Operators that settle their batch in stored rounds, or store it once, before the result is read.
 STORING = {"load_csv_rows", "load_csv_rejects", "append_rows", "complete_orders_stored", "complete_orders_file_sets",
-           "cancel_flights_stored", "ingest_bookings", "ingest_booking_seats", "ingest_bookings_contended", "ingest_flights_staffed"}
+           "cancel_flights_stored", "report_cancellation_rate_months", "report_plane_activity_months",
+           "flight_search_by_month", "check_keys_versions", "ingest_bookings", "ingest_booking_seats", "ingest_bookings_contended", "ingest_flights_staffed"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
