@@ -27,6 +27,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 SEPARATOR_ID = 0
 ROWS_PER_GROUP = 16_384
+CACHE_MEGABYTES = 56  # of a generation of the worker's word caches
 
 
 class BestFit:
@@ -125,13 +126,17 @@ def _ids(*ids: int) -> bytes:
 
 
 class WordEncoder:
-    """Token ids of words as little-endian unsigned 32-bit bytes, by the tokenizers library."""
+    """Token ids of words as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    def __init__(self, source: WordBpeFile):
+    ``cache_megabytes`` bounds a generation of the caches of words and pieces; it changes no result.
+    """
+
+    def __init__(self, source: WordBpeFile, cache_megabytes: int = CACHE_MEGABYTES):
         self.source = source
         self.tokenize = source.tokenizer.model.tokenize
-        self.by_piece = RecentCache(self._encode_piece, 4)
-        self.by_word = RecentCache(self._encode_word, 52)
+        pieces = max(1, cache_megabytes // 14)
+        self.by_piece = RecentCache(self._encode_piece, pieces)
+        self.by_word = RecentCache(self._encode_word, max(1, cache_megabytes - pieces))
 
     def _encode_piece(self, piece: str) -> bytes:
         return _ids(*[t.id for t in self.tokenize(piece)])
@@ -145,25 +150,26 @@ class WordEncoder:
         return b"".join(map(self.by_word.__getitem__, words(text)))
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_megabytes: int = CACHE_MEGABYTES) -> WordEncoder:
     """The worker's own, with its caches."""
-    return kept(("encoder", path), lambda: WordEncoder(load(path)))
+    return kept(("encoder", path, cache_megabytes), lambda: WordEncoder(load(path), cache_megabytes))
 
 
 def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     tokenizer_path: str | None = None, capacity: int = CAPACITY,
-                    separator_id: int = SEPARATOR_ID, with_ids: bool = True) -> DataFrame:
+                    separator_id: int = SEPARATOR_ID, with_ids: bool = True,
+                    cache_megabytes: int = CACHE_MEGABYTES) -> DataFrame:
     """Cut every document's ids, followed by ``separator_id``, into pieces of at most ``capacity``.
 
     ``doc_id, piece, start, length, ids_crc32`` and, on request, the ``ids``
     (little-endian unsigned 32-bit). Null text counts as empty, so it is the
-    separator alone. Null ids and repeated rows are kept.
+    separator alone. Null ids and repeated rows are kept. ``cache_megabytes`` as in :class:`WordEncoder`.
     """
     path = tokenizer_path or public_tokenizers.path(DEFAULT_TOKENIZER)
     tail, step = np.array([separator_id], "<u4").tobytes(), 4 * capacity
 
     def run(batch: pa.RecordBatch) -> dict:
-        encode = encoder(path).encode
+        encode = encoder(path, cache_megabytes).encode
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             ids = encode(text.as_py() or "") + tail
@@ -185,9 +191,11 @@ def document_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    tokenizer_path: str | None = None, capacity: int = CAPACITY,
-                   with_ids: bool = True, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+                   with_ids: bool = True, rows_per_group: int = ROWS_PER_GROUP,
+                   cache_megabytes: int = CACHE_MEGABYTES) -> DataFrame:
     """The pieces of :func:`document_pieces` with their place in a packed sequence."""
-    pieces = document_pieces(docs, id_col, text_col, tokenizer_path, capacity, with_ids=with_ids)
+    pieces = document_pieces(docs, id_col, text_col, tokenizer_path, capacity, with_ids=with_ids,
+                             cache_megabytes=cache_megabytes)
     return best_fit_pack(pieces, capacity=capacity, rows_per_group=rows_per_group)
 
 
