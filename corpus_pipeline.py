@@ -40,8 +40,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places the token pieces of every document in sequences of at most 2048."""
-    return packing.pack_documents(docs, with_ids=False)
+    """Places the token pieces of every document in sequences of at most 2048.
+
+    Small word caches: the workers' memory stands beside what the JVM holds after four stages.
+    """
+    return packing.pack_documents(docs, with_ids=False, cache_megabytes=14)
 
 
 STAGES = [("language_id", identify_language), ("quality_classifier", filter_quality),
