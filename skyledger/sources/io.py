@@ -124,16 +124,19 @@ def save_by_month(tables, root: str, names: Sequence[str] = ("flights", "orders"
 # Tables keyed by flight: stored bucketed on FlightID, joins and aggregations on
 # FlightID between them read co-partitioned buckets instead of shuffling.
 FLIGHT_KEYED = ("flights", "prices", "orders", "working_pilots", "working_attendants")
+# Seats are bucketed on their order: a search brings the chosen flights' orders to the seats' buckets, and
+# no seat is shuffled.
+BUCKET_KEYS = {**{n: ["FlightID"] for n in FLIGHT_KEYED}, "seats": ["CustomerKind", "OrderID"]}
 
 
-def save_bucketed(df: DataFrame, path: str, key: str, buckets: int, table: str) -> DataFrame:
-    """Write ``df`` hash-bucketed and sorted on ``key`` at ``path`` and return the table.
+def save_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int, table: str) -> DataFrame:
+    """Write ``df`` hash-bucketed and sorted on ``keys`` at ``path`` and return the table.
 
     Registered as an external table of the session catalog (bucketing metadata
     lives there); the files stay at ``path`` in shared storage.
     """
     spark = df.sparkSession
-    (df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (df.write.mode("errorifexists").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(table))
     return spark.table(table)
 
@@ -151,13 +154,13 @@ def materialize(tables, root: str, names: Sequence[str] | None = None, partition
     spark = next(iter(tables.values())).sparkSession
     out = Tables()
     tag = uuid.uuid4().hex[:8]
-    plain = [n for n in names if not (buckets and n in FLIGHT_KEYED)]
+    plain = [n for n in names if not (buckets and n in BUCKET_KEYS)]
     save_tables(tables, root, plain, partition_by)
     for n in plain:
         out[n] = spark.read.parquet(f"{root}/{n}")
     for n in names:
         if n not in plain:
-            out[n] = save_bucketed(tables[n], f"{root}/{n}", "FlightID", buckets, f"sl_{tag}_{n}")
+            out[n] = save_bucketed(tables[n], f"{root}/{n}", BUCKET_KEYS[n], buckets, f"sl_{tag}_{n}")
     return out
 
 

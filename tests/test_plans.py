@@ -99,3 +99,40 @@ def test_bucketed_layout_same_rows_fewer_shuffles(spark, tmp_path):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def _exchanges_above(plan, table):
+    """Hash exchanges between the scan of a stored table and the next join or aggregate above it."""
+    found, todo = [], [(plan, [])]
+    while todo:
+        p, path = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "FileSourceScanExec" and f"/{table}" in p.metadata().toString():
+            up = path[::-1]
+            stop = next((i for i, k in enumerate(up) if "Join" in k or "Aggregate" in k), len(up))
+            found.append([k for k in up[:stop] if k == "ShuffleExchangeExec"])
+        todo += [(p.children().apply(i), [*path, kind]) for i in range(p.children().size())]
+    return found
+
+
+def test_a_selective_search_shuffles_no_seats(spark, tmp_path):
+    from skyledger.plans.catalog import OPS
+    from skyledger.sources.io import materialize_views
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    plain = materialize_views(spark, SMALL_SF, str(tmp_path / "plain"))
+    stored = materialize_views(spark, SMALL_SF, str(tmp_path / "bucketed"), buckets=4)
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        for name in ("flight_search_filtered", "flight_search"):
+            plan = OPS[name](stored, spark, SMALL_SF)._jdf.queryExecution().executedPlan()
+            found = _exchanges_above(plan, "seats")
+            assert found and not any(found), name
+        plan = OPS["flight_search_filtered"](plain, spark, SMALL_SF)._jdf.queryExecution().executedPlan()
+        assert all(_exchanges_above(plan, "seats"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    rows = [sorted(map(str, OPS["flight_search_filtered"](t, spark, SMALL_SF).collect())) for t in (plain, stored)]
+    assert rows[0] and rows[0] == rows[1]
