@@ -219,8 +219,7 @@ def test_license_rules(spark, no_docs):
     assert got == {1: ("MIT", 2, 0), 2: ("Apache-2.0", 1, 0), 3: ("", 0, 0), 4: ("", 0, 0),
                    5: ("GPL-3.0-or-later,proprietary", 4, 0), 6: ("", 1, 1), 7: ("MIT,CC-BY-NC-4.0", 3, 0)}
     assert licenses.scan_licenses(no_docs).collect() == []
-    known = set(licenses.SENTENCES.values())
-    assert {i for _, ids in licenses.RULES for i in ids} <= known
+    assert {i for _, ids in licenses.ALL_RULES for i in ids} <= set(licenses.ALL_SENTENCES.values())
 
 
 def test_published_notices_wrapped_indented_and_commented(spark):
@@ -270,6 +269,62 @@ def test_published_notices_wrapped_indented_and_commented(spark):
     assert got == {0: ("", 0), 1: ("", 1), 2: ("", 0)}
 
 
+LICENSE_TEXTS = [
+    # the parts of a notice, near each other and far apart
+    ("GPL-2.0-or-later", "{free}{gap3}{terms}{gap3}{later}"), ("", "{free}{gap}{terms}{gap}{later}"),
+    ("", "{free}{terms}{gap}{later}"), ("MIT", "{free}{gap}Released under the MIT License.{gap}{terms}"),
+    # a known sentence behind a subject, before a pointer, and inside what says something else
+    ("MIT", "It was released under the MIT license."), ("MIT", "Licensed under the MIT License (see LICENSE)."),
+    ("Apache-2.0", "This file is licensed under the Apache License, Version 2.0, see the file COPYING.txt for details."),
+    ("MIT", "// The code of this is licensed under\n// the MIT license"),
+    ("", "This file is not licensed under the MIT license"), ("", "Nobody licensed under the MIT license"),
+    ("", "Licensed under the MIT license of old"),
+    # tags
+    ("MIT", "// SPDX-License-Identifier: MIT\nimport os"), ("GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0 */"),
+    ("GPL-2.0-or-later", "# SPDX-License-Identifier: GPL-2.0+\r\nx"), ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0."),
+    ("MIT,Apache-2.0", "#!/bin/sh\n#SPDX-License-Identifier: (MIT OR Apache-2.0)\n"), ("", "SPDX-License-Identifier: None"),
+    ("", "SPDX-License-Identifier:"), ("", "SPDX-License-Identifier: MIT-like"),
+    # further notices
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held "
+             "liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this "
+             "software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, "
+             "subject to the following restrictions:\n"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, "
+                  "publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\n"
+                  "binary, for any purpose, commercial or non-commercial, and by any\nmeans.\n"),
+    ("BSL-1.0", "//  Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    # lines and marks
+    ("MIT", "abc **/ -->\n  ** Released under the MIT License. **\n"), ("MIT", "a\nb\nc\nD.\n*x   y\n\t* \t* *\nReleased\nunder the\n"
+     "  MIT license"), ("proprietary", "dnl All rights reserved\nREMark\nv. \n2 v.  3"), ("", None), ("", ""), ("", "\n\n \r \t\r\n"),
+]
+
+
+def _license_rows():
+    parts = {"free": "This program is free software;\n", "gap": "Words that say nothing. " * 2000, "gap3": "More. Words.\n",
+             "terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                      "the Free Software Foundation;\n", "later": "either version 2 of the License, or (at your option) any later "
+                                                                "version.\n"}
+    for name, value in parts.items():
+        parts[name] = "\n" + value
+    return [(i, name, text if text is None else text.format(**parts)) for i, (name, text) in enumerate(LICENSE_TEXTS)]
+
+
+def test_license_gaps_subjects_tags_and_their_sql(spark):
+    import duckdb
+    rows = _license_rows()
+    docs = spark.createDataFrame([*rows, (None, "", rows[4][2]), (3, "", rows[3][2])], "doc_id long, name string, text string")
+    result = licenses.scan_licenses(docs)
+    got = result.collect()
+    told = {r.doc_id: r.licenses for r in got if r.doc_id is not None}
+    assert [(name, text, told[i]) for i, name, text in rows if told[i] != name] == []
+    assert sum(r.doc_id is None and r.licenses == "MIT" for r in got) == 1 and sum(r.doc_id == 3 for r in got) == 2
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, name VARCHAR, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?, ?)", [tuple(r) for r in docs.collect()])
+    want = connection.execute(f"SELECT {', '.join(result.columns)} FROM ({licenses.oracle_sql()})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.scan_licenses(spark.read.parquet(f"{SMALL_SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
