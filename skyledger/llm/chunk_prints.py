@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,6 @@ import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import arrow_map, id_text, record_batch
 
@@ -99,42 +99,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(id_text(docs, id_col, text_col), run, "doc_id long, fingerprint string")
 
 
-def in_order(docs: DataFrame, key: str, tie: str, per_partition: int = 4) -> DataFrame:
-    """Rows dealt by ranges of ``key``, sorted, each range followed by the next range's first rows.
+def in_order(docs: DataFrame, key: str, text: str, per_partition: int = 4) -> DataFrame:
+    """Rows in order of ``key``, then of a hash of ``text``, dealt by ranges of both and sorted; each range is
+    followed by the next range's first rows.
 
     Adds ``_range`` and ``_ahead`` (1: a copy from the next range, after the
-    last the first). One shuffle: range bounds are quantiles of the key, the
-    driver gets the bounds and the first key of every range. Null keys stand first.
+    last the first). One shuffle: range bounds are quantiles of the key, and a key
+    that fills several ranges is cut by the hash into as many, so rows of one key spread
+    unless their texts are equal too. The driver gets the bounds and the first row's key and hash of every
+    range. Null keys stand first.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition
     order = F.coalesce(F.col(key), F.lit(-(2**63)))
-    keyed = docs.withColumn("_order", order).withColumn("_place", order.cast("double"))
-    bounds = keyed.approxQuantile("_place", [i / parts for i in range(1, parts)], 0.2 / parts)
-    splits = [-float("inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
-    dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_range").transform(keyed)
-    firsts = sorted(dealt.groupBy("_range").agg(F.min("_order").alias("first")).collect())
-    targets = [(first, int(firsts[i - 1][0])) for i, (_, first) in enumerate(firsts)]
-    schema = StructType([StructField("_order", LongType()), StructField("_before", LongType())])
-    heads = F.broadcast(spark.createDataFrame(targets, schema))  # one row per range
-    places = F.array(F.struct(F.col("_range").cast("long").alias("_range"), F.lit(0).alias("_ahead")),
+    keyed = docs.withColumn("_order", order).withColumn("_mix", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    places = keyed.select(F.col("_order").cast("double").alias("_place"))
+    bounds = Counter(places.approxQuantile("_place", [i / parts for i in range(1, parts)], 0.2 / parts))
+    splits = [-float("inf"), *(sorted(bounds) or [0.0]), float("inf")]
+    dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_cell").transform(
+        keyed.withColumn("_place", F.col("_order").cast("double")))
+    # Keys that are a bound several times: cell, key and number of slices, one row for two ranges at most.
+    hot = [(float(i), int(b), bounds[b]) for i, b in enumerate(splits[1:-1], 1) if bounds[b] > 1]
+    widest = max((n for _, _, n in hot), default=0)
+    number = F.col("_cell").cast("long") * (widest + 2)
+    if hot:
+        table = spark.createDataFrame(hot, "_cell double, _key long, _slices long")
+        dealt = dealt.join(F.broadcast(table), "_cell", "left")
+        share = F.col("_mix") / F.lit(2.0**64) + 0.5
+        place = F.least(F.floor(share * F.col("_slices")), F.col("_slices") - 1) + 1
+        number += (F.when(F.col("_order") == F.col("_key"), place)
+                   .when(F.col("_order") > F.col("_key"), F.col("_slices") + 1).otherwise(0))
+    dealt = dealt.withColumn("_range", number)
+    firsts = sorted(dealt.groupBy("_range").agg(F.min(F.struct("_order", "_mix")).alias("first")).collect())
+    targets = [(*first, int(firsts[i - 1][0])) for i, (_, first) in enumerate(firsts)]
+    heads = F.broadcast(spark.createDataFrame(targets, "_order long, _mix long, _before long"))  # one row per range
+    places = F.array(F.struct(F.col("_range"), F.lit(0).alias("_ahead")),
                      F.struct(F.col("_before").alias("_range"), F.lit(1).alias("_ahead")))
-    return (dealt.join(heads, "_order", "left").withColumn("_at", F.explode(places))
+    return (dealt.join(heads, ["_order", "_mix"], "left").withColumn("_at", F.explode(places))
             .where(F.col("_at._range").isNotNull())
-            .select(*docs.columns, "_at._range", "_at._ahead", "_order")
-            .repartition("_range").sortWithinPartitions("_range", "_ahead", "_order", tie).drop("_order"))
+            .select(*docs.columns, "_at._range", "_at._ahead", "_order", "_mix")
+            .repartition("_range").sortWithinPartitions("_range", "_ahead", "_order", "_mix", text).drop("_order", "_mix"))
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       replaced: int = 4) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
-    Documents stand in the order of id, then text. The edited text is the text
+    Documents stand in the order of id, then of a hash of the text, so that rows of one id
+    can be dealt apart. The edited text is the text
     whose last 1/``replaced`` of its code points (rounded down) gives way to as
     many, or all, of the next document's first ones; after the last comes the first.
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``. Null text counts as empty, null ids stand first, repeated
-    rows follow each other; further columns are ignored.
+    rows follow each other; very long texts are read whole; further columns are
+    ignored; an empty table gives an empty result.
     """
     target = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
                         ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),

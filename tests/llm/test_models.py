@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import MID_SF, SMALL_SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skyledger.llm import chunk_prints, language, licenses, quality, queries
@@ -176,6 +177,30 @@ def test_chunks_and_likeness(docs, texts):
     assert sorted(got) == sorted(want)
 
 
+def test_rows_of_one_id_are_dealt_apart(spark):
+    """A third of all rows under one id and a third under none, with their own texts; some rows repeat."""
+    rnd = random.Random(8)
+    body = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randint(0, 40)))
+    rows = [(i, body()) for i in range(400)] + [(77, body()) for _ in range(400)] + [(None, body()) for _ in range(400)]
+    rows += [(77, "one text"), (77, "one text"), (None, None), (None, ""), (2**62 + 1, "x"), (2**62, "y"), (-5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mix")).collect()
+    stand = sorted(own, key=lambda r: (-2**63 if r.doc_id is None else r.doc_id, r.mix))
+    want = []
+    for r, after in zip(stand, stand[1:] + stand[:1]):
+        text, following = r.text or "", after.text or ""
+        cut = len(text) // 4
+        edited = text[:len(text) - cut] + following[:cut]
+        prints = [chunk_prints.from_text(chunk_prints.fingerprint(t)) for t in (text, following)]
+        want.append((str(r.doc_id), len(text), hashlib.sha256(edited.encode()).hexdigest(),
+                     round(chunk_prints.containment(*prints), 9)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_next, 9))
+           for r in chunk_prints.compare_with_next(docs).collect()]
+    assert sorted(got) == sorted(want)
+    dealt = chunk_prints.in_order(docs, "doc_id", "text").where("_ahead = 0").groupBy("_range").count().collect()
+    assert max(r["count"] for r in dealt) < len(rows) / 8, sorted(r["count"] for r in dealt)
+
+
 def test_edits_stay_near():
     rnd = random.Random(6)
     text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400))
@@ -310,7 +335,6 @@ def _license_rows():
 
 
 def test_license_gaps_subjects_tags_and_their_sql(spark):
-    import duckdb
     rows = _license_rows()
     docs = spark.createDataFrame([*rows, (None, "", rows[4][2]), (3, "", rows[3][2])], "doc_id long, name string, text string")
     result = licenses.scan_licenses(docs)
