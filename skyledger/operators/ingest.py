@@ -144,7 +144,7 @@ def _order_requests(t, batch: DataFrame, as_of: dt.datetime) -> DataFrame:
          .join(fl, "FlightID", "left")
          .join(priced, ["FlightID", "ClassType"], "left"))
     return b.withColumn(REASON, _first_reason([
-        (_missing("Email", "FlightID", "ClassType"), "missing field"),
+        (_missing("Seq", "Email", "FlightID", "ClassType"), "missing field"),
         (F.col("IsManager"), "manager email"),
         (F.col("_fl").isNull(), "unknown flight"),
         (F.col("IsDeleted"), "flight deleted"),
@@ -250,7 +250,7 @@ def ingest_flights(t, batch: DataFrame, as_of: dt.datetime, check_staffing: bool
                     ["SourceField", "DestinationField"], "left")
          .join(_flag(t.planes, ["PlainID"], "_plane"), "PlainID", "left"))
     b = b.withColumn(REASON, _first_reason([
-        (_missing("PlainID", "TakeOffTime", "SourceField", "DestinationField"), "missing field"),
+        (_missing("Seq", "PlainID", "TakeOffTime", "SourceField", "DestinationField"), "missing field"),
         (F.col("SourceField") == F.col("DestinationField"), "same field"),
         (F.col("DurationSec").isNull(), "no route"),
         (F.col("_plane").isNull(), "unknown plane"),

@@ -150,7 +150,7 @@ def allocate_ids(batch: DataFrame, order_col: str, start_after: Column, id_col:
                  where: Column | None = None) -> DataFrame:
     """W3 — dense ids ``start_after + 1, +2, ...`` in ``order_col`` order to the rows ``where`` holds.
 
-    ``order_col`` is a unique integer per row; other rows get a NULL id.
+    ``order_col`` is a unique integer per row; other rows, and rows without a key, get a NULL id.
     ``start_after`` is a scalar Column (e.g. ``coalesce(max(id), 0)`` of the
     existing table, as a scalar subquery).
 
@@ -160,9 +160,12 @@ def allocate_ids(batch: DataFrame, order_col: str, start_after: Column, id_col:
     way. No partition number, row position or sampled range takes part, so
     plans that recompute or coalesce parts of it agree.
     """
-    wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     key = F.col(order_col).cast("long")
-    rows = batch.withColumn("_g1", F.shiftright(key, 16)).withColumn("_want", wanted.cast("long"))
+    wanted = key.isNotNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    # Rows without a key stand in groups of their own, behind all others, spread by their contents.
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in batch.dtypes if "map<" not in kind]), F.lit(1 << 16))
+    group = F.coalesce(F.shiftright(key, 16), F.lit(1 << 47) + spread)
+    rows = batch.withColumn("_g1", group).withColumn("_want", wanted.cast("long"))
     place = F.sum("_want").over(W.partitionBy("_g1").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0))
     up = lambda c: F.shiftright(F.col(c), 16)
     first = rows.groupBy("_g1").agg(F.sum("_want").alias("n")).withColumn("_g2", up("_g1"))

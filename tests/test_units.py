@@ -166,6 +166,22 @@ def test_allocate_ids_dense(spark):
     assert all(r.NewID is None for r in out if r.Seq % 2)
 
 
+def test_allocate_ids_without_a_key(spark):
+    """Rows without a key, many of them, stay and get no id; the others' ids have no holes."""
+    df = spark.range(0, 3000, 1, 5).select(F.when(F.col("id") % 3 > 0, F.col("id") * 50_000 - 10**7).alias("Seq"), "id")
+    out = R.allocate_ids(df, "Seq", F.lit(5), "NewID").collect()
+    assert len(out) == 3000 and all((r.NewID is None) == (r.Seq is None) for r in out)
+    assert [r.NewID for r in sorted(out, key=lambda r: r.id) if r.Seq is not None] == list(range(6, 2006))
+    assert R.allocate_ids(df.where("Seq IS NULL"), "Seq", F.lit(5), "NewID").where("NewID IS NULL").count() == 1000
+
+
+def test_ingest_orders_without_a_place_in_line(t, spark):
+    batch = spark.createDataFrame([(None, "z@x", 17, "Regular"), (None, "z@x", 17, "Regular"), (7, "z@x", 17, "Regular")],
+                                  "Seq long, Email string, FlightID long, ClassType string")
+    got = sorted((r.Seq is None, r.RejectReason, r.OrderID is None) for r in ingest.ingest_orders(t, batch, AS_OF).collect())
+    assert got == [(False, None, False), (True, "missing field", True), (True, "missing field", True)]
+
+
 def test_allocate_ids_whatever_the_plan_does(spark):
     """A million wide rows: no row lost, ids dense, the same under every way to coalesce partitions."""
     wide = spark.range(0, 1_000_000, 1, 16).select(
