@@ -122,6 +122,48 @@ def test_quality_of_odd_texts(spark, docs, no_docs):
     assert quality.keep_good(docs, none).count() == docs.count()
 
 
+def test_every_labelled_document_teaches(spark, monkeypatch):
+    n, seen = 20_500, []
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    monkeypatch.setattr(quality, "features", lambda text: [float(len(text))] * len(quality.FEATURES))
+    monkeypatch.setattr(quality, "fit_groups", lambda rows, good, bad, cut: seen.append((rows.count(), good, bad)))
+    quality.fit(docs, labels)
+    assert seen == [(n, n // 2, n // 2)]
+
+
+@pytest.mark.parametrize("rare", [2, 300])
+def test_groups_learn_as_one(spark, rare):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(3000, len(quality.FEATURES))), 1)
+    label = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=3000) / 3 > -1).astype(int)
+    if rare == 2:
+        label[:] = 1
+        label[:2] = 0
+    rows = [(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(x, label))]
+    table = spark.createDataFrame(rows, "doc_id long, f array<double>, label int")
+    whole = quality.fit_pairs(x, label)
+    n_good, n_bad = int(label.sum()), int((1 - label).sum())
+    one = quality.fit_groups(table, n_good, n_bad)
+    assert np.allclose(one.weights, whole.weights) and np.isclose(one.threshold, whole.threshold)
+    many = quality.fit_groups(table, n_good, n_bad, group_size=500)
+    strength = (x - many.mean) / many.scale @ many.weights
+    at = np.quantile(strength, quality.LEVELS)
+    lost = [np.mean(strength[label == 1] < a) + np.mean(strength[label == 0] >= a) for a in at]
+    below = lambda v: max((s for s in strength[label == 0] if s < v), default=None)
+    assert np.isclose(many.threshold, quality._threshold(at, np.array(lost), below))
+    if rare > 2:
+        assert np.corrcoef(many.weights, whole.weights)[0, 1] > 0.98
+    groups = [r["label"] for r in quality._dealt(table, 6, n_good, n_bad).collect()]
+    assert len(groups) == 6 and all({0, 1} == set(g) for g in groups)
+
+
+def test_every_text_of_a_language_counts(spark):
+    docs = spark.range(20_200).selectExpr("id AS doc_id", "'ab' AS text", "if(id % 101 = 0, 'b', 'a') AS lang")
+    model = language.fit(docs)
+    assert np.allclose(np.exp(model.log_prior), [100 / 101, 1 / 101], rtol=1e-12)
+
+
 def test_an_id_of_many_rows_is_one_example(spark, monkeypatch):
     rows = [(1, f"The same id, row {i}. Nothing else here.") for i in range(300)] + [(i, "A text. It ends.") for i in range(2, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
