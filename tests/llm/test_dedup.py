@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -258,3 +259,13 @@ def test_internal_names_in_the_input(spark):
         first = simhash.first_of_each_group(table)
         assert first.columns == [*names, *more]
         assert sorted(tuple(r) for r in first.collect()) == sorted((*r, 1, 2, 3, 4, 5) for r in rows)
+
+
+def test_a_suffix_sort_stays_small():
+    n = suffix_dedup.FLUSH_BYTES
+    data = np.random.default_rng(0).integers(97, 101, n + 50, dtype=np.uint8)
+    tracemalloc.start()
+    suffix_dedup.previous_factors(data, np.arange(n), np.arange(n) % 7, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
