@@ -204,3 +204,20 @@ def test_profiles_of_one_class_and_bins(spark):
     members = {r.PilotID: r.ClassID for r in assign.class_members(t, "pilots").collect()}
     assert members[20][1:] == members[21][1:] and members[30] == members[32] == "q|free" and members[31] == "n|free"
     assert 99 not in members
+
+
+def test_cancelled_flights_are_derived_once(spark, stored):
+    root, t = stored
+    io.commit_table(t.flights, root, "flights", split_by="year(TakeOffTime)")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    ids = t.flights.select("FlightID").mapInArrow(count, "FlightID long")
+    _, version = orders.cancel_flights_stored(t, spark, root, ids)
+    found = io.read_version(spark, root, "orders", version).collect()
+    assert {r.OrderStatus for r in found} == {S.ORDER_SYSTEM_CANCELLED} and len(found) == 5
+    assert read.value == 2  # not once more for every file set
