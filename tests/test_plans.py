@@ -4,7 +4,9 @@ import pytest
 
 from conftest import SMALL_SF
 
+from skyledger.plans import catalog
 from skyledger.plans.catalog import QUERIES
+from skyledger.sources.views import airline_views
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas")
@@ -136,3 +138,12 @@ def test_a_selective_search_shuffles_no_seats(spark, tmp_path):
             spark.conf.set(k, v)
     rows = [sorted(map(str, OPS["flight_search_filtered"](t, spark, SMALL_SF).collect())) for t in (plain, stored)]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_stored_queries_derive_their_intermediates_once(spark):
+    t = catalog._derived_once(airline_views(spark, SMALL_SF), spark, SMALL_SF)
+    for name in ("flights", "orders"):
+        files = t[name].inputFiles()
+        assert files and all("-ext" in f for f in files)
+        assert sorted(map(str, t[name].collect())) == sorted(map(str, airline_views(spark, SMALL_SF)[name].collect()))
+    assert catalog._derived_once(catalog.Tables(orders=t.orders), spark, SMALL_SF).keys() == {"orders"}
