@@ -580,3 +580,13 @@ def test_ingest_missing_fields(t, spark):
     fl = spark.createDataFrame([(1, 1, None, "AAA", "BBB")],
                                "Seq long, PlainID long, TakeOffTime timestamp_ntz, SourceField string, DestinationField string")
     assert [r.RejectReason for r in ingest.ingest_flights(t, fl, AS_OF).collect()] == ["missing field"]
+
+
+def test_crew_assignments_meet_flights_as_requests(staffed, spark):
+    batch = spark.createDataFrame([(1, [1, 1, 2], [3]), (1, [2], None), (None, [1], [])],
+                                  "FlightID long, PilotIDs array<long>, AttendantIDs array<long>")
+    result = ingest.ingest_crew_assignments(staffed, batch)
+    # a flight listed twice meets both requests; a person listed twice in one counts once
+    assert result.where("FlightID = 1").count() == 2 * 4 and result.where("FlightID IS NULL").count() == 1
+    # the crews are listed only after the request has met its flight
+    assert "inline(_crew" in result._jdf.queryExecution().optimizedPlan().toString()
