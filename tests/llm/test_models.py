@@ -177,6 +177,18 @@ def test_an_id_of_many_rows_is_one_example(spark, monkeypatch):
     assert np.allclose(x[0], np.mean([quality.features(t) for d, t in rows if d == 1], axis=0))
 
 
+def test_quality_examples_shuffle_no_text(spark, docs):
+    """The join with the labels moves features: a text has become numbers below it."""
+    marks = spark.range(40).selectExpr("id AS doc_id", "int(id % 2) AS label").groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = quality._examples(quality.id_text(docs, "doc_id", "text"), marks)
+    above, below = rows._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")
+    assert "Join" in above and "Join" not in below
+    found = {r.doc_id: r for r in rows.collect()}
+    texts = {r.doc_id: r.text for r in docs.where("doc_id BETWEEN 0 AND 39 AND doc_id <> 20").collect()}
+    assert found.keys() == texts.keys() | {20} and all(r.label == i % 2 for i, r in found.items())
+    assert all(np.allclose(found[i].f, quality.features(t)) for i, t in texts.items())
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 
 def plain_ends(data):
