@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pytest
 import xxhash
 from conftest import SMALL_SF
 
@@ -269,3 +270,32 @@ def test_a_suffix_sort_stays_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+@pytest.mark.parametrize("prefix", [b"", b"the same sixteen bytes and more "])
+def test_suffix_order_sorts_tails_of_equal_heads_only(prefix, monkeypatch):
+    """The order of a whole sort, with few numbers sorted where the first bytes tell windows apart."""
+    rng, sorted_numbers, lexsort = np.random.default_rng(4), [], np.lexsort
+    texts = [prefix + bytes(rng.integers(97, 99 if prefix else 123, 50 - len(prefix)).tolist()) for _ in range(300)]
+    texts = np.frombuffer(b"".join(texts[i] + bytes(6) for i in rng.integers(0, 300, 2000)), ">u8").reshape(2000, 7)
+    columns, doc = list(texts.T.astype(np.uint64)), rng.integers(0, 40, 2000)
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_numbers.extend(map(len, keys)) or lexsort(keys))
+    order = suffix_dedup._suffix_order(columns, doc)
+    whole = lexsort((doc, *reversed(columns)))
+    for c in (*columns, doc):
+        assert (c[order] == c[whole]).all()
+    assert sorted(order.tolist()) == list(range(2000))
+    assert prefix or sum(sorted_numbers) < 3 * 2000  # eight numbers a window before
+
+
+def test_spans_of_several_documents_at_once():
+    """Spans of one suffix task: apart per (d, text_key), merged within, in order."""
+    fake = type("Fake", (), {"repartition": lambda s, *a: s, "sortWithinPartitions": lambda s, *a: s,
+                             "mapInArrow": lambda s, run, schema: run})()
+    rows = [(9, 2, 1, 40, 3), (9, 1, 1, 0, 2), (9, 1, 1, 52, 1), (9, 1, 7, 5, 1), (9, 1, 1, 200, 4)]
+    batch = suffix_dedup.record_batch(
+        {c: [r[i] for r in rows] for i, c in enumerate(("deal", "d", "text_key", "start", "n"))} | {"bytes": [None] * 5},
+        suffix_dedup._PIECE)
+    out = [r for b in suffix_dedup._removed(fake, 50)(iter([batch])) for r in b.to_pylist()]
+    found = {(r["d"], r["text_key"]): np.frombuffer(r["spans"], "<i8").reshape(-1, 2).tolist() for r in out}
+    assert found == {(1, 1): [[0, 51], [52, 102], [200, 253]], (1, 7): [[5, 55]], (2, 1): [[40, 92]]}
