@@ -1,6 +1,7 @@
 """Packing, token counts and the SentencePiece codec against the tokenizer libraries."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -10,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from skyledger.llm import common, packing, piece_codec, queries, token_count
+from skyledger.llm import common, packing, piece_codec, queries, token_count, word_bpe
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -188,3 +189,16 @@ def test_caches_are_bounded_by_bytes_and_one_operator_keeps_them():
     assert common.kept(("a", 1), list) is not first
     common.release()
     assert not common._kept
+
+
+def test_words_and_pieces_share_a_cache():
+    """A lower-case word is its own piece: met again with capitals or marks, it is not tokenized again."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    plain = ["".join(p) for p in itertools.islice(itertools.product(letters, repeat=4), 60_000)]
+    encode = packing.WordEncoder(word_bpe.load(WORDS))
+    tokenize, met = encode.tokenize, []
+    encode.tokenize = lambda piece: met.append(piece) or tokenize(piece)
+    for text in (" ".join(plain), " ".join(w + "," for w in plain), " ".join(w.title() for w in plain)):
+        ids = encode.source.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode.encode(text), "<u4").tolist() == ids
+    assert len(met) <= 60_100  # some 120,000 with the pieces in a small cache of their own
