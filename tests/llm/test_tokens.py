@@ -118,6 +118,22 @@ def test_piece_codec_equals_the_library(docs):
         assert list(r.ids) == want and r.decoded == library.decode(want)
 
 
+def test_piece_codec_asks_for_the_prefixes_on_the_way_only():
+    table = piece_codec.PrefixTable(PIECES)
+    asked = []
+
+    class Counted(dict):
+        def __getitem__(self, pair):
+            asked.append(pair)
+            return table._compatible(*pair, len(table.by_text))
+
+    table._pairs = Counted()
+    text = ("▁information▁international▁the▁government" * 20)
+    found = table.ids(text)
+    assert found == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text.replace("▁", " ")[1:])
+    assert len(asked) < len(text) / 2  # the whole table takes one at least for every prefix
+
+
 def test_piece_codec_on_random_strings():
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     codec = piece_codec.codec(PIECES)
