@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -118,6 +121,24 @@ def test_piece_codec_equals_the_library(docs):
         assert list(r.ids) == want and r.decoded == library.decode(want)
 
 
+def test_a_worker_hands_back_what_the_last_operator_held():
+    script = """
+from pathlib import Path
+from skyledger.llm import common
+held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+common.release()
+rows = common.kept(("a",), lambda: [bytes([i % 256]) * 5000 for i in range(20_000)])
+last = bytes(5000)  # stands above them in the heap
+del rows
+full = held()
+common.release()
+print(full - held())
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True,
+                          cwd=Path(__file__).parents[2])
+    assert int(done.stdout) > 60_000_000
+
+
 def test_piece_codec_asks_for_the_prefixes_on_the_way_only():
     table = piece_codec.PrefixTable(PIECES)
     asked = []
